@@ -98,10 +98,10 @@ def context_candidates(chunks: DataFrame, edges: DataFrame, targets: DataFrame)
     callers = (t.join(e, t.target_name == e.callee)
                 .select("target_id", "target_path", F.col("caller_id").alias("cand_id"),
                         F.lit(0).alias("dep")))
+    # target_path depends on target_id only; grouping on it keeps this a hash aggregate.
     pairs = (callees.unionByName(callers)
-                    .groupBy("target_id", "cand_id")
-                    .agg(F.max("target_path").alias("target_path"),
-                         F.max("dep").alias("dep")))
+                    .groupBy("target_id", "target_path", "cand_id")
+                    .agg(F.max("dep").alias("dep")))
     # Candidate attributes are attached once per distinct pair, after the dedup.
     return (pairs.join(c, "cand_id")
                  .select("target_id", "target_path", "cand_id", "cand_name", "cand_path",

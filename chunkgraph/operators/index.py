@@ -38,10 +38,16 @@ def first_wins_flags(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     """
     keys = list(keys)
     order_key = F.struct(*[F.col(c) for c in order])
-    firsts = df.groupBy(*keys).agg(F.min(order_key).alias("_first"))
-    return (df.join(firsts, keys)
+    firsts = (df.groupBy(*keys).agg(F.min(order_key).alias("_first"))
+                .select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_first"))
+    # Null-safe: a null key is one group, as in the aggregate.
+    cond = None
+    for k in keys:
+        term = df[k].eqNullSafe(firsts[f"_k_{k}"])
+        cond = term if cond is None else cond & term
+    return (df.join(firsts, cond)
               .withColumn(flag, F.struct(*[F.col(c) for c in order]) == F.col("_first"))
-              .drop("_first"))
+              .drop("_first", *[f"_k_{k}" for k in keys]))
 
 
 def dense_ids(df: DataFrame, order: Sequence[str], out_col: str = "id", start: int = 1,

@@ -143,3 +143,110 @@ FROM cg_chunks c LEFT JOIN calls k ON k.caller_id = c.id"""
 ORACLES["mark_done"] = CG + """
 SELECT id, CASE WHEN docstring IS NULL THEN 'DONE' ELSE docstring END AS docstring
 FROM cg_chunks"""
+
+
+# ---------------------------------------------------------------------------------------
+# SC: the synthetic corpus, rebuilt from its definition (expected extraction results).
+SC = CG + """,
+cg_calls AS (SELECT caller_id, list_sort(list(callee)) AS calls FROM cg_edges GROUP BY caller_id),
+sc_blocks AS (
+  SELECT c.id, c.name, c.docstring, c.line_number,
+         COALESCE(k.calls, CAST([] AS VARCHAR[])) AS calls,
+         c.id // 100 AS file_no,
+         regexp_replace(c.path, '\\.py$', '') || '_' || CAST(c.id // 100 AS VARCHAR) || '.py' AS sc_path
+  FROM cg_chunks c LEFT JOIN cg_calls k ON k.caller_id = c.id),
+sc_lines AS (
+  SELECT *,
+    list_concat(list_concat(list_concat(
+      ['def ' || name || '():'],
+      CASE WHEN docstring IS NULL THEN CAST([] AS VARCHAR[])
+           WHEN line_number % 2 = 0 THEN ['    \"\"\"' || docstring || '\"\"\"']
+           ELSE ['    \"\"\"', '    ' || docstring, '    \"\"\"'] END),
+      CASE WHEN len(calls) = 0 THEN ['    pass']
+           ELSE list_transform(calls, lambda x: '    ' || x || '()') END),
+      CASE WHEN line_number % 4 = 1 THEN ['    osp.join("a")']
+           WHEN line_number % 4 = 2 THEN ['    print(len("a"))']
+           ELSE CAST([] AS VARCHAR[]) END) AS lines,
+    list_sort(list_concat(calls, CASE WHEN line_number % 4 = 1 THEN ['os.path.join']
+                                      ELSE CAST([] AS VARCHAR[]) END)) AS calls_full
+  FROM sc_blocks),
+sc_pos AS (
+  SELECT *,
+    4 + COALESCE(SUM(len(lines)) OVER (PARTITION BY sc_path ORDER BY id
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS def_line,
+    row_number() OVER (PARTITION BY sc_path ORDER BY id) AS chunk_no
+  FROM sc_lines),
+sc_good AS (SELECT * FROM sc_pos WHERE file_no % 10 <> 9),
+sc_expected AS (
+  SELECT DISTINCT sc_path AS path, CAST(0 AS BIGINT) AS chunk_no, 'setup' AS name,
+         'function' AS type, CAST(NULL AS VARCHAR) AS parent_class,
+         CAST(2 AS INTEGER) AS line_number, CAST(3 AS INTEGER) AS body_start_line,
+         CAST(NULL AS VARCHAR) AS docstring, 'def setup():' || chr(10) || '    pass' AS content,
+         CAST([] AS VARCHAR[]) AS calls
+  FROM sc_good
+  UNION ALL
+  SELECT sc_path, CAST(chunk_no AS BIGINT), name, 'function', CAST(NULL AS VARCHAR),
+         CAST(def_line AS INTEGER), CAST(def_line + 1 AS INTEGER), docstring,
+         array_to_string(lines, chr(10)), calls_full
+  FROM sc_good),
+sc_index AS (
+  SELECT CAST(row_number() OVER (ORDER BY path, chunk_no) AS BIGINT) AS id, *
+  FROM (SELECT * FROM sc_expected
+        WHERE name <> 'setup' OR path = (SELECT min(path) FROM sc_expected WHERE name = 'setup')) s)
+"""
+
+ORACLES["extract_chunks"] = SC + """
+SELECT path, chunk_no, name, type, parent_class, line_number, body_start_line, docstring, content
+FROM sc_expected"""
+
+ORACLES["call_lists"] = SC + """
+SELECT path, name, CAST(len(calls) AS BIGINT) AS n_calls, array_to_string(calls, ',') AS calls_text
+FROM sc_expected"""
+
+ORACLES["rejects_per_dir"] = SC + """
+SELECT split_part(sc_path, '/', 1) AS dir, CAST(COUNT(DISTINCT sc_path) AS BIGINT) AS n_rejects
+FROM sc_pos WHERE file_no % 10 = 9 GROUP BY 1"""
+
+ORACLES["index_chunks"] = SC + "SELECT id, name, path, type, line_number FROM sc_index"
+
+ORACLES["index_edges"] = SC + """
+SELECT id AS caller_id, callee FROM (SELECT id, unnest(calls) AS callee FROM sc_index) t"""
+
+ORACLES["sc_edges_roundtrip"] = SC + """
+SELECT id AS caller_id, callee FROM (SELECT id, unnest(calls_full) AS callee FROM sc_good) t"""
+
+ORACLES["corpus_scan"] = SC + """,
+files AS (SELECT DISTINCT sc_path AS p FROM sc_pos),
+variants AS (
+  SELECT unnest([p, '.git/' || p, 'venv/' || p, 'lib/venv/' || p, 'lib/.cache/' || p,
+                 regexp_replace(p, '([^/]+)$', '.\\1'), regexp_replace(p, '\\.py$', '.pyc'),
+                 'venv2/' || p, '_build/' || p, regexp_replace(p, '([^/]+)$', '__\\1')]) AS path
+  FROM files),
+parts AS (SELECT path, string_split(path, '/') AS comp FROM variants)
+SELECT path FROM parts
+WHERE ends_with(path, '.py')
+  AND NOT starts_with(comp[len(comp)], '.')
+  AND len(list_filter(comp[1:len(comp) - 1], lambda d: starts_with(d, '.') OR d = 'venv')) = 0"""
+
+ORACLES["corpus_shape"] = """
+SELECT CAST(COUNT(*) AS BIGINT) AS n_rows, CAST(5 AS BIGINT) AS n_cols,
+       'doc_id,text,lang,source,n_chars' AS columns
+FROM documents"""
+
+ORACLES["value_counts"] = """
+SELECT source, CAST(COUNT(*) AS BIGINT) AS n FROM documents WHERE source IS NOT NULL GROUP BY source"""
+
+ORACLES["first_wins"] = """
+SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars
+FROM documents d JOIN (SELECT min(doc_id) AS doc_id FROM documents GROUP BY text) m
+  ON m.doc_id = d.doc_id"""
+
+ORACLES["first_wins_flags"] = """
+SELECT doc_id, CAST(doc_id = min(doc_id) OVER (PARTITION BY text) AS INTEGER) AS is_new
+FROM documents"""
+
+ORACLES["split_windows"] = """
+SELECT doc_id, CAST(s // 1800 AS BIGINT) AS piece_no, substring(text, s + 1, 2000) AS piece
+FROM (SELECT doc_id, text, unnest(range(0, greatest(length(text) - 201, 0) + 1, 1800)) AS s
+      FROM documents) t
+WHERE length(substring(text, s + 1, 2000)) > 0"""
