@@ -250,3 +250,122 @@ SELECT doc_id, CAST(s // 1800 AS BIGINT) AS piece_no, substring(text, s + 1, 200
 FROM (SELECT doc_id, text, unnest(range(0, greatest(length(text) - 201, 0) + 1, 1800)) AS s
       FROM documents) t
 WHERE length(substring(text, s + 1, 2000)) > 0"""
+
+
+# ---------------------------------------------------------------------------------------
+# Line tables, text functions and edits.
+# Python's whitespace set (str.isspace) as an RE2 character-class body.
+PY_WS_RE2 = ("\\t\\n\\x0B\\f\\r\\x1C-\\x1F \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}"
+             "\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}")
+
+DOC_LINES = """
+WITH d AS (
+  SELECT doc_id, string_split(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(10)) AS arr
+  FROM documents)
+"""
+
+ORACLES["line_table"] = DOC_LINES + """
+SELECT doc_id, CAST(i AS INTEGER) AS ln, arr[i] AS line
+FROM (SELECT doc_id, arr, unnest(range(1, len(arr) + 1)) AS i FROM d) t"""
+
+ORACLES["line_slice"] = DOC_LINES + """
+SELECT doc_id, CAST(len(arr) AS BIGINT) AS n_lines,
+       array_to_string(arr[2:len(arr) - 1], chr(10)) AS body
+FROM d"""
+
+ORACLES["format_block"] = f"""
+WITH d AS (
+  SELECT doc_id, repeat(' ', CAST(doc_id % 3 * 4 AS INTEGER)) || '    ' AS ind,
+         string_split(text, chr(10)) AS arr
+  FROM documents)
+SELECT doc_id,
+       array_to_string(list_concat(list_concat(
+         [ind || '\"\"\"'],
+         list_transform(arr, lambda l: CASE WHEN regexp_matches(l, '[^{PY_WS_RE2}]')
+                                            THEN ind || l ELSE ind END)),
+         [ind || '\"\"\"', chr(10)]), chr(10)) AS block
+FROM d"""
+
+_STRIP = "regexp_replace({x}, '^[" + PY_WS_RE2 + "]+|[" + PY_WS_RE2 + "]+\\z', '', 'g')"
+_PAIR = "(?s)(?:\"\"\"|'''''')(.*?)(?:\"\"\"|'''''')"
+
+ORACLES["clean_response"] = """
+WITH r AS (
+  SELECT conv_id, turn,
+         CASE (conv_id + turn) % 4
+           WHEN 0 THEN '\"\"\"' || text || '\"\"\"'
+           WHEN 1 THEN '```python' || chr(10) || text || chr(10) || '```'
+           WHEN 2 THEN 'Here it is: ''''''' || text || ''''''' done'
+           ELSE '  ' || text || ' ' || chr(10) END AS raw
+  FROM conversations),
+s1 AS (
+  SELECT conv_id, turn,
+         CASE WHEN regexp_matches(raw, '""" + _PAIR + """')
+              THEN """ + _STRIP.replace("{x}", "regexp_extract(raw, '" + _PAIR + "', 1)") + """
+              ELSE """ + _STRIP.replace("{x}", "raw") + """ END AS d
+  FROM r),
+s2 AS (
+  SELECT conv_id, turn,
+         regexp_replace(regexp_replace(d, '(?i)```python\\n?', '', 'g'), '\\n?```', '', 'g') AS d
+  FROM s1),
+s3 AS (SELECT conv_id, turn, """ + _STRIP.replace("{x}", "d") + """ AS d FROM s2)
+SELECT conv_id, turn,
+       regexp_replace(regexp_replace(d, '^"+|"+\\z', '', 'g'), '^''+|''+\\z', '', 'g') AS docstring
+FROM s3"""
+
+SC_FILES = SC + """,
+sc_file AS (
+  SELECT sc_path, file_no,
+         array_to_string(list_concat(['import os.path as osp', 'def setup():', '    pass'],
+                                     flatten(list(lines ORDER BY id))), chr(10)) || chr(10)
+           || CASE WHEN file_no % 10 = 9 THEN 'def broken(:' || chr(10) ELSE '' END AS content
+  FROM sc_lines GROUP BY sc_path, file_no),
+sc_bounds AS (
+  SELECT sc_path AS path, name, CAST(def_line + 1 AS INTEGER) AS body_start_line,
+         CAST(CASE WHEN docstring IS NOT NULL THEN def_line + 1 END AS INTEGER) AS doc_start,
+         CAST(CASE WHEN docstring IS NULL THEN NULL
+                   WHEN line_number % 2 = 0 THEN def_line + 1 ELSE def_line + 3 END AS INTEGER)
+           AS doc_end,
+         id, lines, calls_full,
+         CASE WHEN docstring IS NULL THEN 0 WHEN line_number % 2 = 0 THEN 1 ELSE 3 END AS n_doc
+  FROM sc_good
+  UNION ALL
+  SELECT DISTINCT sc_path, 'setup', CAST(3 AS INTEGER), CAST(NULL AS INTEGER),
+         CAST(NULL AS INTEGER), -1, ['def setup():', '    pass'], CAST([] AS VARCHAR[]), 0
+  FROM sc_good)
+"""
+
+ORACLES["line_indent"] = SC_FILES + """,
+arrs AS (SELECT sc_path, string_split(content, chr(10)) AS arr FROM sc_file),
+ls AS (SELECT sc_path, i, arr[i] AS line
+       FROM (SELECT sc_path, arr, unnest(range(1, len(arr) + 1)) AS i FROM arrs) t)
+SELECT sc_path AS path, CAST(i AS INTEGER) AS ln,
+       substring(line, 1, length(line) - length(ltrim(line, ' '))) AS indent,
+       CAST(length(line) - length(ltrim(line, ' ')) AS BIGINT) AS indent_len
+FROM ls"""
+
+ORACLES["block_bounds"] = SC_FILES + "SELECT path, name, doc_start, doc_end FROM sc_bounds"
+
+ORACLES["edits_per_file"] = SC_FILES + """
+SELECT path, CAST(COUNT(*) AS BIGINT) AS n_edits,
+       string_agg(CAST(COALESCE(doc_start, body_start_line) AS VARCHAR) || '-'
+                  || COALESCE(CAST(doc_end AS VARCHAR), ''), ',' ORDER BY body_start_line) AS spans
+FROM sc_bounds GROUP BY path"""
+
+ORACLES["apply_edits"] = SC_FILES + """,
+rewritten AS (
+  SELECT path, id,
+         list_concat(list_concat([lines[1]],
+           ['    \"\"\"', '    Summary of ' || name || '.', '    ',
+            '    Calls: ' || array_to_string(calls_full, ', '), '    \"\"\"', '']),
+           lines[2 + n_doc:]) AS new_lines
+  FROM sc_bounds),
+good_files AS (
+  SELECT path,
+         array_to_string(list_concat(['import os.path as osp'],
+                                     flatten(list(new_lines ORDER BY id))), chr(10)) || chr(10)
+           AS content
+  FROM rewritten GROUP BY path)
+SELECT path, content FROM good_files
+UNION ALL
+SELECT sc_path, content FROM sc_file WHERE file_no % 10 = 9"""
