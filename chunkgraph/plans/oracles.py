@@ -369,3 +369,45 @@ good_files AS (
 SELECT path, content FROM good_files
 UNION ALL
 SELECT sc_path, content FROM sc_file WHERE file_no % 10 = 9"""
+
+
+# ---------------------------------------------------------------------------------------
+# Evaluation sets.
+def _clean_sql(x: str) -> str:
+    """The response-cleaning steps as one nested DuckDB expression over ``x``."""
+    first = ("CASE WHEN regexp_matches(" + x + ", '" + _PAIR + "') THEN "
+             + _STRIP.replace("{x}", "regexp_extract(" + x + ", '" + _PAIR + "', 1)")
+             + " ELSE " + _STRIP.replace("{x}", x) + " END")
+    fences = ("regexp_replace(regexp_replace(" + first
+              + ", '(?i)```python\\n?', '', 'g'), '\\n?```', '', 'g')")
+    stripped = _STRIP.replace("{x}", fences)
+    return ("regexp_replace(regexp_replace(" + stripped
+            + ", '^\"+|\"+\\z', '', 'g'), '^''+|''+\\z', '', 'g')")
+
+
+ORACLES["eval_load"] = "SELECT item_id, text AS source_code FROM benchmark"
+
+ORACLES["sample_sink"] = """
+SELECT item_id, source_code, docstring FROM (
+  SELECT b.item_id, b.text AS source_code, d.text AS docstring
+  FROM benchmark b LEFT JOIN documents d ON d.doc_id = b.item_id
+  ORDER BY b.item_id LIMIT 50) t
+WHERE source_code IS NOT NULL AND docstring IS NOT NULL"""
+
+ORACLES["eval_rows"] = """
+WITH ranked AS (
+  SELECT conv_id, turn, role, text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn,
+         row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS rn_role
+  FROM conversations),
+ans AS (SELECT conv_id, text AS raw FROM ranked WHERE role = 'assistant' AND rn_role = 1),
+ctx AS (SELECT conv_id, COUNT(*) AS n,
+               string_agg(text, chr(10) || '---' || chr(10) ORDER BY turn) AS t
+        FROM ranked WHERE rn <= 10 GROUP BY conv_id)
+SELECT b.item_id, b.text AS question, """ + _clean_sql("a.raw") + """ AS answer,
+       CAST(COALESCE(c.n, 0) AS BIGINT) AS n_contexts, COALESCE(c.t, '') AS contexts_text,
+       d.text AS ground_truth
+FROM benchmark b
+LEFT JOIN documents d ON d.doc_id = b.item_id
+LEFT JOIN ans a ON a.conv_id = b.item_id
+LEFT JOIN ctx c ON c.conv_id = b.item_id"""
