@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from chunkgraph.operators import extract, graph, index, split
 from chunkgraph.plans import views
 from chunkgraph.plans.index_build import build_index
+from chunkgraph.session import ensure_checkpoint_dir
 from chunkgraph.sources import corpus
 from chunkgraph.sources.tables import read_table
 
@@ -54,8 +55,15 @@ def sc_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "docstring", "line_number", "calls", lines.alias("lines"))
 
 
-def sc_files(spark: SparkSession, sf_dir: str, broken: bool = True) -> DataFrame:
-    """``files(path, content)``; each group holds at most 100 blocks."""
+def sc_files(spark: SparkSession, sf_dir: str, broken: bool = True,
+             materialize: bool = True) -> DataFrame:
+    """``files(path, content)``; each group holds at most 100 blocks.
+
+    The corpus is stored once (reliable checkpoint in the session's checkpoint folder), as
+    a source table would be, and spread over ``2 x`` the default parallelism: it is tiny
+    in bytes, so adaptive coalescing would otherwise hand the CPU-heavy extraction of
+    every file to one or two tasks.
+    """
     b = sc_blocks(spark, sf_dir)
     grouped = (b.groupBy("sc_path", "file_no")
                 .agg(F.collect_list(F.struct(F.col("id").alias("k"),
@@ -67,7 +75,12 @@ def sc_files(spark: SparkSession, sf_dir: str, broken: bool = True) -> DataFrame
     if broken:
         content = F.when(F.col("file_no") % 10 == 9,
                          F.concat(content, F.lit(BROKEN_TAIL + "\n"))).otherwise(content)
-    return grouped.select(F.col("sc_path").alias("path"), content.alias("content"))
+    files = grouped.select(F.col("sc_path").alias("path"), content.alias("content"))
+    if not materialize:
+        return files
+    ensure_checkpoint_dir(spark)
+    n = spark.sparkContext.defaultParallelism * 2
+    return files.repartition(n).checkpoint(eager=True)
 
 
 def _raw(spark, sf_dir):
