@@ -63,3 +63,36 @@ def test_mark_done(spark):
     done = spark.createDataFrame([(1,), (1,)], "id long")
     got = {r.id: r.docstring for r in index.mark_done(chunks, done).collect()}
     assert got == {1: "DONE", 2: "kept", 3: None}
+
+
+def test_save_index_is_build_once(spark, tmpdir_path):
+    from chunkgraph.plans.index_build import build_index, load_index, save_index
+    first = spark.createDataFrame([("m.py", "def a():\n    b()\n\ndef b():\n    pass\n")],
+                                  "path string, content string")
+    save_index(build_index(first), tmpdir_path)
+    second = spark.createDataFrame([("n.py", "def z():\n    pass\n")], "path string, content string")
+    save_index(build_index(second), tmpdir_path)  # ignored: the index exists
+    chunks, edges = load_index(spark, tmpdir_path)
+    assert sorted(r.name for r in chunks.collect()) == ["a", "b"]
+    assert [(r.caller_id, r.callee) for r in edges.collect()] == [(1, "b")]
+    save_index(build_index(second), tmpdir_path, mode="overwrite")
+    assert [r.name for r in load_index(spark, tmpdir_path)[0].collect()] == ["z"]
+
+
+def test_directory_to_index(spark, tmpdir_path):
+    import os
+    from chunkgraph.plans.index_build import build_index
+    from chunkgraph.sources.corpus import scan_directory
+    os.makedirs(os.path.join(tmpdir_path, "pkg"))
+    with open(os.path.join(tmpdir_path, "pkg", "__init__.py"), "w") as fh:
+        fh.write("from pkg.util import helper as h\n\ndef main():\n    h()\n    run()\n")
+    with open(os.path.join(tmpdir_path, "pkg", "util.py"), "w") as fh:
+        fh.write("def helper():\n    pass\n\ndef run():\n    helper()\n")
+    with open(os.path.join(tmpdir_path, "broken.py"), "w") as fh:
+        fh.write("def oops(:\n")
+    idx = build_index(scan_directory(spark, tmpdir_path))
+    ids = {r.name: r.id for r in idx.chunks.collect()}
+    assert set(ids) == {"main", "helper", "run"}
+    assert {(r.caller_id, r.callee) for r in idx.edges.collect()} == {
+        (ids["main"], "pkg.util.helper"), (ids["main"], "run"), (ids["run"], "helper")}
+    assert [r.path for r in idx.rejects.collect()] == ["broken.py"]

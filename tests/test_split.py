@@ -72,3 +72,27 @@ def test_fixed_windows_is_native(spark):
     plan = df.select(F.posexplode(split.fixed_windows("text", 10, 2)))._jdf.queryExecution() \
         .executedPlan().toString()
     assert "Python" not in plan and "ArrowEval" not in plan
+
+
+def test_split_pack_query_properties(spark):
+    """split_pack over whole documents: every piece fits, is a stripped substring of its
+    document, pieces advance through the text, and every non-space character is covered."""
+    from chunkgraph.plans.corpus import q_split_pack
+    from chunkgraph.sources.tables import read_table
+    from tests.conftest import SF_SMALL
+    docs = {r.doc_id: r.text for r in read_table(spark, SF_SMALL, "documents").collect()}
+    pieces = {}
+    for r in q_split_pack(spark, SF_SMALL).collect():
+        pieces.setdefault(r.doc_id, []).append((r.piece_no, r.piece))
+    for doc_id, text in docs.items():
+        got = [p for _, p in sorted(pieces.get(doc_id, []))]
+        covered = [False] * len(text)
+        pos = 0
+        for p in got:
+            assert 0 < len(p) <= 2000 and p == p.strip()
+            at = text.find(p, max(0, pos - 2000))
+            assert at >= 0
+            for i in range(at, at + len(p)):
+                covered[i] = True
+            pos = at + len(p)
+        assert all(c or text[i].isspace() for i, c in enumerate(covered))
