@@ -41,6 +41,12 @@ def block_bounds(lines: DataFrame, requests: DataFrame, keys: Sequence[str],
     the quote occurs twice there, else on the first later line that ends (stripped) with
     the same quote and starts with that indent. Output: the request columns plus
     ``doc_start``/``doc_end`` (both null unless both exist).
+
+    One ordered pass: every candidate closing line is listed once per indent it can close
+    (each prefix of its leading whitespace that ends in four spaces - bounded by the indent
+    width), requests and candidates meet in a window per (file, quote, indent) ordered from
+    the last line up, and a running minimum gives "the first closing line after me". The
+    requests are read once; nothing is joined back.
     """
     keys = list(keys)
     exp = F.concat(F.col(indent_col), F.lit(tx.DOCSTRING_INDENT))
@@ -51,43 +57,41 @@ def block_bounds(lines: DataFrame, requests: DataFrame, keys: Sequence[str],
     body = _lstrip(F.col("_l"))
     quote = (F.when(body.startswith(QUOTES[0]), F.lit(QUOTES[0]))
              .when(body.startswith(QUOTES[1]), F.lit(QUOTES[1])))
-    opened = (opened.withColumn("_q", F.when(F.col("_l").startswith(exp), quote))
-                    .withColumn("_exp", exp))
-    n_quotes = F.floor((F.length("_l") - F.length(F.replace(F.col("_l"), F.col("_q"), F.lit(""))))
-                       / 3)
-    opened = opened.withColumn("_single", F.col("_q").isNotNull() & (n_quotes >= 2))
-
-    # Closing-line search for the multi-line blocks: one ordered pass per
-    # (file, quote, indent) over the candidate closing lines, latest line first, so the
-    # running minimum over the rows already seen is "the first closing line after me".
-    probes = (opened.where(F.col("_q").isNotNull() & ~F.col("_single"))
-                    .select(*keys, "_q", "_exp", F.col(start_col).cast("int").alias("_at"))
-                    .distinct())
-    groups = probes.select(*keys, "_q", "_exp").distinct()
+    q = F.when(F.col("_l").startswith(exp), quote)
+    n_quotes = F.floor((F.length("_l") - F.length(F.replace(F.col("_l"), q, F.lit("")))) / 3)
+    payload = [c for c in requests.columns]
+    req_rows = opened.select(
+        *keys, q.alias("_gq"), exp.alias("_gexp"), F.col(start_col).cast("int").alias("_at"),
+        F.lit(0).alias("_kind"), (q.isNotNull() & (n_quotes >= 2)).alias("_single"),
+        F.struct(*[F.col(c) for c in payload]).alias("_req"))
+
     stripped = tx.py_strip(F.col("line"))
-    cands = lines.where(stripped.endswith(QUOTES[0]) | stripped.endswith(QUOTES[1]))
-    cands = (cands.join(groups, keys)
-                  .where(stripped.endswith(F.col("_q")) & F.col("line").startswith(F.col("_exp")))
-                  .select(*keys, "_q", "_exp", F.col("ln").cast("int").alias("_at"),
-                          F.lit(1).alias("_kind")))
-    w = (Window.partitionBy(*keys, "_q", "_exp")
+    cq = (F.when(stripped.endswith(QUOTES[0]), F.lit(QUOTES[0]))
+          .when(stripped.endswith(QUOTES[1]), F.lit(QUOTES[1])))
+    ws = tx.indentation(F.col("line"))
+    prefixes = F.when(
+        F.length(ws) >= 4,
+        F.transform(F.filter(F.sequence(F.lit(4), F.length(ws)),
+                             lambda i: F.substring(ws, i - 3, 4) == F.lit(tx.DOCSTRING_INDENT)),
+                    lambda i: F.substring(ws, F.lit(1), i))
+    ).otherwise(F.array().cast("array<string>"))
+    req_type = req_rows.schema["_req"].dataType
+    cand_rows = (lines.where(cq.isNotNull())
+                      .select(*keys, cq.alias("_gq"), F.explode(prefixes).alias("_gexp"),
+                              F.col("ln").cast("int").alias("_at"), F.lit(1).alias("_kind"),
+                              F.lit(None).cast("boolean").alias("_single"),
+                              F.lit(None).cast(req_type).alias("_req")))
+    w = (Window.partitionBy(*keys, "_gq", "_gexp")
                .orderBy(F.col("_at").desc(), F.col("_kind"))
                .rowsBetween(Window.unboundedPreceding, -1))
-    found = (probes.withColumn("_kind", F.lit(0)).unionByName(cands)
-                   .withColumn("_end", F.min(F.when(F.col("_kind") == 1, F.col("_at"))).over(w))
-                   .where(F.col("_kind") == 0)
-                   .select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_q").alias("_fq"),
-                           F.col("_exp").alias("_fexp"), "_at", "_end"))
-    cond = ([opened[k] == found[f"_k_{k}"] for k in keys]
-            + [opened["_q"] == found["_fq"], opened["_exp"] == found["_fexp"],
-               opened[start_col] == found["_at"]])
-    out = opened.join(found, cond, "left")
-    end = F.when(F.col("_single"), F.col(start_col)).otherwise(F.col("_end"))
-    ok = F.col("_q").isNotNull() & end.isNotNull()
-    return (out.withColumn("doc_start", F.when(ok, F.col(start_col)).cast("int"))
-               .withColumn("doc_end", F.when(ok, end).cast("int"))
-               .drop(*[f"_k_{k}" for k in keys], "_fq", "_fexp", "_at", "_l", "_q", "_exp",
-                     "_single", "_end"))
+    found = (req_rows.unionByName(cand_rows)
+                     .withColumn("_end", F.min(F.when(F.col("_kind") == 1, F.col("_at"))).over(w))
+                     .where(F.col("_kind") == 0))
+    end = F.when(F.col("_single"), F.col("_at")).otherwise(F.col("_end"))
+    ok = F.col("_gq").isNotNull() & end.isNotNull()
+    return found.select(*[F.col("_req")[c].alias(c) for c in payload],
+                        F.when(ok, F.col("_at")).cast("int").alias("doc_start"),
+                        F.when(ok, end).cast("int").alias("doc_end"))
 
 
 def edit_rows(bounded: DataFrame, doc_col: str, indent_col: str = "func_indent",
@@ -110,33 +114,41 @@ def apply_edits(files: DataFrame, edits: DataFrame, keys: Sequence[str], text_co
                 seq_col: str = "seq", normalize: bool = True) -> DataFrame:
     """L4 + J8: a new ``(keys, text)`` table with every edit applied in one pass.
 
-    Files without edits are passed through untouched; only edited files are split into
-    lines. A line is dropped when an edit's ``lo..hi`` range covers it: a running maximum
-    of the covered-up-to line over the file's events, in line order, decides that in one
-    ordered pass. Blocks go before line ``lo``; blocks on the same line are stacked with the
-    later ``seq`` on top, as repeated insertion at one index does.
+    Edits are grouped per file (bounded by the definitions in one file) and left-joined to
+    the files - the only shuffle. A file without edits travels on as one piece; an edited
+    file becomes its lines plus its blocks. A line is dropped when an edit's ``lo..hi``
+    covers it: a running maximum of "covered up to" over the file's pieces in line order
+    decides that. Blocks go before line ``lo``; blocks on the same line are stacked with the
+    later ``seq`` on top, as repeated insertion at one index does. The ordered window and
+    the regrouping both reuse the join's partitioning by file, and each input is read once.
     """
     keys = list(keys)
-    edited_keys = edits.select(*keys).distinct()
-    untouched = files.join(edited_keys, keys, "left_anti").select(*keys, text_col)
-    touched = files.join(edited_keys, keys, "left_semi")
-    lines = line_table(touched, keys, text_col, normalize)
-    ev_lines = lines.select(*keys, "ln", F.lit(1).alias("_kind"), F.lit(None).cast("int").alias("_to"),
-                            F.col("line").alias("_txt"), F.lit(None).cast("long").alias("_seq"))
     # A block element is the block text without its last newline: joining adds it back.
     blk = F.regexp_replace("block", "\n\\z", "")
-    ev_edits = edits.select(*keys, F.col("lo").cast("int").alias("ln"), F.lit(0).alias("_kind"),
-                            F.coalesce(F.col("hi"), F.col("lo") - 1).cast("int").alias("_to"),
-                            blk.alias("_txt"), F.col(seq_col).cast("long").alias("_seq"))
-    w = (Window.partitionBy(*keys).orderBy("ln", "_kind")
+    grouped = (edits.groupBy(*keys)
+                    .agg(F.collect_list(F.struct(
+                        F.col("lo").cast("int").alias("ln"), F.lit(0).alias("kind"),
+                        F.coalesce(F.col("hi"), F.col("lo") - 1).cast("int").alias("to"),
+                        blk.alias("txt"), F.col(seq_col).cast("long").alias("seq")))
+                         .alias("_eds")))
+    text = tx.normalize_newlines(text_col) if normalize else F.col(text_col)
+    piece_of_line = lambda x, i: F.struct(
+        (i + 1).cast("int").alias("ln"), F.lit(1).alias("kind"),
+        F.lit(None).cast("int").alias("to"), x.alias("txt"), F.lit(None).cast("long").alias("seq"))
+    whole = F.array(F.struct(F.lit(0).alias("ln"), F.lit(1).alias("kind"),
+                             F.lit(None).cast("int").alias("to"), F.col(text_col).alias("txt"),
+                             F.lit(None).cast("long").alias("seq")))
+    pieces = F.when(F.col("_eds").isNull(), whole).otherwise(
+        F.concat(F.transform(tx.split_lines(text), piece_of_line), F.col("_eds")))
+    ev = (files.select(*keys, text_col).join(grouped, keys, "left")
+               .select(*keys, F.explode(pieces).alias("p"))
+               .select(*keys, "p.*"))
+    w = (Window.partitionBy(*keys).orderBy("ln", "kind")
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ev = (ev_lines.unionByName(ev_edits)
-                  .withColumn("_cover", F.max("_to").over(w))
-                  .where((F.col("_kind") == 0) | F.col("_cover").isNull()
-                         | (F.col("_cover") < F.col("ln"))))
-    piece = F.struct(F.col("ln"), F.col("_kind"), (-F.coalesce("_seq", F.lit(0))).alias("_o"),
-                     F.col("_txt").alias("v"))
-    rebuilt = (ev.groupBy(*keys)
-                 .agg(F.array_join(F.transform(F.array_sort(F.collect_list(piece)),
-                                               lambda x: x["v"]), "\n").alias(text_col)))
-    return rebuilt.unionByName(untouched)
+    kept = (ev.withColumn("_cover", F.max("to").over(w))
+              .where((F.col("kind") == 0) | F.col("_cover").isNull() | (F.col("_cover") < F.col("ln"))))
+    piece = F.struct(F.col("ln"), F.col("kind"), (-F.coalesce("seq", F.lit(0))).alias("_o"),
+                     F.col("txt").alias("v"))
+    return (kept.groupBy(*keys)
+                .agg(F.array_join(F.transform(F.array_sort(F.collect_list(piece)),
+                                              lambda x: x["v"]), "\n").alias(text_col)))
