@@ -11,6 +11,16 @@ chunk in id order:
         [osp.join("a")        if line_number % 4 = 1  -> resolves to os.path.join]
         [print(len("a"))      if line_number % 4 = 2  -> builtins, dropped]
 
+A chunk of type ``method`` becomes a method of its own class instead, with the same body
+one level deeper; when ``line_number % 10 = 0`` the class first gets an ``__init__`` (which
+is folded into the class chunk, so the class calls ``setup``):
+
+    class K<id>:
+        [def __init__(self):
+            setup()]
+        def part_<id>(self):
+            ...
+
 Files whose ``id div 100`` ends in 9 get a broken last line and must be rejected.
 Extraction over this corpus must give back the CG edges exactly.
 """
@@ -49,8 +59,17 @@ def sc_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = (F.when(F.col("line_number") % 4 == 1, F.array(F.lit(IND + 'osp.join("a")')))
              .when(F.col("line_number") % 4 == 2, F.array(F.lit(IND + 'print(len("a"))')))
              .otherwise(F.array().cast("array<string>")))
-    lines = F.concat(F.array(F.concat(F.lit("def "), F.col("name"), F.lit("():"))),
-                     doc_lines, call_lines, extra)
+    inner = F.concat(doc_lines, call_lines, extra)
+    fn_lines = F.concat(F.array(F.concat(F.lit("def "), F.col("name"), F.lit("():"))), inner)
+    has_init = F.col("line_number") % 10 == 0
+    init_lines = F.when(has_init, F.array(F.lit(IND + "def __init__(self):"),
+                                          F.lit(IND + IND + "setup()"))
+                        ).otherwise(F.array().cast("array<string>"))
+    method_lines = F.concat(
+        F.array(F.concat(F.lit("class K"), F.col("id").cast("string"), F.lit(":"))), init_lines,
+        F.array(F.concat(F.lit(IND + "def "), F.col("name"), F.lit("(self):"))),
+        F.transform(inner, lambda x: F.concat(F.lit(IND), x)))
+    lines = F.when(F.col("type") == "method", method_lines).otherwise(fn_lines)
     return c.select("id", "name", sc_path.alias("sc_path"), file_no.alias("file_no"),
                     "docstring", "line_number", "calls", lines.alias("lines"))
 
@@ -177,7 +196,7 @@ def q_split_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_sc_edges_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extraction then X3 over the corpus: must equal the CG edges (plus resolved imports)."""
-    good = extract.good_chunks(_raw(spark, sf_dir)).where(F.col("name") != "setup")
+    good = extract.good_chunks(_raw(spark, sf_dir)).where(F.col("name").startswith("part_"))
     ids = good.select(F.regexp_extract("name", r"^part_(\d+)$", 1).cast("long").alias("id"),
                       "calls")
     return graph.build_edges(ids)

@@ -151,32 +151,50 @@ SC = CG + """,
 cg_calls AS (SELECT caller_id, list_sort(list(callee)) AS calls FROM cg_edges GROUP BY caller_id),
 sc_blocks AS (
   SELECT c.id, c.name, c.docstring, c.line_number,
+         c.type = 'method' AS is_method,
+         c.type = 'method' AND c.line_number % 10 = 0 AS has_init,
          COALESCE(k.calls, CAST([] AS VARCHAR[])) AS calls,
          c.id // 100 AS file_no,
          regexp_replace(c.path, '\\.py$', '') || '_' || CAST(c.id // 100 AS VARCHAR) || '.py' AS sc_path
   FROM cg_chunks c LEFT JOIN cg_calls k ON k.caller_id = c.id),
-sc_lines AS (
+sc_inner AS (
   SELECT *,
-    list_concat(list_concat(list_concat(
-      ['def ' || name || '():'],
+    list_concat(list_concat(
       CASE WHEN docstring IS NULL THEN CAST([] AS VARCHAR[])
            WHEN line_number % 2 = 0 THEN ['    \"\"\"' || docstring || '\"\"\"']
-           ELSE ['    \"\"\"', '    ' || docstring, '    \"\"\"'] END),
+           ELSE ['    \"\"\"', '    ' || docstring, '    \"\"\"'] END,
       CASE WHEN len(calls) = 0 THEN ['    pass']
            ELSE list_transform(calls, lambda x: '    ' || x || '()') END),
       CASE WHEN line_number % 4 = 1 THEN ['    osp.join("a")']
            WHEN line_number % 4 = 2 THEN ['    print(len("a"))']
-           ELSE CAST([] AS VARCHAR[]) END) AS lines,
+           ELSE CAST([] AS VARCHAR[]) END) AS body_lines,
+    CASE WHEN docstring IS NULL THEN 0 WHEN line_number % 2 = 0 THEN 1 ELSE 3 END AS n_doc,
     list_sort(list_concat(calls, CASE WHEN line_number % 4 = 1 THEN ['os.path.join']
-                                      ELSE CAST([] AS VARCHAR[]) END)) AS calls_full
+                                      ELSE CAST([] AS VARCHAR[]) END)) AS calls_full,
+    CASE WHEN has_init THEN ['    def __init__(self):', '        setup()']
+         ELSE CAST([] AS VARCHAR[]) END AS init_lines
   FROM sc_blocks),
+sc_lines AS (
+  SELECT *,
+    CASE WHEN is_method
+         THEN list_concat(list_concat(list_concat(
+                ['class K' || CAST(id AS VARCHAR) || ':'], init_lines),
+                ['    def ' || name || '(self):']),
+                list_transform(body_lines, lambda x: '    ' || x))
+         ELSE list_concat(['def ' || name || '():'], body_lines) END AS lines,
+    CASE WHEN is_method THEN 2 ELSE 1 END AS n_chunks
+  FROM sc_inner),
 sc_pos AS (
   SELECT *,
-    4 + COALESCE(SUM(len(lines)) OVER (PARTITION BY sc_path ORDER BY id
-                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS def_line,
-    row_number() OVER (PARTITION BY sc_path ORDER BY id) AS chunk_no
-  FROM sc_lines),
-sc_good AS (SELECT * FROM sc_pos WHERE file_no % 10 <> 9),
+    4 + COALESCE(SUM(len(lines)) OVER w_prev, 0) AS block_line,
+    1 + COALESCE(SUM(n_chunks) OVER w_prev, 0) AS chunk_base
+  FROM sc_lines
+  WINDOW w_prev AS (PARTITION BY sc_path ORDER BY id
+                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+sc_good AS (
+  SELECT *, block_line + CASE WHEN NOT is_method THEN 0 WHEN has_init THEN 3 ELSE 1 END
+              AS def_line
+  FROM sc_pos WHERE file_no % 10 <> 9),
 sc_expected AS (
   SELECT DISTINCT sc_path AS path, CAST(0 AS BIGINT) AS chunk_no, 'setup' AS name,
          'function' AS type, CAST(NULL AS VARCHAR) AS parent_class,
@@ -185,10 +203,26 @@ sc_expected AS (
          CAST([] AS VARCHAR[]) AS calls
   FROM sc_good
   UNION ALL
-  SELECT sc_path, CAST(chunk_no AS BIGINT), name, 'function', CAST(NULL AS VARCHAR),
+  SELECT sc_path, CAST(chunk_base AS BIGINT), name, 'function', CAST(NULL AS VARCHAR),
          CAST(def_line AS INTEGER), CAST(def_line + 1 AS INTEGER), docstring,
          array_to_string(lines, chr(10)), calls_full
-  FROM sc_good),
+  FROM sc_good WHERE NOT is_method
+  UNION ALL
+  SELECT sc_path, CAST(chunk_base AS BIGINT), 'K' || CAST(id AS VARCHAR), 'class_definition',
+         CAST(NULL AS VARCHAR), CAST(block_line AS INTEGER), CAST(block_line + 1 AS INTEGER),
+         CAST(NULL AS VARCHAR),
+         'class K' || CAST(id AS VARCHAR) || ':' || chr(10)
+           || CASE WHEN has_init THEN '    def __init__(self):' || chr(10) || '        setup()'
+                                      || chr(10) ELSE '' END,
+         CASE WHEN has_init THEN ['setup'] ELSE CAST([] AS VARCHAR[]) END
+  FROM sc_good WHERE is_method
+  UNION ALL
+  SELECT sc_path, CAST(chunk_base + 1 AS BIGINT), name, 'method', 'K' || CAST(id AS VARCHAR),
+         CAST(def_line AS INTEGER), CAST(def_line + 1 AS INTEGER), docstring,
+         'def ' || name || '(self):' || chr(10)
+           || array_to_string(list_transform(body_lines, lambda x: '    ' || x), chr(10)),
+         calls_full
+  FROM sc_good WHERE is_method),
 sc_index AS (
   SELECT CAST(row_number() OVER (ORDER BY path, chunk_no) AS BIGINT) AS id, *
   FROM (SELECT * FROM sc_expected
@@ -321,18 +355,19 @@ sc_file AS (
            || CASE WHEN file_no % 10 = 9 THEN 'def broken(:' || chr(10) ELSE '' END AS content
   FROM sc_lines GROUP BY sc_path, file_no),
 sc_bounds AS (
-  SELECT sc_path AS path, name, CAST(def_line + 1 AS INTEGER) AS body_start_line,
-         CAST(CASE WHEN docstring IS NOT NULL THEN def_line + 1 END AS INTEGER) AS doc_start,
+  SELECT DISTINCT sc_path AS path, 'setup' AS name, CAST(3 AS INTEGER) AS body_start_line,
+         CAST(NULL AS INTEGER) AS doc_start, CAST(NULL AS INTEGER) AS doc_end
+  FROM sc_good
+  UNION ALL
+  SELECT sc_path, name, CAST(def_line + 1 AS INTEGER),
+         CAST(CASE WHEN docstring IS NOT NULL THEN def_line + 1 END AS INTEGER),
          CAST(CASE WHEN docstring IS NULL THEN NULL
                    WHEN line_number % 2 = 0 THEN def_line + 1 ELSE def_line + 3 END AS INTEGER)
-           AS doc_end,
-         id, lines, calls_full,
-         CASE WHEN docstring IS NULL THEN 0 WHEN line_number % 2 = 0 THEN 1 ELSE 3 END AS n_doc
   FROM sc_good
   UNION ALL
-  SELECT DISTINCT sc_path, 'setup', CAST(3 AS INTEGER), CAST(NULL AS INTEGER),
-         CAST(NULL AS INTEGER), -1, ['def setup():', '    pass'], CAST([] AS VARCHAR[]), 0
-  FROM sc_good)
+  SELECT sc_path, 'K' || CAST(id AS VARCHAR), CAST(block_line + 1 AS INTEGER),
+         CAST(NULL AS INTEGER), CAST(NULL AS INTEGER)
+  FROM sc_good WHERE is_method)
 """
 
 ORACLES["line_indent"] = SC_FILES + """,
@@ -352,19 +387,38 @@ SELECT path, CAST(COUNT(*) AS BIGINT) AS n_edits,
                   || COALESCE(CAST(doc_end AS VARCHAR), ''), ',' ORDER BY body_start_line) AS spans
 FROM sc_bounds GROUP BY path"""
 
+
+def _new_block(name: str, calls_text: str, ind: str) -> str:
+    """The lines of a freshly written docstring block (ending with the empty line)."""
+    return ("[" + ind + " || '    \"\"\"', " + ind + " || '    Summary of ' || " + name
+            + " || '.', " + ind + " || '    ', " + ind + " || '    Calls: ' || " + calls_text
+            + ", " + ind + " || '    \"\"\"', '']")
+
+
 ORACLES["apply_edits"] = SC_FILES + """,
 rewritten AS (
-  SELECT path, id,
-         list_concat(list_concat([lines[1]],
-           ['    \"\"\"', '    Summary of ' || name || '.', '    ',
-            '    Calls: ' || array_to_string(calls_full, ', '), '    \"\"\"', '']),
-           lines[2 + n_doc:]) AS new_lines
-  FROM sc_bounds),
+  SELECT sc_path AS path, id,
+         CASE WHEN NOT is_method THEN
+           list_concat(list_concat([lines[1]],
+             """ + _new_block("name", "array_to_string(calls_full, ', ')", "''") + """),
+             lines[2 + n_doc:])
+         ELSE
+           list_concat(list_concat(list_concat(list_concat(list_concat(
+             ['class K' || CAST(id AS VARCHAR) || ':'],
+             """ + _new_block("'K' || CAST(id AS VARCHAR)",
+                              "CASE WHEN has_init THEN 'setup' ELSE '' END", "''") + """),
+             init_lines),
+             ['    def ' || name || '(self):']),
+             """ + _new_block("name", "array_to_string(calls_full, ', ')", "'    '") + """),
+             list_transform(body_lines[n_doc + 1:], lambda x: '    ' || x))
+         END AS new_lines
+  FROM sc_good),
 good_files AS (
   SELECT path,
-         array_to_string(list_concat(['import os.path as osp'],
-                                     flatten(list(new_lines ORDER BY id))), chr(10)) || chr(10)
-           AS content
+         array_to_string(list_concat(list_concat(list_concat(
+           ['import os.path as osp', 'def setup():'],
+           """ + _new_block("'setup'", "''", "''") + """), ['    pass']),
+           flatten(list(new_lines ORDER BY id))), chr(10)) || chr(10) AS content
   FROM rewritten GROUP BY path)
 SELECT path, content FROM good_files
 UNION ALL
