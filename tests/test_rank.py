@@ -91,3 +91,36 @@ def test_plan_has_partial_group_limit(spark):
     # Adaptive plans print the initial plan; the group limit appears before and after the
     # exchange.
     assert plan.count("WindowGroupLimit") >= 2
+
+
+def test_hub_called_by_a_third_of_all_chunks(spark):
+    """One name is called by a third of the chunks: its target still gets exactly the top
+    four callers, and every caller ranks the hub among its callees."""
+    from pyspark.sql import functions as F
+    n = 9000
+    base = spark.range(1, n + 1).select(
+        F.col("id"),
+        F.when(F.col("id") == 1, F.lit("hub")).otherwise(F.concat(F.lit("f"), F.col("id").cast("string"))).alias("name"),
+        F.concat(F.when(F.col("id") % 2 == 0, F.lit("tests/")).otherwise(F.lit("src/")),
+                 (F.col("id") % 50).cast("string"), F.lit(".py")).alias("path"),
+        F.lit("function").alias("type"), F.lit("body").alias("content"),
+        F.lit(None).cast("string").alias("parent_class"), F.lit(1).alias("line_number"),
+        F.lit(None).cast("int").alias("body_start_line"),
+        F.when(F.col("id") % 3 == 0, F.lit("doc")).alias("docstring"),
+        F.when(F.col("id") == 1, F.array().cast("array<string>"))
+         .when(F.col("id") % 3 == 1, F.array(F.lit("hub"))).otherwise(
+            F.array(F.concat(F.lit("f"), ((F.col("id") % (n - 1)) + 2).cast("string")))).alias("calls"))
+    chunks = base.select(*[F.col(f.name).cast(f.dataType) for f in CHUNKS.fields])
+    edges = graph.build_edges(chunks)
+    ranked = rank.rank_context(chunks, edges)
+    hub = sorted((r for r in ranked.where("target_id = 1").collect()), key=lambda r: r.pos)
+    callers = [r.id for r in chunks.where(F.array_contains("calls", "hub") & (F.col("id") != 1)).collect()]
+    assert len(callers) == n // 3 - 1
+    # expected: test paths first, then other files, then name descending
+    rows = {r.id: r for r in chunks.select("id", "name", "path").collect()}
+    want = sorted(callers, key=lambda i: ("test" in rows[i].path, rows[i].path != rows[1].path,
+                                          rows[i].name), reverse=True)[:4]
+    assert [r.cand_id for r in hub] == want
+    per_target = {r.target_id for r in ranked.where("cand_name = 'hub'").collect()}
+    undocumented_callers = {i for i in callers if i % 3 != 0}
+    assert per_target == undocumented_callers
