@@ -95,12 +95,20 @@ def block_bounds(lines: DataFrame, requests: DataFrame, keys: Sequence[str],
 
 
 def edit_rows(bounded: DataFrame, doc_col: str, indent_col: str = "func_indent",
-              start_col: str = "body_start_line") -> DataFrame:
+              start_col: str = "body_start_line", def_col: str = "line_number") -> DataFrame:
     """L2: insert at the old block's start if there is one, else at the body's first line;
-    the old block (if any) is removed; the new block is H4 of the new docstring."""
-    return (bounded.withColumn("lo", F.coalesce("doc_start", start_col).cast("int"))
-                   .withColumn("hi", F.col("doc_end").cast("int"))
-                   .withColumn("block", tx.format_block(F.col(doc_col), F.col(indent_col))))
+    the old block (if any) is removed; the new block is H4 of the new docstring.
+
+    ``warn_one_line`` marks definitions whose body starts on the ``def`` line itself
+    (``def f(): pass``): the block is placed by the same arithmetic, which puts it above the
+    definition, so such rows are worth a look before the files are written.
+    """
+    out = (bounded.withColumn("lo", F.coalesce("doc_start", start_col).cast("int"))
+                  .withColumn("hi", F.col("doc_end").cast("int"))
+                  .withColumn("block", tx.format_block(F.col(doc_col), F.col(indent_col))))
+    if def_col in bounded.columns:
+        out = out.withColumn("warn_one_line", F.col(start_col) <= F.col(def_col))
+    return out
 
 
 def edits_per_key(edits: DataFrame, keys: Sequence[str]) -> DataFrame:

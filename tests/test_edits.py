@@ -124,3 +124,10 @@ def test_edit_rows_insert_point(spark):
     rows = edits.edit_rows(df, "new_doc").collect()
     assert [(r.lo, r.hi) for r in rows] == [(3, 3), (5, None)]
     assert rows[1].block == '        """\n        Doc\n        """\n\n'
+
+
+def test_one_line_definition_is_flagged(spark):
+    df = spark.createDataFrame([(3, 3, None, None, "Doc", ""), (5, 6, None, None, "Doc", "")],
+                               "line_number int, body_start_line int, doc_start int, doc_end int, "
+                               "new_doc string, func_indent string")
+    assert [r.warn_one_line for r in edits.edit_rows(df, "new_doc").collect()] == [True, False]

@@ -144,3 +144,19 @@ def test_first_definition_of_a_name_wins(spark):
                                   "path string, content string")
     chunks = build_index(files).chunks.collect()
     assert [(r.name, r.path, r.id) for r in chunks] == [("f", "a.py", 1)]
+
+
+def test_imports_apply_only_after_they_are_seen(spark):
+    src = "def early():\n    np.zeros(1)\n\nimport numpy as np\n\ndef late():\n    np.zeros(1)\n"
+    rows = {r.name: r.calls for r in run(spark, {"m.py": src})}
+    assert rows == {"early": ["np.zeros"], "late": ["numpy.zeros"]}
+
+
+def test_one_line_def_and_decorated_class_slice(spark):
+    src = ("def f(): pass\n\nclass A:\n    x = 1\n    @staticmethod\n    def s():\n"
+           "        return g()\n")
+    rows = {r.name: r for r in run(spark, {"m.py": src})}
+    assert rows["f"].body_start_line == rows["f"].line_number == 1
+    # the class text runs to the line before the def, so it holds the method's decorator
+    assert rows["A"].content == "class A:\n    x = 1\n    @staticmethod\n"
+    assert rows["s"].content.startswith("def s():") and rows["s"].calls == ["g"]
