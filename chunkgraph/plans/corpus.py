@@ -79,11 +79,15 @@ def sc_files(spark: SparkSession, sf_dir: str, broken: bool = True,
     """``files(path, content)``; each group holds at most 100 blocks.
 
     The corpus is stored once (reliable checkpoint in the session's checkpoint folder), as
-    a source table would be, and spread over ``2 x`` the default parallelism: it is tiny
-    in bytes, so adaptive coalescing would otherwise hand the CPU-heavy extraction of
-    every file to one or two tasks.
+    a source table would be, in ``2 x`` the default parallelism partitions: it is tiny in
+    bytes, so adaptive coalescing would otherwise hand the CPU-heavy extraction of every
+    file to one or two tasks.
     """
     b = sc_blocks(spark, sf_dir)
+    if materialize:
+        # One shuffle: a user-numbered hash partitioning by file is kept as it is by adaptive
+        # execution, and it already satisfies the grouping below.
+        b = b.repartition(spark.sparkContext.defaultParallelism * 2, "sc_path")
     grouped = (b.groupBy("sc_path", "file_no")
                 .agg(F.collect_list(F.struct(F.col("id").alias("k"),
                                              F.array_join("lines", "\n").alias("v")))
@@ -98,8 +102,7 @@ def sc_files(spark: SparkSession, sf_dir: str, broken: bool = True,
     if not materialize:
         return files
     ensure_checkpoint_dir(spark)
-    n = spark.sparkContext.defaultParallelism * 2
-    return files.repartition(n).checkpoint(eager=True)
+    return files.checkpoint(eager=True)
 
 
 def _raw(spark, sf_dir):
