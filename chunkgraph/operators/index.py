@@ -23,11 +23,18 @@ def first_wins(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Data
     keys = list(keys)
     rest = [c for c in df.columns if c not in keys]
     order_key = F.struct(*[F.col(c) for c in order])
-    out = (df.groupBy(*keys)
+    out = (df.groupBy(_key_hash(keys), *keys)
              .agg(F.min_by(F.struct(*[F.col(c) for c in rest]), order_key).alias("_row")))
     return out.select(*keys, *[F.col("_row")[c].alias(c) for c in rest]).select(*df.columns)
 
 
+def _key_hash(keys: Sequence[str]):
+    """A 64-bit hash of the key, grouped/joined on *before* the key itself: the sort-based
+    aggregate and the sort-merge join then compare longs almost always instead of long
+    texts. Equality is still decided by the key columns, so collisions cannot merge keys."""
+    return F.xxhash64(*[F.col(k) for k in keys]).alias("_kh")
+
+
 def first_wins_flags(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                      flag: str = "is_new") -> DataFrame:
     """Every input row with ``flag`` = "this row created the key" (get-or-create's bool).
@@ -38,16 +45,17 @@ def first_wins_flags(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     """
     keys = list(keys)
     order_key = F.struct(*[F.col(c) for c in order])
-    firsts = (df.groupBy(*keys).agg(F.min(order_key).alias("_first"))
-                .select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_first"))
+    rows = df.withColumn("_kh", _key_hash(keys))
+    firsts = (rows.groupBy("_kh", *keys).agg(F.min(order_key).alias("_first"))
+                  .select(F.col("_kh").alias("_k_kh"),
+                          *[F.col(k).alias(f"_k_{k}") for k in keys], "_first"))
     # Null-safe: a null key is one group, as in the aggregate.
-    cond = None
+    cond = rows["_kh"] == firsts["_k_kh"]
     for k in keys:
-        term = df[k].eqNullSafe(firsts[f"_k_{k}"])
-        cond = term if cond is None else cond & term
-    return (df.join(firsts, cond)
-              .withColumn(flag, F.struct(*[F.col(c) for c in order]) == F.col("_first"))
-              .drop("_first", *[f"_k_{k}" for k in keys]))
+        cond = cond & rows[k].eqNullSafe(firsts[f"_k_{k}"])
+    return (rows.join(firsts, cond)
+                .withColumn(flag, F.struct(*[F.col(c) for c in order]) == F.col("_first"))
+                .drop("_kh", "_k_kh", "_first", *[f"_k_{k}" for k in keys]))
 
 
 def dense_ids(df: DataFrame, order: Sequence[str], out_col: str = "id", start: int = 1,
