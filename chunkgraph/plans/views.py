@@ -15,14 +15,18 @@ from pyspark.sql import functions as F
 from chunkgraph.sources.tables import read_table
 
 
-def cg_edges_num(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct (a, b) part pairs where b follows a inside one order."""
+def _successions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(a, b) for every pair of consecutive line items of an order (with repeats)."""
     li = read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
     return (li.select(F.col("l_partkey").alias("a"), F.lead("l_partkey").over(w).alias("b"))
-              .where(F.col("b").isNotNull())
-              .distinct())
+              .where(F.col("b").isNotNull()))
+
+
+def cg_edges_num(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct (a, b) part pairs where b follows a inside one order."""
+    return _successions(spark, sf_dir).distinct()
 
 
 def part_name(col) -> F.Column:
@@ -55,9 +59,10 @@ def cg_chunks(spark: SparkSession, sf_dir: str, with_calls: bool = False) -> Dat
     )
     if not with_calls:
         return chunks
-    calls = (cg_edges(spark, sf_dir)
-             .groupBy("caller_id")
-             .agg(F.sort_array(F.collect_list("callee")).alias("calls")))
+    # collect_set deduplicates map-side, so the pairs need no separate distinct shuffle.
+    calls = (_successions(spark, sf_dir)
+             .groupBy(F.col("a").alias("caller_id"))
+             .agg(F.sort_array(F.collect_set(part_name(F.col("b")))).alias("calls")))
     return (chunks.join(calls, chunks.id == calls.caller_id, "left")
                   .drop("caller_id")
                   .withColumn("calls", F.coalesce("calls", F.array().cast("array<string>"))))
