@@ -156,13 +156,26 @@ def extract_source(path: str, content: str | None) -> list[dict]:
     return [dict(row, path=path, chunk_no=i) for i, row in enumerate(collector.rows)]
 
 
+# Output batches are flushed by size, so memory stays bounded however many files an input
+# batch holds (``spark.sql.execution.arrow.maxRecordsPerBatch`` sets the input side).
+_FLUSH_ROWS = 2048
+_FLUSH_CHARS = 32 << 20
+
+
 def _extract_batches(batches):
+    rows: list[dict] = []
+    chars = 0
     for batch in batches:
         paths = batch.column("path").to_pylist()
         contents = batch.column("content").to_pylist()
-        rows: list[dict] = []
         for path, content in zip(paths, contents):
-            rows.extend(extract_source(path, content))
+            out = extract_source(path, content)
+            rows.extend(out)
+            chars += sum(len(r.get("content") or "") for r in out)
+            if len(rows) >= _FLUSH_ROWS or chars >= _FLUSH_CHARS:
+                yield pa.RecordBatch.from_pylist(rows, schema=_ARROW_SCHEMA)
+                rows, chars = [], 0
+    if rows:
         yield pa.RecordBatch.from_pylist(rows, schema=_ARROW_SCHEMA)
 
 
