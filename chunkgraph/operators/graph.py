@@ -73,36 +73,60 @@ def out_degree(chunks: DataFrame, edges: DataFrame) -> DataFrame:
                           F.coalesce("n_resolved", F.lit(0)).cast("long").alias("n_resolved")))
 
 
-def context_candidates(chunks: DataFrame, edges: DataFrame, targets: DataFrame) -> DataFrame:
+def resolved_edges(chunks: DataFrame, edges: DataFrame) -> DataFrame:
+    """Edges whose callee names a chunk, with both endpoints' ``id, name, path, docstring``.
+
+    Two joins: edges by callee name against chunks by name (a hub name is one chunk row
+    against many edge rows - the skew-split shape), then by caller id against chunks by id.
+    """
+    def side(prefix):
+        return chunks.select(F.col("id").alias(f"{prefix}_id"), F.col("name").alias(f"{prefix}_name"),
+                             F.col("path").alias(f"{prefix}_path"),
+                             F.col("docstring").alias(f"{prefix}_doc"))
+    callee, caller = side("callee"), side("caller")
+    e = edges.select(F.col("caller_id").alias("_caller"), F.col("callee").alias("_callee"))
+    return (e.join(callee, e["_callee"] == callee["callee_name"])
+             .join(caller, e["_caller"] == caller["caller_id"])
+             .drop("_caller", "_callee"))
+
+
+def context_candidates(chunks: DataFrame, edges: DataFrame,
+                       targets: DataFrame | None = None) -> DataFrame:
     """J7 before ranking: U1 + A3 + J6 for every target in one plan.
 
     Candidates of a target are its callees (J1) and its callers (J2); a chunk that is
     both appears once, in the callee bucket (``dep = 1``), because bucket membership is
     "candidate name is in the target's call list" and every callee edge comes from that
-    list. Dedup is a partial + final aggregate on the ``(target, candidate)`` pair, which
-    hashes evenly even when one target has a huge number of callers.
+    list.
 
-    ``targets`` needs ``id, name, path``. Output: ``target_id, target_path, cand_id,
+    Each resolved edge is read once and emits two rows - (caller as target, callee as
+    candidate, dep 1) and (callee as target, caller as candidate, dep 0) - so neither side
+    of the graph is joined twice. Dedup is a partial + final aggregate on the
+    ``(target, candidate)`` pair, which hashes evenly even when one target has a huge
+    number of callers.
+
+    ``targets``: ``None`` = every undocumented chunk (filtered in place, no join); otherwise
+    a frame with an ``id`` column (semi-joined). Output: ``target_id, target_path, cand_id,
     cand_name, cand_path, cand_doc, dep``.
     """
-    t = targets.select(F.col("id").alias("target_id"), F.col("name").alias("target_name"),
-                       F.col("path").alias("target_path"))
-    c = chunks.select(F.col("id").alias("cand_id"), F.col("name").alias("cand_name"),
-                      F.col("path").alias("cand_path"), F.col("docstring").alias("cand_doc"))
-    e = edges.select("caller_id", "callee")
-    names = c.select("cand_id", "cand_name")
-    callees = (t.join(e, t.target_id == e.caller_id)
-                .join(names, e.callee == names.cand_name)
-                .select("target_id", "target_path", "cand_id", F.lit(1).alias("dep")))
-    # The caller id already is the candidate id (edges are built from chunks).
-    callers = (t.join(e, t.target_name == e.callee)
-                .select("target_id", "target_path", F.col("caller_id").alias("cand_id"),
-                        F.lit(0).alias("dep")))
-    # target_path depends on target_id only; grouping on it keeps this a hash aggregate.
-    pairs = (callees.unionByName(callers)
-                    .groupBy("target_id", "target_path", "cand_id")
-                    .agg(F.max("dep").alias("dep")))
-    # Candidate attributes are attached once per distinct pair, after the dedup.
-    return (pairs.join(c, "cand_id")
-                 .select("target_id", "target_path", "cand_id", "cand_name", "cand_path",
-                         "cand_doc", "dep"))
+    r = resolved_edges(chunks, edges)
+
+    def row(t, c, dep):
+        return F.struct(F.col(f"{t}_id").alias("target_id"), F.col(f"{t}_path").alias("target_path"),
+                        F.col(f"{t}_doc").alias("target_doc"), F.col(f"{c}_id").alias("cand_id"),
+                        F.col(f"{c}_name").alias("cand_name"), F.col(f"{c}_path").alias("cand_path"),
+                        F.col(f"{c}_doc").alias("cand_doc"), F.lit(dep).alias("dep"))
+
+    both = r.select(F.explode(F.array(row("caller", "callee", 1), row("callee", "caller", 0)))
+                    .alias("x")).select("x.*")
+    if targets is None:
+        both = both.where(F.col("target_doc").isNull())
+    else:
+        both = both.join(targets.select(F.col("id").alias("target_id")), "target_id", "left_semi")
+    # Candidate attributes depend on cand_id alone; keeping them as grouping keys avoids a
+    # join back to the chunk table after the dedup.
+    return (both.groupBy("target_id", "target_path", "cand_id", "cand_name", "cand_path",
+                         "cand_doc")
+                .agg(F.max("dep").alias("dep"))
+                .select("target_id", "target_path", "cand_id", "cand_name", "cand_path",
+                        "cand_doc", "dep"))

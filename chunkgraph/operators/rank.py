@@ -78,8 +78,6 @@ def rank_context(chunks: DataFrame, edges: DataFrame, targets: DataFrame | None
                  top_n: int = 10, dependency_ratio: float = 0.6,
                  doc_state: str = "sequential") -> DataFrame:
     """Ranked context rows for every target (default: every undocumented chunk)."""
-    if targets is None:
-        targets = undocumented_targets(chunks)
     cands = context_candidates(chunks, edges, targets)
     return rank_candidates(cands, top_n, dependency_ratio, doc_state)
 

@@ -65,7 +65,7 @@ def q_out_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_context_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks, edges = _cg(spark, sf_dir)
-    cands = graph.context_candidates(chunks, edges, rank.undocumented_targets(chunks))
+    cands = graph.context_candidates(chunks, edges)
     return cands.select("target_id", "cand_id", F.col("dep").cast("int").alias("dep"))
 
 
@@ -89,9 +89,8 @@ def q_context_string(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks, edges = _cg(spark, sf_dir)
-    targets = rank.undocumented_targets(chunks)
-    rows = rank.context_rows(rank.rank_context(chunks, edges, targets), chunks)
-    return rank.prompts(targets, rank.context_strings(rows))
+    rows = rank.context_rows(rank.rank_context(chunks, edges), chunks)
+    return rank.prompts(rank.undocumented_targets(chunks), rank.context_strings(rows))
 
 
 def q_chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
