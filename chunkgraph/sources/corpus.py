@@ -84,3 +84,31 @@ def corpus_shape(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).cast("long").alias("n_rows")).select(
         "n_rows", F.lit(len(df.columns)).cast("long").alias("n_cols"),
         F.lit(",".join(df.columns)).alias("columns"))
+
+
+def _write_rows(root: str):
+    def write(rows):
+        for row in rows:
+            rel = os.path.normpath(row["path"])
+            if rel.startswith("..") or os.path.isabs(rel):
+                raise ValueError(f"path escapes the output root: {row['path']!r}")
+            target = os.path.join(root, rel)
+            os.makedirs(os.path.dirname(target) or root, exist_ok=True)
+            tmp = f"{target}.tmp-{os.getpid()}"
+            with open(tmp, "w", encoding="utf-8", newline="") as fh:
+                fh.write(row["content"] or "")
+            os.replace(tmp, target)
+    return write
+
+
+def write_directory(files: DataFrame, root: str, path_col: str = "path",
+                    content_col: str = "content") -> None:
+    """S9 as a sink: every row of ``files`` becomes ``root/<path>`` on a shared filesystem.
+
+    Sources are never rewritten in place - ``root`` is a new tree. Each file is written to a
+    temporary name and renamed, so a retried task (lost executor) rewrites the same bytes;
+    paths that would leave ``root`` are refused.
+    """
+    os.makedirs(root, exist_ok=True)
+    (files.select(F.col(path_col).alias("path"), F.col(content_col).alias("content"))
+          .foreachPartition(_write_rows(os.path.abspath(root))))

@@ -95,3 +95,16 @@ def test_top_contexts_bounded(spark):
     got = {r.conv: r.contexts for r in evalset.top_contexts(turns, "conv", "turn", "text", 10).collect()}
     assert got[0] == [str(i) for i in range(0, 20, 2)]
     assert len(got[1]) == 10
+
+
+def test_write_directory_roundtrip(spark, tmpdir_path):
+    files = spark.createDataFrame([("pkg/__init__.py", ""), ("pkg/a.py", "def a():\n    pass\n"),
+                                   ("b.py", 'def b():\n    """Doc."""\n')],
+                                  "path string, content string")
+    out = os.path.join(tmpdir_path, "out")
+    corpus.write_directory(files, out)
+    back = {r.path: r.content for r in corpus.scan_directory(spark, out).collect()}
+    assert back == {r.path: r.content for r in files.collect()}
+    bad = spark.createDataFrame([("../x.py", "x")], "path string, content string")
+    with pytest.raises(Exception):
+        corpus.write_directory(bad, out)
