@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chunkgraph.functions import text as tx
-from chunkgraph.operators import edits, extract
+from chunkgraph.operators import edits, extract, rank
 from chunkgraph.plans.corpus import sc_files
+from chunkgraph.plans.index_build import build_index
+from chunkgraph.plans.rewrite import rewrite_corpus
 from chunkgraph.sources.tables import read_table
 
 
@@ -108,6 +110,20 @@ def q_apply_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edits.apply_edits(files, e, ["path"], "content")
 
 
+def q_rewrite_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole run over the corpus: index, one model-style answer per undocumented target
+    (fenced and quoted, so it must be cleaned), and the rewritten files. Documented
+    definitions stay as they are; a name defined in several files is indexed - and so
+    documented - only where it is defined first."""
+    files = sc_files(spark, sf_dir)
+    idx = build_index(files)
+    answers = rank.undocumented_targets(idx.chunks).select(
+        F.col("id").alias("target_id"),
+        F.concat(F.lit('```python\n"""Summary of '), F.col("name"), F.lit(".\n\nCalls: "),
+                 F.array_join("calls", ", "), F.lit('"""\n```')).alias("raw"))
+    return rewrite_corpus(files, answers, idx).files
+
+
 QUERIES = {
     "line_table": q_line_table,
     "line_slice": q_line_slice,
@@ -117,4 +133,5 @@ QUERIES = {
     "block_bounds": q_block_bounds,
     "edits_per_file": q_edits_per_file,
     "apply_edits": q_apply_edits,
+    "rewrite_targets": q_rewrite_targets,
 }

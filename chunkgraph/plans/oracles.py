@@ -425,6 +425,56 @@ UNION ALL
 SELECT sc_path, content FROM sc_file WHERE file_no % 10 = 9"""
 
 
+def _calls_line(calls_text: str) -> str:
+    """After cleaning (strip), an empty call list leaves ``Calls:`` without the space."""
+    return ("'Calls:' || CASE WHEN " + calls_text + " = '' THEN '' ELSE ' ' || " + calls_text
+            + " END")
+
+
+def _answer_block(name: str, calls_text: str, ind: str) -> str:
+    return ("[" + ind + " || '    \"\"\"', " + ind + " || '    Summary of ' || " + name
+            + " || '.', " + ind + " || '    ', " + ind + " || '    ' || " + _calls_line(calls_text)
+            + ", " + ind + " || '    \"\"\"', '']")
+
+
+ORACLES["rewrite_targets"] = SC_FILES + """,
+first_setup AS (SELECT min(sc_path) AS p FROM sc_good),
+rw AS (
+  SELECT sc_path AS path, id,
+         CASE WHEN NOT is_method THEN
+           CASE WHEN docstring IS NOT NULL THEN lines
+                ELSE list_concat(list_concat([lines[1]],
+                       """ + _answer_block("name", "array_to_string(calls_full, ', ')", "''") + """),
+                       lines[2:]) END
+         ELSE
+           list_concat(list_concat(list_concat(list_concat(
+             ['class K' || CAST(id AS VARCHAR) || ':'],
+             """ + _answer_block("'K' || CAST(id AS VARCHAR)",
+                                 "CASE WHEN has_init THEN 'setup' ELSE '' END", "''") + """),
+             init_lines),
+             ['    def ' || name || '(self):']),
+             CASE WHEN docstring IS NOT NULL
+                  THEN list_transform(body_lines, lambda x: '    ' || x)
+                  ELSE list_concat(
+                    """ + _answer_block("name", "array_to_string(calls_full, ', ')", "'    '") + """,
+                    list_transform(body_lines, lambda x: '    ' || x)) END)
+         END AS new_lines
+  FROM sc_good),
+good_files AS (
+  SELECT path,
+         array_to_string(list_concat(list_concat(list_concat(
+           ['import os.path as osp', 'def setup():'],
+           CASE WHEN path = (SELECT p FROM first_setup)
+                THEN """ + _answer_block("'setup'", "''", "''") + """
+                ELSE CAST([] AS VARCHAR[]) END),
+           ['    pass']),
+           flatten(list(new_lines ORDER BY id))), chr(10)) || chr(10) AS content
+  FROM rw GROUP BY path)
+SELECT path, content FROM good_files
+UNION ALL
+SELECT sc_path, content FROM sc_file WHERE file_no % 10 = 9"""
+
+
 # ---------------------------------------------------------------------------------------
 # Evaluation sets.
 def _clean_sql(x: str) -> str:
