@@ -67,6 +67,9 @@ def dense_ids(df: DataFrame, order: Sequence[str], out_col: str = "id", start: i
     partition's offset to the row's index inside its partition. The offset table has one
     row per partition - bounded by the partition count, not by the data - so it is safe to
     broadcast.
+
+    ``order`` should identify rows uniquely (e.g. ``path, chunk_no``): then a retried task
+    rebuilds its partition in the same order and the ids do not depend on task timing.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
