@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chunkgraph.schemas import RAW_CHUNKS
+from chunkgraph.session import ship_package
 
 _BUILTIN_NAMES = frozenset(dir(builtins))
 
@@ -186,6 +187,7 @@ def extract_chunks(files: DataFrame, path_col: str = "path", content_col: str =
     ``spread`` redistributes files round-robin first (useful when the source has fewer,
     larger partitions than there are cores). Rows with ``error IS NOT NULL`` are rejects.
     """
+    ship_package(files.sparkSession)
     src = files.select(F.col(path_col).alias("path"), F.col(content_col).alias("content"))
     if spread:
         src = src.repartition(spread)

@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chunkgraph.session import ship_package
+
 # Separator order of the Python-aware splitter, and the index defaults.
 PYTHON_SEPARATORS = ("\nclass ", "\ndef ", "\n\tdef ", "\n\n", "\n", " ", "")
 CHUNK_SIZE = 2000
@@ -91,6 +93,7 @@ def split_udf(size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP):
 def split_pieces(df: DataFrame, content_col: str = "content", size: int = CHUNK_SIZE,
                  overlap: int = CHUNK_OVERLAP, piece_col: str = "piece_no") -> DataFrame:
     """One row per piece; every other column is copied. Empty text yields no piece."""
+    ship_package(df.sparkSession)
     others = [c for c in df.columns if c != content_col]
     return df.select(*others, F.posexplode(split_udf(size, overlap)(F.col(content_col)))
                      .alias(piece_col, content_col)).select(*df.columns, piece_col)

@@ -69,3 +69,27 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     local_dir = tempfile.mkdtemp(prefix="chunkgraph-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(local_dir)
     return sc.getCheckpointDir() or local_dir
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable by the Python workers, as ``--py-files`` would.
+
+    Operators that run Python on executors (extraction, splitter, directory source and
+    sink) call this first. The package is zipped once per SparkContext and added with
+    ``addPyFile``; Spark distributes it to every executor.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_chunkgraph_shipped", False):
+        return
+    import zipfile
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg_dir)
+    out = os.path.join(tempfile.mkdtemp(prefix="chunkgraph-pyfiles-"), "chunkgraph.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as zf:
+        for base, _dirs, files in os.walk(pkg_dir):
+            for name in files:
+                if name.endswith(".py"):
+                    full = os.path.join(base, name)
+                    zf.write(full, os.path.relpath(full, root))
+    sc.addPyFile(out)
+    sc._chunkgraph_shipped = True

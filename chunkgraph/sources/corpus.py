@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chunkgraph.schemas import FILES
+from chunkgraph.session import ship_package
 
 _HIDDEN_OR_VENV_DIR = r"(^|/)(\.[^/]*|venv)/"
 _HIDDEN_FILE = r"(^|/)\.[^/]*$"
@@ -68,6 +69,7 @@ def scan_directory(spark: SparkSession, root: str, num_partitions: int | None =
     ``root`` must be visible to every executor (a shared filesystem). Unreadable or
     non-UTF-8 files get a null ``content`` and become rejects in the extraction job.
     """
+    ship_package(spark)
     rels = list_python_files(root)
     n = num_partitions or max(1, min(len(rels), spark.sparkContext.defaultParallelism * 4))
     listing = spark.createDataFrame([(r,) for r in rels], "path string").repartition(n)
@@ -109,6 +111,7 @@ def write_directory(files: DataFrame, root: str, path_col: str = "path",
     temporary name and renamed, so a retried task (lost executor) rewrites the same bytes;
     paths that would leave ``root`` are refused.
     """
+    ship_package(files.sparkSession)
     os.makedirs(root, exist_ok=True)
     (files.select(F.col(path_col).alias("path"), F.col(content_col).alias("content"))
           .foreachPartition(_write_rows(os.path.abspath(root))))
