@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chunkgraph.functions import text as tx
 from chunkgraph.session import ship_package
 
 # Separator order of the Python-aware splitter, and the index defaults.
@@ -90,12 +91,30 @@ def split_udf(size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP):
     return _split
 
 
+def split_column(content, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> Column:
+    """X4 as an ``array<string>`` column.
+
+    A text shorter than ``size`` is always one piece - the text stripped - or none when it
+    is blank, so only longer texts are sent to the Python splitter; the others pass it a
+    null (nothing is serialised) and take the native result. Most definitions are short,
+    so most rows never leave the JVM.
+    """
+    c = F.col(content) if isinstance(content, str) else content
+    is_long = F.length(c) >= size
+    stripped = tx.py_strip(c)
+    short = F.when(F.length(stripped) > 0, F.array(stripped)).otherwise(
+        F.array().cast("array<string>"))
+    long_pieces = split_udf(size, overlap)(F.when(is_long, c))
+    return F.when(c.isNull(), F.lit(None).cast("array<string>")).when(is_long, long_pieces) \
+        .otherwise(short)
+
+
 def split_pieces(df: DataFrame, content_col: str = "content", size: int = CHUNK_SIZE,
                  overlap: int = CHUNK_OVERLAP, piece_col: str = "piece_no") -> DataFrame:
     """One row per piece; every other column is copied. Empty text yields no piece."""
     ship_package(df.sparkSession)
     others = [c for c in df.columns if c != content_col]
-    return df.select(*others, F.posexplode(split_udf(size, overlap)(F.col(content_col)))
+    return df.select(*others, F.posexplode(split_column(content_col, size, overlap))
                      .alias(piece_col, content_col)).select(*df.columns, piece_col)
 
 

@@ -96,3 +96,13 @@ def test_split_pack_query_properties(spark):
                 covered[i] = True
             pos = at + len(p)
         assert all(c or text[i].isspace() for i, c in enumerate(covered))
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.text(alphabet="ab \n\tdefclass", max_size=60), min_size=1, max_size=6),
+       st.integers(8, 40), st.integers(0, 6))
+def test_split_column_matches_python_splitter(spark, texts, size, overlap):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r.p for r in df.select("i", split.split_column("t", size, overlap).alias("p"))
+           .orderBy("i").collect()]
+    assert got == [split.split_text(t, size, overlap) for t in texts]
