@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chunkgraph.plans import codegraph
+from chunkgraph.plans import codegraph, corpus, evaluation, lines
 from chunkgraph.plans.oracles import ORACLES
 
+_MODULES = (codegraph, corpus, lines, evaluation)
+
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-    for mod in _modules():
+    for mod in _MODULES:
         out.update(mod.QUERIES)
     return out
 
@@ -20,13 +22,3 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def all_oracles() -> dict[str, str]:
     q = all_queries()
     return {k: v for k, v in ORACLES.items() if k in q}
-
-
-def _modules():
-    mods = [codegraph]
-    for name in ("corpus", "lines", "evaluation"):
-        try:
-            mods.append(__import__(f"chunkgraph.plans.{name}", fromlist=["QUERIES"]))
-        except ModuleNotFoundError:
-            pass
-    return mods
