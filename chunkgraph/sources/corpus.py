@@ -33,16 +33,48 @@ def _keep_dir(name: str) -> bool:
     return not name.startswith(".") and name != "venv"
 
 
-def list_python_files(root: str) -> list[str]:
-    """Relative paths of the Python files under ``root`` (names only, sorted)."""
-    found = []
-    for cur, dirs, files in os.walk(root):
-        dirs[:] = sorted(d for d in dirs if _keep_dir(d))
-        rel_dir = os.path.relpath(cur, root)
-        for f in files:
-            if f.endswith(".py") and not f.startswith("."):
-                found.append(f if rel_dir == "." else os.path.join(rel_dir, f))
-    return sorted(found)
+def _is_source_name(name: str) -> bool:
+    return name.endswith(".py") and not name.startswith(".")
+
+
+def _list_level(root: str, rel: str) -> tuple[list[str], list[str]]:
+    """(kept files, kept dirs to descend) of one directory, like one step of ``os.walk``:
+    links to directories are not descended into."""
+    files, dirs = [], []
+    try:
+        entries = list(os.scandir(os.path.join(root, rel)))
+    except OSError:
+        return [], []
+    for e in entries:
+        path = e.name if rel in ("", ".") else os.path.join(rel, e.name)
+        try:
+            is_dir = e.is_dir()
+        except OSError:
+            is_dir = False
+        if is_dir:
+            if _keep_dir(e.name) and not e.is_symlink():
+                dirs.append(path)
+        elif _is_source_name(e.name):
+            files.append(path)
+    return files, dirs
+
+
+def _walk_batches(root: str):
+    def walk(batches):
+        for batch in batches:
+            found = []
+            for rel in batch.column("dir").to_pylist():
+                base = os.path.join(root, rel)
+                for cur, dirs, files in os.walk(base):
+                    dirs[:] = [d for d in dirs if _keep_dir(d)]
+                    sub = os.path.relpath(cur, root)
+                    found.extend(os.path.join(sub, f) for f in files if _is_source_name(f))
+                    if len(found) >= 4096:
+                        yield pa.RecordBatch.from_pydict({"path": found}, schema=pa.schema([("path", pa.string())]))
+                        found = []
+            if found:
+                yield pa.RecordBatch.from_pydict({"path": found}, schema=pa.schema([("path", pa.string())]))
+    return walk
 
 
 def _read_batches(root: str):
@@ -63,17 +95,39 @@ def _read_batches(root: str):
     return read
 
 
-def scan_directory(spark: SparkSession, root: str, num_partitions: int | None = None) -> DataFrame:
-    """``files(path, content)`` for every Python file under ``root``.
+def scan_directory(spark: SparkSession, root: str, num_partitions: int | None = None,
+                   max_driver_depth: int = 3) -> DataFrame:
+    """``files(path, content)`` for every Python file under ``root`` (relative paths).
 
-    ``root`` must be visible to every executor (a shared filesystem). Unreadable or
-    non-UTF-8 files get a null ``content`` and become rejects in the extraction job.
+    ``root`` must be visible to every executor (a shared filesystem). The driver expands
+    only the top of the tree, breadth first and pruned, until there are enough subtrees to
+    keep the cluster busy (or ``max_driver_depth`` levels); executors walk those subtrees
+    in parallel and read the files. Only names pass through the driver, and only for the
+    top levels. Unreadable or non-UTF-8 files get a null ``content`` and become rejects in
+    the extraction job.
     """
     ship_package(spark)
-    rels = list_python_files(root)
-    n = num_partitions or max(1, min(len(rels), spark.sparkContext.defaultParallelism * 4))
-    listing = spark.createDataFrame([(r,) for r in rels], "path string").repartition(n)
-    return listing.mapInArrow(_read_batches(os.path.abspath(root)), FILES)
+    root = os.path.abspath(root)
+    par = spark.sparkContext.defaultParallelism
+    want = 4 * par
+    top_files: list[str] = []
+    frontier = [""]
+    depth = 0
+    while frontier and len(frontier) < want and depth < max_driver_depth:
+        nxt: list[str] = []
+        for rel in frontier:
+            files, dirs = _list_level(root, rel)
+            top_files.extend(files)
+            nxt.extend(dirs)
+        frontier, depth = nxt, depth + 1
+    schema = "path string"
+    listed = spark.createDataFrame([(f,) for f in top_files], schema)
+    if frontier:
+        subtrees = (spark.createDataFrame([(d,) for d in frontier], "dir string")
+                         .repartition(min(len(frontier), want)))
+        listed = listed.unionByName(subtrees.mapInArrow(_walk_batches(root), schema))
+    n = num_partitions or par * 4
+    return listed.repartition(n).mapInArrow(_read_batches(root), FILES)
 
 
 def filter_sources(files: DataFrame, path_col: str = "path") -> DataFrame:

@@ -108,3 +108,22 @@ def test_write_directory_roundtrip(spark, tmpdir_path):
     bad = spark.createDataFrame([("../x.py", "x")], "path string, content string")
     with pytest.raises(Exception):
         corpus.write_directory(bad, out)
+
+
+def test_directory_scan_walks_subtrees_on_executors(spark, tmpdir_path):
+    root = tmpdir_path
+    expected = set()
+    for a in range(3):
+        for b in range(4):
+            rel = f"pkg{a}/sub{b}/deep/m{a}{b}.py"
+            write(root, rel, f"def f{a}{b}():\n    pass\n")
+            expected.add(rel)
+            write(root, f"pkg{a}/sub{b}/venv/skip.py", "x = 1\n")
+            write(root, f"pkg{a}/sub{b}/deep/.hidden/skip.py", "x = 1\n")
+            write(root, f"pkg{a}/sub{b}/deep/_u.py", "")
+            expected.add(f"pkg{a}/sub{b}/deep/_u.py")
+    write(root, "top.py", "")
+    expected.add("top.py")
+    for depth in (1, 2, 5):
+        got = {r.path for r in corpus.scan_directory(spark, root, max_driver_depth=depth).collect()}
+        assert got == expected
