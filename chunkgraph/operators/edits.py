@@ -157,6 +157,7 @@ def apply_edits(files: DataFrame, edits: DataFrame, keys: Sequence[str], text_co
               .where((F.col("kind") == 0) | F.col("_cover").isNull() | (F.col("_cover") < F.col("ln"))))
     piece = F.struct(F.col("ln"), F.col("kind"), (-F.coalesce("seq", F.lit(0))).alias("_o"),
                      F.col("txt").alias("v"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda x: x["v"]), "\n")
+    # A file with no text at all (null content, no edits) stays null.
     return (kept.groupBy(*keys)
-                .agg(F.array_join(F.transform(F.array_sort(F.collect_list(piece)),
-                                              lambda x: x["v"]), "\n").alias(text_col)))
+                .agg(F.when(F.count("txt") > 0, joined).alias(text_col)))

@@ -131,3 +131,11 @@ def test_one_line_definition_is_flagged(spark):
                                "line_number int, body_start_line int, doc_start int, doc_end int, "
                                "new_doc string, func_indent string")
     assert [r.warn_one_line for r in edits.edit_rows(df, "new_doc").collect()] == [True, False]
+
+
+def test_null_content_file_stays_null(spark):
+    files = spark.createDataFrame([("n.py", None), ("f.py", "a\nb")], "path string, text string")
+    e = spark.createDataFrame([("f.py", 2, None, "X\n", 1)],
+                              "path string, lo int, hi int, block string, seq long")
+    out = {r.path: r.text for r in edits.apply_edits(files, e, ["path"], "text").collect()}
+    assert out == {"n.py": None, "f.py": "a\nX\nb"}
