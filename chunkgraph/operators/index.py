@@ -22,6 +22,8 @@ def first_wins(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Data
     """
     keys = list(keys)
     rest = [c for c in df.columns if c not in keys]
+    if not rest:  # the key is the whole row: one row per distinct key
+        return df.select(*keys).distinct()
     order_key = F.struct(*[F.col(c) for c in order])
     out = (df.groupBy(_key_hash(keys), *keys)
              .agg(F.min_by(F.struct(*[F.col(c) for c in rest]), order_key).alias("_row")))

@@ -96,3 +96,8 @@ def test_directory_to_index(spark, tmpdir_path):
     assert {(r.caller_id, r.callee) for r in idx.edges.collect()} == {
         (ids["main"], "pkg.util.helper"), (ids["main"], "run"), (ids["run"], "helper")}
     assert [r.path for r in idx.rejects.collect()] == ["broken.py"]
+
+
+def test_first_wins_whole_row_key(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 1), ("b", 2)], "k string, v int")
+    assert sorted(tuple(r) for r in index.first_wins(df, ["k", "v"], ["v"]).collect()) == [("a", 1), ("b", 2)]
