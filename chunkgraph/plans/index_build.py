@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chunkgraph.operators import extract, graph, index, split
+from chunkgraph.schemas import CHUNKS, EDGES
 
 CHUNK_COLUMNS = ["id", "path", "name", "type", "content", "parent_class", "line_number",
                  "body_start_line", "docstring", "calls"]
@@ -38,11 +39,17 @@ def build_index(files: DataFrame, size: int = split.CHUNK_SIZE,
 
 
 def save_index(idx: Index, base: str, mode: str = "ignore") -> None:
-    """Write the two tables. ``mode="ignore"`` is build-once (an existing index is
-    kept as it is); ``"overwrite"`` refreshes it. Chunks are written sorted by name so a
-    later name lookup reads few row groups."""
-    idx.chunks.sortWithinPartitions("name").write.mode(mode).parquet(f"{base}/chunks")
-    idx.edges.write.mode(mode).parquet(f"{base}/edges")
+    """Write the two tables with their fixed schemas. ``mode="ignore"`` is build-once
+    (an existing index is kept as it is); ``"overwrite"`` refreshes it. Chunks are written
+    sorted by name within each file so a later name lookup reads few row groups."""
+    conform(idx.chunks, CHUNKS).sortWithinPartitions("name").write.mode(mode).parquet(
+        f"{base}/chunks")
+    conform(idx.edges, EDGES).write.mode(mode).parquet(f"{base}/edges")
+
+
+def conform(df: DataFrame, schema) -> DataFrame:
+    """Select and cast ``df`` to exactly the columns and types of ``schema``."""
+    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
 def load_index(spark, base: str) -> tuple[DataFrame, DataFrame]:
