@@ -13,14 +13,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The characters for which Python's str.isspace() is true, written as a
-# Java regex character-class body: tab, newline, U+000B, form feed, carriage return,
-# U+001C-U+001F, space, U+0085, U+00A0, U+1680, U+2000-U+200A, U+2028, U+2029, U+202F,
-# U+205F, U+3000.
-PY_WS = "\\t\\n\\x0B\\f\\r\\x1C-\\x1F \\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000"
-
-TRIPLE_QUOTE = "(?:\"\"\"|''')"
-DOCSTRING_INDENT = "    "
+from chunkgraph.fixed import (ANY_FENCE, CONTEXT_SEPARATOR, DOCSTRING_INDENT,  # noqa: F401
+                              DOUBLE_QUOTE_RUNS, PROMPT_CODE_HEADER, PROMPT_CONTEXT_HEADER,
+                              PY_WS, PYTHON_FENCE, SINGLE_QUOTE_RUNS, SOURCE_HEADER_PREFIX,
+                              SOURCE_HEADER_SUFFIX, SOURCE_UNKNOWN, TRIPLE_QUOTE_PAIR)
 
 
 def _col(c) -> Column:
@@ -67,13 +63,13 @@ def clean_response(c) -> Column:
     3. strip whitespace, then runs of double quotes, then runs of single quotes at both ends.
     """
     raw = _col(c)
-    pair = f"(?s){TRIPLE_QUOTE}(.*?){TRIPLE_QUOTE}"
+    pair = TRIPLE_QUOTE_PAIR
     d = F.when(raw.rlike(pair), py_strip(F.regexp_extract(raw, pair, 1))).otherwise(py_strip(raw))
-    d = F.regexp_replace(d, "(?i)```python\n?", "")
-    d = F.regexp_replace(d, "\n?```", "")
+    d = F.regexp_replace(d, PYTHON_FENCE, "")
+    d = F.regexp_replace(d, ANY_FENCE, "")
     d = py_strip(d)
-    d = F.regexp_replace(d, '^"+|"+\\z', "")
-    d = F.regexp_replace(d, "^'+|'+\\z", "")
+    d = F.regexp_replace(d, DOUBLE_QUOTE_RUNS, "")
+    d = F.regexp_replace(d, SINGLE_QUOTE_RUNS, "")
     return d
 
 
@@ -92,14 +88,14 @@ def format_block(doc, func_indent) -> Column:
 
 def source_header(path, content) -> Column:
     """``--- Source: <path or 'unknown'> ---`` followed by the content."""
-    return F.concat(F.lit("--- Source: "), F.coalesce(_col(path), F.lit("unknown")),
-                    F.lit(" ---\n"), _col(content))
+    return F.concat(F.lit(SOURCE_HEADER_PREFIX), F.coalesce(_col(path), F.lit(SOURCE_UNKNOWN)),
+                    F.lit(SOURCE_HEADER_SUFFIX), _col(content))
 
 
 def prompt_text(context, code) -> Column:
     """H3: the user prompt built from the context text and the target code."""
-    return F.concat(F.lit("### Context from Codebase:\n"), _col(context),
-                    F.lit("\n\n### Target Code:\n"), _col(code))
+    return F.concat(F.lit(PROMPT_CONTEXT_HEADER), _col(context),
+                    F.lit(PROMPT_CODE_HEADER), _col(code))
 
 
 def ordered_join(pairs, sep: str) -> Column:

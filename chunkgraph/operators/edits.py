@@ -13,10 +13,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chunkgraph.fixed import DOCSTRING_INDENT, PY_WS, QUOTES
 from chunkgraph.functions import text as tx
 
-QUOTES = ('"""', "'''")
-
 
 def line_table(df: DataFrame, keys: Sequence[str], text_col: str, normalize: bool = True,
                ln_col: str = "ln", line_col: str = "line") -> DataFrame:
@@ -28,7 +27,7 @@ def line_table(df: DataFrame, keys: Sequence[str], text_col: str, normalize: boo
 
 
 def _lstrip(c):
-    return F.regexp_replace(c, f"^[{tx.PY_WS}]+", "")
+    return F.regexp_replace(c, f"^[{PY_WS}]+", "")
 
 
 def block_bounds(lines: DataFrame, requests: DataFrame, keys: Sequence[str],
@@ -49,7 +48,7 @@ def block_bounds(lines: DataFrame, requests: DataFrame, keys: Sequence[str],
     requests are read once; nothing is joined back.
     """
     keys = list(keys)
-    exp = F.concat(F.col(indent_col), F.lit(tx.DOCSTRING_INDENT))
+    exp = F.concat(F.col(indent_col), F.lit(DOCSTRING_INDENT))
     first = lines.select(*[F.col(k).alias(f"_k_{k}") for k in keys],
                          F.col("ln").alias("_s"), F.col("line").alias("_l"))
     cond = [requests[k] == first[f"_k_{k}"] for k in keys] + [requests[start_col] == first["_s"]]
@@ -72,7 +71,7 @@ def block_bounds(lines: DataFrame, requests: DataFrame, keys: Sequence[str],
     prefixes = F.when(
         F.length(ws) >= 4,
         F.transform(F.filter(F.sequence(F.lit(4), F.length(ws)),
-                             lambda i: F.substring(ws, i - 3, 4) == F.lit(tx.DOCSTRING_INDENT)),
+                             lambda i: F.substring(ws, i - 3, 4) == F.lit(DOCSTRING_INDENT)),
                     lambda i: F.substring(ws, F.lit(1), i))
     ).otherwise(F.array().cast("array<string>"))
     req_type = req_rows.schema["_req"].dataType

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-SAMPLE_SIZE = 50
+from chunkgraph.fixed import SAMPLE_SIZE
 
 
 def load_eval_set(spark: SparkSession, path: str, num_samples: int | None = None,

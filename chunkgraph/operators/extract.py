@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chunkgraph.fixed import (INIT_METHOD, TYPE_ASYNC_FUNCTION, TYPE_CLASS, TYPE_FUNCTION,
+                              TYPE_METHOD)
 from chunkgraph.schemas import RAW_CHUNKS
 from chunkgraph.session import ship_package
 
@@ -112,21 +114,21 @@ class _ChunkCollector(ast.NodeVisitor):
     def _function(self, node, plain_kind: str) -> None:
         if id(node) in self.folded:
             return
-        kind = "method" if self.enclosing_class else plain_kind
+        kind = TYPE_METHOD if self.enclosing_class else plain_kind
         text = ast.get_source_segment(self.source, node) or ""
         self._record(node, kind, self.enclosing_class, text, self.calls_under(node))
 
     def visit_FunctionDef(self, node: ast.FunctionDef) -> None:
-        self._function(node, "function")
+        self._function(node, TYPE_FUNCTION)
 
     def visit_AsyncFunctionDef(self, node: ast.AsyncFunctionDef) -> None:
-        self._function(node, "async_function")
+        self._function(node, TYPE_ASYNC_FUNCTION)
 
     def visit_ClassDef(self, node: ast.ClassDef) -> None:
         defs = [s for s in node.body if isinstance(s, (ast.FunctionDef, ast.AsyncFunctionDef))]
         calls: list[str] = []
         stop_at = defs[0] if defs else None
-        if defs and defs[0].name == "__init__":
+        if defs and defs[0].name == INIT_METHOD:
             self.folded.add(id(defs[0]))
             calls = self.calls_under(defs[0])
             stop_at = defs[1] if len(defs) > 1 else None
@@ -136,7 +138,7 @@ class _ChunkCollector(ast.NodeVisitor):
             text = "".join(self.lines[lo:hi])
         else:
             text = ast.get_source_segment(self.source, node) or ""
-        self._record(node, "class_definition", None, text, calls)
+        self._record(node, TYPE_CLASS, None, text, calls)
         outer, self.enclosing_class = self.enclosing_class, node.name
         self.generic_visit(node)
         self.enclosing_class = outer

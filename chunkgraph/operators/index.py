@@ -7,10 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chunkgraph.fixed import DONE_MARKER
 from chunkgraph.session import ensure_checkpoint_dir
 
-DONE_MARKER = "DONE"
-
 
 def first_wins(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """A1: keep one row per key - the first in ``order`` - and never update it.

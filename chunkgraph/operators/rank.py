@@ -20,13 +20,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chunkgraph.fixed import CONTEXT_SEPARATOR, DEPENDENCY_RATIO, DONE_MARKER, TOP_N
 from chunkgraph.functions import text as tx
 from chunkgraph.operators.graph import context_candidates
 
-DONE_MARKER = "DONE"
 
-
-def bucket_sizes(top_n: int = 10, dependency_ratio: float = 0.6) -> tuple[int, int]:
+def bucket_sizes(top_n: int = TOP_N, dependency_ratio: float = DEPENDENCY_RATIO) -> tuple[int, int]:
     """(callee slots, caller slots); truncation as Python's ``int`` does it."""
     k_dep = int(top_n * dependency_ratio)
     return k_dep, top_n - k_dep
@@ -41,7 +40,7 @@ def documented(doc_state: str = "sequential") -> F.Column:
     raise ValueError(f"unknown doc_state {doc_state!r}")
 
 
-def rank_candidates(cands: DataFrame, top_n: int = 10, dependency_ratio: float = 0.6,
+def rank_candidates(cands: DataFrame, top_n: int = TOP_N, dependency_ratio: float = DEPENDENCY_RATIO,
                     doc_state: str = "sequential") -> DataFrame:
     """T1 over the output of :func:`context_candidates`.
 
@@ -75,7 +74,7 @@ def rank_candidates(cands: DataFrame, top_n: int = 10, dependency_ratio: float =
 
 
 def rank_context(chunks: DataFrame, edges: DataFrame, targets: DataFrame | None = None,
-                 top_n: int = 10, dependency_ratio: float = 0.6,
+                 top_n: int = TOP_N, dependency_ratio: float = DEPENDENCY_RATIO,
                  doc_state: str = "sequential") -> DataFrame:
     """Ranked context rows for every target (default: every undocumented chunk)."""
     cands = context_candidates(chunks, edges, targets)
@@ -101,7 +100,7 @@ def context_rows(ranked: DataFrame, chunks: DataFrame) -> DataFrame:
                           "line_number", F.col("cand_docstring").alias("docstring"), "content"))
 
 
-def context_strings(rows: DataFrame, sep: str = "\n\n") -> DataFrame:
+def context_strings(rows: DataFrame, sep: str = CONTEXT_SEPARATOR) -> DataFrame:
     """A5 + H10: one context text per target, pieces in ``pos`` order.
 
     Each group holds at most ``top_n`` rows (the cut happened before), so the ordered

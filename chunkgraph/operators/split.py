@@ -17,14 +17,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chunkgraph.fixed import CHUNK_OVERLAP, CHUNK_SIZE, PYTHON_SEPARATORS
 from chunkgraph.functions import text as tx
 from chunkgraph.session import ship_package
 
-# Separator order of the Python-aware splitter, and the index defaults.
-PYTHON_SEPARATORS = ("\nclass ", "\ndef ", "\n\tdef ", "\n\n", "\n", " ", "")
-CHUNK_SIZE = 2000
-CHUNK_OVERLAP = 200
-
 
 def _cut_before(text: str, sep: str) -> list[str]:
     """Pieces of ``text`` with each ``sep`` kept at the start of the piece after it."""

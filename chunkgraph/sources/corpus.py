@@ -15,10 +15,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chunkgraph.fixed import PRUNED_DIR, SOURCE_SUFFIX
 from chunkgraph.schemas import FILES
 from chunkgraph.session import ship_package
 
-_HIDDEN_OR_VENV_DIR = r"(^|/)(\.[^/]*|venv)/"
+_HIDDEN_OR_VENV_DIR = rf"(^|/)(\.[^/]*|{PRUNED_DIR})/"
 _HIDDEN_FILE = r"(^|/)\.[^/]*$"
 
 
@@ -26,15 +27,15 @@ def is_python_source(path) -> Column:
     """P6 on a path relative to the corpus root: a ``.py`` file that is not hidden and
     does not sit below a hidden folder or a folder named ``venv``."""
     p = F.col(path) if isinstance(path, str) else path
-    return p.endswith(".py") & ~p.rlike(_HIDDEN_OR_VENV_DIR) & ~p.rlike(_HIDDEN_FILE)
+    return p.endswith(SOURCE_SUFFIX) & ~p.rlike(_HIDDEN_OR_VENV_DIR) & ~p.rlike(_HIDDEN_FILE)
 
 
 def _keep_dir(name: str) -> bool:
-    return not name.startswith(".") and name != "venv"
+    return not name.startswith(".") and name != PRUNED_DIR
 
 
 def _is_source_name(name: str) -> bool:
-    return name.endswith(".py") and not name.startswith(".")
+    return name.endswith(SOURCE_SUFFIX) and not name.startswith(".")
 
 
 def _list_level(root: str, rel: str) -> tuple[list[str], list[str]]:
