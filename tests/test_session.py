@@ -1,0 +1,58 @@
+"""Checkpoint-folder rule: the cluster's setting wins; no local folder on a cluster."""
+
+import pytest
+
+from chunkgraph.session import ensure_checkpoint_dir
+
+
+class _Conf:
+    def __init__(self, values):
+        self.values = values
+
+    def get(self, key, default=None):
+        if key in self.values:
+            return self.values[key]
+        if default is None and not isinstance(self, _SparkConf):
+            raise KeyError(key)
+        return default
+
+
+class _SparkConf(_Conf):
+    pass
+
+
+class _SC:
+    def __init__(self, master, conf):
+        self.master = master
+        self._conf = _SparkConf(conf)
+        self.dir = None
+
+    def getCheckpointDir(self):
+        return self.dir
+
+    def getConf(self):
+        return self._conf
+
+    def setCheckpointDir(self, d):
+        self.dir = d
+
+
+class _Session:
+    def __init__(self, master, conf=None):
+        self.sparkContext = _SC(master, conf or {})
+        self.conf = _Conf({})
+
+
+def test_cluster_setting_is_used():
+    s = _Session("yarn", {"spark.checkpoint.dir": "hdfs:///shared/ckpt"})
+    assert ensure_checkpoint_dir(s) == "hdfs:///shared/ckpt"
+
+
+def test_cluster_without_setting_refuses_local_folder():
+    with pytest.raises(RuntimeError):
+        ensure_checkpoint_dir(_Session("spark://master:7077"))
+
+
+def test_local_mode_gets_a_temp_folder():
+    d = ensure_checkpoint_dir(_Session("local[2]"))
+    assert d and d.startswith("/tmp")
