@@ -160,3 +160,19 @@ def test_one_line_def_and_decorated_class_slice(spark):
     # the class text runs to the line before the def, so it holds the method's decorator
     assert rows["A"].content == "class A:\n    x = 1\n    @staticmethod\n"
     assert rows["s"].content.startswith("def s():") and rows["s"].calls == ["g"]
+
+
+def test_decorators_and_async_init(spark):
+    src = ("import functools as ft\n\n"
+           "@ft.lru_cache(maxsize=None)\n"
+           "def cached(x):\n    return helper(x)\n\n"
+           "class Svc:\n    async def __init__(self):\n        await boot()\n\n"
+           "    async def run(self):\n        pass\n")
+    rows = {r.name: r for r in run(spark, {"m.py": src})}
+    # decorator calls count (they are under the node), the segment starts at "def"
+    assert rows["cached"].calls == ["functools.lru_cache", "helper"]
+    assert rows["cached"].content.startswith("def cached(x):")
+    assert rows["cached"].line_number == 4
+    # an async __init__ is folded into the class chunk too
+    assert set(rows) == {"cached", "Svc", "run"}
+    assert rows["Svc"].calls == ["boot"] and rows["run"].type == "method"
