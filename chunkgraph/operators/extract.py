@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import ast
 import builtins
+import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -50,6 +51,41 @@ _ARROW_SCHEMA = pa.schema([
 ])
 
 
+# The parser's line rule (lines end at \r\n, \n or \r; ends kept), as the standard
+# library's source-segment helper applies it.
+_LINE = re.compile(r"(.*?(?:\r\n|\n|\r|$))")
+
+
+class _Segments:
+    """Source segments of one file with its lines split once.
+
+    The standard helper re-splits the whole source on every call, which makes a file with
+    many definitions quadratic; this gives the same text from one split. Column offsets
+    are UTF-8 byte offsets, as the parser reports them.
+    """
+
+    def __init__(self, source: str):
+        self.lines = [m[0] for m in _LINE.finditer(source)]
+        self._encoded: dict[int, bytes] = {}
+
+    def _b(self, i: int) -> bytes:
+        b = self._encoded.get(i)
+        if b is None:
+            b = self._encoded[i] = self.lines[i].encode()
+        return b
+
+    def of(self, node: ast.AST) -> str | None:
+        end_line = getattr(node, "end_lineno", None)
+        end_col = getattr(node, "end_col_offset", None)
+        if end_line is None or end_col is None:
+            return None
+        lo, hi = node.lineno - 1, end_line - 1
+        if lo == hi:
+            return self._b(lo)[node.col_offset:end_col].decode()
+        return (self._b(lo)[node.col_offset:].decode() + "".join(self.lines[lo + 1:hi])
+                + self._b(hi)[:end_col].decode())
+
+
 def _subtree(node: ast.AST):
     """Every node under ``node`` (itself included), in no particular order; the same set
     ``ast.walk`` yields, with less per-node overhead."""
@@ -70,6 +106,7 @@ class _ChunkCollector(ast.NodeVisitor):
 
     def __init__(self, source: str):
         self.source = source
+        self.segments = _Segments(source)
         self.lines = source.splitlines(keepends=True)
         self.enclosing_class: str | None = None
         self.folded: set[int] = set()        # id() of __init__ nodes merged into a class
@@ -115,7 +152,7 @@ class _ChunkCollector(ast.NodeVisitor):
         if id(node) in self.folded:
             return
         kind = TYPE_METHOD if self.enclosing_class else plain_kind
-        text = ast.get_source_segment(self.source, node) or ""
+        text = self.segments.of(node) or ""
         self._record(node, kind, self.enclosing_class, text, self.calls_under(node))
 
     def visit_FunctionDef(self, node: ast.FunctionDef) -> None:
@@ -137,7 +174,7 @@ class _ChunkCollector(ast.NodeVisitor):
             hi = min(stop_at.lineno - 1, len(self.lines))
             text = "".join(self.lines[lo:hi])
         else:
-            text = ast.get_source_segment(self.source, node) or ""
+            text = self.segments.of(node) or ""
         self._record(node, TYPE_CLASS, None, text, calls)
         outer, self.enclosing_class = self.enclosing_class, node.name
         self.generic_visit(node)

@@ -176,3 +176,28 @@ def test_decorators_and_async_init(spark):
     # an async __init__ is folded into the class chunk too
     assert set(rows) == {"cached", "Svc", "run"}
     assert rows["Svc"].calls == ["boot"] and rows["run"].type == "method"
+
+
+def test_segments_equal_the_standard_helper(spark):
+    import ast as _ast
+
+    from chunkgraph.operators.extract import _Segments
+    from chunkgraph.plans.corpus import sc_files
+    from tests.conftest import SF_SMALL
+    sources = [r.content for r in sc_files(spark, SF_SMALL).collect()]
+    sources += [FUNCTIONS, CLASS, WITH_CALLS, NESTED,
+                "def f():\r\n    return 'é'\r\n\r\nclass Ü:\r    def g(self):\r        pass\r",
+                "x = 1\fdef h():\n\tif x:\n\t\treturn (1,\n\t\t        2)\n",
+                "async def a():\n    '''ü\n    ü'''\n    await b()  # ñ\n"]
+    checked = 0
+    for src in sources:
+        try:
+            tree = _ast.parse(src)
+        except SyntaxError:
+            continue
+        seg = _Segments(src)
+        for node in _ast.walk(tree):
+            if isinstance(node, (_ast.FunctionDef, _ast.AsyncFunctionDef, _ast.ClassDef, _ast.Call)):
+                assert seg.of(node) == _ast.get_source_segment(src, node)
+                checked += 1
+    assert checked > 1000
