@@ -13,6 +13,8 @@ X4a is the terminal case on its own: fixed windows of ``size`` characters steppi
 
 from __future__ import annotations
 
+from collections import deque
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +34,7 @@ def _cut_before(text: str, sep: str) -> list[str]:
 
 def _pack(cuts: list[str], size: int, overlap: int) -> list[str]:
     out: list[str] = []
-    window: list[str] = []
+    window: deque[str] = deque()
     total = 0
     for cut in cuts:
         n = len(cut)
@@ -41,7 +43,7 @@ def _pack(cuts: list[str], size: int, overlap: int) -> list[str]:
             if piece:
                 out.append(piece)
             while window and (total > overlap or total + n > size):
-                total -= len(window.pop(0))
+                total -= len(window.popleft())
         window.append(cut)
         total += n
     piece = "".join(window).strip()
