@@ -39,3 +39,16 @@ def test_scans_are_pruned(static_spark):
     plan = plan_of(static_spark, "context_rank")
     assert "ReadSchema: struct<p_partkey:bigint,p_brand:string,p_type:string,p_size:int>" in plan \
         or "p_name" not in plan
+
+
+def test_target_filter_reaches_the_stored_scan(spark, tmpdir_path):
+    from chunkgraph.operators import rank
+    from chunkgraph.plans.index_build import build_index, load_index, save_index
+    files = spark.createDataFrame([("m.py", "def a():\n    b()\n\ndef b():\n    '''Doc.'''\n")],
+                                  "path string, content string")
+    save_index(build_index(files), tmpdir_path)
+    chunks, _ = load_index(spark, tmpdir_path)
+    plan = rank.undocumented_targets(chunks).select("id", "name") \
+        ._jdf.queryExecution().executedPlan().toString()
+    assert "IsNull(docstring)" in plan
+    assert "ReadSchema: struct<id:bigint,name:string,docstring:string>" in plan
