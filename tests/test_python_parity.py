@@ -30,3 +30,28 @@ def test_indentation_matches_python_on_corpus_lines(spark):
         for i, line in enumerate(text.split("\n"), start=1):
             want[(path, i)] = re.match(r"^(\s*)", line).group(1)
     assert {(r.path, r.ln): r.indent for r in rows} == want
+
+
+def _random_texts(seed, alphabet, n, max_len):
+    import random
+    rnd = random.Random(seed)
+    return ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, max_len))) for _ in range(n)]
+
+
+def test_cleaning_blocks_indentation_on_random_whitespace(spark):
+    from pyspark.sql import functions as F
+
+    from chunkgraph.functions import text as tx
+    alphabet = ['"', "'", "`", "a", "P", "y", " ", "\n", "\r", "\t", "\x0b", "\x0c", "\x1c",
+                "\x85", "\xa0", " ", "　", "​", "é", "```", '"""', "'''",
+                "```python\n", "```Python"]
+    vals = _random_texts(7, alphabet, 3000, 25)
+    df = spark.createDataFrame(list(enumerate(vals)), "i int, v string")
+    rows = (df.select("i", tx.clean_response(F.col("v")).alias("c"),
+                      tx.format_block(F.col("v"), F.lit("  ")).alias("b"),
+                      tx.indentation(F.col("v")).alias("ind"))
+              .orderBy("i").collect())
+    for v, r in zip(vals, rows):
+        assert r.c == clean_model(v)
+        assert r.b == block_model(v, "  ")
+        assert r.ind == re.match(r"^(\s*)", v).group(1)
