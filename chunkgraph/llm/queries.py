@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from chunkgraph.llm import line_dedup, quality_rules
+from chunkgraph.llm import bpe, line_dedup, mixing, quality_rules, simhash
 
 QUERIES = {
+    "op2_byte_bpe": bpe.op2_byte_bpe,
+    "op6_source_mixing": mixing.op6_source_mixing,
     "op7_line_dedup": line_dedup.op7_line_dedup,
+    "op9_simhash_dedup": simhash.op9_simhash_dedup,
     "op10_quality_rules": quality_rules.op10_quality_rules,
     "pipeline": corpus_pipeline.run,
 }

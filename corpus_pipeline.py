@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkgraph.llm import common, line_dedup, quality_rules
+from chunkgraph.llm import bpe, common, line_dedup, mixing, quality_rules, simhash
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,9 +25,38 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return (out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns))
 
 
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies (4-word shingles, 4 bits) the smallest id stays."""
+    return simhash.simhash_dedup(docs, shingle_words=4, max_bits=4).select(docs.columns)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources flattened as far as ``MIX_REPEAT`` allows, in training order.
+
+    No document goes; those of smaller sources come again in later passes.
+    """
+    out = mixing.mix_sources(docs, max_repeat=MIX_REPEAT)
+    return out.orderBy("position", "epoch", "doc_id").select(docs.columns)
+
+
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document of the mix, with the digests of a full round trip."""
+    out = bpe.bpe_encode(docs.select("doc_id", "source", "text"), decode=True, keep_text=False)
+    return out.select(
+        "doc_id", "source", "n_tokens", "ids",
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+#: No source is repeated more often than this in the mix.
+MIX_REPEAT = 1.25
+
 STAGES = [
     ("quality_rules", quality_stage),
     ("line_dedup", line_dedup_stage),
+    ("simhash_near_dedup", near_dedup_stage),
+    ("source_mixing", mixing_stage),
+    ("byte_bpe", encoding_stage),
 ]
 
 ORACLE_SQL = None
