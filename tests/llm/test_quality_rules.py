@@ -78,3 +78,10 @@ def test_clashing_columns_repeated_rows_and_empty_table(spark):
 def test_plan_has_no_python_and_no_shuffle(spark):
     plan = qr.op10_quality_rules(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+def test_filter_on_the_verdict_stays_above_the_rules(spark):
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    kept = qr.quality_rules(docs).where("kept")
+    assert kept.count() == qr.quality_rules(docs).groupBy("kept").count().where("kept").first()[1]
+    assert kept._jdf.queryExecution().optimizedPlan().toString().count("xxhash64") == 1
