@@ -3,12 +3,14 @@
 A text is cut into pre-tokens by the vocabulary's pattern and every pre-token is merged on
 its own. Merging uses a *rank queue*: each merge rank has a bucket with the positions where
 that merge can happen, and a hierarchical bitmap over the ranks (64-way) tells by
-find-first-set which bucket is next. The tokens of the pre-token form a linked list; an
-entry whose pair has changed since it was queued is stale and is skipped when it comes up.
-The cost grows as n log n, so a pre-token of any length is merged whole.
+find-first-set which bucket is next. The tokens form linked lists; an entry whose pair has
+changed since it was queued is stale and is skipped when it comes up. The cost grows as
+n log n, so a pre-token of any length is merged whole.
 
-The workers keep a two-generation cache of recent segments (a space and the word after it,
-say); it bounds memory and changes no result.
+All pre-tokens a slice of documents needs go through one queue together, a bucket at a time
+(:meth:`Codec.merge_all`); :meth:`Codec.merge` takes one pre-token and one position at a
+time. The workers keep a two-generation cache of recent segments (a space and the word after
+it, say); it bounds memory and changes no result.
 
 Defined results: null and empty texts have no ids and decode to no bytes; repeated rows are
 encoded each on its own; an empty table gives an empty table; ``ids``, ``n_tokens`` and
@@ -34,8 +36,10 @@ from chunkgraph.session import ship_package
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Segments per cache generation; longer ones than this many characters are not cached.
-CACHE_SEGMENTS = 200_000
+CACHE_SEGMENTS = 400_000
 CACHE_CHARS = 64
+#: Documents of about this many characters share one rank queue.
+SLICE_CHARS = 8 << 20
 #: White space as the pattern's ``\s`` takes it.
 _S = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Places where a pre-token always ends, whatever stands further away: after a character
@@ -60,37 +64,58 @@ class RankQueue:
 
     def push(self, rank: int, position: int) -> None:
         bucket = self.buckets.get(rank)
-        if bucket:
+        if bucket is not None:
             heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        i = rank
+        else:
+            self.put(rank, [position])
+
+    def _first(self) -> int:
+        i = 0
+        for level in reversed(self.levels):
+            word = level[i]
+            i = i << 6 | (word & -word).bit_length() - 1
+        return i
+
+    def _clear(self, rank: int) -> None:
         for level in self.levels:
-            word = level[i >> 6]
-            level[i >> 6] = word | 1 << (i & 63)
-            if word:
+            level[rank >> 6] &= ~(1 << (rank & 63))
+            if level[rank >> 6]:
                 break
-            i >>= 6
+            rank >>= 6
 
     def pop(self) -> tuple[int, int] | None:
         """The lowest rank and its first position, removed."""
         if not self.buckets:
             return None
-        i = 0
-        for level in reversed(self.levels):
-            word = level[i]
-            i = i << 6 | (word & -word).bit_length() - 1
-        bucket = self.buckets[i]
+        rank = self._first()
+        bucket = self.buckets[rank]
         position = heappop(bucket)
         if not bucket:
-            del self.buckets[i]
-            j = i
-            for level in self.levels:
-                level[j >> 6] &= ~(1 << (j & 63))
-                if level[j >> 6]:
-                    break
-                j >>= 6
-        return i, position
+            del self.buckets[rank]
+            self._clear(rank)
+        return rank, position
+
+    def put(self, rank: int, positions: list[int]) -> None:
+        """Add positions to a bucket that is taken whole by :meth:`take`."""
+        bucket = self.buckets.get(rank)
+        if bucket is not None:
+            bucket += positions
+            return
+        self.buckets[rank] = positions
+        for level in self.levels:
+            word = level[rank >> 6]
+            level[rank >> 6] = word | 1 << (rank & 63)
+            if word:
+                break
+            rank >>= 6
+
+    def take(self) -> tuple[int, list[int]] | None:
+        """The lowest rank and its whole bucket, removed."""
+        if not self.buckets:
+            return None
+        rank = self._first()
+        self._clear(rank)
+        return rank, self.buckets.pop(rank)
 
 
 class Codec:
@@ -108,6 +133,12 @@ class Codec:
         self.lengths = np.array([len(t) for t in tokens], np.int64)
         self.offsets = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
         self.flat = np.frombuffer(b"".join(tokens), np.uint8)
+        self.byte_rank = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        # Every pair of tokens that makes a token, as sorted keys.
+        pairs = sorted((ranks[t[:i]] << 32 | ranks[t[i:]], r) for t, r in ranks.items()
+                       for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks)
+        self.pair_keys = np.array([k for k, _ in pairs] + [np.iinfo(np.int64).max], np.int64)
+        self.pair_ranks = np.array([r for _, r in pairs] + [-1], np.int64)
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -154,41 +185,133 @@ class Codec:
             i = end[i]
         return out
 
-    def _segment(self, segment: str) -> bytes:
-        ids: list[int] = []
-        for piece in self.pattern.findall(segment):
-            ids += self.merge(piece.encode("utf-8"))
-        return np.array(ids, "<i4").tobytes()
-
-    def _miss(self, segment: str, key: str) -> bytes:
-        got = self.old.get(key)
-        if got is None:
-            got = self._segment(segment)
-        if len(segment) <= CACHE_CHARS:
-            if len(self.new) >= CACHE_SEGMENTS:
-                self.old, self.new = self.new, {}
-            self.new[key] = got
-        return got
+    def _pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rank of the token that a and b make together, -1 for none."""
+        key = a << 32 | b
+        at = np.searchsorted(self.pair_keys, key)
+        return np.where(self.pair_keys[at] == key, self.pair_ranks[at], -1)
+
+    def merge_all(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids (packed int32) of many pre-tokens, merged together bucket by bucket.
+
+        Within a pre-token a bucket may be taken whole as long as its merges open no pair of
+        a lower rank; the few pre-tokens where one does are merged one position at a time.
+        """
+        out: list[bytes | None] = [None] * len(pieces)
+        todo = []
+        for i, piece in enumerate(pieces):
+            whole = self.ranks.get(piece)
+            if whole is not None:
+                out[i] = whole.to_bytes(4, "little")
+            else:
+                todo.append(i)
+        if not todo:
+            return out
+        size = np.array([len(pieces[i]) for i in todo])
+        stop = np.cumsum(size)
+        start = stop - size
+        tok = self.byte_rank[np.frombuffer(b"".join([pieces[i] for i in todo]), np.uint8)]
+        n = len(tok)
+        nxt, prv = np.arange(1, n + 1), np.arange(-1, n - 1)
+        nxt[stop - 1] = -1
+        prv[start] = -1
+        want = np.full(n, -1)
+        gone = np.zeros(n, bool)
+        at = np.flatnonzero(nxt >= 0)
+        want[at] = self._pair(tok[at], tok[at + 1])
+        at = at[want[at] >= 0]
+        at = at[np.argsort(want[at], kind="stable")]
+        ranks = want[at]
+        cut = np.concatenate([[0], np.flatnonzero(np.diff(ranks)) + 1, [len(at)]])
+        put, take = self.queue.put, self.queue.take
+        if len(at):
+            for lo, hi, r in zip(cut[:-1].tolist(), cut[1:].tolist(), ranks[cut[:-1]].tolist()):
+                put(r, at[lo:hi].tolist())
+        redo: set[int] = set()
+        while (top := take()) is not None:
+            r, bucket = top
+            p = np.unique(bucket)
+            p = p[want[p] == r]  # the others are stale
+            if not len(p):
+                continue
+            q = nxt[p]
+            if (q[:-1] == p[1:]).any():  # a run of the same pair: every other one merges
+                keep, skip = [], -1
+                for k, (x, y) in enumerate(zip(p.tolist(), q.tolist())):
+                    if x == skip:
+                        skip = -1
+                    else:
+                        keep.append(k)
+                        skip = y
+                p, q = p[keep], q[keep]
+            s = nxt[q]
+            tok[p], nxt[p] = r, s
+            more = s >= 0
+            prv[s[more]] = p[more]
+            gone[q] = True
+            want[q] = -1
+            want[p] = -1
+            before = prv[p]
+            x = np.unique(np.concatenate([p[more], before[before >= 0]]))
+            new = self._pair(tok[x], tok[nxt[x]])
+            want[x] = new
+            ok = new >= 0
+            x, new = x[ok], new[ok]
+            if (new < r).any():
+                redo.update(np.searchsorted(stop, x[new < r], "right").tolist())
+            for rank, position in zip(new.tolist(), x.tolist()):
+                put(rank, [position])
+        left = ~gone
+        ids = tok[left].astype("<i4").tobytes()
+        ends = np.cumsum(np.add.reduceat(left.astype(np.int64), start)) * 4
+        lo = 0
+        for k, (i, hi) in enumerate(zip(todo, ends.tolist())):
+            out[i] = (np.array(self.merge(pieces[i]), "<i4").tobytes() if k in redo
+                      else ids[lo:hi])
+            lo = hi
+        return out
 
-    def encode(self, text: str | None) -> np.ndarray:
-        """Ids (int32) of a whole text."""
-        if not text:
-            return np.empty(0, "<i4")
-        if RUN.search(text):
-            cut = CUT.split(text)
+    def _segments(self, segments: list[str]) -> list[bytes]:
+        """Ids of text segments, each cut into its pre-tokens; a pre-token is merged once."""
+        index: dict[str, int] = {}
+        made = [[index.setdefault(t, len(index)) for t in self.pattern.findall(s)] for s in segments]
+        ids = self.merge_all([t.encode("utf-8") for t in index])
+        return [ids[m[0]] if len(m) == 1 else b"".join([ids[i] for i in m]) for m in made]
+
+    def _learn(self, keys: set[str]) -> dict[str, bytes]:
+        """Put the segments of ``keys`` into the cache; returns those too long for it.
+
+        The key of a segment that is a space and a word is the word, that of a newline and a
+        word is the segment itself; that of any other segment is the segment behind a space.
+        """
+        if len(self.new) + len(keys) > CACHE_SEGMENTS:
+            self.old, self.new = self.new, {}
+        known = {k: v for k in keys if (v := self.old.get(k)) is not None}
+        fresh = [k for k in keys if k not in known]
+        found = dict(zip(fresh, self._segments([_segment_of(k) for k in fresh])))
+        self.new.update(known)
+        long = {k: v for k, v in found.items() if len(k) > CACHE_CHARS}
+        self.new.update((k, v) for k, v in found.items() if k not in long)
+        return long
+
+    def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids (int32) of whole texts."""
+        keys = [_cut(t) if t else [] for t in texts]
+        get = self.new.get
+        values = [list(map(get, k)) for k in keys]
+        missed = {k for ks, vs in zip(keys, values) if None in vs
+                  for k, v in zip(ks, vs) if v is None}
+        if missed:
+            long = self._learn(missed)
             get = self.new.get
-            parts = [got if (got := get(s)) is not None else self._miss(s, s) for s in cut]
-        else:
-            # "a b\nc" -> "a", " b", "\nc"; a word after a space is cached under the word
-            # behind a mark, so that the cut needs no joining.
-            first, *rest = text.replace("\n", " \n").split(" ")
-            parts = [self._miss(first, first)]
-            get = self.new.get
-            for w in rest:
-                key = w if w[0] == "\n" else f" {w}"
-                got = get(key)
-                parts.append(got if got is not None else self._miss(key, key))
-        return np.frombuffer(b"".join(parts), "<i4")
+            for i, vs in enumerate(values):
+                if None in vs:
+                    values[i] = [v if v is not None else (get(k) or long[k])
+                                 for k, v in zip(keys[i], vs)]
+        return [np.frombuffer(b"".join(v), "<i4") for v in values]
+
+    def encode(self, text: str | None) -> np.ndarray:
+        return self.encode_all([text])[0]
 
     def decode(self, ids: np.ndarray) -> bytes:
         """Bytes of a sequence of ids."""
@@ -197,6 +320,20 @@ class Codec:
         return gather(self.flat, self.offsets, self.lengths, ids)
 
 
+def _cut(text: str) -> list[str]:
+    """The cache keys of the segments of a text, in order."""
+    if RUN.search(text):
+        return [s[1:] if s[0] == " " and len(s) > 1 and not s[1].isspace() else " " + s
+                for s in CUT.split(text)]
+    # "a b\nc" -> segments "a", " b", "\nc"
+    first, *rest = text.replace("\n", " \n").split(" ")
+    return [" " + first, *rest]
+
+
+def _segment_of(key: str) -> str:
+    return key[1:] if key[0] == " " else key if key[0] == "\n" else " " + key
+
+
 def gather(flat: np.ndarray, offsets: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> bytes:
     """The pieces ``flat[offsets[i]:offsets[i] + lengths[i]]`` for all ids, one after another."""
     out = []
@@ -230,8 +367,8 @@ def _encode_rows(batches, vocabulary, pattern: str, names: list[str], text_at: i
     c = codec(vocabulary.value, pattern)
     for batch in batches:
         texts = batch.column(text_at).to_pylist()
-        for lo, hi in slices(texts, 4 << 20):
-            ids = [c.encode(t) for t in texts[lo:hi]]
+        for lo, hi in slices(texts, SLICE_CHARS):
+            ids = c.encode_all(texts[lo:hi])
             n = np.array([len(x) for x in ids], np.int64)
             flat = np.concatenate(ids) if ids else np.empty(0, "<i4")
             rows = batch.slice(lo, hi - lo)

@@ -2,7 +2,7 @@
 
 Every line is judged on its own: a *punctuation* rule (short lines must end a sentence, no
 line may be full of symbols), a *navigation* rule (menus and breadcrumbs) and a
-*boilerplate* rule (legal and interface phrases). Failing lines are removed; a document
+*boilerplate* rule (legal and interface phrases, words that stutter). Failing lines are removed; a document
 that loses more than ``max_loss`` of its characters, or fails the whole-text base rules, is
 rejected. All of it is row-local: no shuffle, no Python.
 
@@ -14,6 +14,9 @@ replaced by it.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,15 +37,24 @@ NAV_SEPARATORS = r"(?:\s[|»›→•·/>]+(?=\s|$))"
 NAV_ENTRY = (r"^(?:home|menu|search|contact|contact us|about|about us|login|log in|sign in|sign up|"
              r"register|next|previous|back|top|back to top|share|print|reply|more|read more|"
              r"skip to content)[.!:]?$")
-BOILERPLATE = (r"all rights reserved|copyright ©|©\s*\d{4}|privacy policy|terms of (?:use|service)|"
-               r"cookie policy|we use cookies|accept cookies|enable javascript|click here|"
-               r"subscribe to our newsletter|sign up for our|powered by|lorem ipsum|"
-               r"this work is licensed under|licensed under|released under the")
+BOILERPLATE = ("all rights reserved", "copyright ©", "© 19", "© 20", "©19", "©20", "privacy policy",
+               "terms of use", "terms of service", "cookie policy", "we use cookies",
+               "accept cookies", "enable javascript", "click here",
+               "subscribe to our newsletter", "sign up for our", "powered by", "lorem ipsum",
+               "this work is licensed under", "licensed under", "released under the")
+#: A word four times in a row.
+STUTTER = r"(?:^|\s)(\S++)(?:\s+\1(?=\s|$)){3}"
+
+
+def _symbols(text: Column) -> Column:
+    """How many characters of ``text`` are symbols."""
+    return F.regexp_count(text, F.lit(f"[{SYMBOLS}]"))
 
 
-def _chars_of(text: Column, chars: str) -> Column:
-    """How many characters of ``text`` are in ``chars``."""
-    return F.length(text) - F.length(F.translate(text, chars, ""))
+def _pair_up(hashes: str, step: int) -> Column:
+    """Hash of element i with element i + step; the last ones have no partner and are cut off
+    by the caller."""
+    return F.transform(hashes, lambda h, i: F.xxhash64(h, F.get(F.col(hashes), i + step)))
 
 
 def base_columns(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -56,9 +68,15 @@ def base_columns(df: DataFrame, text_col: str = "text") -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     d = df.withColumn("_w", words(F.col(text_col)))
     d = d.withColumn("n_words", F.size("_w").cast("long"))
-    d = d.withColumn("_h", F.when(F.col("n_words") >= WINDOW, F.transform(
-        F.sequence(F.lit(1), (F.col("n_words") - (WINDOW - 1)).cast("int")),
-        lambda i: F.xxhash64(F.slice(F.col("_w"), i, WINDOW)))))
+    d = d.withColumn("word_chars", F.length(F.array_join("_w", "")).cast("long"))
+    # Hash of every 8-word window out of those of 1, 2 and 4 words: three pairings a word.
+    d = d.withColumn("_h", F.when(F.col("n_words") >= WINDOW,
+                                  F.transform("_w", lambda w: F.xxhash64(w))))
+    step = 1
+    while step < WINDOW:
+        d = d.withColumn("_h", _pair_up("_h", step))
+        step *= 2
+    d = d.withColumn("_h", F.slice("_h", 1, (F.col("n_words") - (WINDOW - 1)).cast("int")))
     d = d.drop("_w")
     # Only texts with a repeated window go through the sort; the others stop here.
     d = d.withColumn("_s", F.when(
@@ -75,9 +93,7 @@ def base_columns(df: DataFrame, text_col: str = "text") -> DataFrame:
             F.lit(WINDOW), F.coalesce(F.get(F.col("_p"), j + 1) - p, F.lit(WINDOW)))),
         F.lit(0).cast("long"), lambda a, x: a + x)
     d = d.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0).cast("long"))).drop("_p")
-    d = d.withColumn("word_chars",
-                     (F.length(text) - _chars_of(text, WS_CHARS)).cast("long"))
-    d = d.withColumn("n_symbols", _chars_of(text, SYMBOLS).cast("long"))
+    d = d.withColumn("n_symbols", _symbols(text).cast("long"))
     d = d.withColumn("_l", F.filter(F.split(text, "\n"),
                                     lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     return (d.withColumn("n_dup_lines",
@@ -85,19 +101,18 @@ def base_columns(df: DataFrame, text_col: str = "text") -> DataFrame:
              .drop("_l"))
 
 
-def line_passes(line: Column) -> Column:
-    """Whether one line passes the punctuation, navigation and boilerplate rules.
+def line_passes(bare: Column, low: Column) -> Column:
+    """Whether a line passes the punctuation, navigation and boilerplate rules; it is given
+    without white space at its ends, as it is and in lower case.
 
     Blank lines pass: they separate paragraphs and carry no text.
     """
-    bare = F.btrim(line, F.lit(WS_CHARS))
-    low = F.lower(bare)
-    n_words = F.size(F.split(bare, WS_RUN))
-    short = n_words <= SHORT_LINE_WORDS
+    short = F.regexp_count(bare, F.lit(WS_RUN)) < SHORT_LINE_WORDS
     bad_punct = (short & ~bare.rlike(SENTENCE_END)) | (
-        _chars_of(bare, SYMBOLS) > MAX_SYMBOL_SHARE * F.length(bare))
-    nav = (F.size(F.split(bare, NAV_SEPARATORS)) > 3) | (short & low.rlike(NAV_ENTRY))
-    return (bare == "") | ~(bad_punct | nav | low.rlike(BOILERPLATE))
+        _symbols(bare) > MAX_SYMBOL_SHARE * F.length(bare))
+    nav = (F.regexp_count(bare, F.lit(NAV_SEPARATORS)) > 2) | (short & low.rlike(NAV_ENTRY))
+    boilerplate = reduce(or_, [low.contains(p) for p in BOILERPLATE])
+    return (bare == "") | ~(bad_punct | nav | boilerplate | bare.rlike(STUTTER))
 
 
 def quality_rules(df: DataFrame, text_col: str = "text", max_loss: float = MAX_LOSS) -> DataFrame:
@@ -108,7 +123,11 @@ def quality_rules(df: DataFrame, text_col: str = "text", max_loss: float = MAX_L
     d = d.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (
         100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
     d = d.withColumn("_l", F.split(text, "\n"))
-    d = d.withColumn("_k", F.filter("_l", line_passes))
+    # Trimmed and lower-cased once; inside a lambda each use would do it again.
+    d = d.withColumn("_b", F.transform("_l", lambda x: F.btrim(x, F.lit(WS_CHARS))))
+    d = d.withColumn("_m", F.transform("_b", lambda x: F.lower(x)))
+    d = d.withColumn("_k", F.filter("_l", lambda x, i: line_passes(
+        F.get(F.col("_b"), i), F.get(F.col("_m"), i)))).drop("_b", "_m")
     d = d.withColumn("n_lines", F.size("_l").cast("long"))
     d = d.withColumn("n_removed_lines", (F.size("_l") - F.size("_k")).cast("long")).drop("_l")
     d = d.withColumn("clean_text", F.array_join("_k", "\n")).drop("_k")

@@ -1,6 +1,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from chunkgraph.llm import quality_rules as qr
 from tests.conftest import SF_SMALL
@@ -52,15 +53,17 @@ PROSE = "The river rose in the night and the bridge was closed by morning."
     (PROSE, True), ("", True), ("   ", True), ("Short title", False), ("It ended.", True),
     ("Home | News | Sport | Weather | More", False), ("read more", False),
     ("We use cookies to improve your visit to this site and others.", False),
-    ("Released under the MIT License.", False), ("%%% ### $$$ text *** here && now it is.", False),
+    ("Released under the MIT License.", False), ("he said no no no no no and left the room", False),
+    ("he said no no, no and left the room at once", True), ("CLICK here to read more about the story", False), ("%%% ### $$$ text *** here && now it is.", False),
     ("A long line without any closing mark still counts as running text", True)])
 def test_line_rules(spark, line, ok):
     df = spark.createDataFrame([(line,)], "line string")
-    assert df.select(qr.line_passes(df.line)).first()[0] is ok
+    bare = F.btrim(df.line, F.lit(qr.WS_CHARS))
+    assert df.select(qr.line_passes(bare, F.lower(bare))).first()[0] is ok
 
 
 def test_documents_losing_too_much_are_rejected(spark):
-    prose = [f"{PROSE[:-1]} on day {i}." for i in range(4)]
+    prose = [" ".join(f"{w}{i}" for w in PROSE[:-1].split()) + "." for i in range(4)]
     menu = ["Home | News | Sport | Weather | More"] * 12
     rows = make_docs(spark, ["\n".join(prose), "\n".join(prose + menu[:1]), "\n".join(prose + menu)])
     got = [(r.kept, r.n_removed_lines) for r in qr.quality_rules(rows).orderBy("doc_id").collect()]
@@ -84,4 +87,4 @@ def test_filter_on_the_verdict_stays_above_the_rules(spark):
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
     kept = qr.quality_rules(docs).where("kept")
     assert kept.count() == qr.quality_rules(docs).groupBy("kept").count().where("kept").first()[1]
-    assert kept._jdf.queryExecution().optimizedPlan().toString().count("xxhash64") == 1
+    assert kept._jdf.queryExecution().optimizedPlan().toString().count("xxhash64") == 4
