@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from chunkgraph.llm import bpe, line_dedup, mixing, quality_rules, simhash
+from chunkgraph.llm import bpe, line_dedup, mixing, oph, quality_rules, simhash
 
 QUERIES = {
+    "op1_oph_fingerprints": oph.op1_oph_fingerprints,
     "op2_byte_bpe": bpe.op2_byte_bpe,
     "op6_source_mixing": mixing.op6_source_mixing,
     "op7_line_dedup": line_dedup.op7_line_dedup,
