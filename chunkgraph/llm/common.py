@@ -51,6 +51,16 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), WS_RUN), lambda w: w != "")
 
 
+def pinned(value: Column) -> Column:
+    """``value``, computed once where it stands.
+
+    The optimiser copies an expression into every filter above it and into every use below a
+    filter; chains of array functions then grow exponentially. It leaves non-deterministic
+    columns alone, so the value is bound to a row id, which is never negative.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, value)
+
+
 def slices(values: list, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Index ranges of ``values`` (bytes or strings, None allowed) of about ``limit`` each."""
     lo, held = 0, 0

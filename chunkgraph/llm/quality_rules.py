@@ -20,7 +20,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkgraph.llm.common import WS_CHARS, WS_RUN, read, words
+from chunkgraph.llm.common import WS_CHARS, WS_RUN, pinned, read, words
 
 #: Characters counted as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -136,10 +136,7 @@ def quality_rules(df: DataFrame, text_col: str = "text", max_loss: float = MAX_L
     left = F.length("clean_text") - F.greatest(
         F.col("n_lines") - F.col("n_removed_lines") - 1, F.lit(0))
     d = d.withColumn("loss", F.when(full > 0, 1 - left / full).otherwise(F.lit(0.0)))
-    # The id is never negative; being non-deterministic, it stops the optimiser from copying
-    # the whole chain of arrays above into every use of the verdict when it is filtered on.
-    return d.withColumn("kept", ~F.col("base_failed") & (F.col("loss") <= max_loss)
-                        & (F.monotonically_increasing_id() >= 0))
+    return d.withColumn("kept", pinned(~F.col("base_failed") & (F.col("loss") <= max_loss)))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

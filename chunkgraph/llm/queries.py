@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from chunkgraph.llm import bpe, line_dedup, mixing, oph, quality_rules, simhash
+from chunkgraph.llm import (bpe, langid, license_scan, line_dedup, mixing, oph, quality_rules, simhash,
+                            url_filter)
 
 QUERIES = {
     "op1_oph_fingerprints": oph.op1_oph_fingerprints,
     "op2_byte_bpe": bpe.op2_byte_bpe,
+    "op3_url_filter": url_filter.op3_url_filter,
+    "op4_language_id": langid.op4_language_id,
+    "op5_license_scan": license_scan.op5_license_scan,
     "op6_source_mixing": mixing.op6_source_mixing,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op9_simhash_dedup": simhash.op9_simhash_dedup,
