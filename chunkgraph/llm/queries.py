@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from chunkgraph.llm import (bpe, langid, license_scan, line_dedup, mixing, oph, quality_rules, simhash,
+from chunkgraph.llm import (bpe, langid, license_scan, line_dedup, lm, mixing, oph, quality_rules, simhash,
                             url_filter)
 
 QUERIES = {
@@ -14,6 +14,7 @@ QUERIES = {
     "op5_license_scan": license_scan.op5_license_scan,
     "op6_source_mixing": mixing.op6_source_mixing,
     "op7_line_dedup": line_dedup.op7_line_dedup,
+    "op8_lm_scores": lm.op8_lm_scores,
     "op9_simhash_dedup": simhash.op9_simhash_dedup,
     "op10_quality_rules": quality_rules.op10_quality_rules,
     "pipeline": corpus_pipeline.run,
