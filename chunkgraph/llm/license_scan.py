@@ -67,7 +67,8 @@ def bigrams(words: Column) -> Column:
 
 def size_bounds(size: int, threshold: float) -> tuple[float, float]:
     """The unit sizes that can reach the threshold against a template of this size."""
-    return size * threshold / (2 - threshold), size * (2 - threshold) / threshold
+    slack = 1e-9  # sizes are whole numbers
+    return size * threshold / (2 - threshold) - slack, size * (2 - threshold) / threshold + slack
 
 
 def compile_templates(spark: SparkSession, templates=TEMPLATES) -> list[tuple[str, dict[int, int]]]:
@@ -83,6 +84,10 @@ def compile_templates(spark: SparkSession, templates=TEMPLATES) -> list[tuple[st
     return out
 
 
+def _equals(value: int):
+    return lambda x: x == F.lit(value).cast("long")
+
+
 def _dice(unit: Column, size: Column, counts: dict[int, int], threshold: float) -> Column:
     """Dice coefficient with one template, null where it cannot reach the threshold."""
     total = sum(counts.values())
@@ -91,7 +96,7 @@ def _dice(unit: Column, size: Column, counts: dict[int, int], threshold: float)
     common = F.size(F.array_intersect(unit, ids))  # each template bigram once
     for g, c in counts.items():
         if c > 1:  # and again as often as both sides repeat it
-            has = F.size(F.filter(unit, lambda x, g=g: x == F.lit(g).cast("long")))
+            has = F.size(F.filter(unit, _equals(g)))
             common = common + F.greatest(F.least(has, F.lit(c)) - 1, F.lit(0))
     return F.when((size >= lo) & (size <= hi) & F.arrays_overlap(unit, ids),
                   2 * common / (size + total))
