@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkgraph.llm.common import read
+from chunkgraph.llm.common import read, store
 
 #: (host, path prefix, verdict); a rule holds for the host and its subdomains.
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"),
@@ -131,9 +131,13 @@ def template_tree(pages: DataFrame, labels: DataFrame | None) -> DataFrame:
     leaves = p.groupBy("host", "shape", "segs").agg(
         F.count(F.lit(1)).alias("n"), F.count("is_bad").alias("labelled"),
         F.coalesce(F.sum("is_bad"), F.lit(0)).alias("bad"))
-    leaves = _generalise(leaves).select("host", "shape", "template", "labelled", "bad")
+    # Every step reads its input several times, so each is stored: these tables have one row
+    # per host and shape, and the plans stay as small as one step.
+    leaves = store(leaves, "url-leaves")
+    leaves = store(_generalise(leaves).select("host", "shape", "template", "labelled", "bad"),
+                   "url-templates")
     for _ in range(MERGE_ROUNDS):
-        leaves = _merge_round(leaves)
+        leaves = store(_merge_round(leaves), "url-templates")
     t = leaves.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"),
                                                F.sum("bad").alias("bad"))
     hosts = t.groupBy("host").agg(F.sum("labelled").alias("hl"), F.sum("bad").alias("hb"))
