@@ -1,4 +1,4 @@
-"""Scalar string/array/JSON functions as Column expressions.
+"""Scalar string/array/JSON functions as Column expressions.
 
 Everything here compiles to built-in Catalyst expressions (regex, array higher-order
 functions), so it runs inside whole-stage code generation with no Python worker.
@@ -111,13 +111,3 @@ def calls_to_json(c) -> Column:
 def json_to_calls(c) -> Column:
     """H9: JSON text -> list of strings."""
     return F.from_json(_col(c), "array<string>")
-
-
-def qualified(*parts) -> Column:
-    """Dotted name from parts (nulls skipped)."""
-    return F.concat_ws(".", *[_col(p) for p in parts])
-
-
-def lookup_or_self(mapping, key) -> Column:
-    """``mapping.get(key, key)`` for a map column."""
-    return F.coalesce(F.try_element_at(_col(mapping), _col(key)), _col(key))

@@ -1,16 +1,15 @@
 """Line tables and line-range edits over whole corpora.
 
-A file is a ``lines(key, ln, line)`` table (``ln`` from 1). An edit is
-``(key, lo, hi, block, seq)``: delete lines ``lo..hi`` (``hi`` null = delete nothing) and
-put ``block`` before line ``lo``. All searches are ordered windows partitioned by file, so
-the work per file is ``O(n log n)`` in its lines - no per-edit scans over the file.
+An edit is ``(key, lo, hi, block, seq)``: delete lines ``lo..hi`` (``hi`` null = delete
+nothing) and put ``block`` before line ``lo`` (lines count from 1). Searches and edits run
+over the line array of a file inside its row; texts move once, to meet their edits.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chunkgraph.fixed import DOCSTRING_INDENT, PY_WS, QUOTES
@@ -30,9 +29,9 @@ def _lstrip(c):
     return F.regexp_replace(c, f"^[{PY_WS}]+", "")
 
 
-def block_bounds(lines: DataFrame, requests: DataFrame, keys: Sequence[str],
-                 start_col: str = "body_start_line", indent_col: str = "func_indent"
-                 ) -> DataFrame:
+def block_bounds(files: DataFrame, requests: DataFrame, keys: Sequence[str], text_col: str,
+                 start_col: str = "body_start_line", indent_col: str = "func_indent",
+                 normalize: bool = True) -> DataFrame:
     """L1 + A8: bounds of an existing docstring block at ``start_col`` of each request.
 
     The block starts there if that line, left-stripped, begins with triple quotes and the
@@ -41,56 +40,42 @@ def block_bounds(lines: DataFrame, requests: DataFrame, keys: Sequence[str],
     the same quote and starts with that indent. Output: the request columns plus
     ``doc_start``/``doc_end`` (both null unless both exist).
 
-    One ordered pass: every candidate closing line is listed once per indent it can close
-    (each prefix of its leading whitespace that ends in four spaces - bounded by the indent
-    width), requests and candidates meet in a window per (file, quote, indent) ordered from
-    the last line up, and a running minimum gives "the first closing line after me". The
-    requests are read once; nothing is joined back.
+    The requests of a file (bounded by its definitions) meet the file's text in one join;
+    the search runs over arrays in that row, against the lines that end with quotes only.
+    A request without a file keeps null bounds.
     """
     keys = list(keys)
-    exp = F.concat(F.col(indent_col), F.lit(DOCSTRING_INDENT))
-    first = lines.select(*[F.col(k).alias(f"_k_{k}") for k in keys],
-                         F.col("ln").alias("_s"), F.col("line").alias("_l"))
-    cond = [requests[k] == first[f"_k_{k}"] for k in keys] + [requests[start_col] == first["_s"]]
-    opened = requests.join(first, cond, "left").drop(*[f"_k_{k}" for k in keys], "_s")
-    body = _lstrip(F.col("_l"))
-    quote = (F.when(body.startswith(QUOTES[0]), F.lit(QUOTES[0]))
-             .when(body.startswith(QUOTES[1]), F.lit(QUOTES[1])))
-    q = F.when(F.col("_l").startswith(exp), quote)
-    n_quotes = F.floor((F.length("_l") - F.length(F.replace(F.col("_l"), q, F.lit("")))) / 3)
-    payload = [c for c in requests.columns]
-    req_rows = opened.select(
-        *keys, q.alias("_gq"), exp.alias("_gexp"), F.col(start_col).cast("int").alias("_at"),
-        F.lit(0).alias("_kind"), (q.isNotNull() & (n_quotes >= 2)).alias("_single"),
-        F.struct(*[F.col(c) for c in payload]).alias("_req"))
-
-    stripped = tx.py_strip(F.col("line"))
-    cq = (F.when(stripped.endswith(QUOTES[0]), F.lit(QUOTES[0]))
-          .when(stripped.endswith(QUOTES[1]), F.lit(QUOTES[1])))
-    ws = tx.indentation(F.col("line"))
-    prefixes = F.when(
-        F.length(ws) >= 4,
-        F.transform(F.filter(F.sequence(F.lit(4), F.length(ws)),
-                             lambda i: F.substring(ws, i - 3, 4) == F.lit(DOCSTRING_INDENT)),
-                    lambda i: F.substring(ws, F.lit(1), i))
-    ).otherwise(F.array().cast("array<string>"))
-    req_type = req_rows.schema["_req"].dataType
-    cand_rows = (lines.where(cq.isNotNull())
-                      .select(*keys, cq.alias("_gq"), F.explode(prefixes).alias("_gexp"),
-                              F.col("ln").cast("int").alias("_at"), F.lit(1).alias("_kind"),
-                              F.lit(None).cast("boolean").alias("_single"),
-                              F.lit(None).cast(req_type).alias("_req")))
-    w = (Window.partitionBy(*keys, "_gq", "_gexp")
-               .orderBy(F.col("_at").desc(), F.col("_kind"))
-               .rowsBetween(Window.unboundedPreceding, -1))
-    found = (req_rows.unionByName(cand_rows)
-                     .withColumn("_end", F.min(F.when(F.col("_kind") == 1, F.col("_at"))).over(w))
-                     .where(F.col("_kind") == 0))
-    end = F.when(F.col("_single"), F.col("_at")).otherwise(F.col("_end"))
-    ok = F.col("_gq").isNotNull() & end.isNotNull()
-    return found.select(*[F.col("_req")[c].alias(c) for c in payload],
-                        F.when(ok, F.col("_at")).cast("int").alias("doc_start"),
-                        F.when(ok, end).cast("int").alias("doc_end"))
+    payload = list(requests.columns)
+    text = tx.normalize_newlines(text_col) if normalize else F.col(text_col)
+    src = files.select(*keys, tx.split_lines(text).alias("_lines"))
+    grouped = requests.groupBy(*keys).agg(
+        F.collect_list(F.struct(*[F.col(c) for c in payload])).alias("_reqs"))
+
+    def quote_at(c, where):
+        test = (lambda q: c.startswith(q)) if where == "start" else (lambda q: c.endswith(q))
+        return F.when(test(QUOTES[0]), F.lit(QUOTES[0])).when(test(QUOTES[1]), F.lit(QUOTES[1]))
+
+    closing = F.filter(
+        F.transform("_lines", lambda x, i: F.struct(
+            (i + 1).cast("int").alias("ln"), x.alias("line"),
+            quote_at(tx.py_strip(x), "end").alias("q"))),
+        lambda c: c["q"].isNotNull())
+    d = (grouped.join(src, keys, "left").select("_reqs", "_lines", closing.alias("_close"))
+                .select(F.explode("_reqs").alias("_r"), "_lines", "_close"))
+    d = d.select("_r", "_close", F.get(F.col("_lines"), F.col("_r")[start_col] - 1).alias("_l"),
+                 F.concat(F.col("_r")[indent_col], F.lit(DOCSTRING_INDENT)).alias("_exp"))
+    q = F.when(F.col("_l").startswith(F.col("_exp")), quote_at(_lstrip(F.col("_l")), "start"))
+    d = d.select("_r", "_close", "_l", "_exp", q.alias("_q"))
+    start = F.col("_r")[start_col].cast("int")
+    n_quotes = F.floor((F.length("_l") - F.length(F.replace(F.col("_l"), F.col("_q"), F.lit("")))) / 3)
+    later = F.array_min(F.transform(
+        F.filter("_close", lambda c: (c["ln"] > start) & (c["q"] == F.col("_q"))
+                 & c["line"].startswith(F.col("_exp"))), lambda c: c["ln"]))
+    end = F.when(n_quotes >= 2, start).otherwise(later)
+    return d.select("_r", F.when(F.col("_q").isNotNull(), end).alias("_end")).select(
+        *[F.col("_r")[c].alias(c) for c in payload],
+        F.when(F.col("_end").isNotNull(), start).alias("doc_start"),
+        F.col("_end").cast("int").alias("doc_end"))
 
 
 def edit_rows(bounded: DataFrame, doc_col: str, indent_col: str = "func_indent",
@@ -122,41 +107,31 @@ def apply_edits(files: DataFrame, edits: DataFrame, keys: Sequence[str], text_co
     """L4 + J8: a new ``(keys, text)`` table with every edit applied in one pass.
 
     Edits are grouped per file (bounded by the definitions in one file) and left-joined to
-    the files - the only shuffle. A file without edits travels on as one piece; an edited
-    file becomes its lines plus its blocks. A line is dropped when an edit's ``lo..hi``
-    covers it: a running maximum of "covered up to" over the file's pieces in line order
-    decides that. Blocks go before line ``lo``; blocks on the same line are stacked with the
-    later ``seq`` on top, as repeated insertion at one index does. The ordered window and
-    the regrouping both reuse the join's partitioning by file, and each input is read once.
+    the files - the only shuffle of the texts. An edited text is put together inside its
+    row: the edits in line order, each after the lines that no earlier edit has covered. A
+    line is dropped when an edit's ``lo..hi`` covers it. Blocks on the same line are stacked
+    with the later ``seq`` on top, as repeated insertion at one index does. Files without
+    edits, and null texts, pass through untouched.
     """
     keys = list(keys)
     # A block element is the block text without its last newline: joining adds it back.
     blk = F.regexp_replace("block", "\n\\z", "")
     grouped = (edits.groupBy(*keys)
-                    .agg(F.collect_list(F.struct(
-                        F.col("lo").cast("int").alias("ln"), F.lit(0).alias("kind"),
-                        F.coalesce(F.col("hi"), F.col("lo") - 1).cast("int").alias("to"),
-                        blk.alias("txt"), F.col(seq_col).cast("long").alias("seq")))
+                    .agg(F.array_sort(F.collect_list(F.struct(
+                        F.col("lo").cast("int").alias("lo"), (-F.col(seq_col).cast("long")).alias("o"),
+                        blk.alias("block"),
+                        (F.coalesce(F.col("hi"), F.col("lo") - 1) + 1).cast("int").alias("next"))))
                          .alias("_eds")))
     text = tx.normalize_newlines(text_col) if normalize else F.col(text_col)
-    piece_of_line = lambda x, i: F.struct(
-        (i + 1).cast("int").alias("ln"), F.lit(1).alias("kind"),
-        F.lit(None).cast("int").alias("to"), x.alias("txt"), F.lit(None).cast("long").alias("seq"))
-    whole = F.array(F.struct(F.lit(0).alias("ln"), F.lit(1).alias("kind"),
-                             F.lit(None).cast("int").alias("to"), F.col(text_col).alias("txt"),
-                             F.lit(None).cast("long").alias("seq")))
-    pieces = F.when(F.col("_eds").isNull(), whole).otherwise(
-        F.concat(F.transform(tx.split_lines(text), piece_of_line), F.col("_eds")))
-    ev = (files.select(*keys, text_col).join(grouped, keys, "left")
-               .select(*keys, F.explode(pieces).alias("p"))
-               .select(*keys, "p.*"))
-    w = (Window.partitionBy(*keys).orderBy("ln", "kind")
-               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    kept = (ev.withColumn("_cover", F.max("to").over(w))
-              .where((F.col("kind") == 0) | F.col("_cover").isNull() | (F.col("_cover") < F.col("ln"))))
-    piece = F.struct(F.col("ln"), F.col("kind"), (-F.coalesce("seq", F.lit(0))).alias("_o"),
-                     F.col("txt").alias("v"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda x: x["v"]), "\n")
-    # A file with no text at all (null content, no edits) stays null.
-    return (kept.groupBy(*keys)
-                .agg(F.when(F.count("txt") > 0, joined).alias(text_col)))
+    d = files.select(*keys, text_col).join(grouped, keys, "left")
+    d = d.withColumn("_lines", F.when(F.col("_eds").isNotNull(), tx.split_lines(text)))
+    first_free = lambda n: F.coalesce(F.greatest(F.array_max(F.transform(
+        F.slice("_eds", F.lit(1), n), lambda e: e["next"])), F.lit(1)), F.lit(1))
+    body = F.flatten(F.transform("_eds", lambda e, i: F.concat(
+        F.slice("_lines", first_free(i), F.greatest(e["lo"] - first_free(i), F.lit(0))),
+        F.array(e["block"]))))
+    end = first_free(F.size("_eds"))
+    tail = F.slice("_lines", end, F.greatest(F.size("_lines") - end + 1, F.lit(0)))
+    done = F.array_join(F.concat(body, tail), "\n")
+    return d.select(*keys, F.when(F.col("_lines").isNull(), F.col(text_col)).otherwise(done)
+                    .alias(text_col))

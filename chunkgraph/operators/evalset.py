@@ -87,12 +87,14 @@ def eval_rows(samples: DataFrame, predictions: DataFrame, key: str,
 
 
 def top_contexts(turns: DataFrame, key: str, order_col: str, text_col: str,
-                 top_n: int = 10) -> DataFrame:
-    """Per key, the texts of the first ``top_n`` rows in ``order_col`` order, as a list.
-
-    The cut comes first (partial window-group limit before the shuffle), so the ordered
-    collect per key is bounded by ``top_n`` even for a key with a huge number of rows.
-    """
+                 top_n: int | None = None) -> DataFrame:
+    """Per key, the texts of its rows in ``order_col`` order, as a list; with ``top_n`` only
+    the first that many (cut by a partial window-group limit before the shuffle)."""
+    if top_n is None:
+        pair = F.struct(F.col(order_col).alias("k"), F.col(text_col).alias("v"))
+        return (turns.groupBy(key)
+                     .agg(F.transform(F.array_sort(F.collect_list(pair)), lambda x: x["v"])
+                          .alias("contexts")))
     w = Window.partitionBy(key).orderBy(order_col)
     cut = turns.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= F.lit(top_n))
     return (cut.groupBy(key)

@@ -1,14 +1,15 @@
-"""Source files -> chunk rows, in one distributed job.
+"""Source files -> chunk rows.
 
-``files(path, content)`` is read in Arrow batches by ``mapInArrow``; each file is parsed
-with the standard-library ``ast`` module and yields 0..n chunk rows, or exactly one reject
-row carrying the error. Everything around this job (splitting, key dedup, ids, edges) is
-DataFrame code.
+One Arrow job reads each file once and reports *facts*: the definitions with their spans
+and texts, the import bindings and the call sites, each with an ordinal that tells what was
+seen before what. Everything that is decided about them is column expressions over those
+arrays: which definitions become chunks, class texts, types, name resolution, the builtin
+filter, dedup and order.
 
 What a file yields:
 
-* module level, class bodies and compound statements are visited; function bodies are
-  not (a nested ``def`` belongs to its outer chunk, imports inside functions are unseen);
+* module level, class bodies and compound statements count; function bodies do not (a
+  nested ``def`` belongs to its outer chunk, imports inside functions are unseen);
 * a function chunk is the ``def`` segment (decorators excluded); its type is ``method``
   inside a class, else ``function`` / ``async_function``;
 * a class chunk runs from the ``class`` line to the line before the first method, or -
@@ -17,220 +18,226 @@ What a file yields:
   without such a method it is the whole class segment;
 * ``calls``: every call under the node, its dotted name resolved through the imports
   seen so far, builtins dropped, deduplicated and sorted.
+
+Newlines are normalised first, as a text-mode read does. A file that cannot be parsed, or
+whose texts cannot be stored as UTF-8, gives exactly one reject row with the error.
 """
 
 from __future__ import annotations
 
 import ast
 import builtins
-import re
+from itertools import accumulate
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chunkgraph.fixed import (INIT_METHOD, TYPE_ASYNC_FUNCTION, TYPE_CLASS, TYPE_FUNCTION,
                               TYPE_METHOD)
+from chunkgraph.functions import text as tx
 from chunkgraph.schemas import RAW_CHUNKS
 from chunkgraph.session import ship_package
 
-_BUILTIN_NAMES = frozenset(dir(builtins))
-
-_ARROW_SCHEMA = pa.schema([
-    pa.field("path", pa.string()),
-    pa.field("chunk_no", pa.int32()),
-    pa.field("name", pa.string()),
-    pa.field("type", pa.string()),
-    pa.field("parent_class", pa.string()),
-    pa.field("content", pa.string()),
-    pa.field("line_number", pa.int32()),
-    pa.field("body_start_line", pa.int32()),
-    pa.field("docstring", pa.string()),
-    pa.field("calls", pa.list_(pa.string())),
-    pa.field("error", pa.string()),
+_CALL = T.StructType([T.StructField("root", T.StringType()),
+                      T.StructField("attrs", T.ArrayType(T.StringType()))])
+_DEF = T.StructType([
+    T.StructField("kind", T.StringType()),            # def, async or class
+    T.StructField("name", T.StringType()),
+    T.StructField("scope", T.StringType()),           # innermost enclosing class
+    T.StructField("owner", T.IntegerType()),          # class whose body holds it directly
+    T.StructField("methods", T.ArrayType(T.IntegerType())),  # a class's first two
+    T.StructField("line", T.IntegerType()),
+    T.StructField("body_line", T.IntegerType()),
+    T.StructField("doc", T.StringType()),
+    T.StructField("text", T.StringType()),
+    T.StructField("calls", T.ArrayType(_CALL)),
+    T.StructField("at", T.IntegerType()),
+])
+_IMPORT = T.StructType([T.StructField("local", T.StringType()),
+                        T.StructField("target", T.StringType()),
+                        T.StructField("at", T.IntegerType())])
+FACTS = T.StructType([
+    T.StructField("path", T.StringType()), T.StructField("content", T.StringType()),
+    T.StructField("defs", T.ArrayType(_DEF)), T.StructField("imports", T.ArrayType(_IMPORT)),
+    T.StructField("error", T.StringType()),
 ])
 
-
-# The parser's line rule (lines end at \r\n, \n or \r; ends kept), as the standard
-# library's source-segment helper applies it.
-_LINE = re.compile(r"(.*?(?:\r\n|\n|\r|$))")
-
-
-class _Segments:
-    """Source segments of one file with its lines split once.
-
-    The standard helper re-splits the whole source on every call, which makes a file with
-    many definitions quadratic; this gives the same text from one split. Column offsets
-    are UTF-8 byte offsets, as the parser reports them.
-    """
-
-    def __init__(self, source: str):
-        self.lines = [m[0] for m in _LINE.finditer(source)]
-        self._encoded: dict[int, bytes] = {}
-
-    def _b(self, i: int) -> bytes:
-        b = self._encoded.get(i)
-        if b is None:
-            b = self._encoded[i] = self.lines[i].encode()
-        return b
-
-    def of(self, node: ast.AST) -> str | None:
-        end_line = getattr(node, "end_lineno", None)
-        end_col = getattr(node, "end_col_offset", None)
-        if end_line is None or end_col is None:
-            return None
-        lo, hi = node.lineno - 1, end_line - 1
-        if lo == hi:
-            return self._b(lo)[node.col_offset:end_col].decode()
-        return (self._b(lo)[node.col_offset:].decode() + "".join(self.lines[lo + 1:hi])
-                + self._b(hi)[:end_col].decode())
-
-
-def _subtree(node: ast.AST):
-    """Every node under ``node`` (itself included), in no particular order; the same set
-    ``ast.walk`` yields, with less per-node overhead."""
-    stack = [node]
-    while stack:
-        cur = stack.pop()
-        yield cur
-        for field in cur._fields:
-            value = getattr(cur, field, None)
-            if isinstance(value, ast.AST):
-                stack.append(value)
-            elif isinstance(value, list):
-                stack.extend(v for v in value if isinstance(v, ast.AST))
-
-
-class _ChunkCollector(ast.NodeVisitor):
-    """Walks one module and records its chunk rows in visit order."""
-
-    def __init__(self, source: str):
-        self.source = source
-        self.segments = _Segments(source)
-        self.lines = source.splitlines(keepends=True)
-        self.enclosing_class: str | None = None
-        self.folded: set[int] = set()        # id() of __init__ nodes merged into a class
-        self.imported: dict[str, str] = {}   # local name -> qualified name
-        self.rows: list[dict] = []
-
-    # -- imports --------------------------------------------------------------------------
-    def visit_Import(self, node: ast.Import) -> None:
-        for item in node.names:
-            self.imported[item.asname or item.name] = item.name
-        self.generic_visit(node)
-
-    def visit_ImportFrom(self, node: ast.ImportFrom) -> None:
-        prefix = node.module or ""
-        for item in node.names:
-            qualified = f"{prefix}.{item.name}" if prefix else item.name
-            self.imported[item.asname or item.name] = qualified
-        self.generic_visit(node)
-
-    # -- calls ----------------------------------------------------------------------------
-    def dotted(self, expr: ast.AST) -> str | None:
-        if isinstance(expr, ast.Name):
-            return self.imported.get(expr.id, expr.id)
-        if isinstance(expr, ast.Attribute):
-            base = self.dotted(expr.value)
-            return f"{base}.{expr.attr}" if base else expr.attr
-        return None
-
-    def calls_under(self, node: ast.AST) -> list[str]:
-        names = {self.dotted(sub.func) for sub in _subtree(node) if isinstance(sub, ast.Call)}
-        return sorted(n for n in names if n and n not in _BUILTIN_NAMES)
-
-    # -- definitions ----------------------------------------------------------------------
-    def _record(self, node, kind: str, parent: str | None, text: str, calls: list[str]) -> None:
-        first_body = node.body[0].lineno if node.body else node.lineno
-        self.rows.append({
-            "name": node.name, "type": kind, "parent_class": parent, "content": text,
-            "line_number": node.lineno, "body_start_line": first_body,
-            "docstring": ast.get_docstring(node), "calls": calls,
-        })
-
-    def _function(self, node, plain_kind: str) -> None:
-        if id(node) in self.folded:
-            return
-        kind = TYPE_METHOD if self.enclosing_class else plain_kind
-        text = self.segments.of(node) or ""
-        self._record(node, kind, self.enclosing_class, text, self.calls_under(node))
-
-    def visit_FunctionDef(self, node: ast.FunctionDef) -> None:
-        self._function(node, TYPE_FUNCTION)
-
-    def visit_AsyncFunctionDef(self, node: ast.AsyncFunctionDef) -> None:
-        self._function(node, TYPE_ASYNC_FUNCTION)
-
-    def visit_ClassDef(self, node: ast.ClassDef) -> None:
-        defs = [s for s in node.body if isinstance(s, (ast.FunctionDef, ast.AsyncFunctionDef))]
-        calls: list[str] = []
-        stop_at = defs[0] if defs else None
-        if defs and defs[0].name == INIT_METHOD:
-            self.folded.add(id(defs[0]))
-            calls = self.calls_under(defs[0])
-            stop_at = defs[1] if len(defs) > 1 else None
-        if stop_at is not None:
-            lo = max(node.lineno - 1, 0)
-            hi = min(stop_at.lineno - 1, len(self.lines))
-            text = "".join(self.lines[lo:hi])
-        else:
-            text = self.segments.of(node) or ""
-        self._record(node, TYPE_CLASS, None, text, calls)
-        outer, self.enclosing_class = self.enclosing_class, node.name
-        self.generic_visit(node)
-        self.enclosing_class = outer
-
-
-def extract_source(path: str, content: str | None) -> list[dict]:
-    """Chunk rows of one file, or one reject row (``error`` set) if it cannot be parsed."""
+# Lines as the class texts count them: every line boundary of Python's str.splitlines.
+_LINE_END = "(?<=[\\n\\x0B\\f\\x1C-\\x1E\\x85\\u2028\\u2029])"
+
+
+def _call_name(func: ast.AST) -> dict | None:
+    """A call site as its root name (null when the base is no name) and attribute names."""
+    attrs = []
+    while isinstance(func, ast.Attribute):
+        attrs.append(func.attr)
+        func = func.value
+    root = func.id if isinstance(func, ast.Name) else None
+    return {"root": root, "attrs": attrs[::-1]} if root or attrs else None
+
+
+def file_facts(source: str) -> tuple[list[dict], list[dict]]:
+    """``(defs, imports)`` of one parsed source, in the order of the source."""
+    raw = source.encode()
+    line_at = [0, *accumulate(len(x) + 1 for x in raw.split(b"\n"))]
+    defs: list[dict] = []
+    imports: list[dict] = []
+    # (node, enclosing class name, number of the class whose body this is or None)
+    todo: list[tuple[ast.AST, str | None, int | None]] = [(ast.parse(source), None, None)]
+    at = 0
+    while todo:
+        node, scope, owner = todo.pop()
+        at += 1
+        if isinstance(node, (ast.Import, ast.ImportFrom)):
+            module = getattr(node, "module", None)
+            imports += [{"local": a.asname or a.name, "at": at,
+                         "target": f"{module}.{a.name}" if module else a.name} for a in node.names]
+            continue
+        inside, body_of = scope, None
+        if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
+            is_class = isinstance(node, ast.ClassDef)
+            kind = "class" if is_class else "async" if isinstance(node, ast.AsyncFunctionDef) else "def"
+            lo = line_at[node.lineno - 1] + node.col_offset
+            hi = line_at[node.end_lineno - 1] + node.end_col_offset
+            if owner is not None and not is_class and len(defs[owner]["methods"]) < 2:
+                defs[owner]["methods"].append(len(defs))
+            defs.append({
+                "kind": kind, "name": node.name, "scope": scope, "owner": owner, "methods": [],
+                "line": node.lineno, "body_line": node.body[0].lineno, "at": at,
+                "doc": ast.get_docstring(node), "text": raw[lo:hi].decode(),
+                "calls": [] if is_class else [
+                    c for sub in ast.walk(node) if isinstance(sub, ast.Call)
+                    if (c := _call_name(sub.func))]})
+            if not is_class:
+                continue
+            inside, body_of = node.name, len(defs) - 1
+        direct = set(map(id, node.body)) if body_of is not None else ()
+        todo += [(child, inside, body_of if id(child) in direct else None)
+                 for child in reversed(list(ast.iter_child_nodes(node)))]
+    return defs, imports
+
+
+def _facts_of(path: str, content: str | None) -> dict:
+    row = {"path": path, "content": None, "defs": None, "imports": None, "error": None}
     try:
         if content is None:
             raise ValueError("file has no content")
-        tree = ast.parse(content)
-        collector = _ChunkCollector(content)
-        collector.visit(tree)
+        defs, imports = file_facts(content)
+        for d in defs:  # escapes such as "\ud800" parse, but are no text
+            (d["doc"] or "").encode()
+        return row | {"content": content, "defs": defs, "imports": imports}
     except SyntaxError as exc:
-        return [{"path": path, "error": f"SyntaxError: {exc.msg} (line {exc.lineno})"}]
+        return row | {"error": f"SyntaxError: {exc.msg} (line {exc.lineno})"}
     except Exception as exc:  # noqa: BLE001 - any failure isolates the file, not the task
-        return [{"path": path, "error": f"{type(exc).__name__}: {exc}"}]
-    return [dict(row, path=path, chunk_no=i) for i, row in enumerate(collector.rows)]
+        return row | {"error": f"{type(exc).__name__}: {exc}"}
 
 
 # Output batches are flushed by size, so memory stays bounded however many files an input
-# batch holds (``spark.sql.execution.arrow.maxRecordsPerBatch`` sets the input side).
-_FLUSH_ROWS = 2048
-_FLUSH_CHARS = 32 << 20
-
-
-def _extract_batches(batches):
+# batch holds.
+_FLUSH_ROWS = 256
+_FLUSH_CHARS = 16 << 20
+_ARROW_CALL = pa.struct([("root", pa.string()), ("attrs", pa.list_(pa.string()))])
+_ARROW_FACTS = pa.schema([
+    ("path", pa.string()), ("content", pa.string()),
+    ("defs", pa.list_(pa.struct([
+        ("kind", pa.string()), ("name", pa.string()), ("scope", pa.string()), ("owner", pa.int32()),
+        ("methods", pa.list_(pa.int32())), ("line", pa.int32()), ("body_line", pa.int32()),
+        ("doc", pa.string()), ("text", pa.string()), ("calls", pa.list_(_ARROW_CALL)),
+        ("at", pa.int32())]))),
+    ("imports", pa.list_(pa.struct([("local", pa.string()), ("target", pa.string()), ("at", pa.int32())]))),
+    ("error", pa.string())])
+
+
+def _read_batches(batches):
     rows: list[dict] = []
     chars = 0
     for batch in batches:
-        paths = batch.column("path").to_pylist()
-        contents = batch.column("content").to_pylist()
-        for path, content in zip(paths, contents):
-            out = extract_source(path, content)
-            rows.extend(out)
-            chars += sum(len(r.get("content") or "") for r in out)
+        for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            rows.append(_facts_of(path, content))
+            chars += len(content or "")
             if len(rows) >= _FLUSH_ROWS or chars >= _FLUSH_CHARS:
-                yield pa.RecordBatch.from_pylist(rows, schema=_ARROW_SCHEMA)
+                yield pa.RecordBatch.from_pylist(rows, schema=_ARROW_FACTS)
                 rows, chars = [], 0
     if rows:
-        yield pa.RecordBatch.from_pylist(rows, schema=_ARROW_SCHEMA)
+        yield pa.RecordBatch.from_pylist(rows, schema=_ARROW_FACTS)
 
 
-def extract_chunks(files: DataFrame, path_col: str = "path", content_col: str = "content",
-                   spread: int | None = None) -> DataFrame:
-    """Run the extraction job; output has the :data:`RAW_CHUNKS` schema.
+def extract_facts(files: DataFrame, path_col: str = "path", content_col: str = "content",
+                  spread: int | None = None) -> DataFrame:
+    """The Arrow job: one row of facts per file (:data:`FACTS`).
 
     ``spread`` redistributes files round-robin first (useful when the source has fewer,
-    larger partitions than there are cores). Rows with ``error IS NOT NULL`` are rejects.
+    larger partitions than there are cores).
     """
     ship_package(files.sparkSession)
-    src = files.select(F.col(path_col).alias("path"), F.col(content_col).alias("content"))
+    src = files.select(F.col(path_col).alias("path"),
+                       tx.normalize_newlines(content_col).alias("content"))
     if spread:
         src = src.repartition(spread)
-    return src.mapInArrow(_extract_batches, RAW_CHUNKS)
+    return src.mapInArrow(_read_batches, FACTS)
+
+
+def _resolved(call: Column, imports: Column, at: Column) -> Column:
+    """Dotted name of a call; its root goes through the latest binding before ``at``."""
+    known = F.filter(imports, lambda b: (b["local"] == call["root"]) & (b["at"] < at))
+    latest = F.array_max(F.transform(known, lambda b: F.struct(b["at"], b["target"])))
+    root = F.coalesce(latest["target"], call["root"])
+    return F.concat_ws(".", root, call["attrs"])
+
+
+def resolve_calls(calls: Column, imports: Column, at: Column) -> Column:
+    """Resolved call names without builtins, each once, sorted."""
+    builtin = F.expr("array(" + ", ".join(f"'{n}'" for n in sorted(dir(builtins))) + ")")
+    names = F.transform(calls, lambda c: _resolved(c, imports, at))
+    return F.array_sort(F.array_distinct(F.filter(names, lambda n: ~F.array_contains(builtin, n))))
+
+
+def chunk_rows(facts: DataFrame) -> DataFrame:
+    """Facts -> chunk rows (:data:`RAW_CHUNKS`), rejects included."""
+    defs = F.col("defs")
+    nth = lambda d, i: F.get(defs, F.get(d["methods"], F.lit(i)))
+    has_init = lambda d: F.coalesce(nth(d, 0)["name"] == INIT_METHOD, F.lit(False))
+    is_folded = lambda d, i: F.coalesce(
+        (d["name"] == INIT_METHOD) & (F.get(F.get(defs, d["owner"])["methods"], F.lit(0)) == i), F.lit(False))
+    # Class texts end before ``stop``; an __init__ that comes first belongs to the class.
+    prepared = F.transform(defs, lambda d, i: F.struct(
+        d.alias("d"), is_folded(d, i).alias("folded"),
+        F.when(has_init(d), nth(d, 1)["line"]).otherwise(nth(d, 0)["line"]).alias("stop"),
+        F.when(has_init(d), nth(d, 0)["calls"]).otherwise(d["calls"]).alias("calls")))
+    good = facts.where(F.col("error").isNull()).select(
+        "path", "imports", F.split("content", _LINE_END).alias("lines"),
+        F.split("content", "\n").alias("rows"), prepared.alias("defs"))
+    # Only the lines a row needs go with it: its class header and its first line.
+    slim = F.transform(F.filter("defs", lambda x: ~x["folded"]), lambda x: F.struct(
+        x["d"].alias("d"), x["calls"].alias("calls"),
+        F.when((x["d"]["kind"] == "class") & x["stop"].isNotNull(), F.array_join(F.slice(
+            F.col("lines"), x["d"]["line"], x["stop"] - x["d"]["line"]), "")).alias("header"),
+        tx.indentation(F.get(F.col("rows"), x["d"]["line"] - 1)).alias("func_indent")))
+    good = good.select("path", "imports", F.posexplode(slim).alias("chunk_no", "x"))
+    d = F.col("x.d")
+    plain = F.when(d["kind"] == "async", TYPE_ASYNC_FUNCTION).otherwise(TYPE_FUNCTION)
+    kind = F.when(d["kind"] == "class", TYPE_CLASS).when(
+        d["scope"].isNotNull(), TYPE_METHOD).otherwise(plain)
+    good = good.select(
+        "path", "chunk_no", d["name"].alias("name"), kind.alias("type"),
+        F.when(d["kind"] != "class", d["scope"]).alias("parent_class"),
+        F.coalesce("x.header", d["text"]).alias("content"), d["line"].alias("line_number"),
+        d["body_line"].alias("body_start_line"), d["doc"].alias("docstring"),
+        resolve_calls(F.col("x.calls"), F.col("imports"), d["at"]).alias("calls"),
+        "x.func_indent", F.lit(None).cast("string").alias("error"))
+    bad = facts.where(F.col("error").isNotNull()).select(*[
+        F.col(f.name) if f.name in ("path", "error") else F.lit(None).cast(f.dataType).alias(f.name)
+        for f in RAW_CHUNKS])
+    return good.select([f.name for f in RAW_CHUNKS]).unionByName(bad)
+
+
+def extract_chunks(files: DataFrame, path_col: str = "path", content_col: str = "content",
+                   spread: int | None = None) -> DataFrame:
+    """Chunk and reject rows of a corpus (:data:`RAW_CHUNKS`); rows with ``error IS NOT
+    NULL`` are rejects."""
+    return chunk_rows(extract_facts(files, path_col, content_col, spread))
 
 
 def good_chunks(raw: DataFrame) -> DataFrame:

@@ -61,7 +61,7 @@ def out_degree(chunks: DataFrame, edges: DataFrame) -> DataFrame:
 
     ``n_calls`` counts distinct callee texts, ``n_resolved`` those naming a chunk.
     """
-    names = chunks.select(F.col("name").alias("r_name"))
+    names = chunks.select(F.col("name").alias("r_name")).distinct()
     per_caller = (edges.join(names, edges.callee == names.r_name, "left")
                        .groupBy("caller_id")
                        .agg(F.count("*").alias("n_calls"),
@@ -74,7 +74,8 @@ def out_degree(chunks: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def resolved_edges(chunks: DataFrame, edges: DataFrame) -> DataFrame:
-    """Edges whose callee names a chunk, with both endpoints' ``id, name, path, docstring``.
+    """Edges whose callee names a chunk, with both endpoints' ``id, name, path`` and whether
+    they are documented (texts stay out of the joins).
 
     Two joins: edges by callee name against chunks by name (a hub name is one chunk row
     against many edge rows - the skew-split shape), then by caller id against chunks by id.
@@ -82,7 +83,7 @@ def resolved_edges(chunks: DataFrame, edges: DataFrame) -> DataFrame:
     def side(prefix):
         return chunks.select(F.col("id").alias(f"{prefix}_id"), F.col("name").alias(f"{prefix}_name"),
                              F.col("path").alias(f"{prefix}_path"),
-                             F.col("docstring").alias(f"{prefix}_doc"))
+                             F.col("docstring").isNotNull().alias(f"{prefix}_has_doc"))
     callee, caller = side("callee"), side("caller")
     e = edges.select(F.col("caller_id").alias("_caller"), F.col("callee").alias("_callee"))
     return (e.join(callee, e["_callee"] == callee["callee_name"])
@@ -107,26 +108,26 @@ def context_candidates(chunks: DataFrame, edges: DataFrame,
 
     ``targets``: ``None`` = every undocumented chunk (filtered in place, no join); otherwise
     a frame with an ``id`` column (semi-joined). Output: ``target_id, target_path, cand_id,
-    cand_name, cand_path, cand_doc, dep``.
+    cand_name, cand_path, cand_has_doc, dep``.
     """
     r = resolved_edges(chunks, edges)
 
     def row(t, c, dep):
         return F.struct(F.col(f"{t}_id").alias("target_id"), F.col(f"{t}_path").alias("target_path"),
-                        F.col(f"{t}_doc").alias("target_doc"), F.col(f"{c}_id").alias("cand_id"),
+                        F.col(f"{t}_has_doc").alias("target_has_doc"), F.col(f"{c}_id").alias("cand_id"),
                         F.col(f"{c}_name").alias("cand_name"), F.col(f"{c}_path").alias("cand_path"),
-                        F.col(f"{c}_doc").alias("cand_doc"), F.lit(dep).alias("dep"))
+                        F.col(f"{c}_has_doc").alias("cand_has_doc"), F.lit(dep).alias("dep"))
 
     both = r.select(F.explode(F.array(row("caller", "callee", 1), row("callee", "caller", 0)))
                     .alias("x")).select("x.*")
     if targets is None:
-        both = both.where(F.col("target_doc").isNull())
+        both = both.where(~F.col("target_has_doc"))
     else:
         both = both.join(targets.select(F.col("id").alias("target_id")), "target_id", "left_semi")
     # Candidate attributes depend on cand_id alone; keeping them as grouping keys avoids a
     # join back to the chunk table after the dedup.
     return (both.groupBy("target_id", "target_path", "cand_id", "cand_name", "cand_path",
-                         "cand_doc")
+                         "cand_has_doc")
                 .agg(F.max("dep").alias("dep"))
                 .select("target_id", "target_path", "cand_id", "cand_name", "cand_path",
-                        "cand_doc", "dep"))
+                        "cand_has_doc", "dep"))

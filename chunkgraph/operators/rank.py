@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from chunkgraph.fixed import CONTEXT_SEPARATOR, DEPENDENCY_RATIO, DONE_MARKER, TOP_N
 from chunkgraph.functions import text as tx
-from chunkgraph.operators.graph import context_candidates
+from chunkgraph.operators.graph import context_candidates, dependencies, dependents
 
 
 def bucket_sizes(top_n: int = TOP_N, dependency_ratio: float = DEPENDENCY_RATIO) -> tuple[int, int]:
@@ -32,7 +32,7 @@ def bucket_sizes(top_n: int = TOP_N, dependency_ratio: float = DEPENDENCY_RATIO)
 
 
 def documented(doc_state: str = "sequential") -> F.Column:
-    has = F.col("cand_doc").isNotNull()
+    has = F.col("cand_has_doc")
     if doc_state == "sequential":
         return has | (F.col("cand_id") < F.col("target_id"))
     if doc_state == "snapshot":
@@ -56,21 +56,19 @@ def rank_candidates(cands: DataFrame, top_n: int = TOP_N, dependency_ratio: floa
     key2 = F.when(is_dep, F.col("cand_path") == F.col("target_path")).otherwise(
         F.col("cand_path") != F.col("target_path"))
     w = Window.partitionBy("target_id", "dep").orderBy(key1.desc(), key2.desc(),
-                                                        F.col("cand_name").desc())
+                                                        F.col("cand_name").desc(), F.col("cand_id"))
     ranked = cands.withColumn("rn", F.row_number().over(w))
     bound = max(k_dep, k_use)
     ranked = ranked.where((F.col("rn") <= F.lit(bound))
                           & (F.col("rn") <= F.when(is_dep, F.lit(k_dep)).otherwise(F.lit(k_use))))
-    doc_view = F.col("cand_doc")
-    if doc_state == "sequential":
-        doc_view = F.coalesce(doc_view, F.when(F.col("cand_id") < F.col("target_id"),
-                                               F.lit(DONE_MARKER)))
+    done = (~F.col("cand_has_doc") & (F.col("cand_id") < F.col("target_id"))
+            if doc_state == "sequential" else F.lit(False))
     return ranked.select(
         "target_id", "cand_id", "cand_name", "cand_path",
         F.col("dep").cast("int").alias("dep"),
         F.col("rn").cast("long").alias("rn"),
         (F.col("dep") * F.lit(k_use) + F.col("rn")).cast("long").alias("pos"),
-        doc_view.alias("cand_docstring"))
+        done.alias("cand_done"))
 
 
 def rank_context(chunks: DataFrame, edges: DataFrame, targets: DataFrame | None = None,
@@ -81,6 +79,32 @@ def rank_context(chunks: DataFrame, edges: DataFrame, targets: DataFrame | None
     return rank_candidates(cands, top_n, dependency_ratio, doc_state)
 
 
+def retrieve_by_name(chunks: DataFrame, edges: DataFrame, requests: DataFrame,
+                     top_n: int = TOP_N, dependency_ratio: float = DEPENDENCY_RATIO) -> DataFrame:
+    """J3/J4/J7 for targets given as ``(name, path)``: one row per related chunk.
+
+    ``role`` is ``callee`` (J3), ``caller`` (J4) or ``context`` (J7, with its prompt
+    position); a request that names no chunk gets no row. The stored docstrings decide the
+    ranking (``snapshot``), as requests need not follow the order of a full pass.
+    Output: ``name, path, role, rel_id, rel_name, rel_path, pos``.
+    """
+    asked = requests.select("name", "path").distinct()
+    targets = chunks.join(asked, ["name", "path"], "left_semi")
+    key = targets.select(F.col("id").alias("t"), "name", "path")
+
+    def rows(df, t, prefix, role, pos):
+        return df.join(key, df[t] == key["t"]).select(
+            "name", "path", F.lit(role).alias("role"), F.col(f"{prefix}_id").alias("rel_id"),
+            F.col(f"{prefix}_name").alias("rel_name"), F.col(f"{prefix}_path").alias("rel_path"),
+            pos.alias("pos"))
+
+    none = F.lit(None).cast("long")
+    ranked = rank_context(chunks, edges, targets, top_n, dependency_ratio, "snapshot")
+    return (rows(dependencies(chunks, edges, targets), "chunk_id", "dep", "callee", none)
+            .unionByName(rows(dependents(chunks, edges, targets), "chunk_id", "user", "caller", none))
+            .unionByName(rows(ranked, "target_id", "cand", "context", F.col("pos"))))
+
+
 def undocumented_targets(chunks: DataFrame, doc_col: str = "docstring") -> DataFrame:
     """The chunks to document (``docstring IS NULL``; an empty string is documented)."""
     return chunks.where(F.col(doc_col).isNull())
@@ -89,15 +113,16 @@ def undocumented_targets(chunks: DataFrame, doc_col: str = "docstring") -> DataF
 def context_rows(ranked: DataFrame, chunks: DataFrame) -> DataFrame:
     """P4 + U2: result documents of each target in prompt order.
 
-    Content is attached after the top-k cut, so the wide text column never travels
+    Content and docstring are attached after the top-k cut, so no wide column travels
     through the candidate joins, the dedup or the window.
     """
     c = chunks.select(F.col("id").alias("cand_id"), "path", "name", "type", "parent_class",
-                      "line_number", "content")
-    return (ranked.select("target_id", "cand_id", "pos", "cand_docstring")
+                      "line_number", "docstring", "content")
+    doc = F.coalesce("docstring", F.when(F.col("cand_done"), F.lit(DONE_MARKER)))
+    return (ranked.select("target_id", "cand_id", "pos", "cand_done")
                   .join(c, "cand_id")
                   .select("target_id", "pos", "path", "name", "type", "parent_class",
-                          "line_number", F.col("cand_docstring").alias("docstring"), "content"))
+                          "line_number", doc.alias("docstring"), "content"))
 
 
 def context_strings(rows: DataFrame, sep: str = CONTEXT_SEPARATOR) -> DataFrame:

@@ -127,7 +127,16 @@ def q_mark_done(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.mark_done(chunks, finished).select("id", "docstring")
 
 
+def q_retrieve_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J3/J4/J7 by (name, path): every chunk asked for, and as many misses (a wrong path)."""
+    c = views.cg_chunks(spark, sf_dir)
+    asked = c.select("name", "path").unionByName(
+        c.select("name", F.concat(F.lit("no/"), F.col("path")).alias("path")))
+    return rank.retrieve_by_name(c, views.cg_edges(spark, sf_dir), asked)
+
+
 QUERIES = {
+    "retrieve_by_name": q_retrieve_by_name,
     "edge_build": q_edge_build,
     "undocumented": q_undocumented,
     "lookup_by_id": q_lookup_by_id,

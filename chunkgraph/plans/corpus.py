@@ -21,7 +21,8 @@ is folded into the class chunk, so the class calls ``setup``):
         def part_<id>(self):
             ...
 
-Files whose ``id div 100`` ends in 9 get a broken last line and must be rejected.
+Where a query asks for it, files whose ``id div 100`` ends in 9 get a broken last line and
+must be rejected.
 Extraction over this corpus must give back the CG edges exactly.
 """
 
@@ -105,8 +106,8 @@ def sc_files(spark: SparkSession, sf_dir: str, broken: bool = True,
     return files.checkpoint(eager=True)
 
 
-def _raw(spark, sf_dir):
-    return extract.extract_chunks(sc_files(spark, sf_dir))
+def _raw(spark, sf_dir, broken=False):
+    return extract.extract_chunks(sc_files(spark, sf_dir, broken))
 
 
 def q_extract_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,20 +126,20 @@ def q_call_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_rejects_per_dir(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files that failed to parse, counted per top-level directory."""
-    rej = extract.rejects(_raw(spark, sf_dir))
+    rej = extract.rejects(_raw(spark, sf_dir, broken=True))
     return (rej.groupBy(F.substring_index("path", "/", 1).alias("dir"))
                .agg(F.count(F.lit(1)).cast("long").alias("n_rejects")))
 
 
 def q_index_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S10 chunk table: extraction, split, first-wins by name, dense ids."""
-    idx = build_index(sc_files(spark, sf_dir))
+    """S10 chunk table: extraction, first-wins by name, dense ids."""
+    idx = build_index(sc_files(spark, sf_dir, broken=False))
     return idx.chunks.select("id", "name", "path", "type", "line_number")
 
 
 def q_index_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S10 edge table with the ids of the built index."""
-    idx = build_index(sc_files(spark, sf_dir))
+    idx = build_index(sc_files(spark, sf_dir, broken=False))
     return idx.edges
 
 

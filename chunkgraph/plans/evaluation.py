@@ -43,7 +43,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     answers = (conv.where(F.col("role") == "assistant")
                    .groupBy("conv_id")
                    .agg(F.min_by("text", "turn").alias("raw")))
-    ctx = evalset.top_contexts(conv, "conv_id", "turn", "text", top_n=10)
+    ctx = evalset.top_contexts(conv, "conv_id", "turn", "text")
     return (answers.join(ctx, "conv_id", "full")
                    .select(F.col("conv_id").alias("item_id"),
                            tx.clean_response("raw").alias("answer"), "contexts"))

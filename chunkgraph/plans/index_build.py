@@ -1,7 +1,7 @@
 """Build the chunk and edge tables from a corpus, and store them.
 
-files -> extraction job (X1) -> size split (X4) -> first-wins by name (A1) ->
-dense ids (W2) -> edges (X3 + A2).
+files -> extraction job (X1) -> first-wins by name (A1) -> dense ids (W2) -> edges (X3 + A2)
+and pieces (X4). Chunks keep their whole text; the size split is a table of its own.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from chunkgraph.operators import extract, graph, index, split
 from chunkgraph.schemas import CHUNKS, EDGES
 
 CHUNK_COLUMNS = ["id", "path", "name", "type", "content", "parent_class", "line_number",
-                 "body_start_line", "docstring", "calls"]
+                 "body_start_line", "docstring", "calls", "func_indent"]
 
 
 @dataclass
@@ -23,40 +23,49 @@ class Index:
     chunks: DataFrame
     edges: DataFrame
     rejects: DataFrame
+    pieces: DataFrame
 
 
 def build_index(files: DataFrame, size: int = split.CHUNK_SIZE,
                 overlap: int = split.CHUNK_OVERLAP, key: tuple[str, ...] = ("name",),
                 spread: int | None = None) -> Index:
-    """Index a corpus. The first row per ``key`` in (path, chunk_no, piece_no) order wins,
-    so a chunk longer than ``size`` keeps only its first piece, and a name defined in two
-    files keeps the definition from the first path."""
+    """Index a corpus. The first chunk per ``key`` in (path, chunk_no) order wins, so a name
+    defined in two files keeps the definition from the first path. ``pieces(chunk_id,
+    piece_no, content)`` holds every piece of every kept chunk."""
     raw = extract.extract_chunks(files, spread=spread)
-    pieces = split.split_pieces(extract.good_chunks(raw), "content", size, overlap)
-    kept = index.first_wins(pieces, list(key), ["path", "chunk_no", "piece_no"])
+    kept = index.first_wins(extract.good_chunks(raw), list(key), ["path", "chunk_no"])
     chunks = index.dense_ids(kept, ["path", "chunk_no"], "id").select(*CHUNK_COLUMNS)
-    return Index(chunks=chunks, edges=graph.build_edges(chunks), rejects=extract.rejects(raw))
+    pieces = split.split_pieces(chunks.select(F.col("id").alias("chunk_id"), "content"),
+                                "content", size, overlap).select("chunk_id", "piece_no", "content")
+    return Index(chunks=chunks, edges=graph.build_edges(chunks), rejects=extract.rejects(raw),
+                 pieces=pieces)
 
 
 def save_index(idx: Index, base: str, mode: str = "ignore") -> None:
     """Write the two tables with their fixed schemas. ``mode="ignore"`` is build-once
-    (an existing index is kept as it is); ``"overwrite"`` refreshes it. Chunks are written
-    sorted by name within each file so a later name lookup reads few row groups."""
-    conform(idx.chunks, CHUNKS).sortWithinPartitions("name").write.mode(mode).parquet(
+    (a complete index is kept as it is); ``"overwrite"`` refreshes it. Chunks are written
+    sorted by name within each file so a later name lookup reads few row groups.
+
+    The edges' success marker is written last and stands for the pair: an index whose
+    edges are missing is rebuilt whole, so ids never come from two builds.
+    """
+    spark = idx.chunks.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base}/edges/_SUCCESS")
+    whole = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+    if mode == "ignore" and whole:
+        return
+    conform(idx.chunks, CHUNKS).sortWithinPartitions("name").write.mode("overwrite").parquet(
         f"{base}/chunks")
-    conform(idx.edges, EDGES).write.mode(mode).parquet(f"{base}/edges")
+    conform(idx.edges, EDGES).write.mode("overwrite").parquet(f"{base}/edges")
 
 
 def conform(df: DataFrame, schema) -> DataFrame:
-    """Select and cast ``df`` to exactly the columns and types of ``schema``."""
-    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+    """Select and cast ``df`` to exactly the columns and types of ``schema``; a nullable
+    column that ``df`` lacks is null."""
+    return df.select(*[(F.lit(None) if f.nullable and f.name not in df.columns else F.col(f.name))
+                       .cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
 def load_index(spark, base: str) -> tuple[DataFrame, DataFrame]:
     """Full scans of the stored chunk and edge tables."""
     return spark.read.parquet(f"{base}/chunks"), spark.read.parquet(f"{base}/edges")
-
-
-def calls_as_json(chunks: DataFrame) -> DataFrame:
-    """H8 at the storage boundary: ``calls`` as JSON text."""
-    return chunks.withColumn("calls", F.to_json("calls"))

@@ -67,30 +67,28 @@ def q_clean_response(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("conv_id", "turn", tx.clean_response("raw").alias("docstring"))
 
 
-def sc_edit_requests(spark: SparkSession, sf_dir: str):
-    """(files, lines, requests): one request per extracted definition, with its def-line
+def sc_edit_requests(spark: SparkSession, sf_dir: str, broken: bool = False):
+    """(files, requests): one request per extracted definition, with its def-line
     indentation and the new docstring text to write."""
-    files = sc_files(spark, sf_dir)
+    files = sc_files(spark, sf_dir, broken)
     good = extract.good_chunks(extract.extract_chunks(files))
-    lines = edits.line_table(files, ["path"], "content")
-    def_lines = lines.select("path", F.col("ln").alias("line_number"), F.col("line").alias("_def"))
     new_doc = F.concat(F.lit("Summary of "), F.col("name"), F.lit(".\n\nCalls: "),
                        F.array_join("calls", ", "))
-    req = (good.join(def_lines, ["path", "line_number"])
-               .select("path", "name", "line_number", "body_start_line",
-                       tx.indentation("_def").alias("func_indent"), new_doc.alias("new_doc")))
-    return files, lines, req
+    req = good.select("path", "name", "line_number", "body_start_line", "func_indent",
+                      new_doc.alias("new_doc"))
+    return files, req
 
 
 def q_block_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L1 + A8: existing docstring block of every definition."""
-    _, lines, req = sc_edit_requests(spark, sf_dir)
-    return edits.block_bounds(lines, req, ["path"]).select("path", "name", "doc_start", "doc_end")
+    files, req = sc_edit_requests(spark, sf_dir)
+    return (edits.block_bounds(files, req, ["path"], "content")
+                 .select("path", "name", "doc_start", "doc_end"))
 
 
-def _sc_edits(spark, sf_dir):
-    files, lines, req = sc_edit_requests(spark, sf_dir)
-    bounded = edits.block_bounds(lines, req, ["path"])
+def _sc_edits(spark, sf_dir, broken=False):
+    files, req = sc_edit_requests(spark, sf_dir, broken)
+    bounded = edits.block_bounds(files, req, ["path"], "content")
     return files, edits.edit_rows(bounded, "new_doc").withColumn("seq", F.col("line_number"))
 
 
@@ -106,22 +104,43 @@ def q_edits_per_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_apply_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L4 + J8 + S9: the corpus rewritten with a new docstring block for every definition
     (old blocks replaced); files that failed to parse are passed through unchanged."""
-    files, e = _sc_edits(spark, sf_dir)
+    files, e = _sc_edits(spark, sf_dir, broken=True)
     return edits.apply_edits(files, e, ["path"], "content")
 
 
-def q_rewrite_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _rewritten(spark: SparkSession, sf_dir: str):
     """The whole run over the corpus: index, one model-style answer per undocumented target
-    (fenced and quoted, so it must be cleaned), and the rewritten files. Documented
-    definitions stay as they are; a name defined in several files is indexed - and so
-    documented - only where it is defined first."""
+    (fenced and quoted, so it must be cleaned), among answers that must not be applied:
+    null ones, later ones for the same target, ones for documented chunks and unknown ids."""
     files = sc_files(spark, sf_dir)
     idx = build_index(files)
-    answers = rank.undocumented_targets(idx.chunks).select(
-        F.col("id").alias("target_id"),
-        F.concat(F.lit('```python\n"""Summary of '), F.col("name"), F.lit(".\n\nCalls: "),
-                 F.array_join("calls", ", "), F.lit('"""\n```')).alias("raw"))
-    return rewrite_corpus(files, answers, idx).files
+    targets = rank.undocumented_targets(idx.chunks)
+    raw = F.concat(F.lit('```python\n"""Summary of '), F.col("name"), F.lit(".\n\nCalls: "),
+                   F.array_join("calls", ", "), F.lit('"""\n```'))
+    tid = F.col("id").alias("target_id")
+    answers = (targets.select(tid, raw.alias("raw"))
+               .unionByName(targets.select(tid, F.concat(raw, F.lit(" or not")).alias("raw")))
+               .unionByName(targets.select(tid, F.lit(None).cast("string").alias("raw")))
+               .unionByName(idx.chunks.where("docstring IS NOT NULL").select(tid, F.lit("x").alias("raw")))
+               .unionByName(targets.select((F.col("id") + 10 ** 12).alias("target_id"), F.lit("x").alias("raw"))))
+    return rewrite_corpus(files, answers, idx)
+
+
+def q_rewrite_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rewritten files. Documented definitions stay as they are; a name defined in
+    several files is indexed - and so documented - only where it is defined first."""
+    return _rewritten(spark, sf_dir).files
+
+
+def q_rewrite_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L3: the chunk table after the run; only the targets carry the marker."""
+    return _rewritten(spark, sf_dir).chunks.select("id", "name", "docstring")
+
+
+def q_rewrite_unapplied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The answers that were not applied, counted by reason."""
+    out = _rewritten(spark, sf_dir).unapplied
+    return out.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 QUERIES = {
@@ -134,4 +153,6 @@ QUERIES = {
     "edits_per_file": q_edits_per_file,
     "apply_edits": q_apply_edits,
     "rewrite_targets": q_rewrite_targets,
+    "rewrite_chunks": q_rewrite_chunks,
+    "rewrite_unapplied": q_rewrite_unapplied,
 }

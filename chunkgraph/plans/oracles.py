@@ -119,6 +119,22 @@ SELECT t.id AS target_id, t.name, t.path,
          || '### Target Code:' || chr(10) || t.content AS prompt
 FROM targets t LEFT JOIN ctx x ON x.target_id = t.id"""
 
+# Every chunk as a target, its callers and callees ranked by the stored docstrings.
+CG_RANK_ALL = CG_RANK.replace("SELECT * FROM cg_chunks WHERE docstring IS NULL", "SELECT * FROM cg_chunks"
+                              ).replace("(c.docstring IS NOT NULL OR c.id < u.target_id)",
+                                        "(c.docstring IS NOT NULL)")
+
+ORACLES["retrieve_by_name"] = CG_RANK_ALL + """
+SELECT t.name, t.path, 'callee' AS role, c.id AS rel_id, c.name AS rel_name, c.path AS rel_path,
+       CAST(NULL AS BIGINT) AS pos
+FROM cg_chunks t JOIN cg_edges e ON e.caller_id = t.id JOIN cg_chunks c ON c.name = e.callee
+UNION ALL
+SELECT t.name, t.path, 'caller', c.id, c.name, c.path, NULL
+FROM cg_chunks t JOIN cg_edges e ON e.callee = t.name JOIN cg_chunks c ON c.id = e.caller_id
+UNION ALL
+SELECT t.name, t.path, 'context', r.cand_id, r.cand_name, r.cand_path, CAST(r.pos AS BIGINT)
+FROM ranked r JOIN cg_chunks t ON t.id = r.target_id"""
+
 ORACLES["chunk_ids"] = CG + """
 SELECT name, CAST(row_number() OVER (ORDER BY path, line_number, name) AS BIGINT) AS new_id
 FROM cg_chunks"""
@@ -229,11 +245,14 @@ sc_index AS (
         WHERE name <> 'setup' OR path = (SELECT min(path) FROM sc_expected WHERE name = 'setup')) s)
 """
 
-ORACLES["extract_chunks"] = SC + """
+# The corpus with every file intact.
+SC_WHOLE = SC.replace("WHERE file_no % 10 <> 9", "")
+
+ORACLES["extract_chunks"] = SC_WHOLE + """
 SELECT path, chunk_no, name, type, parent_class, line_number, body_start_line, docstring, content
 FROM sc_expected"""
 
-ORACLES["call_lists"] = SC + """
+ORACLES["call_lists"] = SC_WHOLE + """
 SELECT path, name, CAST(len(calls) AS BIGINT) AS n_calls, array_to_string(calls, ',') AS calls_text
 FROM sc_expected"""
 
@@ -241,12 +260,12 @@ ORACLES["rejects_per_dir"] = SC + """
 SELECT split_part(sc_path, '/', 1) AS dir, CAST(COUNT(DISTINCT sc_path) AS BIGINT) AS n_rejects
 FROM sc_pos WHERE file_no % 10 = 9 GROUP BY 1"""
 
-ORACLES["index_chunks"] = SC + "SELECT id, name, path, type, line_number FROM sc_index"
+ORACLES["index_chunks"] = SC_WHOLE + "SELECT id, name, path, type, line_number FROM sc_index"
 
-ORACLES["index_edges"] = SC + """
+ORACLES["index_edges"] = SC_WHOLE + """
 SELECT id AS caller_id, callee FROM (SELECT id, unnest(calls) AS callee FROM sc_index) t"""
 
-ORACLES["sc_edges_roundtrip"] = SC + """
+ORACLES["sc_edges_roundtrip"] = SC_WHOLE + """
 SELECT id AS caller_id, callee FROM (SELECT id, unnest(calls_full) AS callee FROM sc_good) t"""
 
 ORACLES["corpus_scan"] = SC + """,
@@ -379,9 +398,11 @@ SELECT sc_path AS path, CAST(i AS INTEGER) AS ln,
        CAST(length(line) - length(ltrim(line, ' ')) AS BIGINT) AS indent_len
 FROM ls"""
 
-ORACLES["block_bounds"] = SC_FILES + "SELECT path, name, doc_start, doc_end FROM sc_bounds"
+SC_FILES_WHOLE = SC_FILES.replace(SC, SC_WHOLE)
 
-ORACLES["edits_per_file"] = SC_FILES + """
+ORACLES["block_bounds"] = SC_FILES_WHOLE + "SELECT path, name, doc_start, doc_end FROM sc_bounds"
+
+ORACLES["edits_per_file"] = SC_FILES_WHOLE + """
 SELECT path, CAST(COUNT(*) AS BIGINT) AS n_edits,
        string_agg(CAST(COALESCE(doc_start, body_start_line) AS VARCHAR) || '-'
                   || COALESCE(CAST(doc_end AS VARCHAR), ''), ',' ORDER BY body_start_line) AS spans
@@ -475,6 +496,15 @@ UNION ALL
 SELECT sc_path, content FROM sc_file WHERE file_no % 10 = 9"""
 
 
+ORACLES["rewrite_chunks"] = SC + """
+SELECT id, name, COALESCE(docstring, 'DONE') AS docstring FROM sc_index"""
+
+ORACLES["rewrite_unapplied"] = SC + """
+SELECT reason, CAST(COUNT(*) AS BIGINT) AS n FROM (
+  SELECT unnest(CASE WHEN docstring IS NULL THEN ['other answers', 'null answer', 'no such chunk']
+                     ELSE ['already documented'] END) AS reason FROM sc_index) t GROUP BY reason"""
+
+
 # ---------------------------------------------------------------------------------------
 # Evaluation sets.
 def _clean_sql(x: str) -> str:
@@ -507,7 +537,7 @@ WITH ranked AS (
 ans AS (SELECT conv_id, text AS raw FROM ranked WHERE role = 'assistant' AND rn_role = 1),
 ctx AS (SELECT conv_id, COUNT(*) AS n,
                string_agg(text, chr(10) || '---' || chr(10) ORDER BY turn) AS t
-        FROM ranked WHERE rn <= 10 GROUP BY conv_id)
+        FROM ranked GROUP BY conv_id)
 SELECT b.item_id, b.text AS question, """ + _clean_sql("a.raw") + """ AS answer,
        CAST(COALESCE(c.n, 0) AS BIGINT) AS n_contexts, COALESCE(c.t, '') AS contexts_text,
        d.text AS ground_truth

@@ -19,6 +19,7 @@ RAW_CHUNKS = T.StructType([
     T.StructField("body_start_line", T.IntegerType(), True),
     T.StructField("docstring", T.StringType(), True),
     T.StructField("calls", T.ArrayType(T.StringType()), True),
+    T.StructField("func_indent", T.StringType(), True),
     T.StructField("error", T.StringType(), True),
 ])
 
@@ -33,14 +34,10 @@ CHUNKS = T.StructType([
     T.StructField("body_start_line", T.IntegerType(), True),
     T.StructField("docstring", T.StringType(), True),
     T.StructField("calls", T.ArrayType(T.StringType()), True),
+    T.StructField("func_indent", T.StringType(), True),
 ])
 
 EDGES = T.StructType([
     T.StructField("caller_id", T.LongType(), False),
     T.StructField("callee", T.StringType(), False),
 ])
-
-EVAL_SAMPLE = T.StructType([
-    T.StructField("source_code", T.StringType(), True),
-    T.StructField("docstring", T.StringType(), True),
-])

@@ -26,7 +26,7 @@ def tmpdir_path():
 
 def chunk_row(id_, name, path, type_, content, parent=None, line=1, body=None, doc=None,
               calls=()):
-    return (id_, path, name, type_, content, parent, line, body, doc, list(calls))
+    return (id_, path, name, type_, content, parent, line, body, doc, list(calls), "")
 
 
 # The reference's three-chunk fixture (A calls B, C isolated) plus D calling A.

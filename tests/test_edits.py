@@ -70,12 +70,11 @@ def test_block_bounds_cases(spark):
     lines = SRC.split("\n")
     reqs = [("a", 2, ""), ("b", 6, ""), ("m", 14, "    "), ("n", 18, "    "), ("d", 21, ""),
             ("e", 25, "")]
-    ldf = edits.line_table(spark.createDataFrame([("f.py", SRC)], "path string, text string"),
-                           ["path"], "text")
+    fdf = spark.createDataFrame([("f.py", SRC)], "path string, text string")
     rdf = spark.createDataFrame([("f.py",) + r for r in reqs],
                                 "path string, name string, body_start_line int, func_indent string")
     got = {r.name: (r.doc_start, r.doc_end)
-           for r in edits.block_bounds(ldf, rdf, ["path"]).collect()}
+           for r in edits.block_bounds(fdf, rdf, ["path"], "text").collect()}
     want = {n: bounds_model(lines, b, ind) for n, b, ind in reqs}
     assert got == want
     assert want["b"] == (6, 9) and want["a"] == (2, 2) and want["d"] == (None, None)

@@ -1,67 +1,62 @@
-"""Extraction job (X1/X2/S2) on the reference's code samples, run through Spark."""
+"""Extraction job (X1/X2/S2) on small modules, run through Spark."""
 
-from chunkgraph.operators import extract
-from chunkgraph.plans.index_build import build_index
+import ast
 
-FUNCTIONS = '''
-def func_a():
-    """Doc A."""
-    pass
+import pytest
 
-def func_b(arg1, arg2):
-    """Doc B."""
-    return arg1 + arg2
-'''
+from chunkgraph.operators import extract
+from chunkgraph.plans.index_build import build_index
+from tests.conftest import SF_SMALL
 
-CLASS = '''
-class MyClass:
-    """Class doc."""
-    def __init__(self, val):
-        self.val = val
+SHAPES = '''
+import math as m
+from shapes import units as u
 
-    def method_a(self):
-        """Method A."""
-        return self.val * 2
+def area(w, h):
+    """Area in square units."""
+    return u.scale(w * h)
 
-    @property
-    def prop(self):
-        """Property doc."""
-        return self.val
+def diagonal(w, h):
+    """Length of the diagonal."""
+    return round(m.sqrt(w * w + h * h)) + area(w, h)
 '''
 
-WITH_CALLS = '''
-import numpy as np
-from os import path
+ACCOUNT = '''
+class Account:
+    """An account with a balance."""
+    def __init__(self, owner):
+        self.owner = check(owner)
 
-def func_one():
-    print("hello")
-    res = np.array([1, 2])
-    func_two(res)
+    def deposit(self, amount):
+        """Add money."""
+        self.total += amount
 
-def func_two(data):
-    is_valid = path.exists("/tmp")
-    return data
+    @property
+    def balance(self):
+        """Money left."""
+        return self.total
 '''
 
-NESTED = '''
-class Outer:
-    def run(self):
-        def inner():
-            helper()
-        return inner()
+MIXED = '''
+class Tree:
+    def grow(self):
+        def ring():
+            bark()
+        return ring()
 
-    class Inner:
-        def go(self):
+    class Leaf:
+        def fall(self):
             import json
             return json.dumps({})
 
-async def fetch():
-    await get()
+async def rain():
+    await cloud()
 
-def late():
+def autumn():
     json.loads("1")
-    f().save()
+    season().turn.red()
     str.join(",", [])
+    (lambda: 1)()
 '''
 
 
@@ -71,133 +66,127 @@ def run(spark, sources):
     return sorted(rows, key=lambda r: (r.path, r.chunk_no if r.chunk_no is not None else -1))
 
 
-def test_two_functions(spark):
-    rows = run(spark, {"t.py": FUNCTIONS})
-    assert [(r.name, r.type, r.docstring) for r in rows] == [
-        ("func_a", "function", "Doc A."), ("func_b", "function", "Doc B.")]
-    assert "func_a" in rows[0].content and rows[0].line_number == 2
-    assert rows[0].body_start_line == 3
-
-
-def test_class_merges_init(spark):
-    rows = run(spark, {"t.py": CLASS})
-    assert len(rows) == 3
-    cls, meth, prop = rows
-    assert cls.name == "MyClass" and cls.type == "class_definition"
-    assert "class MyClass" in cls.content and "__init__" in cls.content
-    assert "method_a" not in cls.content
-    assert cls.docstring == "Class doc." and cls.parent_class is None
-    assert (meth.name, meth.type, meth.parent_class, meth.docstring) == (
-        "method_a", "method", "MyClass", "Method A.")
-    assert (prop.name, prop.type, prop.parent_class) == ("prop", "method", "MyClass")
-    assert prop.content.startswith("def prop")
-    # the class text runs up to the line before the split method's def, so the
-    # decorator of a method that is split off would be included; here method_a is first
-    assert cls.content.rstrip().endswith("self.val = val")
-
-
-def test_calls_resolve_aliases_and_drop_builtins(spark):
-    one, two = run(spark, {"t.py": WITH_CALLS})
-    assert set(one.calls) == {"numpy.array", "func_two"}
-    assert set(two.calls) == {"os.path.exists"}
-
-
-def test_no_descent_into_functions(spark):
-    rows = {r.name: r for r in run(spark, {"n.py": NESTED})}
-    assert set(rows) == {"Outer", "run", "Inner", "go", "fetch", "late"}
-    assert rows["run"].calls == ["helper", "inner"]  # nested def is part of the outer chunk
-    assert rows["Inner"].parent_class is None          # nested class: no parent recorded
-    assert rows["go"].parent_class == "Inner"
-    assert rows["fetch"].type == "async_function"
-    # the import inside go() is never seen, so json.loads stays unresolved-but-qualified
-    assert rows["late"].calls == ["f", "json.loads", "save", "str.join"]
-
-
-def test_syntax_error_rejects_file(spark):
-    rows = run(spark, {"bad.py": "def bad_func(:", "ok.py": FUNCTIONS})
-    bad = [r for r in rows if r.path == "bad.py"]
-    assert len(bad) == 1 and bad[0].error.startswith("SyntaxError") and bad[0].name is None
-    assert len([r for r in rows if r.path == "ok.py" and r.error is None]) == 2
-
-
-def test_two_function_repository_index(spark):
-    src = '''
-def func_a():
-    """A simple function that calls another."""
-    func_b()
-
-def func_b():
-    """A simple function that does nothing."""
-    pass
-'''
-    files = spark.createDataFrame([("my_module.py", src)], "path string, content string")
-    idx = build_index(files)
-    got = {r.name: list(r.calls) for r in idx.chunks.collect()}
-    assert got == {"func_a": ["func_b"], "func_b": []}
-    assert [(r.caller_id, r.callee) for r in idx.edges.collect()] == [(1, "func_b")]
-    assert idx.rejects.count() == 0
+def test_functions_and_their_docstrings(spark):
+    rows = run(spark, {"s.py": SHAPES})
+    assert [(r.name, r.type, r.docstring, r.line_number, r.body_start_line) for r in rows] == [
+        ("area", "function", "Area in square units.", 5, 6),
+        ("diagonal", "function", "Length of the diagonal.", 9, 10)]
+    assert rows[0].content.splitlines()[-1] == "    return u.scale(w * h)"
+
+
+def test_calls_go_through_import_bindings_and_skip_builtins(spark):
+    a, d = run(spark, {"s.py": SHAPES})
+    assert a.calls == ["shapes.units.scale"] and d.calls == ["area", "math.sqrt"]
 
 
-def test_first_definition_of_a_name_wins(spark):
-    files = spark.createDataFrame([("b.py", "def f():\n    return 2\n"),
-                                   ("a.py", "def f():\n    return 1\n")],
-                                  "path string, content string")
-    chunks = build_index(files).chunks.collect()
-    assert [(r.name, r.path, r.id) for r in chunks] == [("f", "a.py", 1)]
+def test_class_takes_its_init(spark):
+    cls, deposit, balance = run(spark, {"a.py": ACCOUNT})
+    assert (cls.name, cls.type, cls.parent_class, cls.docstring, cls.calls) == (
+        "Account", "class_definition", None, "An account with a balance.", ["check"])
+    assert cls.content.startswith("class Account:") and "__init__" in cls.content
+    assert cls.content.rstrip().endswith("self.owner = check(owner)")
+    assert (deposit.type, deposit.parent_class, deposit.func_indent) == ("method", "Account", "    ")
+    assert balance.content.startswith("def balance") and balance.docstring == "Money left."
 
 
-def test_imports_apply_only_after_they_are_seen(spark):
-    src = "def early():\n    np.zeros(1)\n\nimport numpy as np\n\ndef late():\n    np.zeros(1)\n"
+def test_function_bodies_are_not_entered(spark):
+    rows = {r.name: r for r in run(spark, {"m.py": MIXED})}
+    assert set(rows) == {"Tree", "grow", "Leaf", "fall", "rain", "autumn"}
+    assert rows["grow"].calls == ["bark", "ring"] and rows["Leaf"].parent_class is None
+    assert rows["fall"].parent_class == "Leaf" and rows["rain"].type == "async_function"
+    # the import inside fall() is unseen; a call on a call keeps its attributes only
+    assert rows["autumn"].calls == ["json.loads", "season", "str.join", "turn.red"]
+
+
+def test_imports_of_every_form_and_their_order(spark):
+    src = ("def before():\n    q.go()\n\n"
+           "import a.b as q\nimport c.d\nfrom . import near\nfrom ..pkg import far as away\n"
+           "from e import *\n\n"
+           "def after():\n    q.go(); c.d.go(); near.x(); away(); c.z()\n\n"
+           "if True:\n    import f as q\n\n"
+           "def last():\n    q.go()\n")
     rows = {r.name: r.calls for r in run(spark, {"m.py": src})}
-    assert rows == {"early": ["np.zeros"], "late": ["numpy.zeros"]}
+    assert rows == {"before": ["q.go"], "last": ["f.go"],
+                    "after": ["a.b.go", "c.d.go", "c.z", "near.x", "pkg.far"]}
+
+
+def test_class_level_imports_are_unknown_to_the_folded_init(spark):
+    src = "class C:\n    import x as y\n    def __init__(self):\n        y.a()\n    def m(self):\n        y.a()\n"
+    rows = {r.name: r.calls for r in run(spark, {"c.py": src})}
+    assert rows == {"C": ["y.a"], "m": ["x.a"]}
+
+
+def test_compound_statements_in_classes(spark):
+    src = ("class C:\n    if True:\n        def __init__(self):\n            g()\n"
+           "    else:\n        async def alt(self):\n            h()\n")
+    rows = {r.name: r for r in run(spark, {"c.py": src})}
+    # an __init__ that is not directly in the class body stays a method of its own
+    assert set(rows) == {"C", "__init__", "alt"} and rows["alt"].type == "method"
+    assert rows["C"].content == src.rstrip("\n")
 
 
 def test_one_line_def_and_decorated_class_slice(spark):
-    src = ("def f(): pass\n\nclass A:\n    x = 1\n    @staticmethod\n    def s():\n"
-           "        return g()\n")
+    src = ("def tiny(): pass\n\nclass Box:\n    side = 1\n    @staticmethod\n    def unit():\n"
+           "        return make()\n")
     rows = {r.name: r for r in run(spark, {"m.py": src})}
-    assert rows["f"].body_start_line == rows["f"].line_number == 1
+    assert rows["tiny"].body_start_line == rows["tiny"].line_number == 1
     # the class text runs to the line before the def, so it holds the method's decorator
-    assert rows["A"].content == "class A:\n    x = 1\n    @staticmethod\n"
-    assert rows["s"].content.startswith("def s():") and rows["s"].calls == ["g"]
+    assert rows["Box"].content == "class Box:\n    side = 1\n    @staticmethod\n"
+    assert rows["unit"].content.startswith("def unit():") and rows["unit"].calls == ["make"]
 
 
 def test_decorators_and_async_init(spark):
-    src = ("import functools as ft\n\n"
-           "@ft.lru_cache(maxsize=None)\n"
-           "def cached(x):\n    return helper(x)\n\n"
+    src = ("import functools as ft\n\n@ft.lru_cache(maxsize=None)\ndef cached(x):\n    return look(x)\n\n"
            "class Svc:\n    async def __init__(self):\n        await boot()\n\n"
            "    async def run(self):\n        pass\n")
     rows = {r.name: r for r in run(spark, {"m.py": src})}
-    # decorator calls count (they are under the node), the segment starts at "def"
-    assert rows["cached"].calls == ["functools.lru_cache", "helper"]
-    assert rows["cached"].content.startswith("def cached(x):")
-    assert rows["cached"].line_number == 4
-    # an async __init__ is folded into the class chunk too
-    assert set(rows) == {"cached", "Svc", "run"}
-    assert rows["Svc"].calls == ["boot"] and rows["run"].type == "method"
+    assert rows["cached"].calls == ["functools.lru_cache", "look"] and rows["cached"].line_number == 4
+    assert set(rows) == {"cached", "Svc", "run"} and rows["Svc"].calls == ["boot"]
+
+
+def test_files_that_fail_are_rejects_and_harm_no_other(spark):
+    rows = run(spark, {"bad.py": "class :\n", "odd.py": 'def f():\n    "\\ud800"\n', "none.py": None,
+                       "nul.py": "x = 1\x00", "ok.py": SHAPES})
+    errors = {r.path: r.error for r in rows if r.error}
+    assert set(errors) == {"bad.py", "odd.py", "none.py", "nul.py"}
+    assert errors["bad.py"].startswith("SyntaxError") and "Unicode" in errors["odd.py"]
+    assert [r.name for r in rows if r.error is None] == ["area", "diagonal"]
+
+
+def test_other_newlines_give_the_same_chunks(spark):
+    for end in ("\r\n", "\r"):
+        a = run(spark, {"s.py": ACCOUNT})
+        b = run(spark, {"s.py": ACCOUNT.replace("\n", end)})
+        assert [r.asDict() for r in a] == [r.asDict() for r in b]
+
+
+def test_index_of_a_small_repository(spark):
+    files = spark.createDataFrame(
+        [("pkg/one.py", "def ping():\n    pong()\n\ndef pong():\n    pass\n"),
+         ("pkg/zwei.py", "def pong():\n    return 2\n")], "path string, content string")
+    idx = build_index(files)
+    assert {r.name: (r.path, list(r.calls)) for r in idx.chunks.collect()} == {
+        "ping": ("pkg/one.py", ["pong"]), "pong": ("pkg/one.py", [])}
+    assert [(r.caller_id, r.callee) for r in idx.edges.collect()] == [(1, "pong")]
+    assert idx.rejects.count() == 0
+
+
+SOURCES = [SHAPES, ACCOUNT, MIXED, "async def a():\n    '''ü\n    ü'''\n    await b()  # ñ\n",
+           "x = 1\ndef h():\n\tif x:\n\t\treturn (1,\n\t\t        2)\n", "class Ü:\n    def g(self): 'é'; return 'é'\n"]
+
 
+@pytest.mark.parametrize("i", range(len(SOURCES)))
+def test_segments_equal_the_standard_helper(i):
+    src = SOURCES[i]
+    texts = sorted(d["text"] for d in extract.file_facts(src)[0])
+    top = [n for n in ast.walk(ast.parse(src)) if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef))]
+    assert set(texts) <= {ast.get_source_segment(src, n) for n in top}
 
-def test_segments_equal_the_standard_helper(spark):
-    import ast as _ast
 
-    from chunkgraph.operators.extract import _Segments
+def test_corpus_definitions_are_all_found(spark):
     from chunkgraph.plans.corpus import sc_files
-    from tests.conftest import SF_SMALL
-    sources = [r.content for r in sc_files(spark, SF_SMALL).collect()]
-    sources += [FUNCTIONS, CLASS, WITH_CALLS, NESTED,
-                "def f():\r\n    return 'é'\r\n\r\nclass Ü:\r    def g(self):\r        pass\r",
-                "x = 1\fdef h():\n\tif x:\n\t\treturn (1,\n\t\t        2)\n",
-                "async def a():\n    '''ü\n    ü'''\n    await b()  # ñ\n"]
-    checked = 0
-    for src in sources:
-        try:
-            tree = _ast.parse(src)
-        except SyntaxError:
-            continue
-        seg = _Segments(src)
-        for node in _ast.walk(tree):
-            if isinstance(node, (_ast.FunctionDef, _ast.AsyncFunctionDef, _ast.ClassDef, _ast.Call)):
-                assert seg.of(node) == _ast.get_source_segment(src, node)
-                checked += 1
-    assert checked > 1000
+    for r in sc_files(spark, SF_SMALL, broken=False).collect():
+        found = [d["name"] for d in extract.file_facts(r.content)[0]]
+        tree = ast.parse(r.content)
+        want = [n.name for n in ast.walk(tree) if isinstance(n, (ast.FunctionDef, ast.ClassDef))]
+        assert sorted(found) == sorted(want)

@@ -62,8 +62,8 @@ def test_snapshot_mode_uses_stored_docstrings_only(spark):
     t2 = chunks.where("id = 3")
     seq = rank.rank_context(chunks, edges, targets=t2).collect()
     snap = rank.rank_context(chunks, edges, targets=t2, doc_state="snapshot").collect()
-    assert [r.cand_docstring for r in seq] == ["DONE"]  # u was documented earlier in the pass
-    assert [r.cand_docstring for r in snap] == [None]
+    assert [r.cand_done for r in seq] == [True]  # u was documented earlier in the pass
+    assert [r.cand_done for r in snap] == [False]
 
 
 def test_no_backfill_and_descending_names(spark):

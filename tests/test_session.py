@@ -53,6 +53,8 @@ def test_cluster_without_setting_refuses_local_folder():
         ensure_checkpoint_dir(_Session("spark://master:7077"))
 
 
-def test_local_mode_gets_a_temp_folder():
-    d = ensure_checkpoint_dir(_Session("local[2]"))
-    assert d and d.startswith("/tmp")
+def test_local_mode_gets_a_temp_folder(monkeypatch, tmp_path):
+    monkeypatch.setenv("TMPDIR", str(tmp_path))
+    assert ensure_checkpoint_dir(_Session("local[2]")).startswith(str(tmp_path))
+    monkeypatch.delenv("TMPDIR")
+    assert ensure_checkpoint_dir(_Session("local[2]"))
