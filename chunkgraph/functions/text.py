@@ -111,3 +111,13 @@ def calls_to_json(c) -> Column:
 def json_to_calls(c) -> Column:
     """H9: JSON text -> list of strings."""
     return F.from_json(_col(c), "array<string>")
+
+
+def pinned(value: Column) -> Column:
+    """``value``, computed once where it stands.
+
+    The optimiser copies an expression into every filter above it (an explode infers one),
+    and chains of array functions then grow exponentially. It leaves non-deterministic
+    columns alone, so the value is bound to a row id, which is never negative.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, value)
