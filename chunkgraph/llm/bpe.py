@@ -26,17 +26,18 @@ from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chunkgraph.llm.common import read, slices
+from chunkgraph.llm.common import ranges, read, release
 from chunkgraph.session import ship_package
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Segments per cache generation; longer ones than this many characters are not cached.
-CACHE_SEGMENTS = 400_000
+CACHE_SEGMENTS = 250_000
 CACHE_CHARS = 64
 #: Documents of about this many characters share one rank queue.
 SLICE_CHARS = 8 << 20
@@ -366,9 +367,10 @@ def codec(data: bytes, pattern: str) -> Codec:
 def _encode_rows(batches, vocabulary, pattern: str, names: list[str], text_at: int, decode: bool):
     c = codec(vocabulary.value, pattern)
     for batch in batches:
-        texts = batch.column(text_at).to_pylist()
-        for lo, hi in slices(texts, SLICE_CHARS):
-            ids = c.encode_all(texts[lo:hi])
+        column = batch.column(text_at)
+        size = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        for lo, hi in ranges(size, SLICE_CHARS):
+            ids = c.encode_all(column.slice(lo, hi - lo).to_pylist())
             n = np.array([len(x) for x in ids], np.int64)
             flat = np.concatenate(ids) if ids else np.empty(0, "<i4")
             rows = batch.slice(lo, hi - lo)
@@ -379,6 +381,7 @@ def _encode_rows(batches, vocabulary, pattern: str, names: list[str], text_at: i
             if decode:
                 out["decoded"] = pa.array([c.decode(x) for x in ids], pa.binary())
             yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
+    release()
 
 
 def _decode_rows(batches, vocabulary, pattern: str, at: int):

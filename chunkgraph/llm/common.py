@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chunkgraph.functions.text import pinned  # noqa: F401
 from chunkgraph.session import ensure_checkpoint_dir
 
 #: The six ASCII white-space characters that separate words, and runs of them.
@@ -51,26 +54,31 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), WS_RUN), lambda w: w != "")
 
 
-def pinned(value: Column) -> Column:
-    """``value``, computed once where it stands.
+def release() -> None:
+    """Give freed memory back to the system; Python workers stay alive between tasks and
+    share the executor's limit with its JVM."""
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
 
-    The optimiser copies an expression into every filter above it and into every use below a
-    filter; chains of array functions then grow exponentially. It leaves non-deterministic
-    columns alone, so the value is bound to a row id, which is never negative.
-    """
-    return F.when(F.monotonically_increasing_id() >= 0, value)
 
-
-def slices(values: list, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Index ranges of ``values`` (bytes or strings, None allowed) of about ``limit`` each."""
+def ranges(sizes, limit: int) -> Iterator[tuple[int, int]]:
+    """Index ranges of rows of the given sizes, of about ``limit`` in all each."""
     lo, held = 0, 0
-    for i, v in enumerate(values):
-        held += len(v) if v else 0
+    for i, n in enumerate(sizes):
+        held += int(n)
         if held >= limit:
             yield lo, i + 1
             lo, held = i + 1, 0
-    if lo < len(values):
-        yield lo, len(values)
+    if lo < len(sizes):
+        yield lo, len(sizes)
+
+
+def slices(values: list, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Index ranges of ``values`` (bytes or strings, None allowed) of about ``limit`` each."""
+    return ranges([len(v) if v else 0 for v in values], limit)
 
 
 def quantile_bounds(df: DataFrame, column: str, parts: int) -> list:

@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chunkgraph.llm.common import (WS_CHARS, quantile_bounds, read, remove_path, scratch_path,
-                                   shuffle_partitions, slices)
+from chunkgraph.llm.common import (WS_CHARS, quantile_bounds, read, release, remove_path,
+                                   scratch_path, shuffle_partitions, slices)
 from chunkgraph.session import ship_package
 
 MIN_CHARS = 10
@@ -80,6 +80,7 @@ def _emit_keys(batches, min_chars: int):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(v[:, 0]), pa.array(v[:, 1])],
                     names=["h1", "h2", "first_doc", "n"])
+    release()
 
 
 def _emit_occurrences(batches, min_chars: int, hot: dict[bytes, int]):
@@ -100,6 +101,7 @@ def _emit_occurrences(batches, min_chars: int, hot: dict[bytes, int]):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(docs, pa.int64()),
                      pa.array(flags, pa.bool_())], names=["h1", "h2", "doc_id", "hot"])
+    release()
 
 
 def _render(batches, names: list[str], text_at: int, min_chars: int):
@@ -126,6 +128,7 @@ def _render(batches, names: list[str], text_at: int, min_chars: int):
         out["n_lines"] = pa.array(n_lines, pa.int64())
         out["n_dropped"] = pa.array(n_dropped, pa.int64())
         yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
+    release()
 
 
 class Runs:

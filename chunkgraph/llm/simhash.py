@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkgraph.llm.common import read, shuffle_partitions, slices, store
+from chunkgraph.llm.common import read, release, shuffle_partitions, slices, store
 from chunkgraph.llm.components import connected_components
 from chunkgraph.session import ship_package
 
@@ -90,6 +90,7 @@ def _fingerprint_rows(batches, k: int):
         fps = fingerprints(batch.column(1).to_pylist(), k)
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+    release()
 
 
 def group_bits(bits: np.ndarray, m: int) -> list[list[int]]:
@@ -281,6 +282,7 @@ def _verify(batches, max_bits: int):
             limit = max(BUFFER_ROWS, 2 * held)
     if held:
         yield flush(True)
+    release()
 
 
 def hamming_links(classes: DataFrame, max_bits: int = MAX_BITS,
