@@ -40,7 +40,7 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 CACHE_SEGMENTS = 250_000
 CACHE_CHARS = 64
 #: Documents of about this many characters share one rank queue.
-SLICE_CHARS = 8 << 20
+SLICE_CHARS = 4 << 20
 #: White space as the pattern's ``\s`` takes it.
 _S = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Places where a pre-token always ends, whatever stands further away: after a character
@@ -297,19 +297,25 @@ class Codec:
 
     def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids (int32) of whole texts."""
-        keys = [_cut(t) if t else [] for t in texts]
+        # The segments are cut twice rather than held: a slice has a million of them.
         get = self.new.get
-        values = [list(map(get, k)) for k in keys]
-        missed = {k for ks, vs in zip(keys, values) if None in vs
-                  for k, v in zip(ks, vs) if v is None}
-        if missed:
-            long = self._learn(missed)
-            get = self.new.get
-            for i, vs in enumerate(values):
-                if None in vs:
-                    values[i] = [v if v is not None else (get(k) or long[k])
-                                 for k, v in zip(keys[i], vs)]
-        return [np.frombuffer(b"".join(v), "<i4") for v in values]
+        missed: set[str] = set()
+        for t in texts:
+            if t:
+                keys = _cut(t)
+                values = list(map(get, keys))
+                if None in values:
+                    missed.update([k for k, v in zip(keys, values) if v is None])
+        long = self._learn(missed) if missed else {}
+        get, old = self.new.get, self.old.get
+        out = []
+        for t in texts:
+            keys = _cut(t) if t else []
+            values = list(map(get, keys))
+            if None in values:
+                values = [v if v is not None else old(k) or long[k] for k, v in zip(keys, values)]
+            out.append(np.frombuffer(b"".join(values), "<i4"))
+        return out
 
     def encode(self, text: str | None) -> np.ndarray:
         return self.encode_all([text])[0]

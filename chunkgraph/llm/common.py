@@ -7,6 +7,7 @@ import gc
 import uuid
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +59,7 @@ def release() -> None:
     """Give freed memory back to the system; Python workers stay alive between tasks and
     share the executor's limit with its JVM."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (OSError, AttributeError):
