@@ -90,9 +90,20 @@ def dense_ids(df: DataFrame, order: Sequence[str], out_col: str = "id", start: i
                   .drop("_pid", "_mid", "_off"))
 
 
-def lookup_by_id(chunks: DataFrame, keys: DataFrame, key_col: str) -> DataFrame:
-    """Resolve many ids at once (equi-join); ids without a chunk are dropped."""
-    return keys.join(chunks, keys[key_col] == chunks["id"]).drop(chunks["id"])
+def lookup_by_id(chunks: DataFrame, keys: DataFrame, key_col: str,
+                 missing: str = "raise") -> DataFrame:
+    """Resolve many ids at once (equi-join). An id without a chunk fails the query, or
+    is dropped with ``missing="drop"``."""
+    if missing == "drop":
+        return keys.join(chunks, keys[key_col] == chunks["id"]).drop(chunks["id"])
+    if missing != "raise":
+        raise ValueError(f"unknown missing {missing!r}")
+    c = chunks.withColumnRenamed("id", "_found")
+    out = keys.join(c, keys[key_col] == c["_found"], "left")
+    checked = F.when(F.col("_found").isNull(), F.raise_error(F.concat(
+        F.lit("no chunk with id "), F.coalesce(F.col(key_col).cast("string"), F.lit("null"))
+    )).cast("long")).otherwise(F.col("_found"))
+    return out.where(checked.isNotNull()).drop("_found")
 
 
 def lookup_by_name_path(chunks: DataFrame, requests: DataFrame, name_col: str,

@@ -23,6 +23,14 @@ from pyspark.sql import functions as F
 from chunkgraph.fixed import CONTEXT_SEPARATOR, DEPENDENCY_RATIO, DONE_MARKER, TOP_N
 from chunkgraph.functions import text as tx
 from chunkgraph.operators.graph import context_candidates, dependencies, dependents
+from chunkgraph.operators.index import dense_ids
+
+
+#: What the model is told before the prompt; the answers may come fenced or quoted anyway
+#: and are cleaned.
+SYSTEM_TEXT = ("Write a docstring for the Python definition under 'Target Code', in Google style. "
+               "The definitions under 'Context from Codebase' show what it calls and what calls it. "
+               "Answer with the text between the triple quotes and nothing else.")
 
 
 def bucket_sizes(top_n: int = TOP_N, dependency_ratio: float = DEPENDENCY_RATIO) -> tuple[int, int]:
@@ -110,6 +118,12 @@ def undocumented_targets(chunks: DataFrame, doc_col: str = "docstring") -> DataF
     return chunks.where(F.col(doc_col).isNull())
 
 
+def target_queue(chunks: DataFrame) -> DataFrame:
+    """P5: the work queue: undocumented ids with their place (from 0) in ascending order."""
+    ids = undocumented_targets(chunks).select("id")
+    return dense_ids(ids, ["id"], "place", start=0)
+
+
 def context_rows(ranked: DataFrame, chunks: DataFrame) -> DataFrame:
     """P4 + U2: result documents of each target in prompt order.
 
@@ -138,10 +152,11 @@ def context_strings(rows: DataFrame, sep: str = CONTEXT_SEPARATOR) -> DataFrame:
                      .alias("context")))
 
 
-def prompts(targets: DataFrame, contexts: DataFrame) -> DataFrame:
-    """H3: the prompt of every target; a target without context gets an empty context."""
+def prompts(targets: DataFrame, contexts: DataFrame, system: str = SYSTEM_TEXT) -> DataFrame:
+    """H3: system text and user prompt of every target; a target without context gets an
+    empty context."""
     t = targets.select(F.col("id").alias("target_id"), "name", "path", "content")
     return (t.join(contexts, "target_id", "left")
-             .select("target_id", "name", "path",
+             .select("target_id", "name", "path", F.lit(system).alias("system"),
                      tx.prompt_text(F.coalesce("context", F.lit("")), F.col("content"))
                      .alias("prompt")))

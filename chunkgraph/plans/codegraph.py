@@ -19,17 +19,22 @@ def _cg(spark: SparkSession, sf_dir: str):
 
 
 def q_edge_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """X3 + A2: chunk call lists -> distinct edge rows."""
-    chunks = views.cg_chunks(spark, sf_dir, with_calls=True)
-    return graph.build_edges(chunks)
+    """X3 + A2: chunk call lists -> distinct edge rows. A part's calls arrive as many short
+    lists, one per order line, so that a part in very many orders is no long array."""
+    return graph.build_edges(views.call_lists(spark, sf_dir))
 
 
 def q_undocumented(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P1 + P5: the work queue (ids in order) of chunks without a docstring."""
+    """The chunks without a docstring."""
     chunks = views.cg_chunks(spark, sf_dir)
     return rank.undocumented_targets(chunks).select("id", "name", "path")
 
 
+def q_target_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P5: the work queue in order."""
+    return rank.target_queue(views.cg_chunks(spark, sf_dir)).select("place", "id")
+
+
 def q_lookup_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every queued id resolved to its chunk (what the dispatcher fetches)."""
     chunks = views.cg_chunks(spark, sf_dir)
@@ -137,6 +142,7 @@ def q_retrieve_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "retrieve_by_name": q_retrieve_by_name,
+    "target_queue": q_target_queue,
     "edge_build": q_edge_build,
     "undocumented": q_undocumented,
     "lookup_by_id": q_lookup_by_id,

@@ -8,11 +8,14 @@ cleaned, and the retrieved contexts are the first ten turns.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chunkgraph.functions import text as tx
 from chunkgraph.operators import evalset
+from chunkgraph.session import ensure_checkpoint_dir
 from chunkgraph.sources.tables import read_table
 
 CONTEXT_SEP = "\n---\n"
@@ -58,7 +61,17 @@ def q_eval_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
                        "ground_truth")
 
 
+def q_eval_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S3 + T3 + T4 + S5 + E1: the first 20 samples written as one JSON array, and the first
+    12 of those read back."""
+    path = f"{ensure_checkpoint_dir(spark)}/eval-{uuid.uuid4().hex[:12]}"
+    taken = evalset.sample_eval_set(samples(spark, sf_dir), ["item_id"], sample_size=20)
+    evalset.write_eval_set(taken, path, ["item_id", "source_code", "docstring"], ["item_id"])
+    return evalset.load_eval_set(spark, path, 12, "item_id long, source_code string, docstring string")
+
+
 QUERIES = {
+    "eval_json": q_eval_json,
     "eval_load": q_eval_load,
     "sample_sink": q_sample_sink,
     "eval_rows": q_eval_rows,

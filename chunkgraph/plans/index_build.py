@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from chunkgraph.operators import extract, graph, index, split
 from chunkgraph.schemas import CHUNKS, EDGES
+from chunkgraph.session import store
 
 CHUNK_COLUMNS = ["id", "path", "name", "type", "content", "parent_class", "line_number",
                  "body_start_line", "docstring", "calls", "func_indent"]
@@ -32,9 +33,13 @@ def build_index(files: DataFrame, size: int = split.CHUNK_SIZE,
     """Index a corpus. The first chunk per ``key`` in (path, chunk_no) order wins, so a name
     defined in two files keeps the definition from the first path. ``pieces(chunk_id,
     piece_no, content)`` holds every piece of every kept chunk."""
-    raw = extract.extract_chunks(files, spread=spread)
-    kept = index.first_wins(extract.good_chunks(raw), list(key), ["path", "chunk_no"])
-    chunks = index.dense_ids(kept, ["path", "chunk_no"], "id").select(*CHUNK_COLUMNS)
+    raw = store(extract.extract_chunks(files, spread=spread), "raw-chunks")
+    good = extract.good_chunks(raw)
+    # Which chunks stay, and their ids, is decided on the key columns; the texts join last.
+    narrow = good.select(*dict.fromkeys([*key, "path", "chunk_no"]))
+    kept = index.first_wins(narrow, list(key), ["path", "chunk_no"])
+    ids = index.dense_ids(kept.select("path", "chunk_no"), ["path", "chunk_no"], "id")
+    chunks = good.join(ids, ["path", "chunk_no"]).select(*CHUNK_COLUMNS)
     pieces = split.split_pieces(chunks.select(F.col("id").alias("chunk_id"), "content"),
                                 "content", size, overlap).select("chunk_id", "piece_no", "content")
     return Index(chunks=chunks, edges=graph.build_edges(chunks), rejects=extract.rejects(raw),

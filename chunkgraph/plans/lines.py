@@ -16,6 +16,7 @@ from chunkgraph.operators import edits, extract, rank
 from chunkgraph.plans.corpus import sc_files
 from chunkgraph.plans.index_build import build_index
 from chunkgraph.plans.rewrite import rewrite_corpus
+from chunkgraph.session import store
 from chunkgraph.sources.tables import read_table
 
 
@@ -71,7 +72,7 @@ def sc_edit_requests(spark: SparkSession, sf_dir: str, broken: bool = False):
     """(files, requests): one request per extracted definition, with its def-line
     indentation and the new docstring text to write."""
     files = sc_files(spark, sf_dir, broken)
-    good = extract.good_chunks(extract.extract_chunks(files))
+    good = extract.good_chunks(store(extract.extract_chunks(files), "raw-chunks"))
     new_doc = F.concat(F.lit("Summary of "), F.col("name"), F.lit(".\n\nCalls: "),
                        F.array_join("calls", ", "))
     req = good.select("path", "name", "line_number", "body_start_line", "func_indent",

@@ -8,6 +8,9 @@ INTEGER.
 
 from __future__ import annotations
 
+from chunkgraph.fixed import CHUNK_OVERLAP, CHUNK_SIZE, PYTHON_SEPARATORS
+from chunkgraph.operators.rank import SYSTEM_TEXT
+
 CG = """
 WITH cg_edges_num AS (
   SELECT DISTINCT a, b FROM (
@@ -68,6 +71,9 @@ ctx AS (
   FROM ctx_rows GROUP BY target_id)
 """
 
+PY_WS_RE2 = ("\\t\\n\\x0B\\f\\r\\x1C-\\x1F \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}"
+             "\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}")
+_STRIP = "regexp_replace({x}, '^[" + PY_WS_RE2 + "]+|[" + PY_WS_RE2 + "]+\\z', '', 'g')"
 ORACLES: dict[str, str] = {}
 
 ORACLES["edge_build"] = CG + "SELECT caller_id, callee FROM cg_edges"
@@ -113,8 +119,8 @@ ORACLES["context_rows"] = CG_RANK + "SELECT * FROM ctx_rows"
 
 ORACLES["context_string"] = CG_RANK + "SELECT target_id, context FROM ctx"
 
-ORACLES["prompts"] = CG_RANK + """
-SELECT t.id AS target_id, t.name, t.path,
+ORACLES["prompts"] = CG_RANK + f"""
+SELECT t.id AS target_id, t.name, t.path, '{SYSTEM_TEXT.replace("'", "''")}' AS system,""" + """
        '### Context from Codebase:' || chr(10) || COALESCE(x.context, '') || chr(10) || chr(10)
          || '### Target Code:' || chr(10) || t.content AS prompt
 FROM targets t LEFT JOIN ctx x ON x.target_id = t.id"""
@@ -135,6 +141,9 @@ UNION ALL
 SELECT t.name, t.path, 'context', r.cand_id, r.cand_name, r.cand_path, CAST(r.pos AS BIGINT)
 FROM ranked r JOIN cg_chunks t ON t.id = r.target_id"""
 
+ORACLES["target_queue"] = CG + """
+SELECT CAST(row_number() OVER (ORDER BY id) - 1 AS BIGINT) AS place, id FROM targets"""
+
 ORACLES["chunk_ids"] = CG + """
 SELECT name, CAST(row_number() OVER (ORDER BY path, line_number, name) AS BIGINT) AS new_id
 FROM cg_chunks"""
@@ -260,6 +269,71 @@ ORACLES["rejects_per_dir"] = SC + """
 SELECT split_part(sc_path, '/', 1) AS dir, CAST(COUNT(DISTINCT sc_path) AS BIGINT) AS n_rejects
 FROM sc_pos WHERE file_no % 10 = 9 GROUP BY 1"""
 
+
+
+def _split_sql(source: str, key: str, text: str, size: int, overlap: int, separators) -> str:
+    """CTEs ending in ``split_rows(key, piece_no, piece)``: the structure-aware splitter.
+
+    Per separator: the cuts of every open text, runs of short cuts with their prefix sums
+    ``p``, and a recursive walk over the pieces of a run, each the cuts ``a..e``. The next
+    piece starts at the first cut from which the rest of this one fits the overlap.
+    """
+    def lit(x):
+        return "'" + x.replace("\n", "' || chr(10) || '").replace("\t", "' || chr(9) || '") + "'"
+
+    strip = _STRIP.replace("{x}", f"{text}")
+    out = [f"""items_0 AS (
+  SELECT {key}, [0] AS ord, {text} AS t, true AS o FROM {source} WHERE length({text}) >= {size}
+  UNION ALL
+  SELECT {key}, [0], {strip}, false FROM {source}
+  WHERE length({text}) < {size} AND {strip} <> '')"""]
+    for k, sep in enumerate(separators):
+        has = "o" if sep == "" else f"(o AND contains(t, {lit(sep)}))"
+        cuts = ("string_split(t, '')" if sep == "" else
+                f"list_filter(list_transform(string_split(t, {lit(sep)}), lambda x, i: "
+                f"CASE WHEN i = 1 THEN x ELSE {lit(sep)} || x END), lambda x: x <> '')")
+        out.append(f"""
+cut_{k} AS (SELECT {key}, ord, unnest(c) AS cut, generate_subscripts(c, 1) AS j
+            FROM (SELECT {key}, ord, {cuts} AS c FROM items_{k} WHERE {has}) x),
+grp_{k} AS (SELECT *, length(cut) AS n, length(cut) >= {size} AS long,
+              CAST(sum(CASE WHEN length(cut) >= {size} THEN 1 ELSE 0 END)
+                   OVER (PARTITION BY {key}, ord ORDER BY j) AS INTEGER) AS g FROM cut_{k}),
+sum_{k} AS (SELECT *, CAST(sum(n) OVER (PARTITION BY {key}, ord, g ORDER BY j) AS BIGINT) AS s
+            FROM grp_{k} WHERE NOT long),
+run_{k} AS (SELECT {key}, ord, g, list(cut ORDER BY j) AS c, list(s ORDER BY j) AS p
+            FROM sum_{k} GROUP BY {key}, ord, g),
+walk_{k} AS (
+  SELECT {key}, ord, g, c, p, CAST(1 AS BIGINT) AS a, len(list_filter(p, lambda x: x <= {size})) AS e FROM run_{k}
+  UNION ALL
+  SELECT {key}, ord, g, c, p, a2, len(list_filter(p, lambda x: x <= {size} + CASE WHEN a2 = 1 THEN 0 ELSE p[a2 - 1] END))
+  FROM (SELECT *, e + 1 - len(list_filter(range(1, e + 1), lambda x:
+            p[e] - CASE WHEN x = 1 THEN 0 ELSE p[x - 1] END <= least({overlap}, {size} - (p[e + 1] - p[e])))) AS a2
+        FROM walk_{k} WHERE e < len(p)) y),
+piece_{k} AS (SELECT {key}, list_concat(ord, [g, 1, CAST(a AS INTEGER)]) AS ord,
+                {_STRIP.replace("{x}", "array_to_string(c[a:e], '')")} AS t FROM walk_{k}),
+items_{k + 1} AS (
+  SELECT {key}, ord, t, o FROM items_{k} WHERE NOT {has}
+  UNION ALL SELECT {key}, ord, t, false FROM piece_{k} WHERE t <> ''
+  UNION ALL SELECT {key}, list_concat(ord, [g, 0, 0]), cut, true FROM grp_{k} WHERE long)""")
+    out.append(f"""
+split_rows AS (SELECT {key}, row_number() OVER (PARTITION BY {key} ORDER BY ord) - 1 AS piece_no, t AS piece
+               FROM items_{len(separators)})""")
+    return ",".join(out)
+
+
+ORACLES["split_pack"] = ("WITH RECURSIVE " + _split_sql("documents", "doc_id", "text", CHUNK_SIZE, CHUNK_OVERLAP,
+                                                         PYTHON_SEPARATORS)
+                         + " SELECT doc_id, CAST(piece_no AS BIGINT) AS piece_no, piece FROM split_rows")
+
+# Small pieces, so that most definitions of the corpus are cut.
+ORACLES["index_pieces"] = (SC_WHOLE.replace("WITH", "WITH RECURSIVE", 1) + ","
+                           + _split_sql("sc_index", "id", "content", 120, 30, PYTHON_SEPARATORS)
+                           + " SELECT id AS chunk_id, CAST(piece_no AS BIGINT) AS piece_no, piece AS content"
+                             " FROM split_rows")
+
+ORACLES["stored_index"] = SC_WHOLE + """
+SELECT id, name, path, CAST(len(calls) AS BIGINT) AS n_edges FROM sc_index"""
+
 ORACLES["index_chunks"] = SC_WHOLE + "SELECT id, name, path, type, line_number FROM sc_index"
 
 ORACLES["index_edges"] = SC_WHOLE + """
@@ -308,8 +382,6 @@ WHERE length(substring(text, s + 1, 2000)) > 0"""
 # ---------------------------------------------------------------------------------------
 # Line tables, text functions and edits.
 # Python's whitespace set (str.isspace) as an RE2 character-class body.
-PY_WS_RE2 = ("\\t\\n\\x0B\\f\\r\\x1C-\\x1F \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}"
-             "\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}")
 
 DOC_LINES = """
 WITH d AS (
@@ -339,7 +411,6 @@ SELECT doc_id,
          [ind || '\"\"\"', chr(10)]), chr(10)) AS block
 FROM d"""
 
-_STRIP = "regexp_replace({x}, '^[" + PY_WS_RE2 + "]+|[" + PY_WS_RE2 + "]+\\z', '', 'g')"
 _PAIR = "(?s)(?:\"\"\"|'''''')(.*?)(?:\"\"\"|'''''')"
 
 ORACLES["clean_response"] = """
@@ -528,6 +599,12 @@ SELECT item_id, source_code, docstring FROM (
   ORDER BY b.item_id LIMIT 50) t
 WHERE source_code IS NOT NULL AND docstring IS NOT NULL"""
 
+ORACLES["eval_json"] = """
+SELECT item_id, source_code, docstring FROM (
+  SELECT b.item_id, b.text AS source_code, d.text AS docstring
+  FROM benchmark b LEFT JOIN documents d ON d.doc_id = b.item_id ORDER BY b.item_id LIMIT 20) t
+WHERE source_code IS NOT NULL AND docstring IS NOT NULL ORDER BY item_id LIMIT 12"""
+
 ORACLES["eval_rows"] = """
 WITH ranked AS (
   SELECT conv_id, turn, role, text,

@@ -29,6 +29,12 @@ def cg_edges_num(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _successions(spark, sf_dir).distinct()
 
 
+def call_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(id, calls)``: the calls of the code graph in pieces, with repeats."""
+    pairs = _successions(spark, sf_dir)
+    return pairs.select(F.col("a").alias("id"), F.array(part_name(F.col("b"))).alias("calls"))
+
+
 def part_name(col) -> F.Column:
     return F.concat(F.lit("part_"), col.cast("string"))
 

@@ -20,6 +20,8 @@ DEFAULT_CONF = {
     # Source files can be long; small Arrow batches keep the Python worker's memory flat.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
     "spark.sql.session.timeZone": "UTC",
+    # Checkpoint files go once nothing refers to them any more.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -71,6 +73,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or local_dir
 
 
+def store(df, name: str):
+    """Write ``df`` once, as Parquet in the shared checkpoint folder, and read it back: what
+    follows starts from the files and computes nothing of it again."""
+    import uuid
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable by the Python workers, as ``--py-files`` would.
 

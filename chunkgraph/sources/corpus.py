@@ -40,13 +40,10 @@ def _is_source_name(name: str) -> bool:
 
 def _list_level(root: str, rel: str) -> tuple[list[str], list[str]]:
     """(kept files, kept dirs to descend) of one directory, like one step of ``os.walk``:
-    links to directories are not descended into."""
+    links to directories are not descended into. A folder that cannot be listed fails the
+    scan: leaving its files out in silence would be worse."""
     files, dirs = [], []
-    try:
-        entries = list(os.scandir(os.path.join(root, rel)))
-    except OSError:
-        return [], []
-    for e in entries:
+    for e in list(os.scandir(os.path.join(root, rel))):
         path = e.name if rel in ("", ".") else os.path.join(rel, e.name)
         try:
             is_dir = e.is_dir()
@@ -60,16 +57,21 @@ def _list_level(root: str, rel: str) -> tuple[list[str], list[str]]:
     return files, dirs
 
 
+def _fail(error: OSError):
+    raise error
+
+
 def _walk_batches(root: str):
     def walk(batches):
         for batch in batches:
             found = []
             for rel in batch.column("dir").to_pylist():
                 base = os.path.join(root, rel)
-                for cur, dirs, files in os.walk(base):
+                for cur, dirs, files in os.walk(base, onerror=_fail):
                     dirs[:] = [d for d in dirs if _keep_dir(d)]
                     sub = os.path.relpath(cur, root)
-                    found.extend(os.path.join(sub, f) for f in files if _is_source_name(f))
+                    found.extend(os.path.normpath(os.path.join(sub, f)) for f in files
+                                 if _is_source_name(f))
                     if len(found) >= 4096:
                         yield pa.RecordBatch.from_pydict({"path": found}, schema=pa.schema([("path", pa.string())]))
                         found = []
@@ -78,21 +80,30 @@ def _walk_batches(root: str):
     return walk
 
 
+_FLUSH_CHARS = 16 << 20
+
+
 def _read_batches(root: str):
+    schema = pa.schema([("path", pa.string()), ("content", pa.string())])
+
     def read(batches):
+        paths, contents, held = [], [], 0
         for batch in batches:
-            paths = batch.column("path").to_pylist()
-            contents = []
-            for rel in paths:
+            for rel in batch.column("path").to_pylist():
                 try:
                     # Text mode: universal newlines, as the tool reads its sources.
                     with open(os.path.join(root, rel), encoding="utf-8") as fh:
-                        contents.append(fh.read())
+                        text = fh.read()
                 except (OSError, UnicodeDecodeError):
-                    contents.append(None)
-            yield pa.RecordBatch.from_pydict({"path": paths, "content": contents},
-                                             schema=pa.schema([("path", pa.string()),
-                                                               ("content", pa.string())]))
+                    text = None
+                paths.append(rel)
+                contents.append(text)
+                held += len(text or "")
+                if held >= _FLUSH_CHARS:  # whatever the session's Arrow batch size
+                    yield pa.RecordBatch.from_pydict({"path": paths, "content": contents}, schema=schema)
+                    paths, contents, held = [], [], 0
+        if paths:
+            yield pa.RecordBatch.from_pydict({"path": paths, "content": contents}, schema=schema)
     return read
 
 

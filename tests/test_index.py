@@ -1,5 +1,7 @@
 """First-wins dedup (A1/A1b), dense ids (W2), lookups, counts, done marking."""
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from chunkgraph.operators import index
@@ -45,7 +47,10 @@ def test_lookups(spark):
     assert got == {("f", "a.py"): 1, ("g", "a.py"): None}
     assert index.missing_lookups(chunks, reqs, "n", "p").count() == 1
     keys = spark.createDataFrame([(2,), (3,)], "job long")
-    assert [r.name for r in index.lookup_by_id(chunks, keys, "job").collect()] == ["g"]
+    assert [r.name for r in index.lookup_by_id(chunks, keys, "job", "drop").collect()] == ["g"]
+    assert [r.name for r in index.lookup_by_id(chunks, keys.where("job = 2"), "job").collect()] == ["g"]
+    with pytest.raises(Exception, match="no chunk with id 3"):
+        index.lookup_by_id(chunks, keys, "job").collect()
 
 
 def test_value_counts_and_stats(spark):

@@ -30,15 +30,35 @@ def test_flagship_shape(static_spark):
 
 
 @pytest.mark.parametrize("name", ["block_bounds", "apply_edits", "rewrite_targets"])
-def test_extraction_runs_at_most_once(static_spark, name):
-    # rewrite_targets reads the index the build stored (checkpoint), so it may show none
-    assert plan_of(static_spark, name).count("MapInArrow") <= 1
+def test_extraction_is_read_from_its_table(static_spark, name):
+    assert plan_of(static_spark, name).count("MapInArrow") == 0
 
 
 def test_scans_are_pruned(static_spark):
     plan = plan_of(static_spark, "context_rank")
-    assert "ReadSchema: struct<p_partkey:bigint,p_brand:string,p_type:string,p_size:int>" in plan \
-        or "p_name" not in plan
+    assert "ReadSchema: struct<p_partkey:bigint,p_brand:string,p_type:string,p_size:int>" in plan
+    assert "p_name" not in plan
+
+
+def test_docstring_text_is_not_carried_to_the_ranking(static_spark):
+    plan = plan_of(static_spark, "context_rank")
+    for line in plan.splitlines():
+        if "Exchange" in line or "Window" in line or "HashAggregate" in line:
+            assert "docstring" not in line and "p_type" not in line
+
+
+@pytest.mark.parametrize("name", ["block_bounds", "edits_per_file", "apply_edits"])
+def test_edit_plans_are_row_local(static_spark, name):
+    plan = plan_of(static_spark, name)
+    assert "Window" not in plan and "ArrowEvalPython" not in plan
+    # requests and texts meet by file; grouping the edits and applying them are one more each
+    most = {"block_bounds": 2, "edits_per_file": 3, "apply_edits": 4}[name]
+    assert plan.count("Exchange hashpartitioning") <= most
+
+
+def test_splitter_is_native(static_spark):
+    plan = plan_of(static_spark, "split_pack")
+    assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
 
 
 def test_target_filter_reaches_the_stored_scan(spark, tmpdir_path):

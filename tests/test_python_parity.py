@@ -5,7 +5,7 @@ import re
 
 from chunkgraph.plans import lines
 from tests.conftest import SF_SMALL
-from tests.test_text import block_model, clean_model
+from tests.models import block_model, clean_model
 
 
 def test_clean_response_matches_python_on_all_turns(spark):

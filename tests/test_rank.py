@@ -2,6 +2,7 @@
 
 from chunkgraph.operators import graph, rank
 from chunkgraph.plans import views
+from chunkgraph.plans.index_build import conform
 from chunkgraph.schemas import CHUNKS
 from tests.conftest import SF_SMALL, chunk_row
 
@@ -110,7 +111,7 @@ def test_hub_called_by_a_third_of_all_chunks(spark):
         F.when(F.col("id") == 1, F.array().cast("array<string>"))
          .when(F.col("id") % 3 == 1, F.array(F.lit("hub"))).otherwise(
             F.array(F.concat(F.lit("f"), ((F.col("id") % (n - 1)) + 2).cast("string")))).alias("calls"))
-    chunks = base.select(*[F.col(f.name).cast(f.dataType) for f in CHUNKS.fields])
+    chunks = conform(base, CHUNKS)
     edges = graph.build_edges(chunks)
     ranked = rank.rank_context(chunks, edges)
     hub = sorted((r for r in ranked.where("target_id = 1").collect()), key=lambda r: r.pos)

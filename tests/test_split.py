@@ -23,24 +23,44 @@ def test_every_piece_carries_the_row_and_no_line_is_lost(spark):
     assert held == [line.strip() for line in text.split("\n") if line.strip()]
 
 
-def test_short_text_is_one_piece():
-    assert split.split_text("def f():\n    pass", 2000, 200) == ["def f():\n    pass"]
-    assert split.split_text("", 10, 2) == []
+def pieces_of(spark, texts, size, overlap):
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    return [r.p for r in split.split_levels(df, "t", "p", size, overlap).orderBy("i").collect()]
 
 
-def test_pieces_respect_size_and_prefer_def_breaks():
-    text = "\n".join(f"def f{i}():\n    return {i}" for i in range(50))
-    pieces = split.split_text(text, 120, 20)
-    assert all(len(p) <= 120 for p in pieces)
-    assert all(p.startswith("def ") for p in pieces)
+def test_short_blank_and_null_texts(spark):
+    got = pieces_of(spark, ["def f():\n    pass\n", "", " \n", None, "word"], 2000, 200)
+    assert got == [["def f():\n    pass"], [], [], None, ["word"]]
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.text(alphabet="ab \n", max_size=400), st.integers(5, 60), st.integers(0, 4))
-def test_split_pieces_never_exceed_size_when_cuttable(text, size, overlap):
-    for p in split.split_text(text, size, overlap):
-        assert len(p) <= size
-        assert p == p.strip() and p
+def test_pieces_respect_size_and_prefer_def_breaks(spark):
+    text = "\n".join(f"def f{i}():\n    return {i}" for i in range(50))
+    pieces, = pieces_of(spark, [text], 120, 20)
+    assert all(len(p) <= 120 and p.startswith("def ") for p in pieces)
+
+
+def test_pieces_by_hand(spark):
+    # cut before each space; the last word of a full piece fits the overlap and opens the next
+    assert pieces_of(spark, ["aa bb cc dd ee"], 9, 3) == [["aa bb cc", "cc dd ee"]]
+    assert pieces_of(spark, ["aa bb cc dd ee"], 9, 0) == [["aa bb cc", "dd ee"]]
+    # blank lines before newlines before characters
+    assert pieces_of(spark, ["one\n\ntwo\nthree\n\nabcdefghij"], 8, 2) == [
+        ["one", "two", "three", "abcdefg", "fghij"]]
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.text(alphabet="ab \n\tdefclass", max_size=300), min_size=1, max_size=6),
+       st.integers(8, 60), st.integers(0, 6))
+def test_pieces_fit_follow_each_other_and_cover_the_text(spark, texts, size, overlap):
+    for text, pieces in zip(texts, pieces_of(spark, texts, size, overlap)):
+        covered, pos = [False] * len(text), 0
+        for p in pieces:
+            assert 0 < len(p) <= size and p == p.strip()
+            at = text.find(p, max(0, pos - size))
+            assert at >= 0
+            covered[at:at + len(p)] = [True] * len(p)
+            pos = at + len(p)
+        assert all(c or text[i].isspace() for i, c in enumerate(covered))
 
 
 def test_fixed_windows_cover_text(spark):
@@ -89,13 +109,3 @@ def test_split_pack_query_properties(spark):
                 covered[i] = True
             pos = at + len(p)
         assert all(c or text[i].isspace() for i, c in enumerate(covered))
-
-
-@settings(max_examples=40, deadline=None)
-@given(st.lists(st.text(alphabet="ab \n\tdefclass", max_size=60), min_size=1, max_size=6),
-       st.integers(8, 40), st.integers(0, 6))
-def test_split_column_matches_python_splitter(spark, texts, size, overlap):
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
-    got = [r.p for r in df.select("i", split.split_column("t", size, overlap).alias("p"))
-           .orderBy("i").collect()]
-    assert got == [split.split_text(t, size, overlap) for t in texts]
