@@ -5,6 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from chunkgraph.llm import (bpe, langid, license_scan, line_dedup, lm, mixing, oph, quality_rules, simhash,
                             url_filter)
+from chunkgraph.llm.oracles import ORACLES  # noqa: F401
 
 QUERIES = {
     "op1_oph_fingerprints": oph.op1_oph_fingerprints,
@@ -19,4 +20,3 @@ QUERIES = {
     "op10_quality_rules": quality_rules.op10_quality_rules,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES: dict[str, str] = {}
