@@ -141,9 +141,9 @@ def template_tree(pages: DataFrame, labels: DataFrame | None) -> DataFrame:
     t = leaves.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"),
                                                F.sum("bad").alias("bad"))
     hosts = t.groupBy("host").agg(F.sum("labelled").alias("hl"), F.sum("bad").alias("hb"))
-    overall = hosts.agg(F.sum("hl").alias("gl"), F.sum("hb").alias("gb"))  # one row
-    base = F.coalesce(F.try_divide("gb", "gl"), F.lit(0.0))
-    hosts = hosts.join(F.broadcast(overall)).select("host", (
+    overall = hosts.agg(F.sum("hl").alias("labelled"), F.sum("hb").alias("bad")).first()
+    base = F.lit(float(overall.bad / overall.labelled) if overall.labelled else 0.0)
+    hosts = hosts.select("host", (
         (F.col("hb") + SMOOTHING * base) / (F.col("hl") + SMOOTHING)).alias("host_share"))
     t = t.join(hosts, "host").withColumn("purity", (
         F.col("bad") + SMOOTHING * F.col("host_share")) / (F.col("labelled") + SMOOTHING))
