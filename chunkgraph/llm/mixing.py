@@ -44,8 +44,13 @@ def token_count(text) -> F.Column:
 
 def source_stats(docs: DataFrame, source_col: str, text_col: str) -> DataFrame:
     """``(source, n_docs, tokens, p)``, stored: one row per source."""
-    per = docs.groupBy(F.col(source_col).alias("source")).agg(
-        F.count(F.lit(1)).alias("n_docs"), F.sum(token_count(F.col(text_col))).alias("tokens"))
+    return _stats(docs.select(F.col(source_col).alias("source"),
+                              token_count(F.col(text_col)).alias("n_tokens")))
+
+
+def _stats(rows: DataFrame) -> DataFrame:
+    per = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"),
+                                     F.sum("n_tokens").alias("tokens"))
     per = store(per, "mix-sources")
     total = per.agg(F.sum("tokens").alias("t")).first().t or 0
     return per.withColumn("p", F.col("tokens") / F.lit(float(max(total, 1))))
@@ -120,20 +125,28 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
 
     ``entropy_share`` gives the target as a share of the largest possible entropy.
     """
-    stats = source_stats(docs, source_col, text_col)
-    n_sources = stats.count()
+    # Rows are known by a hash of all their values, equal rows also by a number; the schedule
+    # is made on that key alone and meets the rows, with their texts, in one join.
+    kept = [c for c in docs.columns if c not in ADDED]
+    twin = F.row_number().over(Window.partitionBy("_k").orderBy("_k"))
+    keyed = docs.select(*kept, F.xxhash64(F.lit(seed), *kept).alias("_k"))
+    lean = store(keyed.select("_k", F.col(source_col).alias("source"),
+                              token_count(F.col(text_col)).alias("n_tokens")), "mix-rows")
+    stats = _stats(lean)
     if entropy_share is not None:
         target_entropy = entropy_share * math.log(max(1, stats.where("tokens > 0").count()))
     plan = source_plan(stats, exponent(stats, target_entropy, max_repeat, budget), budget)
-    kept = [c for c in docs.columns if c not in ADDED]
-    d = docs.select(
-        F.struct(*kept).alias("row"), F.col(source_col).alias("source"),
-        F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("k"),
-        token_count(F.col(text_col)).alias("n_tokens"))
+    schedule = _schedule(lean.withColumn("_twin", twin), plan, stats.count(), seed)
+    return (keyed.withColumn("_twin", twin).join(schedule, ["_k", "_twin"])
+                 .select(*kept, *ADDED))
+
+
+def _schedule(rows: DataFrame, plan: DataFrame, n_sources: int, seed: int) -> DataFrame:
+    """``(_k, _twin)`` with the columns :data:`ADDED`: one row for each time a row is taken."""
     by_source = F.broadcast(plan) if n_sources <= BROADCAST_SOURCES else plan
-    d = d.join(by_source.withColumnRenamed("source", "of"),
-               F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    d = d.withColumn("block", F.pmod("k", "n_blocks"))
+    d = rows.join(by_source.withColumnRenamed("source", "of"),
+                  F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    d = d.withColumn("block", F.pmod("_k", "n_blocks"))
     # Blocks are the same in every pass, only their order changes: their sums are taken once.
     blocks = d.groupBy("source", "block").agg(
         F.sum("n_tokens").alias("held"), F.first("full").alias("full"), F.first("rest").alias("rest"))
@@ -145,7 +158,8 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
                .select("source", "epoch", "block",
                        (F.sum("held").over(order) - F.col("held")).alias("before")))
     inside = Window.partitionBy("source", "epoch", "block").orderBy(
-        F.xxhash64(F.lit(seed), "epoch", "k"), "k").rowsBetween(Window.unboundedPreceding, 0)
+        F.xxhash64(F.lit(seed), "epoch", "_k"), "_k", "_twin").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
     d = d.where(some).withColumn("epoch", F.explode(passes))
     d = d.withColumn("at", F.sum("n_tokens").over(inside) - F.col("n_tokens"))
     o = offsets.select(F.col("source").alias("s2"), F.col("epoch").alias("e2"),
@@ -156,7 +170,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
     d = d.where((F.col("epoch") < F.col("full")) | (start < F.col("rest")))
     position = F.when(F.col("quota") > 0, (F.col("epoch") * F.col("tokens") + start)
                       / F.col("quota")).otherwise(F.lit(0.0))
-    return d.select("row.*", "n_tokens", "weight", "epoch", "block", position.alias("position"))
+    return d.select("_k", "_twin", "n_tokens", "weight", "epoch", "block", position.alias("position"))
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
