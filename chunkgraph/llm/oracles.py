@@ -6,7 +6,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 
-from chunkgraph.llm import license_scan, quality_rules
+from chunkgraph.llm import license_scan, quality_rules, url_filter
 
 _WS = "[\\x20\\x09-\\x0D]+"
 _WS_SET = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -112,7 +112,71 @@ FROM documents x LEFT JOIN best ON best.doc_id = x.doc_id AND best.r = 1
 LEFT JOIN units ON units.doc_id = x.doc_id"""
 
 
+def _url_filter() -> str:
+    u = url_filter
+    rules = sorted(u.RULES, key=lambda r: -len(r[0] + r[1]))
+
+    def case(pick) -> str:
+        return "CASE " + " ".join(
+            f"WHEN (host = {_text(h)} OR ends_with(host, {_text('.' + h)})) AND starts_with(path, {_text(p)}) "
+            f"THEN {_text(pick(h, p, v))}" for h, p, v in rules) + " END"
+
+    rounds = ""
+    for k in range(u.MERGE_ROUNDS):
+        rounds += f"""
+t_{k} AS (SELECT host, template, sum(labelled) AS n, sum(bad) AS b,
+            list_max(list_filter(range(1, len(string_split(template, '/')) + 1),
+                                 lambda i: string_split(template, '/')[i] <> '*')) AS fixed
+          FROM m_{k} GROUP BY host, template),
+p_{k} AS (SELECT *, CASE WHEN template = '' OR fixed IS NULL THEN template ELSE array_to_string(list_transform(
+            string_split(template, '/'), lambda s, i: CASE WHEN i = fixed THEN '*' ELSE s END), '/') END AS parent
+          FROM t_{k}),
+q_{k} AS (SELECT *, sum(n) OVER w AS an, sum(b) OVER w AS ab FROM p_{k}
+          WINDOW w AS (PARTITION BY host, parent)),
+z_{k} AS (SELECT *, CAST(ab AS DOUBLE) / an * (1 - CAST(ab AS DOUBLE) / an)
+                    * (CAST(1 AS DOUBLE) / n + CAST(1 AS DOUBLE) / (an - n)) AS spread
+          FROM q_{k}),
+d_{k} AS (SELECT host, template, CASE WHEN n > 0 AND an > n AND spread > 0
+            AND abs(CAST(b AS DOUBLE) / n - CAST(ab - b AS DOUBLE) / (an - n)) > {u.MERGE_Z} * sqrt(spread)
+            THEN template ELSE parent END AS branch FROM z_{k}),
+m_{k + 1} AS (SELECT m.host, m.shape, d.branch AS template, m.labelled, m.bad
+              FROM m_{k} m JOIN d_{k} d USING (host, template)),"""
+    last = f"m_{u.MERGE_ROUNDS}"
+    return f"""
+WITH r AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3)
+                           ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), {_AZ}) AS host,
+             regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
+g AS (SELECT *, list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda s:
+        CASE WHEN regexp_matches(s, '[0-9]') OR length(s) > {u.LONG_SEGMENT} THEN '*' ELSE s END) AS segs FROM h),
+pg AS (SELECT *, array_to_string(segs, '/') AS shape FROM g),
+bad AS (SELECT doc_id, max(CASE WHEN COALESCE(quality, 1) = 0 OR COALESCE(toxic, 0) = 1 THEN 1 ELSE 0 END) AS is_bad
+        FROM labels GROUP BY doc_id),
+leaf AS (SELECT host, shape, segs, count(*) AS n, count(is_bad) AS labelled, COALESCE(sum(is_bad), 0) AS bad
+         FROM pg LEFT JOIN bad ON doc_id = page_id GROUP BY host, shape, segs),
+step AS (SELECT host, shape, n, i, segs[i] AS child, array_to_string(segs[1:i - 1], '/') AS parent
+         FROM (SELECT *, unnest(range(1, len(segs) + 1)) AS i FROM leaf) x),
+var AS (SELECT host, i, parent FROM step GROUP BY host, i, parent
+        HAVING count(DISTINCT child) >= {u.VARIABLE_CHILDREN}
+           AND count(DISTINCT child) >= {u.VARIABLE_SHARE} * sum(n)),
+nam AS (SELECT host, shape, string_agg(CASE WHEN v.i IS NULL THEN child ELSE '*' END, '/' ORDER BY s.i) AS template
+        FROM step s LEFT JOIN var v USING (host, i, parent) GROUP BY host, shape),
+m_0 AS (SELECT l.host, l.shape, COALESCE(nam.template, '') AS template, labelled, bad
+        FROM leaf l LEFT JOIN nam USING (host, shape)),{rounds}
+tt AS (SELECT host, template, sum(labelled) AS n, sum(bad) AS b FROM {last} GROUP BY host, template),
+hh AS (SELECT host, sum(n) AS hn, sum(b) AS hb FROM tt GROUP BY host),
+al AS (SELECT CASE WHEN sum(hn) > 0 THEN CAST(sum(hb) AS DOUBLE) / sum(hn) ELSE 0.0 END AS base FROM hh),
+pu AS (SELECT host, template, n, (b + {u.SMOOTHING} * ((hb + {u.SMOOTHING} * base) / (hn + {u.SMOOTHING})))
+                                 / (n + {u.SMOOTHING}) AS purity FROM tt JOIN hh USING (host), al)
+SELECT page_id, host, path, {case(lambda h, p, v: h + p)} AS rule,
+       COALESCE({case(lambda h, p, v: v)}, CASE WHEN n > 0 AND purity >= {u.REJECT_PURITY} THEN 'block'
+                                                ELSE 'allow' END) AS verdict,
+       template, CAST(round(purity, 6) AS DOUBLE) AS purity
+FROM pg JOIN {last} USING (host, shape) JOIN pu USING (host, template)"""
+
+
 ORACLES = {
+    "op3_url_filter": _url_filter(),
     "op5_license_scan": _license_scan(),
     "op7_line_dedup": LINE_DEDUP,
     "op10_quality_rules": QUALITY_RULES,

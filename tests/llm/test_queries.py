@@ -15,7 +15,8 @@ def _bag(cols, rows):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_matches_its_sql(spark, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF_SMALL}/documents.parquet')")
+    for t in ("documents", "pages", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF_SMALL}/{t}.parquet')")
     cur = con.execute(queries.ORACLES[name])
     cols = [d[0] for d in cur.description]
     df = queries.QUERIES[name](spark, SF_SMALL)
