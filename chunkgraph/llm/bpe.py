@@ -47,7 +47,7 @@ _S = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u300
 #: that is not white space, and before the last one of a run of white space.
 CUT = re.compile(f"(?<=[^{_S}])(?=[{_S}])|(?<=[{_S}])(?=[{_S}][^{_S}])")
 #: A text without a run of white space (the common case) is cut by plain string splits.
-RUN = re.compile(f"[{_S}][{_S}]|^[{_S}]|[{_S}]\\Z")
+RUN = re.compile(f"[{_S}][{_S}]")
 
 
 class RankQueue:
@@ -231,7 +231,7 @@ class Codec:
         redo: set[int] = set()
         while (top := take()) is not None:
             r, bucket = top
-            p = np.unique(bucket)
+            p = _sorted_set(np.array(bucket))
             p = p[want[p] == r]  # the others are stale
             if not len(p):
                 continue
@@ -253,7 +253,7 @@ class Codec:
             want[q] = -1
             want[p] = -1
             before = prv[p]
-            x = np.unique(np.concatenate([p[more], before[before >= 0]]))
+            x = _sorted_set(np.concatenate([p[more], before[before >= 0]]))
             new = self._pair(tok[x], tok[nxt[x]])
             want[x] = new
             ok = new >= 0
@@ -297,25 +297,26 @@ class Codec:
 
     def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids (int32) of whole texts."""
-        # The segments are cut twice rather than held: a slice has a million of them.
         get = self.new.get
+        out: list[bytes] = []
+        waiting: list[tuple[int, list, list]] = []
         missed: set[str] = set()
-        for t in texts:
-            if t:
-                keys = _cut(t)
-                values = list(map(get, keys))
-                if None in values:
-                    missed.update([k for k, v in zip(keys, values) if v is None])
-        long = self._learn(missed) if missed else {}
-        get, old = self.new.get, self.old.get
-        out = []
         for t in texts:
             keys = _cut(t) if t else []
             values = list(map(get, keys))
             if None in values:
-                values = [v if v is not None else old(k) or long[k] for k, v in zip(keys, values)]
-            out.append(np.frombuffer(b"".join(values), "<i4"))
-        return out
+                missed.update([k for k, v in zip(keys, values) if v is None])
+                waiting.append((len(out), keys, values))
+                out.append(b"")
+            else:
+                out.append(b"".join(values))
+        if missed:
+            long = self._learn(missed)
+            get = self.new.get
+            for i, keys, values in waiting:
+                out[i] = b"".join([v if v is not None else get(k) or long[k]
+                                   for k, v in zip(keys, values)])
+        return [np.frombuffer(x, "<i4") for x in out]
 
     def encode(self, text: str | None) -> np.ndarray:
         return self.encode_all([text])[0]
@@ -327,9 +328,20 @@ class Codec:
         return gather(self.flat, self.offsets, self.lengths, ids)
 
 
+def _sorted_set(x: np.ndarray) -> np.ndarray:
+    """Distinct values in order; for arrays as short as most buckets are."""
+    if len(x) < 2:
+        return x
+    x.sort()
+    fresh = np.empty(len(x), bool)
+    fresh[0] = True
+    np.not_equal(x[1:], x[:-1], out=fresh[1:])
+    return x if fresh.all() else x[fresh]
+
+
 def _cut(text: str) -> list[str]:
     """The cache keys of the segments of a text, in order."""
-    if RUN.search(text):
+    if text[0].isspace() or text[-1].isspace() or RUN.search(text):
         return [s[1:] if s[0] == " " and len(s) > 1 and not s[1].isspace() else " " + s
                 for s in CUT.split(text)]
     # "a b\nc" -> segments "a", " b", "\nc"
