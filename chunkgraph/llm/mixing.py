@@ -2,7 +2,11 @@
 
 Token shares p of the sources are raised to an exponent a and normalised: w ~ p^a. The
 exponent is found by repeated section: the largest a whose entropy is still at least the
-target, or the smallest a at which no source is repeated more often than the limit. The
+target, or the smallest a at which no source is repeated more often than the limit. An a
+above 1 is wanted where the shares are more even than the target: it makes them less even,
+and the larger sources are then the repeated ones. The limit bounds a on both sides of 1 and
+prevails over the target. Where no exponent brings the entropy down to the target (equal
+sources), the plain shares stay. The
 weights are then realised as budgeted block permutations: a source gets ``w * budget``
 tokens, that is some full passes over its documents and the start of one more. Every pass
 takes the blocks of the source (about sqrt(n) blocks of sqrt(n) documents, fixed by hash) in
@@ -29,7 +33,9 @@ from chunkgraph.llm.common import WS_RUN, read, store
 
 #: Exponents tried per round and rounds: the interval shrinks by 32 each time.
 SECTIONS, ROUNDS = 32, 5
-MAX_EXPONENT = 8.0
+#: Exponents above 1 are bracketed by powers of two; shares that differ by less than a part in
+#: the largest of them count as equal.
+POWERS = [float(1 << i) for i in range(32)]
 #: A per-source table of at most this many rows may be broadcast.
 BROADCAST_SOURCES = 10_000
 ENTROPY_SHARE = 0.95
@@ -58,13 +64,15 @@ def _stats(rows: DataFrame) -> DataFrame:
 
 def _measures(stats: DataFrame, exponents: list[float], budget: float | None) -> list:
     """Entropy and largest repetition at each exponent; one row per exponent comes back."""
+    exponents = sorted(set(exponents))  # an exponent given twice would count each source twice
     t = stats.where("tokens > 0").withColumn("a", F.explode(F.array(*map(F.lit, exponents))))
-    t = t.withColumn("l", F.col("a") * F.log("p"))
-    # repetition of a source: w * budget / tokens, with w = p^a / z
-    t = t.withColumn("r", F.exp("l") / F.col("tokens"))
+    t = t.withColumn("l", F.col("a") * F.col("log_p"))
+    # repetition of a source: w * budget / tokens, with w = p^a / z; as a logarithm
+    t = t.withColumn("r", F.col("l") - F.log("tokens"))
     g = t.groupBy("a").agg(F.sum(F.exp("l")).alias("z"), F.sum(F.exp("l") * F.col("l")).alias("s"),
                            F.max("r").alias("hi"), F.min("r").alias("lo"))
-    repeat = F.col("hi") / F.col("lo") if budget is None else F.col("hi") / F.col("z") * budget
+    repeat = (F.exp(F.least(F.col("hi") - F.col("lo"), F.lit(700.0))) if budget is None
+              else F.exp("hi") / F.col("z") * budget)
     return g.select("a", (F.log("z") - F.col("s") / F.col("z")).alias("entropy"),
                     repeat.alias("repeat")).orderBy("a").collect()
 
@@ -73,15 +81,15 @@ def _section(stats, budget, lo: float, hi: float, holds_below: bool, ok) -> floa
     """The end of the exponents in [lo, hi] for which ``ok(row)`` holds, to within the last
     section; they are those below it (``holds_below``) or above it."""
     for _ in range(ROUNDS):
-        rows = _measures(stats, [lo + (hi - lo) * i / SECTIONS for i in range(SECTIONS + 1)], budget)
-        if not rows:
-            return lo
+        rows = _measures(stats, [lo + (hi - lo) * i / SECTIONS for i in range(SECTIONS)] + [hi], budget)
         good = [r.a for r in rows if ok(r)]
         if not good:
             return lo if holds_below else hi
         step = (hi - lo) / SECTIONS
         lo, hi = ((good[-1], min(hi, good[-1] + step)) if holds_below
                   else (max(lo, good[0] - step), good[0]))
+        if lo == hi:
+            break
     return lo if holds_below else hi
 
 
@@ -91,12 +99,28 @@ def exponent(stats: DataFrame, target_entropy: float | None = None,
     (then the limit prevails); 1.0, the plain shares, without either."""
     slack = 1e-9
     a = 1.0
+    # Relative to the largest share, so that no power of it is lost to underflow.
+    top = stats.agg(F.max("p").alias("p")).first().p
+    if not top:
+        return a
+    stats = stats.withColumn("log_p", F.when(F.col("tokens") > 0, F.log(F.col("p") / F.lit(top))))
     if target_entropy is not None:
-        a = _section(stats, budget, 0.0, MAX_EXPONENT, True,
-                     lambda r: r.entropy >= target_entropy - slack)
+        def even(r):
+            return r.entropy >= target_entropy - slack
+
+        first = next((r.a for r in _measures(stats, POWERS, budget) if not even(r)), None)
+        if first is not None:
+            a = _section(stats, budget, first / 2 if first > 1 else 0.0, first, True, even)
     if max_repeat is not None:
-        least = _section(stats, budget, 0.0, 1.0, False, lambda r: r.repeat <= max_repeat + slack)
-        a = max(a, least) if target_entropy is not None else least
+        def within(r):
+            return r.repeat <= max_repeat
+
+        # Repetition is least at 1 and grows to both sides of it.
+        if target_entropy is not None and a > 1:
+            a = _section(stats, budget, 1.0, a, True, within)
+        else:
+            least = _section(stats, budget, 0.0, 1.0, False, within)
+            a = max(a, least) if target_entropy is not None else least
     return a
 
 

@@ -41,6 +41,50 @@ def test_repetition_limit_is_met(spark):
     assert got["a"] == 30 and 70 <= got["c"] <= 76 and 30 < got["b"] < got["c"]
 
 
+def passes(rows, source_of):
+    """Times each source's tokens are taken."""
+    once, taken = Counter(), Counter()
+    for doc, n in {r.doc_id: r.n_tokens for r in rows}.items():
+        once[source_of[doc]] += n
+    for r in rows:
+        taken[r.source] += r.n_tokens
+    return {s: taken[s] / once[s] for s in once if once[s]}
+
+
+def test_limit_bounds_exponents_above_one(spark):
+    df = table(spark, {"a": 1200, "b": 1050, "c": 900})
+    stats = mixing.source_stats(df, "source", "text")
+    target = 0.8 * math.log(3)
+    free = mixing.exponent(stats, target_entropy=target)
+    a = mixing.exponent(stats, target_entropy=target, max_repeat=2.0)
+    assert 1 < a < free and (1200 / 900) ** (a - 1) == pytest.approx(2, abs=1e-5)
+    assert mixing.exponent(stats, target_entropy=target, max_repeat=50.0) == pytest.approx(free)
+    out = mixing.mix_sources(df, target_entropy=target, max_repeat=2.0).collect()
+    assert max(Counter(r.doc_id for r in out).values()) == 2
+
+
+def test_entropy_target_is_met_by_nearly_even_sources(spark):
+    sizes = {"a": 1020, "b": 990, "c": 960}
+    stats = mixing.source_stats(table(spark, sizes), "source", "text")
+    a = mixing.exponent(stats, target_entropy=0.9 * math.log(3))
+    z = sum(x ** a for x in sizes.values())
+    assert a > 8 and entropy([x ** a / z for x in sizes.values()]) == pytest.approx(0.9 * math.log(3), abs=1e-5)
+    equal = mixing.source_stats(table(spark, {"a": 900, "b": 900}), "source", "text")
+    assert mixing.exponent(equal, target_entropy=0.5) == 1.0
+
+
+def test_no_source_exceeds_the_limit_in_the_query(spark, tmp_path):
+    rows = mixing.op6_source_mixing(spark, SF_SMALL).collect()
+    docs = {d.doc_id: d.source for d in spark.read.parquet(f"{SF_SMALL}/documents.parquet").collect()}
+    assert max(passes(rows, docs).values()) <= mixing.MAX_REPEAT
+    # Sources so nearly even that the target alone would repeat the largest far more often.
+    even = table(spark, {"a": 3000, "b": 2400, "c": 2100, "d": 2100})
+    even.write.parquet(str(tmp_path / "documents.parquet"))
+    rows = mixing.op6_source_mixing(spark, str(tmp_path)).collect()
+    got = passes(rows, {r.doc_id: r.source for r in rows})
+    assert 1 < max(got.values()) <= mixing.MAX_REPEAT and min(got.values()) == 1
+
+
 def test_blocks_positions_and_passes(spark):
     out = mixing.mix_sources(table(spark, {"a": 9000, "b": 900}), target_entropy=0.6).collect()
     for source in "ab":
