@@ -2,7 +2,9 @@
 
 Every line is judged on its own: a *punctuation* rule (short lines must end a sentence, no
 line may be full of symbols), a *navigation* rule (menus and breadcrumbs) and a
-*boilerplate* rule (legal and interface phrases, words that stutter). Failing lines are removed; a document
+*boilerplate* rule (legal and interface phrases, words that stutter). A phrase fails a line
+of up to ``LONG_LINE`` characters; in a longer one the sentences with a phrase must make up more
+than half of it, each counted with ``LONG_LINE`` characters at most. Failing lines are removed; a document
 that loses more than ``max_loss`` of its characters, or fails the whole-text base rules, is
 rejected. All of it is row-local: no shuffle, no Python.
 
@@ -42,6 +44,12 @@ BOILERPLATE = ("all rights reserved", "copyright ©", "© 19", "© 20", "©19",
                "accept cookies", "enable javascript", "click here",
                "subscribe to our newsletter", "sign up for our", "powered by", "lorem ipsum",
                "this work is licensed under", "licensed under", "released under the")
+#: A copyright sign and a year, used instead of the phrases that begin with the sign.
+YEAR_MARK = r"©\s*\d{4}"
+#: A mention of a phrase fails a line this long; longer ones are judged by their sentences.
+LONG_LINE = 200
+MAX_PHRASE_SHARE = 0.5
+SENTENCE_GAP = r"[.!?…]+\s+|[。！？]+"
 #: A word four times in a row.
 STUTTER = r"(?:^|\s)(\S++)(?:\s+\1(?=\s|$)){3}"
 
@@ -101,6 +109,21 @@ def base_columns(df: DataFrame, text_col: str = "text") -> DataFrame:
              .drop("_l"))
 
 
+def _mentions(low: Column) -> Column:
+    """Whether a text in lower case has a boilerplate phrase."""
+    return reduce(or_, [low.contains(p) for p in BOILERPLATE if not p.startswith("©")]
+                  + [low.contains("©") & low.rlike(YEAR_MARK)])
+
+
+def _boilerplate(low: Column) -> Column:
+    """Whether phrases make a line, in lower case, boilerplate."""
+    with_phrase = F.aggregate(
+        F.filter(F.split(low, SENTENCE_GAP), _mentions), F.lit(0),
+        lambda n, s: n + F.least(F.length(s), F.lit(LONG_LINE)))
+    return _mentions(low) & ((F.length(low) <= LONG_LINE)
+                             | (with_phrase > MAX_PHRASE_SHARE * F.length(low)))
+
+
 def line_passes(bare: Column, low: Column) -> Column:
     """Whether a line passes the punctuation, navigation and boilerplate rules; it is given
     without white space at its ends, as it is and in lower case.
@@ -111,8 +134,7 @@ def line_passes(bare: Column, low: Column) -> Column:
     bad_punct = (short & ~bare.rlike(SENTENCE_END)) | (
         _symbols(bare) > MAX_SYMBOL_SHARE * F.length(bare))
     nav = (F.regexp_count(bare, F.lit(NAV_SEPARATORS)) > 2) | (short & low.rlike(NAV_ENTRY))
-    boilerplate = reduce(or_, [low.contains(p) for p in BOILERPLATE])
-    return (bare == "") | ~(bad_punct | nav | boilerplate | bare.rlike(STUTTER))
+    return (bare == "") | ~(bad_punct | nav | _boilerplate(low) | bare.rlike(STUTTER))
 
 
 def quality_rules(df: DataFrame, text_col: str = "text", max_loss: float = MAX_LOSS) -> DataFrame:

@@ -70,6 +70,32 @@ def test_documents_losing_too_much_are_rejected(spark):
     assert got == [(True, 0), (True, 1), (False, 12)]
 
 
+def numbered(n, lo=0):
+    """``n`` clean sentences, no two alike."""
+    return [" ".join(f"{w}{i}" for w in PROSE[:-1].split()) + "." for i in range(lo, lo + n)]
+
+
+def test_long_clean_lines_may_mention_phrases(spark):
+    phrases = [*qr.BOILERPLATE, "© 2024"]
+    one_each = [" ".join(numbered(3, 9 * i) + [f"Then they read {p} on a sign{i}."] + numbered(3, 9 * i + 3))
+                for i, p in enumerate(phrases)]
+    every = " ".join(one_each)  # a single line with each phrase
+    no_marks = every.replace(".", "")
+    banner = " ".join(f"We use cookies for purpose {i} and you can read our privacy policy." for i in range(9))
+    rows = qr.quality_rules(make_docs(spark, [*one_each, every, no_marks, banner])).orderBy("doc_id").collect()
+    n = len(phrases)
+    assert all(r.kept and r.n_removed_lines == 0 and r.loss == 0 for r in rows[:n + 2])
+    assert rows[n + 2].n_removed_lines == 1 and not rows[n + 2].kept
+
+
+@pytest.mark.parametrize("line, ok", [
+    ("©  2024 by the makers of this fine page", False), ("©\t1887 by the makers of this fine page", False),
+    ("©2024 by the makers of this fine page", False), ("The © 20 badge hung over the narrow door.", True)])
+def test_year_after_the_sign(spark, line, ok):
+    df = spark.createDataFrame([(line,)], "line string")
+    assert df.select(qr.line_passes(df.line, F.lower(df.line))).first()[0] is ok
+
+
 def test_clashing_columns_repeated_rows_and_empty_table(spark):
     df = spark.createDataFrame([(1, PROSE, 7, "k"), (1, PROSE, 7, "k")],
                                "doc_id long, text string, n_words int, kept string")
