@@ -51,6 +51,28 @@ TEMPLATES = (
                      "International License"),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
     ("LicenseRef-AllRightsReserved", "All rights reserved"),
+    # Notices that differ from another licence's or version's by a word or two.
+    *((name, f"This {work} is free software; you can redistribute it and/or modify it under the terms of "
+             f"the GNU {kind}General Public License as published by the Free Software Foundation; either "
+             f"version {version} of the License, or (at your option) any later version.")
+      for name, kind, version, works in (
+          ("GPL-2.0", "", "2", ("program",)),
+          ("LGPL-2.1", "Lesser ", "2.1", ("library", "program")),
+          ("LGPL-3.0", "Lesser ", "3", ("library", "program")),
+          ("AGPL-3.0", "Affero ", "3", ("program",)))
+      for work in works),
+    ("LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1"),
+    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3"),
+    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a "
+                "copy of the MPL was not distributed with this file, You can obtain one at "
+                "http://mozilla.org/MPL/2.0/."),
+    *((f"CC-BY-{short}-4.0", f"This work is licensed under a Creative Commons Attribution-{kind} 4.0 "
+                             "International License")
+      for short, kind in (("NC", "NonCommercial"), ("ND", "NoDerivatives"),
+                          ("NC-SA", "NonCommercial-ShareAlike"), ("NC-ND", "NonCommercial-NoDerivatives"))),
+    *((f"CC-{short}-4.0", f"Licensed under CC {short} 4.0")
+      for short in ("BY", "BY-SA", "BY-ND", "BY-NC-SA", "BY-NC-ND")),
 )
 
 

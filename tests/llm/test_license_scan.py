@@ -59,6 +59,29 @@ def test_edge_texts(spark):
     assert got(ls.license_scan(make_docs(spark, EDGE))) == {i: model(t) for i, t in enumerate(EDGE)}
 
 
+NAMED = [
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU "
+                "General Public License as published by the Free Software Foundation; either version 2 of the "
+                "License, or (at your option) any later version."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the "
+                 "GNU Lesser General Public License as published by the Free Software Foundation; either version "
+                 "2.1 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the "
+                 "GNU Affero General Public License as published by the Free Software Foundation, either version 3 "
+                 "of the License, or (at your option) any later version."),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International "
+                     "License"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of "
+                "the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.")]
+
+
+def test_versions_are_told_apart(spark):
+    """Each template and each notice is named as its own licence, not as a near one."""
+    cases = [*ls.TEMPLATES, *NAMED]
+    out = got(ls.license_scan(make_docs(spark, [t for _, t in cases])))
+    assert [out[i][0] for i in range(len(cases))] == [n for n, _ in cases]
+
+
 def test_repeats_clashes_and_empty_table(spark):
     df = spark.createDataFrame([(1, "all rights reserved", "x"), (1, "all rights reserved", "x"),
                                 (None, "all rights reserved", "x")], "doc_id long, text string, license string")
