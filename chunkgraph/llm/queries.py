@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from chunkgraph.llm import (bpe, langid, license_scan, line_dedup, lm, mixing, oph, quality_rules, simhash,
-                            url_filter)
+from chunkgraph.llm import (bpe, importance, langid, license_scan, line_dedup, lm, mixing, oph,
+                            quality_rules, simhash, url_filter)
 from chunkgraph.llm.oracles import ORACLES  # noqa: F401
 
 QUERIES = {
@@ -18,5 +18,6 @@ QUERIES = {
     "op8_lm_scores": lm.op8_lm_scores,
     "op9_simhash_dedup": simhash.op9_simhash_dedup,
     "op10_quality_rules": quality_rules.op10_quality_rules,
+    "op11_importance_resampling": importance.op11_importance_resampling,
     "pipeline": corpus_pipeline.run,
 }
