@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from chunkgraph.llm import (bpe, importance, langid, license_scan, line_dedup, lm, mixing, oph,
-                            quality_rules, simhash, url_filter)
+from chunkgraph.llm import (bpe, conversation_repair, importance, langid, license_scan, line_dedup, lm,
+                            mixing, oph, quality_rules, simhash, url_filter)
 from chunkgraph.llm.oracles import ORACLES  # noqa: F401
 
 QUERIES = {
@@ -19,5 +19,6 @@ QUERIES = {
     "op9_simhash_dedup": simhash.op9_simhash_dedup,
     "op10_quality_rules": quality_rules.op10_quality_rules,
     "op11_importance_resampling": importance.op11_importance_resampling,
+    "op12_conversation_repair": conversation_repair.op12_conversation_repair,
     "pipeline": corpus_pipeline.run,
 }
