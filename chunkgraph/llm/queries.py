@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 from chunkgraph.llm import (bpe, conversation_repair, importance, langid, license_scan, line_dedup, lm,
-                            mixing, oph, quality_rules, simhash, url_filter)
+                            mixing, oph, quality_rules, simhash, substring, url_filter)
 from chunkgraph.llm.oracles import ORACLES  # noqa: F401
 
 QUERIES = {
@@ -20,5 +20,6 @@ QUERIES = {
     "op10_quality_rules": quality_rules.op10_quality_rules,
     "op11_importance_resampling": importance.op11_importance_resampling,
     "op12_conversation_repair": conversation_repair.op12_conversation_repair,
+    "op13_substring_dedup": substring.op13_substring_dedup,
     "pipeline": corpus_pipeline.run,
 }

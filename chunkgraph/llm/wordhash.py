@@ -1,6 +1,7 @@
 """64-bit hashes of all words and shingles of many texts at once, with numpy.
 
-A word is a run of bytes other than the six ASCII white-space ones, lower-cased A-Z. Its
+A word is a run of bytes other than the six ASCII white-space ones, lower-cased A-Z (or left
+as it is, with another table of bytes). Its
 hash is a polynomial in a fixed odd base over random byte values, taken from prefix sums
 modulo 2**64 and finished by a bijective mixer, so no word is ever a Python object.
 """
@@ -24,6 +25,7 @@ _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+UNCHANGED = np.arange(256, dtype=np.uint8)
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -43,7 +45,7 @@ def _power(at: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return low[at & 4095] * high[(at >> 12) & 4095]
 
 
-def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(texts: list[bytes], fold: np.ndarray = _LOWER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(hash, counts, lengths)``: the hash and byte length of every word of all texts in
     order, and the number of words of each text."""
     joined = b" ".join(texts) + b" "
@@ -58,12 +60,12 @@ def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     # a longer text only wraps the base exponent, which the inverse power undoes for a word
     # that does not cross the wrap. Words that do are hashed on their own below.
     at = np.arange(len(raw), dtype=np.int64) & ((1 << 24) - 1)
-    value = _BYTE[_LOWER[raw]] * _power(at, _POW, _POW_HIGH)
+    value = _BYTE[fold[raw]] * _power(at, _POW, _POW_HIGH)
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value, dtype=np.uint64)])
     first = starts & ((1 << 24) - 1)
     h = (total[ends] - total[starts]) * _power(first, _INV, _INV_HIGH)
     for i in np.flatnonzero((starts >> 24) != ((ends - 1) >> 24)):
-        w = _BYTE[_LOWER[raw[starts[i]:ends[i]]]]
+        w = _BYTE[fold[raw[starts[i]:ends[i]]]]
         power = np.uint64(1)
         acc = np.uint64(0)
         for lo in range(0, len(w), 1 << 12):
