@@ -1,10 +1,11 @@
 """Source files -> chunk rows.
 
-One Arrow job reads each file once and reports *facts*: the definitions with their spans
-and texts, the import bindings and the call sites, each with an ordinal that tells what was
-seen before what. Everything that is decided about them is column expressions over those
-arrays: which definitions become chunks, class texts, types, name resolution, the builtin
-filter, dedup and order.
+One Arrow job parses each file once and reports *facts*, one flat row per definition that can
+become a chunk: its kind, names, lines, the text it stands for and the dotted names of its call
+sites as the imports seen so far bind them. A file that cannot be parsed is one row with the
+error. What follows from the facts - types, the builtin filter, dedup and order of calls, the
+indentation - is column expressions over those rows; nothing is nested, filtered twice or cut
+from the text again, so the plan holds one Arrow job and no shuffle.
 
 What a file yields:
 
@@ -27,6 +28,7 @@ from __future__ import annotations
 
 import ast
 import builtins
+from collections.abc import Iterator
 from itertools import accumulate
 
 import pyarrow as pa
@@ -40,197 +42,188 @@ from chunkgraph.functions import text as tx
 from chunkgraph.schemas import RAW_CHUNKS
 from chunkgraph.session import ship_package
 
-_CALL = T.StructType([T.StructField("root", T.StringType()),
-                      T.StructField("attrs", T.ArrayType(T.StringType()))])
-_DEF = T.StructType([
+#: One row per definition. ``margin`` is what stands before it on its line, ``sites`` are the
+#: names of its calls in the order of the source.
+FACTS = T.StructType([
+    T.StructField("path", T.StringType()),
+    T.StructField("no", T.IntegerType()),
     T.StructField("kind", T.StringType()),            # def, async or class
     T.StructField("name", T.StringType()),
     T.StructField("scope", T.StringType()),           # innermost enclosing class
-    T.StructField("owner", T.IntegerType()),          # class whose body holds it directly
-    T.StructField("methods", T.ArrayType(T.IntegerType())),  # a class's first two
     T.StructField("line", T.IntegerType()),
     T.StructField("body_line", T.IntegerType()),
     T.StructField("doc", T.StringType()),
     T.StructField("text", T.StringType()),
-    T.StructField("calls", T.ArrayType(_CALL)),
-    T.StructField("at", T.IntegerType()),
-])
-_IMPORT = T.StructType([T.StructField("local", T.StringType()),
-                        T.StructField("target", T.StringType()),
-                        T.StructField("at", T.IntegerType())])
-FACTS = T.StructType([
-    T.StructField("path", T.StringType()), T.StructField("content", T.StringType()),
-    T.StructField("defs", T.ArrayType(_DEF)), T.StructField("imports", T.ArrayType(_IMPORT)),
+    T.StructField("margin", T.StringType()),
+    T.StructField("sites", T.ArrayType(T.StringType())),
     T.StructField("error", T.StringType()),
 ])
+_ARROW = pa.schema([(f.name, {"int": pa.int32(), "string": pa.string()}.get(
+    f.dataType.simpleString(), pa.list_(pa.string()))) for f in FACTS])
+REJECTS = T.StructType([T.StructField("path", T.StringType()), T.StructField("error", T.StringType())])
+
+_FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
+_KIND = {ast.FunctionDef: "def", ast.AsyncFunctionDef: "async", ast.ClassDef: "class"}
+
+
+class _Source:
+    """A source text with its lines; columns of the parser count UTF-8 bytes."""
+
+    def __init__(self, text: str):
+        self.text, self.plain = text, text.isascii()
+        self.raw = b"" if self.plain else text.encode()
+        lines = text.split("\n") if self.plain else self.raw.split(b"\n")
+        self.at = [0, *accumulate(len(x) + 1 for x in lines)]
+        self._lines: list[str] | None = None
 
-# Lines as the class texts count them: every line boundary of Python's str.splitlines.
-_LINE_END = "(?<=[\\n\\x0B\\f\\x1C-\\x1E\\x85\\u2028\\u2029])"
+    def _cut(self, lo: int, hi: int) -> str:
+        return self.text[lo:hi] if self.plain else self.raw[lo:hi].decode()
 
+    def segment(self, node: ast.stmt) -> str:
+        return self._cut(self.at[node.lineno - 1] + node.col_offset,
+                         self.at[node.end_lineno - 1] + node.end_col_offset)
 
-def _call_name(func: ast.AST) -> dict | None:
-    """A call site as its root name (null when the base is no name) and attribute names."""
-    attrs = []
+    def margin(self, node: ast.stmt) -> str:
+        lo = self.at[node.lineno - 1]
+        return self._cut(lo, lo + node.col_offset)
+
+    def rows(self, first: int, stop: int) -> str:
+        """Lines ``first`` to ``stop - 1`` with their ends; every boundary of str.splitlines counts."""
+        if self._lines is None:
+            self._lines = self.text.splitlines(keepends=True)
+        return "".join(self._lines[first - 1:stop - 1])
+
+
+def _site(func: ast.AST, bound: dict[str, str]) -> str | None:
+    """Dotted name of a call; a leading name goes through its import binding, a base
+    that is no name leaves the attributes."""
+    parts: list[str] = []
     while isinstance(func, ast.Attribute):
-        attrs.append(func.attr)
+        parts.append(func.attr)
         func = func.value
-    root = func.id if isinstance(func, ast.Name) else None
-    return {"root": root, "attrs": attrs[::-1]} if root or attrs else None
-
-
-def file_facts(source: str) -> tuple[list[dict], list[dict]]:
-    """``(defs, imports)`` of one parsed source, in the order of the source."""
-    raw = source.encode()
-    line_at = [0, *accumulate(len(x) + 1 for x in raw.split(b"\n"))]
-    defs: list[dict] = []
-    imports: list[dict] = []
-    # (node, enclosing class name, number of the class whose body this is or None)
-    todo: list[tuple[ast.AST, str | None, int | None]] = [(ast.parse(source), None, None)]
-    at = 0
+    if isinstance(func, ast.Name):
+        parts.append(bound.get(func.id, func.id))
+    return ".".join(reversed(parts)) if parts else None
+
+
+def _sites(node: ast.AST, bound: dict[str, str]) -> list[str]:
+    return [s for sub in ast.walk(node) if isinstance(sub, ast.Call)
+            if (s := _site(sub.func, bound)) is not None]
+
+
+def _bind(node: ast.Import | ast.ImportFrom, bound: dict[str, str]) -> None:
+    module = getattr(node, "module", None)
+    for a in node.names:
+        bound[a.asname or a.name] = f"{module}.{a.name}" if module else a.name
+
+
+def file_facts(source: str) -> Iterator[tuple]:
+    """The facts of one source, in its order: :data:`FACTS` without path, number and error."""
+    src = _Source(source)
+    bound: dict[str, str] = {}
+    folded: set[int] = set()
+    todo: list[tuple[ast.AST, str | None]] = [(ast.parse(source), None)]
     while todo:
-        node, scope, owner = todo.pop()
-        at += 1
+        node, scope = todo.pop()
         if isinstance(node, (ast.Import, ast.ImportFrom)):
-            module = getattr(node, "module", None)
-            imports += [{"local": a.asname or a.name, "at": at,
-                         "target": f"{module}.{a.name}" if module else a.name} for a in node.names]
+            _bind(node, bound)
             continue
-        inside, body_of = scope, None
-        if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
-            is_class = isinstance(node, ast.ClassDef)
-            kind = "class" if is_class else "async" if isinstance(node, ast.AsyncFunctionDef) else "def"
-            lo = line_at[node.lineno - 1] + node.col_offset
-            hi = line_at[node.end_lineno - 1] + node.end_col_offset
-            if owner is not None and not is_class and len(defs[owner]["methods"]) < 2:
-                defs[owner]["methods"].append(len(defs))
-            defs.append({
-                "kind": kind, "name": node.name, "scope": scope, "owner": owner, "methods": [],
-                "line": node.lineno, "body_line": node.body[0].lineno, "at": at,
-                "doc": ast.get_docstring(node), "text": raw[lo:hi].decode(),
-                "calls": [] if is_class else [
-                    c for sub in ast.walk(node) if isinstance(sub, ast.Call)
-                    if (c := _call_name(sub.func))]})
-            if not is_class:
-                continue
-            inside, body_of = node.name, len(defs) - 1
-        direct = set(map(id, node.body)) if body_of is not None else ()
-        todo += [(child, inside, body_of if id(child) in direct else None)
-                 for child in reversed(list(ast.iter_child_nodes(node)))]
-    return defs, imports
-
-
-def _facts_of(path: str, content: str | None) -> dict:
-    row = {"path": path, "content": None, "defs": None, "imports": None, "error": None}
+        if isinstance(node, (*_FUNCTIONS, ast.ClassDef)) and id(node) not in folded:
+            text, called = None, node
+            if isinstance(node, ast.ClassDef):
+                methods = [m for m in node.body if isinstance(m, _FUNCTIONS)][:2]
+                called = None
+                if methods and methods[0].name == INIT_METHOD:
+                    called = methods.pop(0)
+                    folded.add(id(called))
+                if methods:
+                    text = src.rows(node.lineno, methods[0].lineno)
+            yield (_KIND[type(node)], node.name, scope, node.lineno, node.body[0].lineno,
+                   ast.get_docstring(node), src.segment(node) if text is None else text,
+                   src.margin(node), _sites(called, bound) if called else [])
+        if not isinstance(node, _FUNCTIONS):
+            inner = node.name if isinstance(node, ast.ClassDef) else scope
+            todo += [(child, inner) for child in reversed(list(ast.iter_child_nodes(node)))]
+
+
+def _facts_of(path: str, content: str | None) -> list[tuple]:
+    """Rows of :data:`FACTS`: the file's definitions, or its error."""
     try:
         if content is None:
             raise ValueError("file has no content")
-        defs, imports = file_facts(content)
-        for d in defs:  # escapes such as "\ud800" parse, but are no text
-            (d["doc"] or "").encode()
-        return row | {"content": content, "defs": defs, "imports": imports}
+        rows = [(path, i, *facts, None) for i, facts in enumerate(file_facts(content))]
+        for row in rows:  # escapes such as "\ud800" parse, but are no text
+            (row[7] or "").encode()
+        return rows
     except SyntaxError as exc:
-        return row | {"error": f"SyntaxError: {exc.msg} (line {exc.lineno})"}
+        error = f"SyntaxError: {exc.msg} (line {exc.lineno})"
     except Exception as exc:  # noqa: BLE001 - any failure isolates the file, not the task
-        return row | {"error": f"{type(exc).__name__}: {exc}"}
+        error = f"{type(exc).__name__}: {exc}"
+    return [(path, *[None] * (len(FACTS) - 2), error)]
 
 
 # Output batches are flushed by size, so memory stays bounded however many files an input
 # batch holds.
-_FLUSH_ROWS = 256
+_FLUSH_ROWS = 4096
 _FLUSH_CHARS = 16 << 20
-_ARROW_CALL = pa.struct([("root", pa.string()), ("attrs", pa.list_(pa.string()))])
-_ARROW_FACTS = pa.schema([
-    ("path", pa.string()), ("content", pa.string()),
-    ("defs", pa.list_(pa.struct([
-        ("kind", pa.string()), ("name", pa.string()), ("scope", pa.string()), ("owner", pa.int32()),
-        ("methods", pa.list_(pa.int32())), ("line", pa.int32()), ("body_line", pa.int32()),
-        ("doc", pa.string()), ("text", pa.string()), ("calls", pa.list_(_ARROW_CALL)),
-        ("at", pa.int32())]))),
-    ("imports", pa.list_(pa.struct([("local", pa.string()), ("target", pa.string()), ("at", pa.int32())]))),
-    ("error", pa.string())])
+
+
+def _table(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else [[] for _ in schema]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
 def _read_batches(batches):
-    rows: list[dict] = []
+    rows: list[tuple] = []
     chars = 0
     for batch in batches:
         for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            rows.append(_facts_of(path, content))
+            rows += _facts_of(path, content)
             chars += len(content or "")
             if len(rows) >= _FLUSH_ROWS or chars >= _FLUSH_CHARS:
-                yield pa.RecordBatch.from_pylist(rows, schema=_ARROW_FACTS)
+                yield _table(rows, _ARROW)
                 rows, chars = [], 0
-    if rows:
-        yield pa.RecordBatch.from_pylist(rows, schema=_ARROW_FACTS)
+    yield _table(rows, _ARROW)
 
 
-def extract_facts(files: DataFrame, path_col: str = "path", content_col: str = "content",
-                  spread: int | None = None) -> DataFrame:
-    """The Arrow job: one row of facts per file (:data:`FACTS`).
+def _reject_batches(batches):
+    schema = pa.schema([_ARROW.field("path"), _ARROW.field("error")])
+    for batch in batches:
+        found = [_facts_of(p, c) for p, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+        yield _table([(r[0][0], r[0][-1]) for r in found if r and r[0][-1] is not None], schema)
+
 
-    ``spread`` redistributes files round-robin first (useful when the source has fewer,
-    larger partitions than there are cores).
-    """
+def _sources(files: DataFrame, path_col: str, content_col: str, spread: int | None) -> DataFrame:
+    """``(path, content)``; ``spread`` redistributes the files round-robin first (useful when the
+    source has fewer, larger partitions than there are cores)."""
     ship_package(files.sparkSession)
     src = files.select(F.col(path_col).alias("path"),
                        tx.normalize_newlines(content_col).alias("content"))
-    if spread:
-        src = src.repartition(spread)
-    return src.mapInArrow(_read_batches, FACTS)
+    return src.repartition(spread) if spread else src
 
 
-def _resolved(call: Column, imports: Column, at: Column) -> Column:
-    """Dotted name of a call; its root goes through the latest binding before ``at``."""
-    known = F.filter(imports, lambda b: (b["local"] == call["root"]) & (b["at"] < at))
-    latest = F.array_max(F.transform(known, lambda b: F.struct(b["at"], b["target"])))
-    root = F.coalesce(latest["target"], call["root"])
-    return F.concat_ws(".", root, call["attrs"])
+def extract_facts(files: DataFrame, path_col: str = "path", content_col: str = "content",
+                  spread: int | None = None) -> DataFrame:
+    """The Arrow job (:data:`FACTS`)."""
+    return _sources(files, path_col, content_col, spread).mapInArrow(_read_batches, FACTS)
 
 
-def resolve_calls(calls: Column, imports: Column, at: Column) -> Column:
-    """Resolved call names without builtins, each once, sorted."""
-    builtin = F.expr("array(" + ", ".join(f"'{n}'" for n in sorted(dir(builtins))) + ")")
-    names = F.transform(calls, lambda c: _resolved(c, imports, at))
-    return F.array_sort(F.array_distinct(F.filter(names, lambda n: ~F.array_contains(builtin, n))))
+def clean_calls(sites: Column) -> Column:
+    """Call names without builtins (a hash set, whatever their number), each once, sorted."""
+    return F.array_sort(F.array_distinct(F.filter(sites, lambda n: ~n.isin(*sorted(dir(builtins))))))
 
 
 def chunk_rows(facts: DataFrame) -> DataFrame:
     """Facts -> chunk rows (:data:`RAW_CHUNKS`), rejects included."""
-    defs = F.col("defs")
-    nth = lambda d, i: F.get(defs, F.get(d["methods"], F.lit(i)))
-    has_init = lambda d: F.coalesce(nth(d, 0)["name"] == INIT_METHOD, F.lit(False))
-    is_folded = lambda d, i: F.coalesce(
-        (d["name"] == INIT_METHOD) & (F.get(F.get(defs, d["owner"])["methods"], F.lit(0)) == i), F.lit(False))
-    # Class texts end before ``stop``; an __init__ that comes first belongs to the class.
-    prepared = F.transform(defs, lambda d, i: F.struct(
-        d.alias("d"), is_folded(d, i).alias("folded"),
-        F.when(has_init(d), nth(d, 1)["line"]).otherwise(nth(d, 0)["line"]).alias("stop"),
-        F.when(has_init(d), nth(d, 0)["calls"]).otherwise(d["calls"]).alias("calls")))
-    good = facts.where(F.col("error").isNull()).select(
-        "path", "imports", F.split("content", _LINE_END).alias("lines"),
-        F.split("content", "\n").alias("rows"), prepared.alias("defs"))
-    # Only the lines a row needs go with it: its class header and its first line.
-    slim = F.transform(F.filter("defs", lambda x: ~x["folded"]), lambda x: F.struct(
-        x["d"].alias("d"), x["calls"].alias("calls"),
-        F.when((x["d"]["kind"] == "class") & x["stop"].isNotNull(), F.array_join(F.slice(
-            F.col("lines"), x["d"]["line"], x["stop"] - x["d"]["line"]), "")).alias("header"),
-        tx.indentation(F.get(F.col("rows"), x["d"]["line"] - 1)).alias("func_indent")))
-    good = good.select("path", "imports", F.posexplode(slim).alias("chunk_no", "x"))
-    d = F.col("x.d")
-    plain = F.when(d["kind"] == "async", TYPE_ASYNC_FUNCTION).otherwise(TYPE_FUNCTION)
-    kind = F.when(d["kind"] == "class", TYPE_CLASS).when(
-        d["scope"].isNotNull(), TYPE_METHOD).otherwise(plain)
-    good = good.select(
-        "path", "chunk_no", d["name"].alias("name"), kind.alias("type"),
-        F.when(d["kind"] != "class", d["scope"]).alias("parent_class"),
-        F.coalesce("x.header", d["text"]).alias("content"), d["line"].alias("line_number"),
-        d["body_line"].alias("body_start_line"), d["doc"].alias("docstring"),
-        resolve_calls(F.col("x.calls"), F.col("imports"), d["at"]).alias("calls"),
-        "x.func_indent", F.lit(None).cast("string").alias("error"))
-    bad = facts.where(F.col("error").isNotNull()).select(*[
-        F.col(f.name) if f.name in ("path", "error") else F.lit(None).cast(f.dataType).alias(f.name)
-        for f in RAW_CHUNKS])
-    return good.select([f.name for f in RAW_CHUNKS]).unionByName(bad)
+    is_class = F.col("kind") == "class"
+    kind = (F.when(is_class, TYPE_CLASS).when(F.col("scope").isNotNull(), TYPE_METHOD)
+            .when(F.col("kind") == "async", TYPE_ASYNC_FUNCTION).when(F.col("kind") == "def", TYPE_FUNCTION))
+    return facts.select(
+        "path", F.col("no").alias("chunk_no"), "name", kind.alias("type"),
+        F.when(~is_class, F.col("scope")).alias("parent_class"), F.col("text").alias("content"),
+        F.col("line").alias("line_number"), F.col("body_line").alias("body_start_line"),
+        F.col("doc").alias("docstring"), clean_calls(F.col("sites")).alias("calls"),
+        tx.indentation("margin").alias("func_indent"), "error").select([f.name for f in RAW_CHUNKS])
 
 
 def extract_chunks(files: DataFrame, path_col: str = "path", content_col: str = "content",
@@ -247,3 +240,9 @@ def good_chunks(raw: DataFrame) -> DataFrame:
 def rejects(raw: DataFrame) -> DataFrame:
     """One row per file that could not be parsed."""
     return raw.where(F.col("error").isNotNull()).select("path", "error")
+
+
+def find_rejects(files: DataFrame, path_col: str = "path", content_col: str = "content",
+                 spread: int | None = None) -> DataFrame:
+    """S2 straight from the files: only the rejects leave the Python workers."""
+    return _sources(files, path_col, content_col, spread).mapInArrow(_reject_batches, REJECTS)

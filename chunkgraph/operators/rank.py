@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from chunkgraph.fixed import CONTEXT_SEPARATOR, DEPENDENCY_RATIO, DONE_MARKER, TOP_N
 from chunkgraph.functions import text as tx
 from chunkgraph.operators.graph import context_candidates, dependencies, dependents
-from chunkgraph.operators.index import dense_ids
+from chunkgraph.operators.index import dense_ids, mark_done
 
 
 #: What the model is told before the prompt; the answers may come fenced or quoted anyway
@@ -87,6 +87,27 @@ def rank_context(chunks: DataFrame, edges: DataFrame, targets: DataFrame | None
     return rank_candidates(cands, top_n, dependency_ratio, doc_state)
 
 
+def refresh_context(ranked: DataFrame, chunks: DataFrame, edges: DataFrame, done: DataFrame,
+                    top_n: int = TOP_N, dependency_ratio: float = DEPENDENCY_RATIO) -> DataFrame:
+    """T1 + J7 after a partial pass: the ranking once the chunks ``done(id)`` are documented.
+
+    ``ranked`` is the snapshot ranking of all undocumented chunks before the pass. A document
+    moves only callees, so what can change are the targets that call a chunk the pass
+    documented: those are found through the reverse adjacency and ranked again, the done
+    targets go, and every other target keeps its rows. Equal to a full ranking of the marked
+    chunks.
+    """
+    newly = done.select("id").distinct().join(
+        undocumented_targets(chunks).select("id", "name"), "id").select("id", "name")
+    callers = edges.join(newly.select(F.col("name").alias("callee")), "callee").select(
+        F.col("caller_id").alias("id")).distinct()
+    moved = callers.join(undocumented_targets(chunks).select("id"), "id", "left_semi").join(
+        newly.select("id"), "id", "left_anti")
+    again = rank_context(mark_done(chunks, newly.select("id")), edges, moved, top_n, dependency_ratio, "snapshot")
+    stale = moved.select(F.col("id").alias("target_id")).unionByName(newly.select(F.col("id").alias("target_id")))
+    return ranked.join(stale, "target_id", "left_anti").select(again.columns).unionByName(again)
+
+
 def retrieve_by_name(chunks: DataFrame, edges: DataFrame, requests: DataFrame,
                      top_n: int = TOP_N, dependency_ratio: float = DEPENDENCY_RATIO) -> DataFrame:
     """J3/J4/J7 for targets given as ``(name, path)``: one row per related chunk.

@@ -28,14 +28,12 @@ Extraction over this corpus must give back the CG edges exactly.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chunkgraph.operators import extract, graph, index, split
 from chunkgraph.plans import views
-from chunkgraph.plans.index_build import build_index, load_index, save_index
+from chunkgraph.plans.index_build import build_index
 from chunkgraph.session import ensure_checkpoint_dir
 from chunkgraph.sources import corpus
 from chunkgraph.sources.tables import read_table
@@ -128,7 +126,7 @@ def q_call_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_rejects_per_dir(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files that failed to parse, counted per top-level directory."""
-    rej = extract.rejects(_raw(spark, sf_dir, broken=True))
+    rej = extract.find_rejects(sc_files(spark, sf_dir, broken=True))
     return (rej.groupBy(F.substring_index("path", "/", 1).alias("dir"))
                .agg(F.count(F.lit(1)).cast("long").alias("n_rejects")))
 
@@ -151,18 +149,6 @@ def q_index_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idx.pieces.select("chunk_id", F.col("piece_no").cast("long").alias("piece_no"), "content")
 
 
-def q_stored_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S6 + S7 + S8: the index stored, a second build that must change nothing, read back."""
-    base = f"{ensure_checkpoint_dir(spark)}/index-{uuid.uuid4().hex[:12]}"
-    files = sc_files(spark, sf_dir, broken=False)
-    save_index(build_index(files), base)
-    save_index(build_index(files.where("path IS NULL")), base)
-    chunks, edges = load_index(spark, base)
-    degree = edges.groupBy(F.col("caller_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
-    return chunks.join(degree, "id", "left").select(
-        "id", "name", "path", F.coalesce("n", F.lit(0)).alias("n_edges"))
-
-
 def _path_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = sc_files(spark, sf_dir).select("path")
     p = F.col("path")
@@ -233,7 +219,6 @@ QUERIES = {
     "index_chunks": q_index_chunks,
     "index_edges": q_index_edges,
     "index_pieces": q_index_pieces,
-    "stored_index": q_stored_index,
     "sc_edges_roundtrip": q_sc_edges_roundtrip,
     "corpus_scan": q_corpus_scan,
     "corpus_shape": q_corpus_shape,

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chunkgraph.operators import extract, graph, index, split
-from chunkgraph.schemas import CHUNKS, EDGES
+from chunkgraph.plans.index_store import IndexStore
 from chunkgraph.session import store
 
 CHUNK_COLUMNS = ["id", "path", "name", "type", "content", "parent_class", "line_number",
@@ -47,30 +47,18 @@ def build_index(files: DataFrame, size: int = split.CHUNK_SIZE,
 
 
 def save_index(idx: Index, base: str, mode: str = "ignore") -> None:
-    """Write the two tables with their fixed schemas. ``mode="ignore"`` is build-once
-    (a complete index is kept as it is); ``"overwrite"`` refreshes it. Chunks are written
-    sorted by name within each file so a later name lookup reads few row groups.
-
-    The edges' success marker is written last and stands for the pair: an index whose
-    edges are missing is rebuilt whole, so ids never come from two builds.
-    """
-    spark = idx.chunks.sparkSession
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base}/edges/_SUCCESS")
-    whole = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
-    if mode == "ignore" and whole:
+    """Publish a built index as a version of ``base``. ``mode="ignore"`` keeps an index
+    that has chunks, ``"overwrite"`` puts a new version in its place; readers see the version
+    before until the new one is committed. :meth:`IndexStore.build_once` decides before the
+    index is built, which is what a job that may find one should call."""
+    target = IndexStore(idx.chunks.sparkSession, base)
+    have = target.manifest()
+    if mode == "ignore" and have and have.rows:
         return
-    conform(idx.chunks, CHUNKS).sortWithinPartitions("name").write.mode("overwrite").parquet(
-        f"{base}/chunks")
-    conform(idx.edges, EDGES).write.mode("overwrite").parquet(f"{base}/edges")
-
-
-def conform(df: DataFrame, schema) -> DataFrame:
-    """Select and cast ``df`` to exactly the columns and types of ``schema``; a nullable
-    column that ``df`` lacks is null."""
-    return df.select(*[(F.lit(None) if f.nullable and f.name not in df.columns else F.col(f.name))
-                       .cast(f.dataType).alias(f.name) for f in schema.fields])
+    target.publish(idx.chunks, idx.edges)
 
 
 def load_index(spark, base: str) -> tuple[DataFrame, DataFrame]:
     """Full scans of the stored chunk and edge tables."""
-    return spark.read.parquet(f"{base}/chunks"), spark.read.parquet(f"{base}/edges")
+    stored = IndexStore(spark, base)
+    return stored.chunks(), stored.edges()

@@ -622,3 +622,30 @@ FROM benchmark b
 LEFT JOIN documents d ON d.doc_id = b.item_id
 LEFT JOIN ans a ON a.conv_id = b.item_id
 LEFT JOIN ctx c ON c.conv_id = b.item_id"""
+
+
+# ---------------------------------------------------------------------------------------
+# The stored index.
+ORACLES["upsert_index"] = SC_WHOLE + """,
+batch AS (
+  SELECT 1 AS b, path, chunk_no, name FROM sc_expected WHERE path NOT LIKE 'tests/%'
+  UNION ALL SELECT 2, path, chunk_no, name FROM sc_expected WHERE path LIKE 'tests/%'
+  UNION ALL SELECT 2, 'copy/' || path, chunk_no, name FROM sc_expected WHERE path NOT LIKE 'tests/%'),
+holder AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY b, path, chunk_no) AS k FROM batch),
+named AS (SELECT *, CAST(row_number() OVER (ORDER BY b, path, chunk_no) AS BIGINT) AS id FROM holder WHERE k = 1)
+SELECT x.path, x.chunk_no, x.name, n.id, CAST(x.k = 1 AS INTEGER) AS created
+FROM holder x JOIN named n ON n.name = x.name"""
+
+ORACLES["dependencies_stored"] = ORACLES["dependencies"]
+ORACLES["dependents_stored"] = ORACLES["dependents"]
+
+ORACLES["retrieve_stored"] = CG_RANK_ALL + """,
+busy AS (SELECT callee FROM cg_edges GROUP BY callee ORDER BY COUNT(*) DESC, callee LIMIT 20)
+SELECT r.target_id, r.cand_id, r.cand_name, r.dep, r.rn, r.pos
+FROM ranked r JOIN cg_chunks t ON t.id = r.target_id JOIN busy ON busy.callee = t.name"""
+
+ORACLES["context_refresh"] = CG_RANK.replace(
+    "CASE WHEN p_size % 3 <> 0 THEN p_type END AS docstring",
+    "CASE WHEN p_size % 3 <> 0 THEN p_type WHEN p_size % 5 = 0 THEN 'DONE' END AS docstring").replace(
+    "(c.docstring IS NOT NULL OR c.id < u.target_id)", "(c.docstring IS NOT NULL)") + """
+SELECT target_id, cand_id, cand_name, dep, rn, pos FROM ranked"""

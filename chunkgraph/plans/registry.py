@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chunkgraph.plans import codegraph, corpus, evaluation, lines
+from chunkgraph.plans import codegraph, corpus, evaluation, lines, stored
 from chunkgraph.plans.oracles import ORACLES
 
-_MODULES = (codegraph, corpus, lines, evaluation)
+_MODULES = (codegraph, corpus, lines, evaluation, stored)
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

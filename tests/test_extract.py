@@ -178,15 +178,23 @@ SOURCES = [SHAPES, ACCOUNT, MIXED, "async def a():\n    '''ü\n    ü'''\n    aw
 @pytest.mark.parametrize("i", range(len(SOURCES)))
 def test_segments_equal_the_standard_helper(i):
     src = SOURCES[i]
-    texts = sorted(d["text"] for d in extract.file_facts(src)[0])
+    texts = sorted(text for kind, *_, text, _, _ in extract.file_facts(src) if kind != "class")
     top = [n for n in ast.walk(ast.parse(src)) if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef))]
     assert set(texts) <= {ast.get_source_segment(src, n) for n in top}
 
 
+def test_every_file_is_parsed_in_one_job(spark):
+    files = spark.createDataFrame([("s.py", SHAPES), ("bad.py", "class :\n")], "path string, content string")
+    plan = extract.extract_chunks(files)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Union" not in plan and "Exchange" not in plan
+    assert [r.path for r in extract.find_rejects(files).collect()] == ["bad.py"]
+
+
 def test_corpus_definitions_are_all_found(spark):
     from chunkgraph.plans.corpus import sc_files
     for r in sc_files(spark, SF_SMALL, broken=False).collect():
-        found = [d["name"] for d in extract.file_facts(r.content)[0]]
+        found = [f[1] for f in extract.file_facts(r.content)]
         tree = ast.parse(r.content)
-        want = [n.name for n in ast.walk(tree) if isinstance(n, (ast.FunctionDef, ast.ClassDef))]
+        want = [n.name for n in ast.walk(tree) if isinstance(n, (ast.FunctionDef, ast.ClassDef))
+                and n.name != "__init__"]  # folded into its class
         assert sorted(found) == sorted(want)
