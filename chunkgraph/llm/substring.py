@@ -131,6 +131,7 @@ def _squeeze(batches):
         texts = [None if t is None else pack(t) for t in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary()), *batch.columns[2:]],
                                          names=batch.schema.names)
+    release()
 
 
 def _moving(docs: DataFrame) -> DataFrame:
@@ -187,7 +188,7 @@ def _report(table: pa.Table, window: int) -> pa.Table:
 def _hash_windows(batches, window: int):
     """Every window of passages: (w1, w2, anchor, passage, place, least)."""
     names = ["w1", "w2", "anchor", "passage", "lo", "least"]
-    for batch in batches:
+    for batch in (b.slice(lo, 512) for b in batches for lo in range(0, b.num_rows, 512)):
         out: list[list] = [[] for _ in names]
         for a, p, doc, text in zip(*[c.to_pylist() for c in batch.columns[:4]]):
             words = text.split()
@@ -197,6 +198,7 @@ def _hash_windows(batches, window: int):
                     col.append(v)
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if n == "lo" else pa.int64())
                                           for n, c in zip(names, out)], names=names)
+    release()
 
 
 def _search(passages: DataFrame, window: int) -> DataFrame:
@@ -205,7 +207,9 @@ def _search(passages: DataFrame, window: int) -> DataFrame:
     dealt = passages.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
 
     def report(table: pa.Table) -> pa.Table:
-        return _report(table, window)
+        out = _report(table, window)
+        release()
+        return out
 
     return dealt.groupBy("shard").applyInArrow(report, FOUND)
 
@@ -253,26 +257,35 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR_WOR
         "doc_id", place.alias("at"), (F.col("hi") - F.col("lo")).cast("int").alias("size"))
 
 
+def _without(text: bytes, places: list | None, sizes: list | None) -> tuple[list[bytes], int]:
+    """``(words that stay, words before)``."""
+    words = text.split()
+    if not places:
+        return words, len(words)
+    at, size = np.array(places, np.int64), np.array(sizes, np.int64)
+    mine = at >> _TAG_SHIFT == text_tag(text)
+    lo = at[mine] & 0xFFFFFFFF
+    cover = np.zeros(len(words) + 1, np.int64)
+    np.add.at(cover, lo, 1)
+    np.add.at(cover, lo + size[mine], -1)
+    gone = np.cumsum(cover)[:-1] > 0
+    return [w for w, g in zip(words, gone) if not g], len(words)
+
+
 def _remove(batches):
     """Rows (row, text, places, sizes) -> the text without the words at those places."""
+    names = ["row", "text", "n_words", "n_removed"]
     for batch in batches:
-        rows = batch.column(0)
-        for i in range(batch.num_rows):
-            raw, places, sizes = (batch.column(c)[i].as_py() for c in (1, 2, 3))
-            text = _unpack(raw)
-            words = text.split()
-            gone = np.zeros(len(words) + 1, np.int64)
-            if places:
-                at, size = np.array(places, np.int64), np.array(sizes, np.int64)
-                mine = at >> _TAG_SHIFT == text_tag(text)
-                lo = at[mine] & 0xFFFFFFFF
-                np.add.at(gone, lo, 1)
-                np.add.at(gone, lo + size[mine], -1)
-            gone = np.cumsum(gone)[:-1] > 0
-            left = [w for w, g in zip(words, gone) if not g] if gone.any() else words
-            yield pa.RecordBatch.from_arrays(
-                [rows.slice(i, 1), pa.array([b" ".join(left).decode()]), pa.array([len(words)], pa.int64()),
-                 pa.array([len(words) - len(left)], pa.int64())], names=["row", "text", "n_words", "n_removed"])
+        rows, raw = batch.column(0), batch.column(1)
+        for lo, hi in slices(raw.to_pylist()):
+            texts, before, gone = [], [], []
+            for i in range(lo, hi):
+                left, n = _without(_unpack(raw[i].as_py()), batch.column(2)[i].as_py(), batch.column(3)[i].as_py())
+                texts.append(b" ".join(left).decode())
+                before.append(n)
+                gone.append(n - len(left))
+            yield pa.RecordBatch.from_arrays([rows.slice(lo, hi - lo), pa.array(texts, pa.string()),
+                                              pa.array(before, pa.int64()), pa.array(gone, pa.int64())], names=names)
     release()
 
 
