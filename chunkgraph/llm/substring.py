@@ -1,7 +1,8 @@
 """Substring dedup: passages of ``window`` words that an earlier document holds go.
 
 Shards are made by content. Every window of a document has an *anchor*, its least hashed run of
-``ANCHOR_WORDS`` words (about one anchor per 20 words), so equal windows have equal anchors,
+``ANCHOR_WORDS`` words (about one anchor per 13 words; shorter runs would be
+shared by stock phrases in ever new surroundings), so equal windows have equal anchors,
 and the words up to ``window`` around an anchor - its *passage* - hold every window it stands
 for. Anchors that one document alone holds go at once; equal passages of an anchor are one
 passage that knows its least document. If an anchor has one passage left, that document is the
@@ -42,10 +43,10 @@ from chunkgraph.llm.fmindex import PassageIndex
 from chunkgraph.session import ship_package
 
 WINDOW = 50
-ANCHOR_WORDS = 12
+ANCHOR_WORDS = 25
 #: Passages of a shard on average, and of one anchor at most.
 SHARD_PASSAGES = 4096
-ANCHOR_PASSAGES = 4096
+ANCHOR_PASSAGES = 16384
 
 ANCHORS = T.StructType([T.StructField("anchor", T.LongType()), T.StructField("passage", T.LongType()),
                         T.StructField("doc_id", T.LongType()), T.StructField("at", T.LongType()),
@@ -53,7 +54,8 @@ ANCHORS = T.StructType([T.StructField("anchor", T.LongType()), T.StructField("pa
 #: ``at`` is a tag of the text (31 bits) and the number of the passage's first word (32 bits).
 _TAG_SHIFT = 32
 PASSAGES = "anchor long, passage long, least long, text binary"
-FOUND = "anchor long, passage long, lo int, hi int, first_doc long"
+FOUND = "anchor long, passage long, cuts array<struct<lo: int, hi: int, first_doc: long>>"
+_CUTS = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32()), ("first_doc", pa.int64())]))
 
 
 def text_tag(text: bytes) -> int:
@@ -179,10 +181,12 @@ def _report(table: pa.Table, window: int) -> pa.Table:
     new = np.concatenate([[True], (np.diff(row) != 0) | (np.diff(at) != 1) | (np.diff(who) != 0)])[:len(row)]
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(row)) - 1
-    pick = pa.array(row[first])
-    return pa.table({"anchor": table.column("anchor").take(pick), "passage": table.column("passage").take(pick),
-                     "lo": pa.array(at[first].astype(np.int32)),
-                     "hi": pa.array((at[last] + window).astype(np.int32)), "first_doc": pa.array(who[first])})
+    cuts = pa.StructArray.from_arrays(
+        [pa.array(at[first].astype(np.int32)), pa.array((at[last] + window).astype(np.int32)), pa.array(who[first])],
+        names=["lo", "hi", "first_doc"])
+    bounds = np.searchsorted(row[first], np.arange(table.num_rows + 1)).astype(np.int32)
+    return pa.table({"anchor": table.column("anchor"), "passage": table.column("passage"),
+                     "cuts": pa.ListArray.from_arrays(pa.array(bounds), cuts)})
 
 
 def _hash_windows(batches, window: int):
@@ -221,15 +225,16 @@ def _search_hot(passages: DataFrame, window: int) -> DataFrame:
         "w1 long, w2 long, anchor long, passage long, lo int, least long")
     rows = store(rows, "hot-windows")
     firsts = rows.groupBy("w1", "w2").agg(F.min("least").alias("first_doc"))
-    return rows.join(firsts, ["w1", "w2"]).select(
-        "anchor", "passage", "lo", (F.col("lo") + window).alias("hi"), "first_doc")
+    cut = F.struct("lo", (F.col("lo") + window).alias("hi"), "first_doc")
+    return rows.join(firsts, ["w1", "w2"]).groupBy("anchor", "passage").agg(
+        F.array_sort(F.collect_list(cut)).alias("cuts"))
 
 
 # ----------------------------------------------------------------- the operator
 
 def repeated_passages(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR_WORDS) -> DataFrame:
-    """``(doc_id, at, size)``: words of ``docs(doc_id, text)`` that an earlier document holds;
-    ``at`` as in :data:`ANCHORS`."""
+    """``(doc_id, cuts)``: words of ``docs(doc_id, text)`` that an earlier document holds, as
+    ``(at, size)``; ``at`` as in :data:`ANCHORS`."""
     found = docs.where(F.col("doc_id").isNotNull()).mapInArrow(
         partial(_emit_anchors, window=window, k=k), ANCHORS)
     anchors = store(found, "window-anchors")
@@ -240,8 +245,8 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR_WOR
         F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "at", "size")).alias("from"))
     counts = passages.groupBy("anchor").agg(F.count(F.lit(1)).alias("n_passages"))
     passages = store(passages.join(counts, "anchor"), "passages")
-    alone = passages.where("n_passages = 1").select(
-        "anchor", "passage", F.lit(0).alias("lo"), F.col("from.size").alias("hi"), F.col("least").alias("first_doc"))
+    alone = passages.where("n_passages = 1").select("anchor", "passage", F.array(F.struct(
+        F.lit(0).alias("lo"), F.col("from.size").alias("hi"), F.col("least").alias("first_doc"))).alias("cuts"))
     wanted = passages.where("n_passages > 1").groupBy(F.col("from.doc_id").alias("doc_id")).agg(
         F.collect_list(F.struct("anchor", "passage", "least", F.col("from.at").alias("at"),
                                 F.col("from.size").alias("size"))).alias("wanted"))
@@ -252,9 +257,11 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR_WOR
     reported = alone.unionByName(_search(cut.join(busy, "anchor", "left_anti"), window)) \
                     .unionByName(_search_hot(hot, window))
     reported = store(reported, "passage-intervals")
-    place = F.col("at") + F.col("lo")
-    return anchors.join(reported, ["anchor", "passage"]).where("first_doc < doc_id").select(
-        "doc_id", place.alias("at"), (F.col("hi") - F.col("lo")).cast("int").alias("size"))
+    # One row per occurrence of a passage; its intervals stay in an array until they are judged.
+    held = F.filter("cuts", lambda c: c["first_doc"] < F.col("doc_id"))
+    found = anchors.join(reported, ["anchor", "passage"]).select("doc_id", "at", held.alias("cuts"))
+    return found.where(F.size("cuts") > 0).select("doc_id", F.transform("cuts", lambda c: F.struct(
+        (F.col("at") + c["lo"]).alias("at"), (c["hi"] - c["lo"]).alias("size"))).alias("cuts"))
 
 
 def _without(text: bytes, places: list | None, sizes: list | None) -> tuple[list[bytes], int]:
@@ -290,16 +297,16 @@ def _remove(batches):
 
 
 def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                   window: int = WINDOW) -> DataFrame:
+                   window: int = WINDOW, k: int = ANCHOR_WORDS) -> DataFrame:
     """``docs`` with the words that stay, joined by one space, as ``text_col``, plus
-    ``n_words`` (before) and ``n_removed``."""
+    ``n_words`` (before) and ``n_removed``; ``k`` is the length of an anchor."""
     ship_package(docs.sparkSession)
-    if window <= ANCHOR_WORDS:
-        raise ValueError(f"windows must be longer than {ANCHOR_WORDS} words")
+    if not 0 < k < window:
+        raise ValueError("windows must be longer than their anchors")
     lean = docs.select(F.col(id_col).cast("long").alias("doc_id"),
                        F.col(text_col).cast("binary").alias("text"))
-    gone = repeated_passages(lean, window).groupBy(F.col("doc_id").alias("_gone")).agg(
-        F.collect_list(F.struct("at", "size")).alias("_cuts"))
+    gone = repeated_passages(lean, window, k).groupBy(F.col("doc_id").alias("_gone")).agg(
+        F.flatten(F.collect_list("cuts")).alias("_cuts"))
     # All other columns travel in one struct, out of the way of any name.
     others = [F.col(c) for c in docs.columns if c != text_col]
     wide = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"),

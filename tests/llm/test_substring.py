@@ -95,7 +95,7 @@ def test_empty_table_and_clashing_columns(spark):
 
 def test_window_length(spark):
     rows = _corpus(5, 30, 20)
-    assert _run(make_docs(spark, rows), window=20) == _model(rows, 20)
+    assert _run(make_docs(spark, rows), window=20, k=8) == _model(rows, 20)
 
 
 def test_wavelet_rank():
