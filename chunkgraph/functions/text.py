@@ -113,6 +113,11 @@ def json_to_calls(c) -> Column:
     return F.from_json(_col(c), "array<string>")
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def pinned(value: Column) -> Column:
     """``value``, computed once where it stands.
 

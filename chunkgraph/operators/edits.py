@@ -55,27 +55,28 @@ def block_bounds(files: DataFrame, requests: DataFrame, keys: Sequence[str], tex
         test = (lambda q: c.startswith(q)) if where == "start" else (lambda q: c.endswith(q))
         return F.when(test(QUOTES[0]), F.lit(QUOTES[0])).when(test(QUOTES[1]), F.lit(QUOTES[1]))
 
-    closing = F.filter(
-        F.transform("_lines", lambda x, i: F.struct(
-            (i + 1).cast("int").alias("ln"), x.alias("line"),
-            quote_at(tx.py_strip(x), "end").alias("q"))),
-        lambda c: c["q"].isNotNull())
-    d = (grouped.join(src, keys, "left").select("_reqs", "_lines", closing.alias("_close"))
-                .select(F.explode("_reqs").alias("_r"), "_lines", "_close"))
-    d = d.select("_r", "_close", F.get(F.col("_lines"), F.col("_r")[start_col] - 1).alias("_l"),
-                 F.concat(F.col("_r")[indent_col], F.lit(DOCSTRING_INDENT)).alias("_exp"))
-    q = F.when(F.col("_l").startswith(F.col("_exp")), quote_at(_lstrip(F.col("_l")), "start"))
-    d = d.select("_r", "_close", "_l", "_exp", q.alias("_q"))
-    start = F.col("_r")[start_col].cast("int")
-    n_quotes = F.floor((F.length("_l") - F.length(F.replace(F.col("_l"), F.col("_q"), F.lit("")))) / 3)
-    later = F.array_min(F.transform(
-        F.filter("_close", lambda c: (c["ln"] > start) & (c["q"] == F.col("_q"))
-                 & c["line"].startswith(F.col("_exp"))), lambda c: c["ln"]))
-    end = F.when(n_quotes >= 2, start).otherwise(later)
-    return d.select("_r", F.when(F.col("_q").isNotNull(), end).alias("_end")).select(
-        *[F.col("_r")[c].alias(c) for c in payload],
-        F.when(F.col("_end").isNotNull(), start).alias("doc_start"),
-        F.col("_end").cast("int").alias("doc_end"))
+    def closers(lines):
+        return F.filter(F.transform(lines, lambda x, i: F.struct(
+            (i + 1).cast("int").alias("ln"), x.alias("line"), quote_at(tx.py_strip(x), "end").alias("q"))),
+            lambda c: c["q"].isNotNull())
+
+    def bounds(r, lines, close):
+        start = r[start_col].cast("int")
+        line, exp = F.get(lines, start - 1), F.concat(r[indent_col], F.lit(DOCSTRING_INDENT))
+        q = F.when(line.startswith(exp), quote_at(_lstrip(line), "start"))
+        first = F.get(F.filter(close, lambda c: (c["ln"] > start) & (c["q"] == q) & c["line"].startswith(exp)),
+                      F.lit(0))["ln"]
+        n_quotes = F.floor((F.length(line) - F.length(F.replace(line, q, F.lit("")))) / 3)
+        return F.struct(r.alias("r"), F.when(q.isNotNull(), F.when(n_quotes >= 2, start).otherwise(first)).alias("end"))
+
+    # All of it inside the row of the file: only the requests with their bounds leave it.
+    found = tx.let(F.col("_lines"), lambda lines: tx.let(closers(lines), lambda close: F.transform(
+        "_reqs", lambda r: bounds(r, lines, close))))
+    d = grouped.join(src, keys, "left").select(F.explode(tx.pinned(found)).alias("_f"))
+    end = F.col("_f.end")
+    return d.select(*[F.col("_f.r")[c].alias(c) for c in payload],
+                    F.when(end.isNotNull(), F.col("_f.r")[start_col].cast("int")).alias("doc_start"),
+                    end.cast("int").alias("doc_end"))
 
 
 def edit_rows(bounded: DataFrame, doc_col: str, indent_col: str = "func_indent",
@@ -125,12 +126,14 @@ def apply_edits(files: DataFrame, edits: DataFrame, keys: Sequence[str], text_co
     text = tx.normalize_newlines(text_col) if normalize else F.col(text_col)
     d = files.select(*keys, text_col).join(grouped, keys, "left")
     d = d.withColumn("_lines", F.when(F.col("_eds").isNotNull(), tx.split_lines(text)))
-    first_free = lambda n: F.coalesce(F.greatest(F.array_max(F.transform(
-        F.slice("_eds", F.lit(1), n), lambda e: e["next"])), F.lit(1)), F.lit(1))
+    # The first line that no earlier edit covers, before each edit and after the last one.
+    free = F.aggregate("_eds", F.array(F.lit(1)), lambda held, e: F.concat(
+        held, F.array(F.greatest(F.element_at(held, -1), F.coalesce(e["next"], F.lit(1))))))
+    d = d.withColumn("_free", free)
+    at = lambda i: F.get(F.col("_free"), i)
     body = F.flatten(F.transform("_eds", lambda e, i: F.concat(
-        F.slice("_lines", first_free(i), F.greatest(e["lo"] - first_free(i), F.lit(0))),
-        F.array(e["block"]))))
-    end = first_free(F.size("_eds"))
+        F.slice("_lines", at(i), F.greatest(e["lo"] - at(i), F.lit(0))), F.array(e["block"]))))
+    end = at(F.size("_eds"))
     tail = F.slice("_lines", end, F.greatest(F.size("_lines") - end + 1, F.lit(0)))
     done = F.array_join(F.concat(body, tail), "\n")
     return d.select(*keys, F.when(F.col("_lines").isNull(), F.col(text_col)).otherwise(done)

@@ -25,11 +25,6 @@ _ITEMS = "array<struct<text: string, open: boolean>>"
 _SPANS = "array<struct<lo: int, hi: int, open: boolean>>"
 
 
-def _let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _cuts(text: Column, sep: str) -> Column:
     """Cuts of ``text``, each starting with the separator it was cut before."""
     if sep == "":
@@ -71,7 +66,7 @@ def _spans(cuts: Column, size: int, overlap: int) -> Column:
     def step(s, cut):
         n, after = F.length(cut), s["i"] + 1
         held = F.slice(cuts, s["lo"] + 1, s["i"] - s["lo"])
-        full = _let(_tail(held, F.least(F.lit(overlap), F.lit(size) - n)), lambda t: state(
+        full = tx.let(_tail(held, F.least(F.lit(overlap), F.lit(size) - n)), lambda t: state(
             closed(s), s["i"] - t["n"], t["sum"] + n, after))
         return (F.when(n >= size, state(F.concat(closed(s), _span(s["i"], after, True)), after, F.lit(0), after))
                  .when((s["lo"] < s["i"]) & (s["total"] + n > size), full)
@@ -102,7 +97,7 @@ def split_levels(df: DataFrame, content_col: str, out_col: str, size: int = CHUN
     for sep in separators:
         def cut(item, sep=sep):
             return F.when(item["open"] & (F.lit(True) if sep == "" else item["text"].contains(sep)),
-                          _let(_cuts(item["text"], sep), lambda cuts: _pack(cuts, size, overlap))
+                          tx.let(_cuts(item["text"], sep), lambda cuts: _pack(cuts, size, overlap))
                           ).otherwise(F.array(item))
         some = F.exists(out_col, lambda item: item["open"])
         level = F.flatten(F.transform(out_col, lambda item: cut(item)))

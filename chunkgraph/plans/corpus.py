@@ -21,8 +21,8 @@ is folded into the class chunk, so the class calls ``setup``):
         def part_<id>(self):
             ...
 
-Where a query asks for it, files whose ``id div 100`` ends in 9 get a broken last line and
-must be rejected.
+Where a query asks for it, the files whose ``id div 100`` ends in 9 come a second time, named
+``..._spoilt.py`` and with a broken last line, and must be rejected.
 Extraction over this corpus must give back the CG edges exactly.
 """
 
@@ -43,12 +43,18 @@ BROKEN_TAIL = "def broken(:"
 IND = "    "
 
 
+def _file_no():
+    return F.floor(F.col("id") / 100).cast("long")
+
+
+def _sc_path():
+    return F.concat(F.regexp_replace("path", r"\.py$", ""), F.lit("_"), _file_no().cast("string"), F.lit(".py"))
+
+
 def sc_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per generated function: ``id, name, sc_path, file_no, lines``."""
     c = views.cg_chunks(spark, sf_dir, with_calls=True)
-    file_no = F.floor(F.col("id") / 100).cast("long")
-    sc_path = F.concat(F.regexp_replace("path", r"\.py$", ""), F.lit("_"),
-                       file_no.cast("string"), F.lit(".py"))
+    file_no, sc_path = _file_no(), _sc_path()
     doc = F.col("docstring")
     doc_lines = (F.when(doc.isNull(), F.array().cast("array<string>"))
                  .when(F.col("line_number") % 2 == 0,
@@ -75,7 +81,7 @@ def sc_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "docstring", "line_number", "calls", lines.alias("lines"))
 
 
-def sc_files(spark: SparkSession, sf_dir: str, broken: bool = True,
+def sc_files(spark: SparkSession, sf_dir: str, broken: bool = False,
              materialize: bool = True) -> DataFrame:
     """``files(path, content)``; each group holds at most 100 blocks.
 
@@ -96,10 +102,14 @@ def sc_files(spark: SparkSession, sf_dir: str, broken: bool = True,
     body = F.array_join(F.concat(F.array(*[F.lit(x) for x in FILE_HEADER]),
                                  F.transform(F.array_sort("blocks"), lambda x: x["v"])), "\n")
     content = F.concat(body, F.lit("\n"))
+    files = grouped.select(F.col("sc_path").alias("path"), "file_no", content.alias("content"))
     if broken:
-        content = F.when(F.col("file_no") % 10 == 9,
-                         F.concat(content, F.lit(BROKEN_TAIL + "\n"))).otherwise(content)
-    files = grouped.select(F.col("sc_path").alias("path"), content.alias("content"))
+        spoilt = F.struct(F.regexp_replace("path", r"\.py$", "_spoilt.py").alias("path"),
+                          F.concat("content", F.lit(BROKEN_TAIL + "\n")).alias("content"))
+        whole = F.struct("path", "content")
+        files = files.select(F.explode(F.when(F.col("file_no") % 10 == 9, F.array(whole, spoilt))
+                                       .otherwise(F.array(whole))).alias("f")).select("f.path", "f.content")
+    files = files.select("path", "content")
     if not materialize:
         return files
     ensure_checkpoint_dir(spark)
@@ -133,13 +143,13 @@ def q_rejects_per_dir(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_index_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S10 chunk table: extraction, first-wins by name, dense ids."""
-    idx = build_index(sc_files(spark, sf_dir, broken=False))
+    idx = build_index(sc_files(spark, sf_dir))
     return idx.chunks.select("id", "name", "path", "type", "line_number")
 
 
 def q_index_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S10 edge table with the ids of the built index."""
-    idx = build_index(sc_files(spark, sf_dir, broken=False))
+    idx = build_index(sc_files(spark, sf_dir))
     return idx.edges
 
 
@@ -150,7 +160,7 @@ def q_index_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _path_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    paths = sc_files(spark, sf_dir).select("path")
+    paths = views.cg_chunks(spark, sf_dir).select(_sc_path().alias("path")).distinct()
     p = F.col("path")
     variants = F.array(
         p, F.concat(F.lit(".git/"), p), F.concat(F.lit("venv/"), p),

@@ -35,11 +35,12 @@ def q_line_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_line_indent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """H1 over every line of the synthetic corpus."""
-    lines = edits.line_table(sc_files(spark, sf_dir), ["path"], "content")
-    ind = tx.indentation("line")
-    return lines.select("path", "ln", ind.alias("indent"),
-                        F.length(ind).cast("long").alias("indent_len"))
+    """H1 over every line of every document, set in by 0, 4 or 8 more spaces."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    lines = edits.line_table(docs, ["doc_id"], "text")
+    ind = tx.indentation(F.concat(F.repeat(F.lit(" "), (F.col("doc_id") % 3 * 4).cast("int")), "line"))
+    return lines.select("doc_id", "ln", ind.alias("indent")).select(
+        "*", F.length("indent").cast("long").alias("indent_len"))
 
 
 def q_format_block(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,7 +106,7 @@ def q_edits_per_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_apply_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L4 + J8 + S9: the corpus rewritten with a new docstring block for every definition
     (old blocks replaced); files that failed to parse are passed through unchanged."""
-    files, e = _sc_edits(spark, sf_dir, broken=True)
+    files, e = _sc_edits(spark, sf_dir, broken=True)  # spoilt copies pass through
     return edits.apply_edits(files, e, ["path"], "content")
 
 
@@ -113,8 +114,9 @@ def _rewritten(spark: SparkSession, sf_dir: str):
     """The whole run over the corpus: index, one model-style answer per undocumented target
     (fenced and quoted, so it must be cleaned), among answers that must not be applied:
     null ones, later ones for the same target, ones for documented chunks and unknown ids."""
-    files = sc_files(spark, sf_dir)
+    files = sc_files(spark, sf_dir, broken=True)  # spoilt copies pass through
     idx = build_index(files)
+    idx.chunks = store(idx.chunks, "chunks")  # answers, bounds and marks all read it
     targets = rank.undocumented_targets(idx.chunks)
     raw = F.concat(F.lit('```python\n"""Summary of '), F.col("name"), F.lit(".\n\nCalls: "),
                    F.array_join("calls", ", "), F.lit('"""\n```'))

@@ -219,7 +219,7 @@ sc_pos AS (
 sc_good AS (
   SELECT *, block_line + CASE WHEN NOT is_method THEN 0 WHEN has_init THEN 3 ELSE 1 END
               AS def_line
-  FROM sc_pos WHERE file_no % 10 <> 9),
+  FROM sc_pos),
 sc_expected AS (
   SELECT DISTINCT sc_path AS path, CAST(0 AS BIGINT) AS chunk_no, 'setup' AS name,
          'function' AS type, CAST(NULL AS VARCHAR) AS parent_class,
@@ -254,14 +254,11 @@ sc_index AS (
         WHERE name <> 'setup' OR path = (SELECT min(path) FROM sc_expected WHERE name = 'setup')) s)
 """
 
-# The corpus with every file intact.
-SC_WHOLE = SC.replace("WHERE file_no % 10 <> 9", "")
-
-ORACLES["extract_chunks"] = SC_WHOLE + """
+ORACLES["extract_chunks"] = SC + """
 SELECT path, chunk_no, name, type, parent_class, line_number, body_start_line, docstring, content
 FROM sc_expected"""
 
-ORACLES["call_lists"] = SC_WHOLE + """
+ORACLES["call_lists"] = SC + """
 SELECT path, name, CAST(len(calls) AS BIGINT) AS n_calls, array_to_string(calls, ',') AS calls_text
 FROM sc_expected"""
 
@@ -326,20 +323,20 @@ ORACLES["split_pack"] = ("WITH RECURSIVE " + _split_sql("documents", "doc_id", "
                          + " SELECT doc_id, CAST(piece_no AS BIGINT) AS piece_no, piece FROM split_rows")
 
 # Small pieces, so that most definitions of the corpus are cut.
-ORACLES["index_pieces"] = (SC_WHOLE.replace("WITH", "WITH RECURSIVE", 1) + ","
+ORACLES["index_pieces"] = (SC.replace("WITH", "WITH RECURSIVE", 1) + ","
                            + _split_sql("sc_index", "id", "content", 120, 30, PYTHON_SEPARATORS)
                            + " SELECT id AS chunk_id, CAST(piece_no AS BIGINT) AS piece_no, piece AS content"
                              " FROM split_rows")
 
-ORACLES["stored_index"] = SC_WHOLE + """
+ORACLES["stored_index"] = SC + """
 SELECT id, name, path, CAST(len(calls) AS BIGINT) AS n_edges FROM sc_index"""
 
-ORACLES["index_chunks"] = SC_WHOLE + "SELECT id, name, path, type, line_number FROM sc_index"
+ORACLES["index_chunks"] = SC + "SELECT id, name, path, type, line_number FROM sc_index"
 
-ORACLES["index_edges"] = SC_WHOLE + """
+ORACLES["index_edges"] = SC + """
 SELECT id AS caller_id, callee FROM (SELECT id, unnest(calls) AS callee FROM sc_index) t"""
 
-ORACLES["sc_edges_roundtrip"] = SC_WHOLE + """
+ORACLES["sc_edges_roundtrip"] = SC + """
 SELECT id AS caller_id, callee FROM (SELECT id, unnest(calls_full) AS callee FROM sc_good) t"""
 
 ORACLES["corpus_scan"] = SC + """,
@@ -441,9 +438,12 @@ SC_FILES = SC + """,
 sc_file AS (
   SELECT sc_path, file_no,
          array_to_string(list_concat(['import os.path as osp', 'def setup():', '    pass'],
-                                     flatten(list(lines ORDER BY id))), chr(10)) || chr(10)
-           || CASE WHEN file_no % 10 = 9 THEN 'def broken(:' || chr(10) ELSE '' END AS content
+                                     flatten(list(lines ORDER BY id))), chr(10)) || chr(10) AS content
   FROM sc_lines GROUP BY sc_path, file_no),
+sc_spoilt AS (
+  SELECT regexp_replace(sc_path, '\\.py$', '_spoilt.py') AS path,
+         content || 'def broken(:' || chr(10) AS content
+  FROM sc_file WHERE file_no % 10 = 9),
 sc_bounds AS (
   SELECT DISTINCT sc_path AS path, 'setup' AS name, CAST(3 AS INTEGER) AS body_start_line,
          CAST(NULL AS INTEGER) AS doc_start, CAST(NULL AS INTEGER) AS doc_end
@@ -460,20 +460,18 @@ sc_bounds AS (
   FROM sc_good WHERE is_method)
 """
 
-ORACLES["line_indent"] = SC_FILES + """,
-arrs AS (SELECT sc_path, string_split(content, chr(10)) AS arr FROM sc_file),
-ls AS (SELECT sc_path, i, arr[i] AS line
-       FROM (SELECT sc_path, arr, unnest(range(1, len(arr) + 1)) AS i FROM arrs) t)
-SELECT sc_path AS path, CAST(i AS INTEGER) AS ln,
-       substring(line, 1, length(line) - length(ltrim(line, ' '))) AS indent,
-       CAST(length(line) - length(ltrim(line, ' ')) AS BIGINT) AS indent_len
+ORACLES["line_indent"] = """
+WITH arrs AS (SELECT doc_id, repeat(' ', CAST(doc_id % 3 * 4 AS INTEGER)) AS ind,
+                     string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)) AS arr
+              FROM documents WHERE text IS NOT NULL),
+ls AS (SELECT doc_id, i, ind || arr[i] AS line FROM (SELECT doc_id, ind, arr, unnest(range(1, len(arr) + 1)) AS i FROM arrs) t)
+SELECT doc_id, CAST(i AS INTEGER) AS ln, regexp_extract(line, '^[""" + PY_WS_RE2 + """]*') AS indent,
+       CAST(length(regexp_extract(line, '^[""" + PY_WS_RE2 + """]*')) AS BIGINT) AS indent_len
 FROM ls"""
 
-SC_FILES_WHOLE = SC_FILES.replace(SC, SC_WHOLE)
-
-ORACLES["block_bounds"] = SC_FILES_WHOLE + "SELECT path, name, doc_start, doc_end FROM sc_bounds"
+ORACLES["block_bounds"] = SC_FILES + "SELECT path, name, doc_start, doc_end FROM sc_bounds"
 
-ORACLES["edits_per_file"] = SC_FILES_WHOLE + """
+ORACLES["edits_per_file"] = SC_FILES + """
 SELECT path, CAST(COUNT(*) AS BIGINT) AS n_edits,
        string_agg(CAST(COALESCE(doc_start, body_start_line) AS VARCHAR) || '-'
                   || COALESCE(CAST(doc_end AS VARCHAR), ''), ',' ORDER BY body_start_line) AS spans
@@ -514,7 +512,7 @@ good_files AS (
   FROM rewritten GROUP BY path)
 SELECT path, content FROM good_files
 UNION ALL
-SELECT sc_path, content FROM sc_file WHERE file_no % 10 = 9"""
+SELECT path, content FROM sc_spoilt"""
 
 
 def _calls_line(calls_text: str) -> str:
@@ -564,7 +562,7 @@ good_files AS (
   FROM rw GROUP BY path)
 SELECT path, content FROM good_files
 UNION ALL
-SELECT sc_path, content FROM sc_file WHERE file_no % 10 = 9"""
+SELECT path, content FROM sc_spoilt"""
 
 
 ORACLES["rewrite_chunks"] = SC + """
@@ -626,7 +624,7 @@ LEFT JOIN ctx c ON c.conv_id = b.item_id"""
 
 # ---------------------------------------------------------------------------------------
 # The stored index.
-ORACLES["upsert_index"] = SC_WHOLE + """,
+ORACLES["upsert_index"] = SC + """,
 batch AS (
   SELECT 1 AS b, path, chunk_no, name FROM sc_expected WHERE path NOT LIKE 'tests/%'
   UNION ALL SELECT 2, path, chunk_no, name FROM sc_expected WHERE path LIKE 'tests/%'

@@ -32,7 +32,7 @@ def _never() -> DataFrame:
 def q_stored_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S6 + S7 + S8: the index stored, a second build that must not even start, read back."""
     idx = fresh_store(spark)
-    idx.build_once(sc_files(spark, sf_dir, broken=False))
+    idx.build_once(sc_files(spark, sf_dir))
     idx.build_once(_never)
     degree = idx.edges().groupBy(F.col("caller_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
     return idx.chunks().join(degree, "id", "left").select(
@@ -42,7 +42,7 @@ def q_stored_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_upsert_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A1 + W2 + S10: the corpus added in two batches, the second with the test files and with
     copies of all files of the first, whose names are stored already."""
-    files = sc_files(spark, sf_dir, broken=False)
+    files = sc_files(spark, sf_dir)
     sources = files.where(~F.col("path").startswith("tests/"))
     copies = sources.select(F.concat(F.lit("copy/"), "path").alias("path"), "content")
     idx = fresh_store(spark)

@@ -29,23 +29,17 @@ def chunk_row(id_, name, path, type_, content, parent=None, line=1, body=None, d
     return (id_, path, name, type_, content, parent, line, body, doc, list(calls), "")
 
 
-# The reference's three-chunk fixture (A calls B, C isolated) plus D calling A.
-DOC_A = chunk_row(1, "func_a", "test.py", "method",
-                  'def func_a(self):\n    """Doc A"""\n    self.func_b()', "MyClass", 1,
-                  doc="Doc A", calls=["func_b"])
-DOC_B = chunk_row(2, "func_b", "test.py", "method", 'def func_b(self):\n    """Doc B"""',
-                  "MyClass", 5, doc="Doc B")
-DOC_C = chunk_row(3, "func_c", "utils.py", "function", 'def func_c():\n    """Doc C"""', None,
-                  1, doc="Doc C")
-DOC_D = chunk_row(4, "func_d", "test.py", "method", "def func_d(self):\n    self.func_a()",
-                  "MyClass", 10, calls=["func_a"])
+# A mill: ``serve`` calls ``knead``; ``knead`` and ``rise`` call each other; ``rise`` calls
+# itself and a name that is nowhere; ``sweep`` is on its own.
+MILL = [chunk_row(11, "serve", "mill/shop.py", "function", "def serve(who):\n    return knead(who)",
+                  line=3, body=4, calls=["knead"]),
+        chunk_row(12, "knead", "mill/dough.py", "method", "def knead(self, t):\n    rise(t)", "Dough", 8, 9,
+                  doc="Work the dough.", calls=["rise"]),
+        chunk_row(13, "rise", "mill/dough.py", "method", "def rise(t):\n    knead(t); rise(t - 1); wait()", "Dough",
+                  20, 21, calls=["knead", "rise", "wait"]),
+        chunk_row(14, "sweep", "tests/test_floor.py", "async_function", "async def sweep():\n    pass", line=1, body=2)]
 
 
 @pytest.fixture
-def abc_chunks(spark):
-    return spark.createDataFrame([DOC_A, DOC_B, DOC_C], CHUNKS)
-
-
-@pytest.fixture
-def abcd_chunks(spark):
-    return spark.createDataFrame([DOC_A, DOC_B, DOC_C, DOC_D], CHUNKS)
+def mill(spark):
+    return spark.createDataFrame(MILL, CHUNKS)

@@ -41,3 +41,10 @@ def block_model(doc, indent):
     text = f'"""\n{doc}\n"""'
     rows = [(" " * 4 + r if r and not r.isspace() else " " * 4) for r in text.split("\n")]
     return "".join(f"{indent}{r}\n" for r in rows) + "\n"
+
+
+def indent_model(line):
+    n = 0
+    while n < len(line) and line[n].isspace():
+        n += 1
+    return line[:n]

@@ -1,4 +1,4 @@
-"""Call-graph joins and context retrieval on the reference's literal fixtures."""
+"""Call-graph joins and context retrieval on a small graph with a cycle and a self-call."""
 
 from pyspark.sql import functions as F
 
@@ -15,70 +15,42 @@ def names_by(df, key, val):
     return out
 
 
-def test_build_edges(abc_chunks):
-    edges = graph.build_edges(abc_chunks)
-    assert [(r.caller_id, r.callee) for r in edges.collect()] == [(1, "func_b")]
+def test_edges_are_the_call_lists_taken_apart(mill):
+    edges = {(r.caller_id, r.callee) for r in graph.build_edges(mill).collect()}
+    assert edges == {(11, "knead"), (12, "rise"), (13, "knead"), (13, "rise"), (13, "wait")}
 
 
-def test_storage_calls_json(abc_chunks):
-    rows = abc_chunks.select("name", tx.calls_to_json("calls").alias("j")).collect()
-    assert len(rows) == 3
-    assert '["func_b"]' in {r.name: r.j for r in rows}["func_a"]
+def test_call_lists_as_json(mill):
+    got = {r.name: r.j for r in mill.select("name", tx.calls_to_json("calls").alias("j")).collect()}
+    assert got == {"serve": '["knead"]', "knead": '["rise"]', "rise": '["knead","rise","wait"]', "sweep": "[]"}
 
 
-def test_dependencies(abc_chunks):
-    deps = names_by(graph.dependencies(abc_chunks, graph.build_edges(abc_chunks)),
-                    "chunk_id", "dep_name")
-    assert deps == {1: {"func_b"}}  # func_b and func_c call nothing
+def test_callees_and_callers_with_a_cycle_and_a_self_call(mill):
+    edges = graph.build_edges(mill)
+    assert names_by(graph.dependencies(mill, edges), "chunk_id", "dep_name") == {
+        11: {"knead"}, 12: {"rise"}, 13: {"knead", "rise"}}
+    assert names_by(graph.dependents(mill, edges), "chunk_id", "user_name") == {
+        12: {"serve", "rise"}, 13: {"knead", "rise"}}
 
 
-def test_dependents(abc_chunks):
-    users = names_by(graph.dependents(abc_chunks, graph.build_edges(abc_chunks)),
-                     "chunk_id", "user_name")
-    assert users == {2: {"func_a"}}  # nothing calls func_a or func_c
+def test_context_of_every_chunk(mill):
+    ranked = rank.rank_context(mill, graph.build_edges(mill), targets=mill)
+    assert names_by(ranked, "target_id", "cand_name") == {
+        11: {"knead"}, 12: {"rise", "serve"}, 13: {"knead", "rise"}}
+    rows = rank.context_rows(ranked, mill).where("target_id = 12").collect()
+    # rise is called by knead and calls it: one row, among the callees, after the callers
+    assert [r.name for r in sorted(rows, key=lambda r: r.pos)] == ["serve", "rise"]
+    assert all(r.content for r in rows)
 
 
-def test_dependents_with_d(abcd_chunks):
-    users = names_by(graph.dependents(abcd_chunks, graph.build_edges(abcd_chunks)),
-                     "chunk_id", "user_name")
-    assert users[1] == {"func_d"}
+def test_a_target_that_is_no_chunk_has_no_context(spark, mill):
+    nobody = spark.createDataFrame([(77, "nobody", "mill/none.py")], "id long, name string, path string")
+    assert rank.rank_context(mill, graph.build_edges(mill), targets=nobody).count() == 0
 
 
-def test_context_of_every_chunk(abcd_chunks):
-    edges = graph.build_edges(abcd_chunks)
-    ranked = rank.rank_context(abcd_chunks, edges, targets=abcd_chunks)
-    ctx = names_by(ranked, "target_id", "cand_name")
-    assert ctx.get(1) == {"func_b", "func_d"}
-    assert ctx.get(2) == {"func_a"}
-    assert 3 not in ctx  # isolated
-    rows = rank.context_rows(ranked, abcd_chunks).where("target_id = 1").collect()
-    assert all(isinstance(r.content, str) and r.content for r in rows)
-
-
-def test_unknown_target_gives_empty(spark, abcd_chunks):
-    edges = graph.build_edges(abcd_chunks)
-    ghost = spark.createDataFrame([(99, "nope", "x.py")], "id long, name string, path string")
-    assert rank.rank_context(abcd_chunks, edges, targets=ghost).count() == 0
-
-
-def test_candidate_both_callee_and_caller_appears_once(spark):
-    # x calls a; a and b call x: a is in both sets and must appear once, as a callee.
-    rows = [chunk_row(10, "func_x", "some_path.py", "function", "x", calls=["func_a"]),
-            chunk_row(11, "func_a", "file_a.py", "function", "a", calls=["func_x"]),
-            chunk_row(12, "func_b", "file_b.py", "function", "b", calls=["func_x"])]
-    chunks = spark.createDataFrame(rows, CHUNKS)
-    edges = graph.build_edges(chunks)
-    target = chunks.where("name = 'func_x'")
-    out = rank.rank_context(chunks, edges, targets=target).collect()
-    assert sorted((r.cand_name, r.dep) for r in out) == [("func_a", 1), ("func_b", 0)]
-    # callers come first in prompt order
-    assert [r.cand_name for r in sorted(out, key=lambda r: r.pos)] == ["func_b", "func_a"]
-
-
-def test_out_degree_keeps_chunks_without_edges(abc_chunks):
-    out = {r.name: (r.n_calls, r.n_resolved)
-           for r in graph.out_degree(abc_chunks, graph.build_edges(abc_chunks)).collect()}
-    assert out == {"func_a": (1, 1), "func_b": (0, 0), "func_c": (0, 0)}
+def test_out_degree_keeps_chunks_without_edges(mill):
+    got = {r.name: (r.n_calls, r.n_resolved) for r in graph.out_degree(mill, graph.build_edges(mill)).collect()}
+    assert got == {"serve": (1, 1), "knead": (1, 1), "rise": (3, 2), "sweep": (0, 0)}
 
 
 def test_exact_name_match_only(spark):

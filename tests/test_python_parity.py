@@ -1,11 +1,9 @@
 """Whole-table checks at sf0.001 against plain-Python models of the same rules (the Python
 regex engine is the one the tool used; the SQL oracles use RE2)."""
 
-import re
-
 from chunkgraph.plans import lines
 from tests.conftest import SF_SMALL
-from tests.models import block_model, clean_model
+from tests.models import block_model, clean_model, indent_model
 
 
 def test_clean_response_matches_python_on_all_turns(spark):
@@ -22,14 +20,11 @@ def test_format_block_matches_python_on_all_documents(spark):
     assert got == {d: block_model(t, " " * (d % 3 * 4)) for d, t in docs.items()}
 
 
-def test_indentation_matches_python_on_corpus_lines(spark):
-    rows = lines.q_line_indent(spark, SF_SMALL).collect()
-    files = {r.path: r.content for r in lines.sc_files(spark, SF_SMALL).collect()}
-    want = {}
-    for path, text in files.items():
-        for i, line in enumerate(text.split("\n"), start=1):
-            want[(path, i)] = re.match(r"^(\s*)", line).group(1)
-    assert {(r.path, r.ln): r.indent for r in rows} == want
+def test_indentation_matches_the_scan_on_all_documents(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").collect()}
+    want = {(d, i): indent_model(" " * (d % 3 * 4) + line) for d, t in docs.items() if t is not None
+            for i, line in enumerate(t.replace("\r\n", "\n").replace("\r", "\n").split("\n"), start=1)}
+    assert {(r.doc_id, r.ln): r.indent for r in lines.q_line_indent(spark, SF_SMALL).collect()} == want
 
 
 def _random_texts(seed, alphabet, n, max_len):
@@ -54,4 +49,4 @@ def test_cleaning_blocks_indentation_on_random_whitespace(spark):
     for v, r in zip(vals, rows):
         assert r.c == clean_model(v)
         assert r.b == block_model(v, "  ")
-        assert r.ind == re.match(r"^(\s*)", v).group(1)
+        assert r.ind == indent_model(v)

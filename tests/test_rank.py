@@ -2,7 +2,7 @@
 
 from chunkgraph.operators import graph, rank
 from chunkgraph.plans import views
-from chunkgraph.plans.index_build import conform
+from chunkgraph.plans.index_store import conform
 from chunkgraph.schemas import CHUNKS
 from tests.conftest import SF_SMALL, chunk_row
 
