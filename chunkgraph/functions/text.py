@@ -23,9 +23,14 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+#: The same characters as :data:`PY_WS`, spelled out for the trim functions, which look at the
+#: ends of a text only.
+PY_WS_CHARS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+
+
 def py_strip(c) -> Column:
-    """``str.strip()``: remove Python whitespace at both ends (``\\z`` = true end of input)."""
-    return F.regexp_replace(_col(c), f"^[{PY_WS}]+|[{PY_WS}]+\\z", "")
+    """``str.strip()``: remove Python whitespace at both ends."""
+    return F.btrim(_col(c), F.lit(PY_WS_CHARS))
 
 
 def has_content(c) -> Column:

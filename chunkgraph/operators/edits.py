@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chunkgraph.fixed import DOCSTRING_INDENT, PY_WS, QUOTES
+from chunkgraph.fixed import DOCSTRING_INDENT, QUOTES
 from chunkgraph.functions import text as tx
 
 
@@ -26,7 +26,7 @@ def line_table(df: DataFrame, keys: Sequence[str], text_col: str, normalize: boo
 
 
 def _lstrip(c):
-    return F.regexp_replace(c, f"^[{PY_WS}]+", "")
+    return F.ltrim(c, F.lit(tx.PY_WS_CHARS))
 
 
 def block_bounds(files: DataFrame, requests: DataFrame, keys: Sequence[str], text_col: str,

@@ -84,6 +84,17 @@ def _pack(cuts: Column, size: int, overlap: int) -> Column:
     return F.filter(texts, lambda x: x["text"] != "")
 
 
+def _char_windows(text: Column, size: int, overlap: int) -> Column:
+    """The last level, any character, in closed form: greedy packing of single characters gives
+    windows of ``size`` that share as much as the overlap and one new character allow."""
+    step = size - min(overlap, size - 1)
+    more = F.ceil(F.when(F.length(text) > size, F.length(text) - size).when(text.isNotNull(), 0) / step)
+    starts = F.sequence(F.lit(0), (more * step).cast("int"), F.lit(step))
+    pieces = F.transform(starts, lambda s: F.struct(
+        tx.py_strip(F.substring(text, s + 1, size)).alias("text"), F.lit(False).alias("open")))
+    return F.filter(pieces, lambda x: x["text"] != "")
+
+
 def split_levels(df: DataFrame, content_col: str, out_col: str, size: int = CHUNK_SIZE,
                  overlap: int = CHUNK_OVERLAP, separators: tuple[str, ...] = PYTHON_SEPARATORS) -> DataFrame:
     """``df`` with the pieces of ``content_col`` as the array ``out_col`` (null text: null)."""
@@ -96,6 +107,8 @@ def split_levels(df: DataFrame, content_col: str, out_col: str, size: int = CHUN
     d = df.withColumn(out_col, F.when(F.length(c) < size, whole).otherwise(item(c, True)))
     for sep in separators:
         def cut(item, sep=sep):
+            if sep == "" and size > 1:
+                return F.when(item["open"], _char_windows(item["text"], size, overlap)).otherwise(F.array(item))
             return F.when(item["open"] & (F.lit(True) if sep == "" else item["text"].contains(sep)),
                           tx.let(_cuts(item["text"], sep), lambda cuts: _pack(cuts, size, overlap))
                           ).otherwise(F.array(item))

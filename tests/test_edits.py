@@ -4,7 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from chunkgraph.operators import edits
+from chunkgraph.operators import edits, extract
 
 
 def bounds_model(lines, body_start, indent):
@@ -138,3 +138,14 @@ def test_null_content_file_stays_null(spark):
                               "path string, lo int, hi int, block string, seq long")
     out = {r.path: r.text for r in edits.apply_edits(files, e, ["path"], "text").collect()}
     assert out == {"n.py": None, "f.py": "a\nX\nb"}
+
+
+def test_a_file_of_five_thousand_definitions(spark):
+    src = "".join(f'def f{i}():\n    """old {i}"""\n    g{i}()\n\n' for i in range(5000))
+    files = spark.createDataFrame([("a.py", src)], "path string, content string")
+    defs = extract.good_chunks(extract.extract_chunks(files))
+    bounds = edits.block_bounds(files, defs, ["path"], "content")
+    rows = edits.edit_rows(bounds.withColumn("d", F.concat(F.lit("new "), "name")), "d").withColumn(
+        "seq", F.col("line_number"))
+    out = edits.apply_edits(files, rows, ["path"], "content").first().content
+    assert out == "".join(f'def f{i}():\n    """\n    new f{i}\n    """\n\n    g{i}()\n\n' for i in range(5000))

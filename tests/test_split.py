@@ -1,5 +1,6 @@
 """Size splitting (X4) and fixed windows."""
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -109,3 +110,12 @@ def test_split_pack_query_properties(spark):
                 covered[i] = True
             pos = at + len(p)
         assert all(c or text[i].isspace() for i, c in enumerate(covered))
+
+
+@pytest.mark.parametrize("text", ["x" * 1_000_000, "word " * 200_000, ("y" * 3000 + " ") * 300])
+def test_long_texts_take_seconds(spark, text):
+    import time
+    t0 = time.time()
+    pieces, = pieces_of(spark, [text], 2000, 200)
+    assert time.time() - t0 < 30
+    assert max(map(len, pieces)) <= 2000 and sum(map(len, pieces)) >= len(text.replace(" ", ""))
