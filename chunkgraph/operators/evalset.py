@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chunkgraph.fixed import SAMPLE_SIZE
+from chunkgraph.sources import json_array
 
 
 def load_eval_set(spark: SparkSession, path: str, num_samples: int | None = None,
@@ -25,6 +26,21 @@ def load_eval_set(spark: SparkSession, path: str, num_samples: int | None = None
     return ordered.drop("_file", "_pos")
 
 
+def read_array(spark: SparkSession, path: str, schema: str, range_bytes: int = json_array.RANGE_BYTES) -> DataFrame:
+    """S3 for an array of any size: byte ranges of one file (or of a folder of parts) are read
+    side by side. A record that does not parse has null fields."""
+    records = json_array.read_records(spark, path, range_bytes)
+    return records.select(F.from_json("value", schema).alias("r")).select("r.*")
+
+
+def write_array(samples: DataFrame, path: str, fields: Sequence[str], order: Sequence[str]) -> None:
+    """S5 for a set of any size: one JSON array in ``order``, as a folder of parts whose texts
+    follow one another; nothing is gathered. Null fields are written as nulls."""
+    ordered = samples.repartitionByRange(*order).sortWithinPartitions(*order)
+    json_array.write_parts(ordered.select(F.to_json(
+        F.struct(*fields), {"ignoreNullFields": "false"}).alias("value")), path)
+
+
 def first_n(df: DataFrame, order: Sequence[str], n: int | None) -> DataFrame:
     """The first ``n`` rows in an explicit order (``limit`` alone has none).
     Planned as a top-k (``TakeOrderedAndProject``): each partition keeps ``n`` rows."""

@@ -28,6 +28,8 @@ Extraction over this corpus must give back the CG edges exactly.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -176,6 +178,20 @@ def q_corpus_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.filter_sources(_path_variants(spark, sf_dir))
 
 
+def q_corpus_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S9 + S1: the corpus written as a source tree, among files that a scan must not see, and
+    scanned back."""
+    files = sc_files(spark, sf_dir)
+    p, unseen = F.col("path"), F.array(
+        F.lit(".git/"), F.lit("venv/"), F.lit("lib/venv/"), F.lit("lib/.cache/"))
+    planted = files.select(F.explode(F.concat(
+        F.transform(unseen, lambda d: F.concat(d, p)),
+        F.array(F.regexp_replace(p, "([^/]+)$", ".$1"), F.concat(p, F.lit(".txt"))))).alias("path"), "content")
+    root = f"{ensure_checkpoint_dir(spark)}/tree-{uuid.uuid4().hex[:12]}"
+    corpus.write_directory(files.unionByName(planted), root)
+    return corpus.scan_directory(spark, root)
+
+
 def q_corpus_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shape of a corpus frame."""
     return corpus.corpus_shape(read_table(spark, sf_dir, "documents"))
@@ -231,6 +247,7 @@ QUERIES = {
     "index_pieces": q_index_pieces,
     "sc_edges_roundtrip": q_sc_edges_roundtrip,
     "corpus_scan": q_corpus_scan,
+    "corpus_roundtrip": q_corpus_roundtrip,
     "corpus_shape": q_corpus_shape,
     "value_counts": q_value_counts,
     "first_wins": q_first_wins,

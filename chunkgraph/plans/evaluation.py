@@ -70,7 +70,16 @@ def q_eval_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evalset.load_eval_set(spark, path, 12, "item_id long, source_code string, docstring string")
 
 
+def q_eval_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S3 + S5 at any size: all documents written as one JSON array and read back in ranges."""
+    path = f"{ensure_checkpoint_dir(spark)}/array-{uuid.uuid4().hex[:12]}"
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    evalset.write_array(docs, path, ["doc_id", "text", "lang"], ["doc_id"])
+    return evalset.read_array(spark, path, "doc_id long, text string, lang string", 4 << 20)
+
+
 QUERIES = {
+    "eval_array": q_eval_array,
     "eval_json": q_eval_json,
     "eval_load": q_eval_load,
     "sample_sink": q_sample_sink,

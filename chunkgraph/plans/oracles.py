@@ -647,3 +647,10 @@ ORACLES["context_refresh"] = CG_RANK.replace(
     "CASE WHEN p_size % 3 <> 0 THEN p_type WHEN p_size % 5 = 0 THEN 'DONE' END AS docstring").replace(
     "(c.docstring IS NOT NULL OR c.id < u.target_id)", "(c.docstring IS NOT NULL)") + """
 SELECT target_id, cand_id, cand_name, dep, rn, pos FROM ranked"""
+
+
+# ---------------------------------------------------------------------------------------
+# Trees and arrays of any size.
+ORACLES["corpus_roundtrip"] = SC_FILES + "SELECT sc_path AS path, content FROM sc_file"
+
+ORACLES["eval_array"] = "SELECT doc_id, text, lang FROM documents"

@@ -1,23 +1,17 @@
 """Corpus sources: a source tree on a shared filesystem, or a ``files`` table.
 
-The table form ``files(path, content)`` is the primary input. The directory form lists
-the tree on the driver - names only, pruned while walking so hidden folders and ``venv``
-are never descended into - and reads the bytes on the executors in Arrow batches.
-Spark's own ``binaryFile`` lister is not used: it hides every name that starts with ``_``
-(``__init__.py``) and the corpus needs those files.
+The table form ``files(path, content)`` is the primary input. The directory form is a data
+source of its own (:mod:`chunkgraph.sources.tree`).
 """
 
 from __future__ import annotations
 
-import os
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chunkgraph.fixed import PRUNED_DIR, SOURCE_SUFFIX
-from chunkgraph.schemas import FILES
 from chunkgraph.session import ship_package
+from chunkgraph.sources.tree import FORMAT, LIST_LIMIT, PARTITION_BYTES, SourceTree
 
 _HIDDEN_OR_VENV_DIR = rf"(^|/)(\.[^/]*|{PRUNED_DIR})/"
 _HIDDEN_FILE = r"(^|/)\.[^/]*$"
@@ -30,116 +24,15 @@ def is_python_source(path) -> Column:
     return p.endswith(SOURCE_SUFFIX) & ~p.rlike(_HIDDEN_OR_VENV_DIR) & ~p.rlike(_HIDDEN_FILE)
 
 
-def _keep_dir(name: str) -> bool:
-    return not name.startswith(".") and name != PRUNED_DIR
-
-
-def _is_source_name(name: str) -> bool:
-    return name.endswith(SOURCE_SUFFIX) and not name.startswith(".")
-
-
-def _list_level(root: str, rel: str) -> tuple[list[str], list[str]]:
-    """(kept files, kept dirs to descend) of one directory, like one step of ``os.walk``:
-    links to directories are not descended into. A folder that cannot be listed fails the
-    scan: leaving its files out in silence would be worse."""
-    files, dirs = [], []
-    for e in list(os.scandir(os.path.join(root, rel))):
-        path = e.name if rel in ("", ".") else os.path.join(rel, e.name)
-        try:
-            is_dir = e.is_dir()
-        except OSError:
-            is_dir = False
-        if is_dir:
-            if _keep_dir(e.name) and not e.is_symlink():
-                dirs.append(path)
-        elif _is_source_name(e.name):
-            files.append(path)
-    return files, dirs
-
-
-def _fail(error: OSError):
-    raise error
-
-
-def _walk_batches(root: str):
-    def walk(batches):
-        for batch in batches:
-            found = []
-            for rel in batch.column("dir").to_pylist():
-                base = os.path.join(root, rel)
-                for cur, dirs, files in os.walk(base, onerror=_fail):
-                    dirs[:] = [d for d in dirs if _keep_dir(d)]
-                    sub = os.path.relpath(cur, root)
-                    found.extend(os.path.normpath(os.path.join(sub, f)) for f in files
-                                 if _is_source_name(f))
-                    if len(found) >= 4096:
-                        yield pa.RecordBatch.from_pydict({"path": found}, schema=pa.schema([("path", pa.string())]))
-                        found = []
-            if found:
-                yield pa.RecordBatch.from_pydict({"path": found}, schema=pa.schema([("path", pa.string())]))
-    return walk
-
-
-_FLUSH_CHARS = 16 << 20
-
-
-def _read_batches(root: str):
-    schema = pa.schema([("path", pa.string()), ("content", pa.string())])
-
-    def read(batches):
-        paths, contents, held = [], [], 0
-        for batch in batches:
-            for rel in batch.column("path").to_pylist():
-                try:
-                    # Text mode: universal newlines, as the tool reads its sources.
-                    with open(os.path.join(root, rel), encoding="utf-8") as fh:
-                        text = fh.read()
-                except (OSError, UnicodeDecodeError):
-                    text = None
-                paths.append(rel)
-                contents.append(text)
-                held += len(text or "")
-                if held >= _FLUSH_CHARS:  # whatever the session's Arrow batch size
-                    yield pa.RecordBatch.from_pydict({"path": paths, "content": contents}, schema=schema)
-                    paths, contents, held = [], [], 0
-        if paths:
-            yield pa.RecordBatch.from_pydict({"path": paths, "content": contents}, schema=schema)
-    return read
-
-
-def scan_directory(spark: SparkSession, root: str, num_partitions: int | None = None,
-                   max_driver_depth: int = 3) -> DataFrame:
-    """``files(path, content)`` for every Python file under ``root`` (relative paths).
-
-    ``root`` must be visible to every executor (a shared filesystem). The driver expands
-    only the top of the tree, breadth first and pruned, until there are enough subtrees to
-    keep the cluster busy (or ``max_driver_depth`` levels); executors walk those subtrees
-    in parallel and read the files. Only names pass through the driver, and only for the
-    top levels. Unreadable or non-UTF-8 files get a null ``content`` and become rejects in
-    the extraction job.
-    """
+def scan_directory(spark: SparkSession, root: str, partition_bytes: int = PARTITION_BYTES,
+                   list_limit: int = LIST_LIMIT) -> DataFrame:
+    """``files(path, content)`` for every Python file under ``root`` (relative paths), read
+    by :mod:`chunkgraph.sources.tree`. Unreadable or non-UTF-8 files get a null ``content`` and
+    become rejects in the extraction job."""
     ship_package(spark)
-    root = os.path.abspath(root)
-    par = spark.sparkContext.defaultParallelism
-    want = 4 * par
-    top_files: list[str] = []
-    frontier = [""]
-    depth = 0
-    while frontier and len(frontier) < want and depth < max_driver_depth:
-        nxt: list[str] = []
-        for rel in frontier:
-            files, dirs = _list_level(root, rel)
-            top_files.extend(files)
-            nxt.extend(dirs)
-        frontier, depth = nxt, depth + 1
-    schema = "path string"
-    listed = spark.createDataFrame([(f,) for f in top_files], schema)
-    if frontier:
-        subtrees = (spark.createDataFrame([(d,) for d in frontier], "dir string")
-                         .repartition(min(len(frontier), want)))
-        listed = listed.unionByName(subtrees.mapInArrow(_walk_batches(root), schema))
-    n = num_partitions or par * 4
-    return listed.repartition(n).mapInArrow(_read_batches(root), FILES)
+    spark.dataSource.register(SourceTree)
+    return (spark.read.format(FORMAT).option("partitionBytes", partition_bytes)
+                 .option("listLimit", list_limit).load(root))
 
 
 def filter_sources(files: DataFrame, path_col: str = "path") -> DataFrame:
@@ -154,30 +47,12 @@ def corpus_shape(df: DataFrame) -> DataFrame:
         F.lit(",".join(df.columns)).alias("columns"))
 
 
-def _write_rows(root: str):
-    def write(rows):
-        for row in rows:
-            rel = os.path.normpath(row["path"])
-            if rel.startswith("..") or os.path.isabs(rel):
-                raise ValueError(f"path escapes the output root: {row['path']!r}")
-            target = os.path.join(root, rel)
-            os.makedirs(os.path.dirname(target) or root, exist_ok=True)
-            tmp = f"{target}.tmp-{os.getpid()}"
-            with open(tmp, "w", encoding="utf-8", newline="") as fh:
-                fh.write(row["content"] or "")
-            os.replace(tmp, target)
-    return write
-
-
 def write_directory(files: DataFrame, root: str, path_col: str = "path",
                     content_col: str = "content") -> None:
-    """S9 as a sink: every row of ``files`` becomes ``root/<path>`` on a shared filesystem.
-
-    Sources are never rewritten in place - ``root`` is a new tree. Each file is written to a
-    temporary name and renamed, so a retried task (lost executor) rewrites the same bytes;
-    paths that would leave ``root`` are refused.
-    """
-    ship_package(files.sparkSession)
-    os.makedirs(root, exist_ok=True)
+    """S9 as a sink: every row of ``files`` becomes ``root/<path>``; ``root`` is a new tree that
+    appears when the whole job is done (:mod:`chunkgraph.sources.tree`)."""
+    spark = files.sparkSession
+    ship_package(spark)
+    spark.dataSource.register(SourceTree)
     (files.select(F.col(path_col).alias("path"), F.col(content_col).alias("content"))
-          .foreachPartition(_write_rows(os.path.abspath(root))))
+          .write.format(FORMAT).mode("append").save(root))

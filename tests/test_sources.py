@@ -124,6 +124,56 @@ def test_directory_scan_walks_subtrees_on_executors(spark, tmpdir_path):
             expected.add(f"pkg{a}/sub{b}/deep/_u.py")
     write(root, "top.py", "")
     expected.add("top.py")
-    for depth in (1, 2, 5):
-        got = {r.path for r in corpus.scan_directory(spark, root, max_driver_depth=depth).collect()}
-        assert got == expected
+    for limit in (1, 4, 9, 1000):
+        scan = corpus.scan_directory(spark, root, partition_bytes=3000, list_limit=limit)
+        assert {r.path for r in scan.collect()} == expected
+        assert scan.rdd.getNumPartitions() > 1 or limit == 1  # the whole tree is one folder to walk
+
+
+def test_a_job_that_fails_leaves_no_tree(spark, tmpdir_path):
+    out = os.path.join(tmpdir_path, "out")
+    rows = [(f"pkg/m{i}.py", "x = 1\n") for i in range(40)] + [("../escape.py", "x")]
+    bad = spark.createDataFrame(rows, "path string, content string").repartition(4)
+    with pytest.raises(Exception, match="leaves the tree"):
+        corpus.write_directory(bad, out)
+    assert os.listdir(tmpdir_path) == []
+    corpus.write_directory(bad.where("path LIKE 'pkg/%'"), out)
+    assert len(os.listdir(os.path.join(out, "pkg"))) == 40 and os.listdir(tmpdir_path) == ["out"]
+    with pytest.raises(Exception, match="exists"):  # never over another tree
+        corpus.write_directory(bad, out)
+
+
+def test_scan_of_a_missing_or_empty_folder(spark, tmpdir_path):
+    with pytest.raises(Exception, match="no folder"):
+        corpus.scan_directory(spark, os.path.join(tmpdir_path, "absent")).collect()
+    assert corpus.scan_directory(spark, tmpdir_path).count() == 0
+
+
+@pytest.mark.parametrize("indent", [None, 0, 4])
+@pytest.mark.parametrize("chunk", [7, 64, 1 << 20])
+def test_arrays_of_any_layout_are_split(spark, tmpdir_path, indent, chunk):
+    data = [{"k": i, "source_code": t, "docstring": None if i % 3 == 0 else {"a": ["]", "}", i]}["a"][0] * i}
+            for i, t in enumerate(['plain', 'quote " and \\', '{"k": 1}, {', "[[}\n", "é\u2028\\\"", "", "\\" * 5, "x" * 300])]
+    path = os.path.join(tmpdir_path, "set.json")
+    with open(path, "w", encoding="utf-8") as fh:
+        json.dump(data, fh, indent=indent, ensure_ascii=bool(indent))
+    back = evalset.read_array(spark, path, "k int, source_code string, docstring string", chunk)
+    assert [r.asDict() for r in back.orderBy("k").collect()] == data
+    if chunk == 7:
+        assert back.rdd.getNumPartitions() > 3
+
+
+def test_array_written_in_parts_is_one_array(spark, tmpdir_path):
+    out = os.path.join(tmpdir_path, "arr")
+    df = spark.range(0, 500).select(F.col("id").alias("k"), F.concat(F.lit('a "\n} '), "id").alias("v"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    evalset.write_array(df.where("k % 7 < 5").repartition(9), out, ["k", "v"], ["k"])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    parts = sorted(f for f in os.listdir(out) if f.startswith("part-"))
+    text = "".join(open(os.path.join(out, f), encoding="utf-8").read() for f in parts)
+    want = [{"k": i, "v": f'a "\n}} {i}'} for i in range(500) if i % 7 < 5]
+    assert json.loads(text) == want and len(parts) > 1
+    back = evalset.read_array(spark, out, "k long, v string", 256)
+    assert [r.asDict() for r in back.orderBy("k").collect()] == want
+    evalset.write_array(df.limit(0), out + "-empty", ["k", "v"], ["k"])
+    assert evalset.read_array(spark, out + "-empty", "k long, v string").count() == 0
