@@ -31,7 +31,8 @@ SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines,
 FROM k LEFT JOIN f USING (key) GROUP BY doc_id"""
 
 _SYMBOLS = "len(regexp_extract_all({x}, '[#*$%&|<>]'))"
-_PHRASES = " OR ".join(f"contains(lower(bare), {_text(p)})" for p in quality_rules.BOILERPLATE)
+_COVERED = f"length(lower(bare)) - length(regexp_replace(lower(bare), {_text(quality_rules.PHRASE)}, '', 'g'))"
+_PHRASES = f"({_COVERED} > 0 AND {_COVERED} >= {quality_rules.MIN_PHRASE_SHARE} * length(lower(bare)))"
 
 QUALITY_RULES = f"""
 WITH d AS (

@@ -114,3 +114,46 @@ def test_filter_on_the_verdict_stays_above_the_rules(spark):
     kept = qr.quality_rules(docs).where("kept")
     assert kept.count() == qr.quality_rules(docs).groupBy("kept").count().where("kept").first()[1]
     assert kept._jdf.queryExecution().optimizedPlan().toString().count("xxhash64") == 4
+
+
+CLEAN_MENTION = ("The committee that met in the old town hall on the river asked the council to put the privacy policy "
+                 "of the new library on the wall by the door where every visitor who walks in with a child or a dog "
+                 "can stop and read the whole of it before going on to the shelves.")
+COOKIE_NOTICE = ("We use cookies and similar tools described in our cookie policy, and if you accept cookies you agree to "
+                 "the terms of use and the terms of service of this site and of its partners, whose own privacy policy "
+                 "you may read if you click here, while those who do not accept cookies can enable javascript or "
+                 "subscribe to our newsletter, powered by our friends, all rights reserved, and come back to the "
+                 "privacy policy and the cookie policy of this page as often as they wish, since we use cookies "
+                 "to remember that choice for a year.")
+
+
+def test_length_of_a_line_decides_nothing(spark):
+    assert len(CLEAN_MENTION) > 250 and len(COOKIE_NOTICE) > 500
+    rows = qr.quality_rules(make_docs(spark, [CLEAN_MENTION, COOKIE_NOTICE])).orderBy("doc_id").collect()
+    assert [(r.kept, r.n_removed_lines) for r in rows] == [(True, 0), (False, 1)]
+
+
+def test_sql_agrees_on_generated_lines(spark, tmp_path):
+    import random
+
+    import duckdb
+
+    from chunkgraph.llm.oracles import ORACLES
+    rnd = random.Random(4)
+    bits = [*qr.BOILERPLATE, "© 2024", "©  1999 the", "© 20", "Copyright ©", "home |", "no", "!", "?", "...", "»", "#",
+            "ÀÉ", "word.", "(c)", "\t", "\n", "© 2001 Some One Else Co"]
+    texts = []
+    for _ in range(600):
+        parts, size = [], rnd.randint(50, 2000)
+        while sum(map(len, parts)) < size:
+            parts.append(rnd.choice(bits) if rnd.random() < 0.12 else rnd.choice(
+                ["river", "Bridge", "the", "of", "night,", "morning.", "x"]) + str(rnd.randint(0, 99)))
+        texts.append(" ".join(parts))
+    path = str(tmp_path / "sf")
+    make_docs(spark, texts).coalesce(1).write.parquet(f"{path}/documents.parquet")
+    got = [tuple(r) for r in qr.op10_quality_rules(spark, path).orderBy("doc_id").collect()]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{path}/documents.parquet/*.parquet')")
+    want = con.execute(f"SELECT * FROM ({ORACLES['op10_quality_rules']}) x ORDER BY doc_id").fetchall()
+    assert got == want
+    assert len({r[7] for r in got}) == 2
