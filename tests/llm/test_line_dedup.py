@@ -66,12 +66,50 @@ def test_null_ids_repeated_rows_clashes_and_empty_table(spark):
     assert ld.dedup_lines(df.limit(0)).count() == 0
 
 
-def test_runs_compact_by_level(spark):
+def test_runs_are_disjoint_and_compact_by_level(spark):
     runs = ld.Runs(spark, 2)
-    for i in range(4):
-        df = spark.createDataFrame([(i, 0, i, 1), (99, 0, i, 1)], ld.KEY_SCHEMA)
-        runs.add(ld._against_runs(df, runs.tables()))
-    assert [len(level) for level in runs.levels] == [0, 0, 1]
-    rows = {r.h1: (r.first_doc, r.n) for r in runs.tables()[0].collect()}
-    assert rows == {0: (0, 1), 1: (1, 1), 2: (2, 1), 3: (3, 1), 99: (0, 4)}
-    runs.forget()
+    for i in range(5):
+        keys = spark.createDataFrame([(i, 0, i, 1), (99, 0, i, 1)], ld.KEY_SCHEMA)
+        marked = ld.against_runs(keys, runs.tables())
+        assert {r.h1: r.old for r in marked.collect()} == {i: False, 99: i > 0}
+        runs.add(marked.where("NOT old"))
+    assert [len(level) for level in runs.levels] == [1, 0, 1]
+    held = [sorted(r.h1 for r in t.collect()) for t in runs.tables()]
+    assert held == [[4], [0, 1, 2, 3, 99]]
+    names = [n for level in runs.levels for n, _ in level]
+    runs.close()
+    assert not any(spark.catalog.tableExists(n) for n in names)
+
+
+def test_the_runs_decide(spark, monkeypatch):
+    """Without the joins with the runs every batch would keep its own first holders."""
+    docs = make_docs(spark, [f"the line that all documents share\nown line {i}" for i in range(40)])
+    assert sum(r.n_dropped for r in ld.dedup_lines(docs, batches=4).collect()) == 39
+    monkeypatch.setattr(ld, "against_runs", lambda keys, runs: keys.selectExpr("*", "false AS old"))
+    assert sum(r.n_dropped for r in ld.dedup_lines(docs, batches=4).collect()) == 36
+
+
+def test_a_failing_batch_leaves_no_tables(spark, monkeypatch):
+    calls = []
+
+    def fails(part, runs, min_chars, last, real=ld._batch_drops):
+        if calls:
+            raise OSError("lost")
+        calls.append(runs)
+        return real(part, runs, min_chars, last)
+
+    monkeypatch.setattr(ld, "_batch_drops", fails)
+    before = {t.name for t in spark.catalog.listTables()}
+    with pytest.raises(OSError):
+        ld.dedup_lines(make_docs(spark, [f"a line of document {i}" for i in range(40)]))
+    assert calls and calls[0].levels == []
+    assert {t.name for t in spark.catalog.listTables()} <= before
+
+
+def test_any_column_name_may_be_there(spark):
+    df = spark.createDataFrame([(1, "the line of them all", "a", 2, 3, "x", "y"), (2, "the line of them all", "b", 4, 5, "x", "y")],
+                               "doc_id long, text string, row string, _a int, _ld_id int, salt string, id string")
+    out = ld.dedup_lines(df)
+    assert out.columns == [*df.columns, "n_lines", "n_dropped"]
+    assert [tuple(r) for r in out.orderBy("doc_id").collect()] == [
+        (1, "the line of them all", "a", 2, 3, "x", "y", 1, 0), (2, "", "b", 4, 5, "x", "y", 1, 1)]
