@@ -5,7 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,6 +50,22 @@ def remove_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def packed(df: DataFrame, *without: str, **named: Column) -> DataFrame:
+    """All columns of ``df`` but ``without`` in one struct ``row``, out of the way of any name,
+    beside ``named``."""
+    held = [F.col(f"`{c}`") for c in df.columns if c not in without]
+    return df.select(F.struct(*held or [F.lit(0).alias("none")]).alias("row"),
+                     *[c.alias(n) for n, c in named.items()])
+
+
+def unpacked(df: DataFrame, columns: list[str], added: Sequence[str] = (), **replaced: Column) -> DataFrame:
+    """``columns`` out of the struct ``row``, those in ``replaced`` with a new value; then the
+    columns ``added``, which replace input columns of that name."""
+    kept = [replaced[c].alias(c) if c in replaced else F.col("row")[c].alias(c)
+            for c in columns if c not in added]
+    return df.select(*kept, *added)
+
+
 def words(text: Column) -> Column:
     """Runs of characters other than the six white-space ones; null text has none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), WS_RUN), lambda w: w != "")

@@ -8,31 +8,44 @@ from pyspark.sql import functions as F
 from chunkgraph.llm.common import scratch_path, remove_path
 
 
-def _min_neighbour(edges: DataFrame) -> DataFrame:
-    """(u, m): the least of u and its neighbours; ``edges`` are (u, v)."""
-    return edges.groupBy("u").agg(F.min("v").alias("m")).select(
-        "u", F.least("u", "m").alias("m"))
+#: A node with over 1/HUB_SHARE of all edges is a hub; there are at most 2 * HUB_SHARE.
+HUB_SHARE = 256
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _with_least(edges: DataFrame, n: int) -> DataFrame:
+    """``edges(u, v)`` with ``m``, the least of u and its neighbours.
+
+    Minima are combined within each task first. The edges of a hub stay where they are: the
+    minima of the hubs, a bounded number of rows, are broadcast, and all others are joined.
+    """
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select(
+        "u", F.least("u", "m").alias("m"), "n")
+    floor = max(64, n // HUB_SHARE)
+    hubs = F.broadcast(least.where(F.col("n") > floor).select("u", "m"))
+    rest = edges.join(hubs.select("u"), "u", "left_anti").join(
+        least.where(F.col("n") <= floor).select("u", "m"), "u")
+    return edges.join(hubs, "u").unionByName(rest)
+
+
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return (both.join(_min_neighbour(both), "u").where("v > u")
+    return (_with_least(both, n).where("v > u")
                 .select(F.col("v").alias("u"), F.col("m").alias("v")))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    m = _min_neighbour(down)
-    moved = down.join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(m.select("u", F.col("m").alias("v")))
+    d = _with_least(down, n)
+    moved = d.select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.unionByName(d.select("u", F.col("m").alias("v")))
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """``(node, label)`` for every node of ``edges(u, v)``; the label is the least node reached.
 
     Every round rewrites the edges so that they point to smaller nodes and is stored in the
-    shared folder; it ends when a round changes nothing. Hub nodes are handled by partial
-    minima and by joins that adaptive execution can split; no adjacency list is built.
+    shared folder; it ends when a round changes nothing. Hub nodes meet their minimum by a
+    broadcast of bounded size; no adjacency list is built.
     """
     spark = edges.sparkSession
     schema = "u long, v long"
@@ -48,7 +61,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     current, path, mark = put(edges.select(F.greatest("u", "v").alias("u"),
                                            F.least("u", "v").alias("v")))
     while mark[0]:
-        step, new_path, new_mark = put(_small_star(_large_star(current)))
+        step, new_path, new_mark = put(_small_star(_large_star(current, mark[0]), mark[0]))
         remove_path(spark, path)
         done, current, path, mark = new_mark == mark, step, new_path, new_mark
         if done:

@@ -11,13 +11,17 @@ of ``PLAN_SAMPLE`` fingerprints; it steers cost only, the search covers every fi
 and every candidate is verified on all 64 bits.
 
 Candidates are compared inside sorted key groups with numpy; a group emits a spanning
-forest of its links, never all pairs. Keys over ``hot`` rows are split by a second
-pigeonhole on the remaining bits. Components are joined by star contraction.
+forest of its links, never all pairs. Keys over ``HOT_ROWS`` rows are split by a second
+pigeonhole on the remaining bits; what is still larger (a cloud of fingerprints that differ in a
+few bits) is cut into blocks, and each pair of blocks is compared in a task of its own. So no
+task holds more than a few times ``HOT_ROWS``. Components are joined by star contraction.
 
 Defined results: null, empty and blank texts have fingerprint zero and link like any
 other; fewer words than a shingle make one shingle; rows with a null id get a fingerprint
 and the component of their class (null where no row of it has an id); repeated rows each
-come back; an empty table gives an empty table. Other columns are ignored.
+come back; very long texts vote like any other; of rows that tie for the place of a group all
+that share the least id stay; an empty table gives an empty table. Other columns, whatever
+their names, are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkgraph.llm.common import read, release, shuffle_partitions, slices, store
+from chunkgraph.llm.common import packed, read, release, shuffle_partitions, slices, store, unpacked
 from chunkgraph.llm.components import connected_components
 from chunkgraph.session import ship_package
 
@@ -206,6 +210,28 @@ def _probe_rows(batches, design, max_bits: int, hot: np.ndarray):
                      pa.array(np.concatenate(out_f).view(np.int64))], names=["key", "fp"])
 
 
+def _deal_blocks(batches, keys: np.ndarray, blocks: np.ndarray):
+    """Rows of oversized keys (sorted, with their numbers of blocks) go to each pair of blocks
+    that holds theirs; other rows pass."""
+    for batch in batches:
+        k = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+        f = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
+        at = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
+        big = keys[at] == k
+        out_k, out_f = [k[~big]], [f[~big]]
+        for b in np.unique(blocks[at[big]]):
+            pick = big & (blocks[at] == b)
+            x, y = k[pick], f[pick]
+            mine = _mix(y) % np.uint64(b)
+            for other in range(int(b)):
+                o = np.uint64(other)
+                pair = np.minimum(mine, o) * np.uint64(b) + np.maximum(mine, o)
+                out_k.append(_mix(_mix(x) + pair + np.uint64(1)) | np.uint64(1 << 63))
+                out_f.append(y)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_k).view(np.int64)),
+                                          pa.array(np.concatenate(out_f).view(np.int64))], names=["key", "fp"])
+
+
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A spanning star per component of the links (a, b): (node, least node)."""
     nodes, inv = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -299,13 +325,24 @@ def hamming_links(classes: DataFrame, max_bits: int = MAX_BITS,
     emit = lambda hot: fps.mapInArrow(
         partial(_probe_rows, design=design, max_bits=max_bits, hot=hot), "key long, fp long")
     none = np.empty(0, np.uint64)
-    rows = n * sum(sum(comb(len(p), j) for j in range(t + 1)) for p, t in design)
-    floor = max(hot_rows, rows // 1000)
-    hot = none
-    if n > floor:  # else no key can be hot; at most 1000 keys come back
-        found = emit(none).groupBy("key").count().where(F.col("count") > floor).select("key")
-        hot = np.array([r.key for r in found.collect()], np.int64).view(np.uint64)
-    probes = emit(hot).repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key")
+
+    def crowded(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """Keys over ``hot_rows`` rows, sorted, and their rows: at most one in ``hot_rows`` rows."""
+        found = rows.groupBy("key").count().where(F.col("count") > hot_rows).collect()
+        order = np.argsort(np.array([r.key for r in found], np.int64).view(np.uint64))
+        return (np.array([r.key for r in found], np.int64).view(np.uint64)[order],
+                np.array([r["count"] for r in found], np.int64)[order])
+
+    hot, probes = none, emit(none)
+    if n > hot_rows:  # else no key can be hot
+        hot, _ = crowded(probes)
+    if len(hot):
+        probes = emit(hot)
+        keys, counts = crowded(probes)
+        if len(keys):
+            probes = probes.mapInArrow(partial(_deal_blocks, keys=keys, blocks=-(-2 * counts // hot_rows)),
+                                       "key long, fp long")
+    probes = probes.repartition(shuffle_partitions(spark), "key").sortWithinPartitions("key")
     return probes.mapInArrow(partial(_verify, max_bits=max_bits), "u long, v long")
 
 
@@ -331,8 +368,9 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """``docs`` without the rows whose component has a smaller id (rows without id stay)."""
     comp = simhash_components(docs, id_col, text_col, shingle_words, max_bits)
     losers = comp.where(F.col("doc_id") > F.col("component_id")).select(
-        F.col("doc_id").alias("_loser")).distinct()
-    return docs.join(losers, docs[id_col] == losers["_loser"], "left_anti")
+        F.col("doc_id").alias("loser")).distinct()
+    rows = packed(docs, key=F.col(id_col).cast("long"))
+    return unpacked(rows.join(losers, F.col("key") == F.col("loser"), "left_anti"), docs.columns)
 
 
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -136,3 +136,25 @@ def test_components_of_a_chain_and_a_star(spark):
     df = spark.createDataFrame([(max(e), min(e)) for e in edges], "u long, v long")
     got = {r.node: r.label for r in components.connected_components(df).collect()}
     assert got == {**{i: 0 for i in range(61)}, **{1000 + i: 1000 for i in range(500)}}
+
+
+def test_a_cloud_of_near_fingerprints_is_shared_out(spark):
+    """All within a few bits of each other, far over the size of a group: every task stays small."""
+    import numpy as np
+    rng = np.random.default_rng(3)
+    fps = np.unique(np.bitwise_xor.reduce(
+        np.uint64(1) << rng.integers(0, 64, (30_000, 3)).astype(np.uint64), axis=1)).view(np.int64)
+    far = np.int64(0x5555555555555555)
+    classes = spark.createDataFrame([(int(x),) for x in [*fps, far]], "fp long").repartition(8)
+    links = sh.hamming_links(classes, 4, hot_rows=4000)
+    labels = components.connected_components(links)
+    rows = labels.collect()
+    assert {r.node for r in rows} == {int(x) for x in fps}
+    assert {r.label for r in rows} == {min(int(x) for x in fps)}
+
+
+def test_a_hub_is_not_one_task(spark):
+    edges = spark.range(1, 20_001).selectExpr("id AS u", "0L AS v").unionByName(
+        spark.range(1, 100).selectExpr("id + 30000 AS u", "id + 29999 AS v"))
+    got = {r.node: r.label for r in components.connected_components(edges).collect()}
+    assert got == {**{i: 0 for i in range(20_001)}, **{30_000 + i: 30_000 for i in range(100)}}
