@@ -18,8 +18,9 @@ last pass of a source ends with the document that reaches it.
 
 Defined results: a null source is a source of its own; null and empty texts have no tokens
 and come with each full pass; a source without any tokens costs nothing and comes once;
-repeated rows are rows of their own; an empty table gives an empty table. Columns of the
-input that bear the name of an output column are replaced.
+repeated rows are rows of their own; very long texts count like any other; equal positions fall
+where a source begins a pass; an empty table gives an empty table. Columns of the
+input that bear the name of an output column are replaced; no other name matters.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chunkgraph.llm.common import WS_RUN, read, store
+from chunkgraph.llm.common import WS_RUN, packed, read, store, unpacked
 
 #: Exponents tried per round and rounds: the interval shrinks by 32 each time.
 SECTIONS, ROUNDS = 32, 5
@@ -153,16 +154,16 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
     # is made on that key alone and meets the rows, with their texts, in one join.
     kept = [c for c in docs.columns if c not in ADDED]
     twin = F.row_number().over(Window.partitionBy("_k").orderBy("_k"))
-    keyed = docs.select(*kept, F.xxhash64(F.lit(seed), *kept).alias("_k"))
-    lean = store(keyed.select("_k", F.col(source_col).alias("source"),
-                              token_count(F.col(text_col)).alias("n_tokens")), "mix-rows")
+    keyed = packed(docs, _k=F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in kept]))
+    lean = store(docs.select(F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in kept]).alias("_k"),
+                             F.col(source_col).alias("source"),
+                             token_count(F.col(text_col)).alias("n_tokens")), "mix-rows")
     stats = _stats(lean)
     if entropy_share is not None:
         target_entropy = entropy_share * math.log(max(1, stats.where("tokens > 0").count()))
     plan = source_plan(stats, exponent(stats, target_entropy, max_repeat, budget), budget)
     schedule = _schedule(lean.withColumn("_twin", twin), plan, stats.count(), seed)
-    return (keyed.withColumn("_twin", twin).join(schedule, ["_k", "_twin"])
-                 .select(*kept, *ADDED))
+    return unpacked(keyed.withColumn("_twin", twin).join(schedule, ["_k", "_twin"]), docs.columns, ADDED)
 
 
 def _schedule(rows: DataFrame, plan: DataFrame, n_sources: int, seed: int) -> DataFrame:

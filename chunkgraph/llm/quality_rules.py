@@ -11,7 +11,7 @@ rejected. All of it is row-local: no shuffle, no Python.
 Defined results: a null or empty text has no words and is rejected by the base rules; a
 text of any length is judged whole; repeated rows are judged each on its own; an empty table
 gives an empty table. Columns of the input that bear the name of an output column are
-replaced by it.
+replaced by it; no other column name matters.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkgraph.llm.common import WS_CHARS, WS_RUN, pinned, read, words
+from chunkgraph.llm.common import WS_CHARS, WS_RUN, packed, pinned, read, unpacked, words
 
 #: Characters counted as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -127,11 +127,16 @@ def line_passes(bare: Column, low: Column) -> Column:
     return (bare == "") | ~(bad_punct | nav | _boilerplate(low) | bare.rlike(STUTTER))
 
 
+ADDED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "clean_text",
+         "n_lines", "n_removed_lines", "loss", "kept")
+
+
 def quality_rules(df: DataFrame, text_col: str = "text", max_loss: float = MAX_LOSS) -> DataFrame:
     """``df`` with the base counts, ``base_failed``, ``clean_text`` (the lines that pass),
     ``n_lines``, ``n_removed_lines``, ``loss`` (share of characters removed) and ``kept``."""
-    d = base_columns(df, text_col)
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    d = packed(df, text_col, text=F.col(text_col))
+    d = base_columns(d, "text")
+    text = F.coalesce(F.col("text"), F.lit(""))
     d = d.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (
         100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
     d = d.withColumn("_l", F.split(text, "\n"))
@@ -148,7 +153,8 @@ def quality_rules(df: DataFrame, text_col: str = "text", max_loss: float = MAX_L
     left = F.length("clean_text") - F.greatest(
         F.col("n_lines") - F.col("n_removed_lines") - 1, F.lit(0))
     d = d.withColumn("loss", F.when(full > 0, 1 - left / full).otherwise(F.lit(0.0)))
-    return d.withColumn("kept", pinned(~F.col("base_failed") & (F.col("loss") <= max_loss)))
+    d = d.withColumn("kept", pinned(~F.col("base_failed") & (F.col("loss") <= max_loss)))
+    return unpacked(d, df.columns, ADDED, **{text_col: F.col("text")})
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

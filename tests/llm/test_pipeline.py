@@ -86,3 +86,40 @@ def test_planted_copies_junk_and_clean_documents(spark, tmp_path):
 def test_empty_table(spark, tmp_path):
     make_docs(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
     assert cp.run(spark, str(tmp_path)).count() == 0
+
+
+ODD = ["row", "_w", "_k", "_twin", "_a", "_ld_id", "loss", "kept", "n_lines", "n_dropped", "weight", "epoch", "block",
+       "position", "n_words", "clean_text", "key", "loser", "salt", "id", "none", "at", "fp", "component_id"]
+
+
+def test_stages_return_columns_of_any_name_unchanged(spark):
+    rows = [(i, t, "en", f"s{i % 2}", None if t is None else len(t), *[f"{c}{i}" for c in ODD])
+            for i, t in enumerate([" ".join(f"w{j}x{i}" for j in range(30)) + "." for i in range(4)] + [None, ""])]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in ODD)
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, docs, SF_SMALL)
+        assert out.columns == docs.columns, name
+        for r in out.collect():
+            assert [r[c] for c in ODD] == [f"{c}{r.doc_id}" for c in ODD], name
+    assert cp.encoding_stage(spark, docs, SF_SMALL).count() == 6
+
+
+def test_stages_with_null_empty_long_and_repeated_rows(spark):
+    clean = [" ".join(f"{w}{i}" for w in "the river rose in the night and nobody saw how far the water came "
+                      "into the old town before the bells rang at last".split()) + "." for i in range(3)]
+    long = "\n".join(" ".join(f"word{i}of{j}" for j in range(20)) + "." for i in range(3000))
+    rows = [(0, clean[0]), (1, clean[1]), (1, clean[1]), (2, None), (3, ""), (4, long), (None, clean[2]), (5, clean[0])]
+    docs = make_docs(spark, rows)
+    ids = lambda df: sorted((r.doc_id for r in df.collect()), key=str)
+    q = cp.quality_stage(spark, docs, SF_SMALL)
+    assert ids(q) == [0, 1, 1, 4, 5, None]
+    d = common.store(cp.line_dedup_stage(spark, docs, SF_SMALL), "t")
+    assert ids(d) == [0, 1, 1, 2, 3, 4, None]  # 5 loses its only line
+    assert {r.text for r in d.collect() if r.doc_id in (2, 3)} == {""}
+    n = cp.near_dedup_stage(spark, docs, SF_SMALL)
+    assert ids(n) == [0, 1, 1, 2, 4, None]  # the null and the empty text are one group
+    m = cp.mixing_stage(spark, docs, SF_SMALL)
+    assert set(ids(m)) == {0, 1, 2, 3, 4, 5, None} and {r.text for r in m.collect() if r.doc_id == 4} == {long}
+    e = {r.doc_id: r.n_tokens for r in cp.encoding_stage(spark, docs, SF_SMALL).collect()}
+    assert e[2] == e[3] == 0 and e[4] == len(ORACLE.encode_ordinary(long))
