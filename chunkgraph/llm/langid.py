@@ -7,18 +7,20 @@ filter: a table of 64-bit masks, one bit per language (further slices beyond 64)
 sets its languages' bits in ``HASHES`` slots, and the AND of its slots returns all languages
 that contain it at once. A text's hits are counted per language, corrected by the share of
 false positives each language's fill implies, ``(hits - n * fp) / (1 - fp)``, and the largest
-count decides. The filter has a fixed size, ``SLOTS`` masks, whatever the corpus.
+count decides. The filter's size follows the counted members, so that no language fills more
+than ``MAX_FILL`` of it, up to ``MAX_SLOTS`` masks (32 MB per 64 languages, the size of the
+broadcast model); a language with still more members keeps its most frequent ones.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; a text with
 letters but no known n-gram gets the most frequent training language with score 0; ties go
 to the language that sorts first; without any training row every text is ``und``. Rows of
-null lang teach nothing, repeated rows count as often as they come, empty tables give
-empty tables. Other columns are ignored.
+null lang teach nothing, repeated rows count as often as they come, very long texts are counted
+and scored whole, empty tables give empty tables. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
-from functools import partial
+from functools import partial, reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -27,12 +29,15 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkgraph.llm.common import read, slices
+from chunkgraph.llm.common import read, slices, store
 from chunkgraph.session import ship_package
 
 ORDERS = (3, 4)
-SLOTS = 1 << 20
+MIN_SLOTS, MAX_SLOTS = 1 << 16, 1 << 22
 HASHES = 3
+MAX_FILL = 0.125
+#: Per-language tables of at most this many rows may be broadcast.
+BROADCAST_ROWS = 10_000
 #: An n-gram belongs to a language whose rate is this many times the mean rate.
 RATE_FACTOR = 1.5
 MIN_COUNT = 2
@@ -49,7 +54,7 @@ _MAP[65:91] = np.arange(97, 123)
 class Model(NamedTuple):
     langs: list[str]
     default: str
-    table: np.ndarray  # (slices, SLOTS) masks
+    table: np.ndarray  # (slices, slots) masks
     false_positive: np.ndarray  # per language
 
 
@@ -112,36 +117,41 @@ def _count_rows(batches):
     yield from flush()
 
 
-def _slots(codes: np.ndarray) -> list[np.ndarray]:
-    """The filter slots of n-grams: double hashing."""
+def slots_of(codes: np.ndarray, n_slots: int) -> list[np.ndarray]:
+    """The filter slots of n-grams, of a power of two: double hashing."""
     a = _mix(codes * np.uint64(0x9E3779B97F4A7C15))
     b = _mix(a ^ np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
-    return [((a + np.uint64(j) * b) & np.uint64(SLOTS - 1)).astype(np.int64) for j in range(HASHES)]
+    return [((a + np.uint64(j) * b) & np.uint64(n_slots - 1)).astype(np.int64) for j in range(HASHES)]
 
 
-def _mask_rows(batches):
+def slots_for(members: int) -> int:
+    """A power of two that keeps the fill of a language with so many members under MAX_FILL."""
+    return min(MAX_SLOTS, max(MIN_SLOTS, 1 << int(np.ceil(np.log2(max(1, HASHES * members / MAX_FILL))))))
+
+
+def _mask_rows(batches, n_slots: int):
     """(slice, slot, mask) of the memberships of each n-gram."""
     for batch in batches:
         codes = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
         index = batch.column(1).to_numpy(zero_copy_only=False)
         mask = (np.uint64(1) << (index % 64).astype(np.uint64)).view(np.int64)
-        for s in _slots(codes):
+        for s in slots_of(codes, n_slots):
             yield pa.RecordBatch.from_arrays([pa.array((index // 64).astype(np.int32)), pa.array(s),
                                               pa.array(mask)], names=["slice", "slot", "mask"])
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Learn the filter from all rows of ``docs``. What reaches the driver is one row per
-    language and at most ``SLOTS`` masks per 64 languages."""
+    """Learn the filter from all rows of ``docs``, which are read once. What reaches the driver
+    is one row per language and at most ``MAX_SLOTS`` masks per 64 languages."""
     spark = docs.sparkSession
     ship_package(spark)
     lean = docs.where(F.col(lang_col).isNotNull()).select(
         F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(lang_col).alias("lang"))
-    counts = (lean.mapInArrow(_count_rows, "lang string, gram long, n long")
-                  .groupBy("gram", "lang").agg(F.sum("n").alias("n")))
+    counts = store(lean.mapInArrow(_count_rows, "lang string, gram long, n long")
+                       .groupBy("gram", "lang").agg(F.sum("n").alias("n")), "gram-counts")
     seen = lean.groupBy("lang").agg(F.count(F.lit(1)).alias("docs")).collect()
     if not seen:
-        return Model([], UND, np.zeros((1, SLOTS), np.uint64), np.zeros(0))
+        return Model([], UND, np.zeros((1, MIN_SLOTS), np.uint64), np.zeros(0))
     langs = sorted(r.lang for r in seen)
     default = min(seen, key=lambda r: (-r.docs, r.lang)).lang
     # Orders differ in size, so rates are taken per order; the order is the code's top byte.
@@ -151,19 +161,31 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mo
               per.groupBy("order", "lang").agg(F.sum("n").alias("t")).collect()}
     index = spark.createDataFrame([(o, lang, float(t), langs.index(lang)) for (o, lang), t in totals.items()],
                                   "order int, lang string, total double, i int")
-    rates = per.join(F.broadcast(index), ["order", "lang"]).withColumn("rate", F.col("n") / F.col("total"))
+    small = F.broadcast(index) if len(totals) <= BROADCAST_ROWS else index
+    rates = per.join(small, ["order", "lang"]).withColumn("rate", F.col("n") / F.col("total"))
     sums = rates.groupBy("gram").agg(F.sum("rate").alias("all"),
                                      F.collect_list(F.struct("i", "n", "rate")).alias("by"))
     # ``by`` has at most one entry per language.
-    member = (sums.select("gram", "all", F.explode("by").alias("m"))
-                  .where((F.col("m.n") >= MIN_COUNT)
-                         & (F.col("m.rate") >= min(RATE_FACTOR / len(langs), 1.0) * F.col("all"))))
-    masks = (member.select("gram", F.col("m.i").alias("i"))
-                   .mapInArrow(_mask_rows, "slice int, slot long, mask long")
+    member = store(sums.select("gram", "all", F.explode("by").alias("m"))
+                       .where((F.col("m.n") >= MIN_COUNT)
+                              & (F.col("m.rate") >= min(RATE_FACTOR / len(langs), 1.0) * F.col("all")))
+                       .select("gram", F.col("m.i").alias("i"), F.col("m.n").alias("n")), "gram-members")
+    held = {r.i: r.c for r in member.groupBy("i").agg(F.count(F.lit(1)).alias("c")).collect()}
+    n_slots = slots_for(max(held.values(), default=0))
+    room = int(MAX_FILL * n_slots / HASHES)
+    crowded = {i: 1 - room / c for i, c in held.items() if c > room}
+    if crowded:
+        # Only at MAX_SLOTS: the frequency from which on a language's members have room.
+        least = {i: member.where(F.col("i") == i).agg(F.percentile_approx("n", q, 100_000)).first()[0]
+                 for i, q in crowded.items()}
+        floor = reduce(lambda c, kv: c.when(F.col("i") == kv[0], F.lit(kv[1])), least.items(), F)
+        member = member.where(F.col("n") > F.coalesce(floor, F.lit(0)))
+    masks = (member.select("gram", "i")
+                   .mapInArrow(partial(_mask_rows, n_slots=n_slots), "slice int, slot long, mask long")
                    .groupBy("slice", "slot").agg(F.bit_or("mask").alias("mask"))).toArrow()
-    table = np.zeros(((len(langs) + 63) // 64, SLOTS), np.uint64)
+    table = np.zeros(((len(langs) + 63) // 64, n_slots), np.uint64)
     table[masks["slice"].to_numpy(), masks["slot"].to_numpy()] = masks["mask"].to_numpy().view(np.uint64)
-    fill = np.array([np.count_nonzero(table[i // 64] >> np.uint64(i % 64) & np.uint64(1)) / SLOTS
+    fill = np.array([np.count_nonzero(table[i // 64] >> np.uint64(i % 64) & np.uint64(1)) / n_slots
                      for i in range(len(langs))])
     return Model(langs, default, table, fill ** HASHES)
 
@@ -173,7 +195,7 @@ def scores(texts: list, model: Model) -> np.ndarray:
     codes, doc = grams(texts)
     out = np.zeros((len(texts), len(model.langs)))
     total = np.bincount(doc, minlength=len(texts)).astype(float)
-    at = _slots(codes)
+    at = slots_of(codes, model.table.shape[1])
     for s in range(len(model.table)):
         hit = model.table[s][at[0]]
         for j in at[1:]:
