@@ -113,6 +113,14 @@ FROM documents x LEFT JOIN best ON best.doc_id = x.doc_id AND best.r = 1
 LEFT JOIN units ON units.doc_id = x.doc_id"""
 
 
+def _up(template: str) -> str:
+    """The template with its last fixed segment as a wildcard."""
+    segs = f"string_split({template}, '/')"
+    last = f"list_max(list_filter(range(1, len({segs}) + 1), lambda i: {segs}[i] <> '*'))"
+    return (f"CASE WHEN {template} = '' OR {last} IS NULL THEN {template} ELSE array_to_string(list_transform("
+            f"{segs}, lambda s, i: CASE WHEN i = {last} THEN '*' ELSE s END), '/') END")
+
+
 def _url_filter() -> str:
     u = url_filter
     rules = sorted(u.RULES, key=lambda r: -len(r[0] + r[1]))
@@ -122,29 +130,8 @@ def _url_filter() -> str:
             f"WHEN (host = {_text(h)} OR ends_with(host, {_text('.' + h)})) AND starts_with(path, {_text(p)}) "
             f"THEN {_text(pick(h, p, v))}" for h, p, v in rules) + " END"
 
-    rounds = ""
-    for k in range(u.MERGE_ROUNDS):
-        rounds += f"""
-t_{k} AS (SELECT host, template, sum(labelled) AS n, sum(bad) AS b,
-            list_max(list_filter(range(1, len(string_split(template, '/')) + 1),
-                                 lambda i: string_split(template, '/')[i] <> '*')) AS fixed
-          FROM m_{k} GROUP BY host, template),
-p_{k} AS (SELECT *, CASE WHEN template = '' OR fixed IS NULL THEN template ELSE array_to_string(list_transform(
-            string_split(template, '/'), lambda s, i: CASE WHEN i = fixed THEN '*' ELSE s END), '/') END AS parent
-          FROM t_{k}),
-q_{k} AS (SELECT *, sum(n) OVER w AS an, sum(b) OVER w AS ab FROM p_{k}
-          WINDOW w AS (PARTITION BY host, parent)),
-z_{k} AS (SELECT *, CAST(ab AS DOUBLE) / an * (1 - CAST(ab AS DOUBLE) / an)
-                    * (CAST(1 AS DOUBLE) / n + CAST(1 AS DOUBLE) / (an - n)) AS spread
-          FROM q_{k}),
-d_{k} AS (SELECT host, template, CASE WHEN n > 0 AND an > n AND spread > 0
-            AND abs(CAST(b AS DOUBLE) / n - CAST(ab - b AS DOUBLE) / (an - n)) > {u.MERGE_Z} * sqrt(spread)
-            THEN template ELSE parent END AS branch FROM z_{k}),
-m_{k + 1} AS (SELECT m.host, m.shape, d.branch AS template, m.labelled, m.bad
-              FROM m_{k} m JOIN d_{k} d USING (host, template)),"""
-    last = f"m_{u.MERGE_ROUNDS}"
     return f"""
-WITH r AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3)
+WITH RECURSIVE r AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3)
                            ELSE '' END AS rest FROM pages),
 h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), {_AZ}) AS host,
              regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
@@ -155,25 +142,47 @@ bad AS (SELECT doc_id, max(CASE WHEN COALESCE(quality, 1) = 0 OR COALESCE(toxic,
         FROM labels GROUP BY doc_id),
 leaf AS (SELECT host, shape, segs, count(*) AS n, count(is_bad) AS labelled, COALESCE(sum(is_bad), 0) AS bad
          FROM pg LEFT JOIN bad ON doc_id = page_id GROUP BY host, shape, segs),
-step AS (SELECT host, shape, n, i, segs[i] AS child, array_to_string(segs[1:i - 1], '/') AS parent
-         FROM (SELECT *, unnest(range(1, len(segs) + 1)) AS i FROM leaf) x),
-var AS (SELECT host, i, parent FROM step GROUP BY host, i, parent
-        HAVING count(DISTINCT child) >= {u.VARIABLE_CHILDREN}
-           AND count(DISTINCT child) >= {u.VARIABLE_SHARE} * sum(n)),
-nam AS (SELECT host, shape, string_agg(CASE WHEN v.i IS NULL THEN child ELSE '*' END, '/' ORDER BY s.i) AS template
-        FROM step s LEFT JOIN var v USING (host, i, parent) GROUP BY host, shape),
-m_0 AS (SELECT l.host, l.shape, COALESCE(nam.template, '') AS template, labelled, bad
-        FROM leaf l LEFT JOIN nam USING (host, shape)),{rounds}
-tt AS (SELECT host, template, sum(labelled) AS n, sum(bad) AS b FROM {last} GROUP BY host, template),
+lev AS (
+  SELECT host, shape, segs, n, labelled, bad, 0 AS i, CAST([] AS VARCHAR[]) AS prefix FROM leaf
+  UNION ALL
+  SELECT host, shape, segs, n, labelled, bad, i + 1, list_append(prefix, CASE
+           WHEN children >= {u.VARIABLE_CHILDREN} AND children >= {u.VARIABLE_SHARE} * pages THEN '*' ELSE segs[i + 1] END)
+  FROM (SELECT *, count(DISTINCT segs[i + 1]) OVER w AS children, sum(n) OVER w AS pages
+        FROM lev WINDOW w AS (PARTITION BY host, prefix)) x WHERE i < len(segs)),
+m_0 AS (SELECT host, shape, array_to_string(prefix, '/') AS template, labelled, bad FROM lev WHERE i = len(segs)),
+m AS (
+  SELECT 0 AS k, host, template AS t0, template AS cur, sum(labelled) AS n, sum(bad) AS b FROM m_0 GROUP BY host, template
+  UNION ALL
+  SELECT k + 1, host, t0, branch, n, b FROM (
+    SELECT *, max(CASE WHEN branch <> cur THEN 1 ELSE 0 END) OVER () AS moved FROM (
+      SELECT *, CASE WHEN peers < 2 THEN cur
+          WHEN tn > 0 AND an > tn AND spread > 0
+            AND abs(CAST(tb AS DOUBLE) / tn - CAST(ab - tb AS DOUBLE) / (an - tn)) > {u.MERGE_Z} * sqrt(spread)
+          THEN cur ELSE parent END AS branch
+      FROM (SELECT *, CAST(ab AS DOUBLE) / an * (1 - CAST(ab AS DOUBLE) / an)
+                      * (CAST(1 AS DOUBLE) / tn + CAST(1 AS DOUBLE) / (an - tn)) AS spread
+        FROM (SELECT *, sum(n) OVER (PARTITION BY host, parent) AS an, sum(b) OVER (PARTITION BY host, parent) AS ab,
+                     sum(n) OVER (PARTITION BY host, cur) AS tn, sum(b) OVER (PARTITION BY host, cur) AS tb,
+                     count(DISTINCT cur) OVER (PARTITION BY host, length) AS peers
+          FROM (SELECT *, CASE WHEN cur = '' THEN 0 ELSE len(string_split(cur, '/')) END AS length,
+                       {_up('cur')} AS parent FROM m) a) c) d) e) f
+  WHERE moved = 1),
+fin AS (SELECT host, t0, cur, n, b FROM m QUALIFY k = max(k) OVER ()),
+tt AS (SELECT host, cur AS template, sum(n) AS n, sum(b) AS b FROM fin GROUP BY host, cur),
+pp AS (SELECT *, sum(n) OVER (PARTITION BY host, parent) AS an, sum(b) OVER (PARTITION BY host, parent) AS ab
+       FROM (SELECT *, {_up('template')} AS parent FROM tt) x),
 hh AS (SELECT host, sum(n) AS hn, sum(b) AS hb FROM tt GROUP BY host),
 al AS (SELECT CASE WHEN sum(hn) > 0 THEN CAST(sum(hb) AS DOUBLE) / sum(hn) ELSE 0.0 END AS base FROM hh),
-pu AS (SELECT host, template, n, (b + {u.SMOOTHING} * ((hb + {u.SMOOTHING} * base) / (hn + {u.SMOOTHING})))
-                                 / (n + {u.SMOOTHING}) AS purity FROM tt JOIN hh USING (host), al)
+pu AS (SELECT host, template, hn, (CASE WHEN n > 0 THEN b ELSE ab END
+                                   + {u.SMOOTHING} * ((hb + {u.SMOOTHING} * base) / (hn + {u.SMOOTHING})))
+                                  / (CASE WHEN n > 0 THEN n ELSE an END + {u.SMOOTHING}) AS purity
+       FROM pp JOIN hh USING (host), al),
+tree AS (SELECT x.host, x.shape, fin.cur AS template FROM m_0 x JOIN fin ON fin.host = x.host AND fin.t0 = x.template)
 SELECT page_id, host, path, {case(lambda h, p, v: h + p)} AS rule,
-       COALESCE({case(lambda h, p, v: v)}, CASE WHEN n > 0 AND purity >= {u.REJECT_PURITY} THEN 'block'
+       COALESCE({case(lambda h, p, v: v)}, CASE WHEN hn > 0 AND purity >= {u.REJECT_PURITY} THEN 'block'
                                                 ELSE 'allow' END) AS verdict,
        template, CAST(round(purity, 6) AS DOUBLE) AS purity
-FROM pg JOIN {last} USING (host, shape) JOIN pu USING (host, template)"""
+FROM pg JOIN tree USING (host, shape) JOIN pu USING (host, template)"""
 
 
 ORACLES = {

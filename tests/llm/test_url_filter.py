@@ -37,29 +37,33 @@ def tree(rows, bad):
         if pid in bad:
             leaf[1] += 1
             leaf[2] += bad[pid]
-    pages, children = Counter(), defaultdict(set)
-    for (host, segs), (n, _, _) in leaves.items():
-        for i, s in enumerate(segs):
-            pages[host, i, segs[:i]] += n
-            children[host, i, segs[:i]].add(s)
-    template = {}
-    for host, segs in leaves:
-        template[host, segs] = tuple(
-            "*" if len(children[host, i, segs[:i]]) >= max(10, 0.3 * pages[host, i, segs[:i]]) else s
-            for i, s in enumerate(segs))
-    for _ in range(uf.MERGE_ROUNDS):
-        t = defaultdict(lambda: [0, 0])
+    template = {k: () for k in leaves}
+    for i in range(max((len(s) for _, s in leaves), default=0)):
+        pages, children = Counter(), defaultdict(set)
+        for (host, segs), (n, _, _) in leaves.items():
+            if len(segs) > i:
+                pages[host, template[host, segs]] += n
+                children[host, template[host, segs]].add(segs[i])
+        template = {(host, segs): tp if len(segs) <= i else tp + (
+            "*" if len(children[host, tp]) >= max(10, 0.3 * pages[host, tp]) else segs[i],)
+            for (host, segs), tp in template.items()}
+
+    def parent(tp):
+        fixed = [i for i, s in enumerate(tp) if s != "*"]
+        return tp[:fixed[-1]] + ("*",) + tp[fixed[-1] + 1:] if fixed else tp
+
+    def sums():
+        t, pool = defaultdict(lambda: [0, 0]), defaultdict(lambda: [0, 0])
         for k, v in leaves.items():
-            t[k[0], template[k]][0] += v[1]
-            t[k[0], template[k]][1] += v[2]
-
-        def parent(tp):
-            fixed = [i for i, s in enumerate(tp) if s != "*"]
-            return tp[:fixed[-1]] + ("*",) + tp[fixed[-1] + 1:] if fixed else tp
-        pool = defaultdict(lambda: [0, 0])
-        for (host, tp), (n, b) in t.items():
-            pool[host, parent(tp)][0] += n
-            pool[host, parent(tp)][1] += b
+            for d, key in ((t, template[k]), (pool, parent(template[k]))):
+                d[k[0], key][0] += v[1]
+                d[k[0], key][1] += v[2]
+        return t, pool
+
+    moved = True
+    while moved:
+        t, pool = sums()
+        peers = Counter((host, len(tp)) for host, tp in t)
         to = {}
         for (host, tp), (n, b) in t.items():
             an, ab = pool[host, parent(tp)]
@@ -69,21 +73,24 @@ def tree(rows, bad):
                 s = ab / an
                 spread = s * (1 - s) * (1 / n + 1 / rn)
                 differs = spread > 0 and abs(b / n - rb / rn) > 1.96 * math.sqrt(spread)
-            to[host, tp] = tp if differs else parent(tp)
+            to[host, tp] = tp if differs or peers[host, len(tp)] < 2 else parent(tp)
+        moved = any(k[1] != v for k, v in to.items())
         template = {k: to[k[0], tp] for k, tp in template.items()}
-    t, hosts = defaultdict(lambda: [0, 0]), defaultdict(lambda: [0, 0])
-    for k, v in leaves.items():
-        for d in (t[k[0], template[k]], hosts[k[0]]):
-            d[0] += v[1]
-            d[1] += v[2]
+    t, pool = sums()
+    hosts = defaultdict(lambda: [0, 0])
+    for (host, _), (n, b) in t.items():
+        hosts[host][0] += n
+        hosts[host][1] += b
     all_n, all_b = sum(n for n, _ in hosts.values()), sum(b for _, b in hosts.values())
     base = all_b / all_n if all_n else 0.0
     out = {}
     for k in leaves:
         n, b = t[k[0], template[k]]
+        if not n:
+            n, b = pool[k[0], parent(template[k])]
         hn, hb = hosts[k[0]]
         purity = (b + 4 * (hb + 4 * base) / (hn + 4)) / (n + 4)
-        out[k] = ("/".join(template[k]), n > 0 and purity >= 0.5)
+        out[k] = ("/".join(template[k]), hn > 0 and purity >= 0.5)
     return out
 
 
@@ -131,6 +138,71 @@ def test_learnt_tree_on_a_planted_site(spark):
     assert rows[1000].template == "*/*" or rows[1000].template == "tag/*"
 
 
+def word(i):
+    return "".join("abcdefghij"[int(c)] for c in f"{i:04d}")
+
+
+def deep_site(levels, host="deep.org"):
+    """120 pages below free levels, 40 of them labelled, all bad; another host is clean."""
+    pages = [(i, f"http://{host}/user/" + "/".join(word(7 * i + 131 * j) for j in range(levels))) for i in range(120)]
+    labels = {i: 1 for i in range(0, 120, 3)}
+    pages += [(1000 + i, f"http://fine.org/read/{word(i)}") for i in range(60)]
+    labels |= {1000 + i: 0 for i in range(60)}
+    return pages, labels
+
+
+@pytest.mark.parametrize("levels", [1, 2, 5, 8])
+def test_free_levels_below_free_levels(spark, levels):
+    pages, labels = deep_site(levels)
+    p = spark.createDataFrame(pages, "page_id long, url string")
+    lab = spark.createDataFrame([(k, 1 - v, 0) for k, v in labels.items()], "doc_id long, quality int, toxic int")
+    out = uf.filter_urls(p, lab)
+    assert got(out) == expect(pages, labels)
+    verdicts = {r.page_id: r.verdict for r in out.collect()}
+    assert {verdicts[i] for i in range(120)} == {"block"} and {verdicts[1000 + i] for i in range(60)} == {"allow"}
+
+
+def test_unlabelled_templates_take_their_parents_share(spark):
+    pages = [(i, f"http://bad.org/{'ab'[i % 2]}/{word(i)[:3]}/page") for i in range(8)]
+    pages += [(100, "http://bad.org/other/where/page"), (101, "http://bad.org/elsewhere"), (102, "http://ok.org/a/b"),
+              (103, "http://none.org/a")]
+    pages += [(200 + i, f"http://clean.org/{word(i)}") for i in range(60)]
+    labels = {i: 1 for i in range(8)} | {102: 0} | {200 + i: 0 for i in range(60)}
+    p = spark.createDataFrame(pages, "page_id long, url string")
+    lab = spark.createDataFrame([(k, 1 - v, 0) for k, v in labels.items()], "doc_id long, quality int, toxic int")
+    out = uf.filter_urls(p, lab)
+    assert got(out) == expect(pages, labels)
+    verdicts = {r.page_id: r.verdict for r in out.collect()}
+    assert (verdicts[100], verdicts[101], verdicts[102], verdicts[103]) == ("block", "block", "allow", "allow")
+
+
+def test_sql_agrees_on_random_sites(spark, tmp_path):
+    import random
+
+    import duckdb
+
+    from chunkgraph.llm.oracles import ORACLES
+    rnd = random.Random(8)
+    pages, labels = [], {}
+    for i in range(900):
+        host = rnd.choice(["a.org", "b.org", "c.net"])
+        segs = [rnd.choice([word(rnd.randint(0, 400)), rnd.choice("xyz"), "s"]) for _ in range(rnd.randint(0, 5))]
+        pages.append((i, f"http://{host}/" + "/".join(segs)))
+        if rnd.random() < 0.4:
+            labels[i] = int(rnd.random() < (0.9 if "x" in segs else 0.2))
+    p = spark.createDataFrame(pages, "page_id long, url string")
+    lab = spark.createDataFrame([(k, 1 - v, 0) for k, v in labels.items()], "doc_id long, quality int, toxic int")
+    for df, name in ((p, "pages"), (lab, "labels")):
+        df.coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    out = uf.op3_url_filter(spark, str(tmp_path))
+    assert got(out) == expect(pages, labels)
+    con = duckdb.connect()
+    for name in ("pages", "labels"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    rows = con.execute(f"SELECT {', '.join(out.columns)} FROM ({ORACLES['op3_url_filter']}) x").fetchall()
+    assert sorted(rows, key=str) == sorted((tuple(r) for r in out.collect()), key=str)
+
+
 def test_without_labels_and_empty_tables(spark):
     p = spark.createDataFrame([(1, "http://a.org/x"), (2, "http://b.net/es/x")], "page_id long, url string")
     assert {r.page_id: r.verdict for r in uf.filter_urls(p).collect()} == {1: "allow", 2: "block"}
