@@ -147,7 +147,7 @@ lev AS (
   UNION ALL
   SELECT host, shape, segs, n, labelled, bad, i + 1, list_append(prefix, CASE
            WHEN children >= {u.VARIABLE_CHILDREN} AND children >= {u.VARIABLE_SHARE} * pages THEN '*' ELSE segs[i + 1] END)
-  FROM (SELECT *, count(DISTINCT segs[i + 1]) OVER w AS children, sum(n) OVER w AS pages
+  FROM (SELECT *, count(DISTINCT segs[i + 1]) OVER w AS children, sum(n) FILTER (i < len(segs)) OVER w AS pages
         FROM lev WINDOW w AS (PARTITION BY host, prefix)) x WHERE i < len(segs)),
 m_0 AS (SELECT host, shape, array_to_string(prefix, '/') AS template, labelled, bad FROM lev WHERE i = len(segs)),
 m AS (

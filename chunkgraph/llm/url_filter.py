@@ -81,7 +81,8 @@ def _generalise(leaves: DataFrame) -> DataFrame:
         level = F.size("prefix")
         rows = active.withColumn("child", F.get("segs", level))
         nodes = (rows.groupBy("host", "prefix", "child").agg(F.count(F.lit(1)).alias("leaves"), F.sum("n").alias("n"))
-                     .groupBy("host", "prefix").agg(F.sum("leaves").alias("leaves"), F.sum("n").alias("pages"),
+                     .groupBy("host", "prefix").agg(F.sum("leaves").alias("leaves"),
+                                                    F.sum(F.when(F.col("child").isNotNull(), F.col("n"))).alias("pages"),
                                                     F.count("child").alias("children")))
         variable = (F.col("children") >= VARIABLE_CHILDREN) & (F.col("children") >= VARIABLE_SHARE * F.col("pages"))
         few = (F.col("leaves") < VARIABLE_CHILDREN) | F.col("child").isNull()
