@@ -1,79 +1,41 @@
 """License scans: the Dice coefficient over word bigrams against license templates.
 
-Lines, paragraphs and the whole text of a document are normalised (lower case, letters and
-digits only) and compared with every template as multisets of word bigrams:
-``dice = 2 * common / (size + template size)``. A template can reach the threshold t only
-if the sizes are within ``t / (2 - t)`` of each other; the size is the number of words less
-one, so that a unit of the wrong size is dropped before its bigrams are made.
-
-Defined results: null, empty and one-word texts match nothing; of several units the best
-counts, on ties the smallest license name, then the first unit; repeated rows each come
-back; an empty table gives an empty table. Other columns are ignored.
+Lines, paragraphs, runs of up to ``RUN`` paragraphs and the whole text of a document are
+normalised (lower case, letters and digits only) and compared with every template as multisets of
+word bigrams: ``dice = 2 * common / (size + template size)``. A template can reach the threshold t
+only if the sizes are within ``t / (2 - t)`` of each other; the size is the number of words less
+one. It must then share ``t / (2 - t)`` of the template's bigrams, so a unit that has none of a
+chosen third of them (its *marks*, the least ordinary ones) cannot match either. Documents
+without any mark go after one look at their words; only what is left is cut into units, whose
+bigrams are joined with the template table, a row per template and bigram. Templates are an
+argument; the customary ones are in :mod:`chunkgraph.llm.licenses`.
+
+Defined results: null, empty and one-word texts match nothing; very long texts are scanned whole
+(units longer than any template are dropped by their size); of several matches the one with most
+bigrams in common counts (a whole license before a clause of it), on ties the highest coefficient,
+the smallest license name, the first unit; repeated rows each come back with the same
+result, also where they share an id and differ; an empty table gives an empty table. Other
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkgraph.llm.common import pinned, read
+from chunkgraph.llm.common import pinned, read, store
+from chunkgraph.llm.licenses import TEMPLATES
 
 THRESHOLD = 0.8
-
-#: Customary license notices and texts, by SPDX name.
-TEMPLATES = (
-    ("MIT", "Released under the MIT License"),
-    ("MIT", "Licensed under the MIT License"),
-    ("MIT", "This project is licensed under the terms of the MIT license"),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of "
-            "this software and associated documentation files (the \"Software\"), to deal in the "
-            "Software without restriction, including without limitation the rights to use, copy, "
-            "modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, "
-            "and to permit persons to whom the Software is furnished to do so, subject to the "
-            "following conditions: The above copyright notice and this permission notice shall be "
-            "included in all copies or substantial portions of the Software."),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with "
-            "or without fee is hereby granted, provided that the above copyright notice and this "
-            "permission notice appear in all copies."),
-    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without "
-                     "modification, are permitted provided that the following conditions are met"),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use "
-                   "this file except in compliance with the License. You may obtain a copy of the "
-                   "License at http://www.apache.org/licenses/LICENSE-2.0"),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3"),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the "
-                "terms of the GNU General Public License as published by the Free Software "
-                "Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2"),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 "
-                     "International License"),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
-    ("LicenseRef-AllRightsReserved", "All rights reserved"),
-    # Notices that differ from another licence's or version's by a word or two.
-    *((name, f"This {work} is free software; you can redistribute it and/or modify it under the terms of "
-             f"the GNU {kind}General Public License as published by the Free Software Foundation; either "
-             f"version {version} of the License, or (at your option) any later version.")
-      for name, kind, version, works in (
-          ("GPL-2.0", "", "2", ("program",)),
-          ("LGPL-2.1", "Lesser ", "2.1", ("library", "program")),
-          ("LGPL-3.0", "Lesser ", "3", ("library", "program")),
-          ("AGPL-3.0", "Affero ", "3", ("program",)))
-      for work in works),
-    ("LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1"),
-    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3"),
-    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3"),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a "
-                "copy of the MPL was not distributed with this file, You can obtain one at "
-                "http://mozilla.org/MPL/2.0/."),
-    *((f"CC-BY-{short}-4.0", f"This work is licensed under a Creative Commons Attribution-{kind} 4.0 "
-                             "International License")
-      for short, kind in (("NC", "NonCommercial"), ("ND", "NoDerivatives"),
-                          ("NC-SA", "NonCommercial-ShareAlike"), ("NC-ND", "NonCommercial-NoDerivatives"))),
-    *((f"CC-{short}-4.0", f"Licensed under CC {short} 4.0")
-      for short in ("BY", "BY-SA", "BY-ND", "BY-NC-SA", "BY-NC-ND")),
-)
+#: Longest run of paragraphs that is one unit.
+RUN = 6
+#: Template tables of at most this many rows (template and bigram) may be broadcast.
+BROADCAST_ROWS = 200_000
+_ORDINARY = {"the", "of", "and", "or", "in", "to", "a", "is", "this", "for", "any", "by", "with", "be", "that", "are",
+             "it", "as", "on", "you", "not", "all", "must", "may", "from", "at"}
 
 
 def normal_words(text: Column) -> Column:
@@ -93,71 +55,77 @@ def size_bounds(size: int, threshold: float) -> tuple[float, float]:
     return size * threshold / (2 - threshold) - slack, size * (2 - threshold) / threshold + slack
 
 
-def compile_templates(spark: SparkSession, templates=TEMPLATES) -> list[tuple[str, dict[int, int]]]:
-    """Per template its name and ``{bigram: count}``; as many rows as there are templates."""
+def compile_templates(spark: SparkSession, templates=TEMPLATES, threshold: float = THRESHOLD):
+    """``([(name, {bigram: count})], marks)``; as many rows as there are templates."""
     df = spark.createDataFrame(list(enumerate(t for _, t in templates)), "i int, text string")
     df = df.withColumn("w", normal_words(F.col("text"))).withColumn("b", bigrams(F.col("w")))
-    out = []
-    for row in df.orderBy("i").collect():
-        counts: dict[int, int] = {}
-        for b in row.b:
-            counts[b] = counts.get(b, 0) + 1
-        out.append((templates[row.i][0], counts))
-    return out
-
-
-def _equals(value: int):
-    return lambda x: x == F.lit(value).cast("long")
-
-
-def _dice(unit: Column, size: Column, counts: dict[int, int], threshold: float) -> Column:
-    """Dice coefficient with one template, null where it cannot reach the threshold."""
-    total = sum(counts.values())
-    lo, hi = size_bounds(total, threshold)
-    ids = F.expr(f"array({', '.join(f'{b}L' for b in counts)})")
-    common = F.size(F.array_intersect(unit, ids))  # each template bigram once
-    for g, c in counts.items():
-        if c > 1:  # and again as often as both sides repeat it
-            has = F.size(F.filter(unit, _equals(g)))
-            common = common + F.greatest(F.least(has, F.lit(c)) - 1, F.lit(0))
-    return F.when((size >= lo) & (size <= hi) & F.arrays_overlap(unit, ids),
-                  2 * common / (size + total))
-
-
-def scan_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, unit, words)``: lines, paragraphs of several lines and the whole text."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    lines = F.split(text, "\n")
-    d = docs.select(F.col(id_col).alias("doc_id"), text.alias("t"), lines.alias("l"))
-    paragraphs = F.split("t", r"\n[\x20\x09-\x0D]*\n")
-    more = F.when(F.size("l") > 1, F.concat(
-        F.when(F.size(paragraphs) > 1, F.filter(paragraphs, lambda p: p.contains("\n")))
-        .otherwise(F.array().cast("array<string>")), F.array("t")))
-    d = d.select("doc_id", F.concat("l", F.coalesce(more, F.array().cast("array<string>"))).alias("u"))
-    return d.select("doc_id", F.posexplode("u").alias("unit", "t"))
+    rows = sorted(df.select("i", "w", "b").collect(), key=lambda r: r.i)
+    counts = [Counter(r.b) for r in rows]
+    plain = {b: sum(x in _ORDINARY for x in pair) for r in rows for b, pair in zip(r.b, zip(r.w, r.w[1:]))}
+    held = Counter(b for c in counts for b in c)
+    marks: set[int] = set()
+    for c in counts:
+        # Any match shares ``least`` bigrams: leave fewer than that without a mark. Marks that
+        # are there already, then the least ordinary and most shared bigrams, come first.
+        least = math.ceil(size_bounds(c.total(), threshold)[0])
+        open_ = c.total()
+        for b in sorted(c, key=lambda b: (b not in marks, plain[b], -held[b], b)):
+            if open_ < max(least, 1):
+                break
+            marks.add(b)
+            open_ -= c[b]
+    return [(templates[r.i][0], c) for r, c in zip(rows, counts)], sorted(marks)
+
+
+def scan_units(text: Column) -> Column:
+    """Lines, paragraphs of several lines, the whole text, then runs of paragraphs."""
+    none = F.array().cast("array<string>")
+    lines, paragraphs = F.split(text, "\n"), F.split(text, r"\n[\x20\x09-\x0D]*\n")
+    several = F.when(F.size(paragraphs) > 1, F.filter(paragraphs, lambda p: p.contains("\n"))).otherwise(none)
+    n = F.size(paragraphs)
+    runs = F.flatten(F.transform(F.sequence(F.lit(2), F.lit(RUN)), lambda k: F.when(n >= k, F.transform(
+        F.sequence(F.lit(1), n - k + 1), lambda i: F.array_join(F.slice(paragraphs, i, k), "\n\n"))).otherwise(none)))
+    return F.concat(lines, F.when(F.size(lines) > 1, F.concat(several, F.array(text), F.when(n > 1, runs).otherwise(none)))
+                    .otherwise(none))
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """``(doc_id, license, dice, unit, n_matches)``: the best match of every document (null
     where nothing matches) and how many units match any template."""
-    compiled = compile_templates(docs.sparkSession, templates)
-    compiled = [(name, counts) for name, counts in compiled if counts]
-    bounds = [size_bounds(sum(c.values()), threshold) for _, c in compiled]
+    spark = docs.sparkSession
+    compiled, marks = compile_templates(spark, templates, threshold)
+    bounds = [size_bounds(c.total(), threshold) for _, c in compiled if c]
     least, most = min(lo for lo, _ in bounds), max(hi for _, hi in bounds)
-    u = scan_units(docs, id_col, text_col)
-    # A word has a character and a gap: short and very long units go before they are split.
-    u = u.withColumn("w", pinned(F.when(F.length("t") >= least, normal_words(F.col("t")))))
-    u = u.withColumn("size", F.size("w") - 1).where((F.col("size") >= least) & (F.col("size") <= most))
-    u = u.select("doc_id", "unit", "size", pinned(bigrams(F.col("w"))).alias("b"))
-    scored = [F.struct((-_dice(F.col("b"), F.col("size"), counts, threshold)).alias("d"),
-                       F.lit(name).alias("license")) for name, counts in compiled]
-    best = F.array_min(F.filter(F.array(*scored), lambda s: s["d"] <= -threshold))
-    u = u.select("doc_id", "unit", pinned(best).alias("m")).where("m IS NOT NULL")
-    found = u.groupBy("doc_id").agg(
-        F.min(F.struct("m.d", "m.license", "unit")).alias("m"), F.count(F.lit(1)).alias("n"))
-    ids = docs.select(F.col(id_col).alias("doc_id"))
-    out = ids.join(found.withColumnRenamed("doc_id", "f"), F.col("doc_id").eqNullSafe(F.col("f")), "left")
+
+    def marked(words: Column) -> Column:
+        return F.exists(bigrams(words), lambda b: b.isin(*marks))
+
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("t"), F.xxhash64(text).alias("h"))
+    # One look at every document; a word has a character and a gap, so tiny texts go at once.
+    found = rows.where(F.length("t") >= least).withColumn("w", pinned(normal_words(F.col("t")))).where(marked(F.col("w")))
+    units = found.select("doc_id", "h", F.posexplode(pinned(scan_units(F.col("t")))).alias("unit", "t"))
+    units = units.withColumn("w", pinned(F.when(F.length("t") >= least, normal_words(F.col("t")))))
+    units = units.withColumn("size", F.size("w") - 1).where((F.col("size") >= least) & (F.col("size") <= most))
+    units = units.where(marked(F.col("w"))).select(
+        "doc_id", "h", "unit", "size", bigrams(F.col("w")).alias("b"), F.monotonically_increasing_id().alias("row"))
+    units = store(units, "license-units")
+    table = spark.createDataFrame([(b, i, n) for i, (_, c) in enumerate(compiled) for b, n in c.items()],
+                                  "g long, i int, n int")
+    sizes = spark.createDataFrame([(i, name, c.total()) for i, (name, c) in enumerate(compiled)],
+                                  "i int, license string, total int")
+    if sum(len(c) for _, c in compiled) <= BROADCAST_ROWS:
+        table, sizes = F.broadcast(table), F.broadcast(sizes)
+    pairs = (units.select("row", F.explode("b").alias("g")).groupBy("row", "g").agg(F.count(F.lit(1)).alias("m"))
+                  .join(table, "g").groupBy("row", "i").agg(F.sum(F.least("m", "n")).alias("common")).join(sizes, "i"))
+    dice = 2 * F.col("common") / (F.col("size") + F.col("total"))
+    best = (pairs.join(units.select("row", "doc_id", "h", "unit", "size"), "row").withColumn("d", -dice)
+                 .where(F.col("d") <= -threshold)
+                 .groupBy(F.col("doc_id").alias("f"), F.col("h").alias("fh")).agg(
+                     F.min(F.struct((-F.col("common")).alias("c"), "d", "license", "unit")).alias("m"), F.count_distinct("unit").alias("n")))
+    # The hash of the text spreads rows without an id.
+    out = rows.select("doc_id", "h").join(best, F.col("doc_id").eqNullSafe(F.col("f")) & (F.col("h") == F.col("fh")), "left")
     return out.select("doc_id", F.col("m.license").alias("license"),
                       F.round(-F.col("m.d"), 6).alias("dice"), F.col("m.unit").alias("unit"),
                       F.coalesce("n", F.lit(0)).alias("n_matches"))

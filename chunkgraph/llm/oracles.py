@@ -95,16 +95,19 @@ l AS (SELECT doc_id, COALESCE(text, '') AS t, string_split(COALESCE(text, ''), c
              string_split_regex(COALESCE(text, ''), '\\n[\\x20\\x09-\\x0D]*\\n') AS p FROM documents),
 u AS (SELECT doc_id, list_concat(a, CASE WHEN len(a) < 2 THEN CAST([] AS VARCHAR[]) ELSE list_concat(
                CASE WHEN len(p) > 1 THEN list_filter(p, lambda x: contains(x, chr(10)))
-                    ELSE CAST([] AS VARCHAR[]) END, [t]) END) AS units FROM l),
+                    ELSE CAST([] AS VARCHAR[]) END, list_concat([t], CASE WHEN len(p) < 2 THEN CAST([] AS VARCHAR[])
+                    ELSE flatten(list_transform(range(2, {license_scan.RUN + 1}), lambda k: list_transform(
+                      range(1, len(p) - k + 2), lambda i: array_to_string(p[i:i + k - 1], ' ')))) END)) END) AS units
+      FROM l),
 w AS (SELECT doc_id, unit, list_filter(string_split_regex(lower(s), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w
       FROM (SELECT doc_id, generate_subscripts(units, 1) - 1 AS unit, unnest(units) AS s FROM u) x),
 b AS (SELECT doc_id, unit, len(w) - 1 AS size,
              unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g
-      FROM w WHERE len(w) BETWEEN 2 AND 1000),
+      FROM w WHERE len(w) BETWEEN 2 AND (SELECT 1.5 * max(total) + 2 FROM t)),
 n AS (SELECT doc_id, unit, size, g, count(*) AS c FROM b GROUP BY ALL),
-m AS (SELECT doc_id, unit, license, 2 * sum(least(n.c, t.c)) / (size + total) AS d
+m AS (SELECT doc_id, unit, license, sum(least(n.c, t.c)) AS common, 2 * sum(least(n.c, t.c)) / (size + total) AS d
       FROM n JOIN t USING (g) GROUP BY doc_id, unit, size, tid, license, total HAVING d >= {t}),
-best AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY d DESC, license, unit) AS r,
+best AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY common DESC, d DESC, license, unit) AS r,
                 count(*) OVER (PARTITION BY doc_id) AS _x FROM m),
 units AS (SELECT doc_id, count(DISTINCT unit) AS k FROM m GROUP BY doc_id)
 SELECT x.doc_id, best.license, round(best.d, 6) AS dice, CAST(best.unit AS INTEGER) AS unit,
