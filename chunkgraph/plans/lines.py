@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chunkgraph.functions import text as tx
-from chunkgraph.operators import edits, extract, rank
+from chunkgraph.operators import edit_blocks, edits, extract, rank
 from chunkgraph.plans.corpus import sc_files
 from chunkgraph.plans.index_build import build_index
 from chunkgraph.plans.rewrite import rewrite_corpus
@@ -110,6 +110,20 @@ def q_apply_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edits.apply_edits(files, e, ["path"], "content")
 
 
+#: Lines of a block in ``apply_edits_blocked``: small, so that files are cut and blocks overlap edits.
+SMALL_BLOCK = 16
+
+
+def q_apply_edits_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L1 + A8 + L4 + J8 over line blocks: the same corpus, no file held in one piece."""
+    files, req = sc_edit_requests(spark, sf_dir, broken=True)
+    blocks = store(edit_blocks.cut_blocks(files, ["path"], "content", SMALL_BLOCK), "line-blocks")
+    bounded = edit_blocks.block_bounds_blocked(blocks, req, ["path"], SMALL_BLOCK)
+    rows = edits.edit_rows(bounded, "new_doc").withColumn("seq", F.col("line_number"))
+    done = edit_blocks.apply_edits_blocked(blocks, rows, ["path"], SMALL_BLOCK)
+    return edit_blocks.join_blocks(done, ["path"], "content")
+
+
 def _rewritten(spark: SparkSession, sf_dir: str):
     """The whole run over the corpus: index, one model-style answer per undocumented target
     (fenced and quoted, so it must be cleaned), among answers that must not be applied:
@@ -155,6 +169,7 @@ QUERIES = {
     "block_bounds": q_block_bounds,
     "edits_per_file": q_edits_per_file,
     "apply_edits": q_apply_edits,
+    "apply_edits_blocked": q_apply_edits_blocked,
     "rewrite_targets": q_rewrite_targets,
     "rewrite_chunks": q_rewrite_chunks,
     "rewrite_unapplied": q_rewrite_unapplied,

@@ -654,3 +654,5 @@ SELECT target_id, cand_id, cand_name, dep, rn, pos FROM ranked"""
 ORACLES["corpus_roundtrip"] = SC_FILES + "SELECT sc_path AS path, content FROM sc_file"
 
 ORACLES["eval_array"] = "SELECT doc_id, text, lang FROM documents"
+
+ORACLES["apply_edits_blocked"] = ORACLES["apply_edits"]
