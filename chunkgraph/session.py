@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -73,12 +74,30 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or local_dir
 
 
+def remember(spark: SparkSession, path: str) -> str:
+    """Note a folder of intermediate data, for :func:`clear_stores`."""
+    sc = spark.sparkContext
+    sc._chunkgraph_stores = [*getattr(sc, "_chunkgraph_stores", []), path]
+    return path
+
+
+def clear_stores(spark: SparkSession) -> int:
+    """Delete the intermediate tables that this session's operators have stored, and return how
+    many. To be called once the results that read them are written; a job that dies leaves its
+    folders to the clean-up of ``spark.checkpoint.dir``."""
+    sc = spark.sparkContext
+    paths, sc._chunkgraph_stores = getattr(sc, "_chunkgraph_stores", []), []
+    for path in paths:
+        p = sc._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+    return len(paths)
+
+
 def store(df, name: str):
     """Write ``df`` once, as Parquet in the shared checkpoint folder, and read it back: what
     follows starts from the files and computes nothing of it again."""
-    import uuid
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    path = remember(spark, f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -58,3 +58,14 @@ def test_local_mode_gets_a_temp_folder(monkeypatch, tmp_path):
     assert ensure_checkpoint_dir(_Session("local[2]")).startswith(str(tmp_path))
     monkeypatch.delenv("TMPDIR")
     assert ensure_checkpoint_dir(_Session("local[2]"))
+
+
+def test_stores_are_deleted_on_request(spark):
+    import os
+
+    from chunkgraph.session import clear_stores, store
+    clear_stores(spark)
+    back = store(spark.range(10), "numbers")
+    folder = back.inputFiles()[0].rsplit("/", 1)[0].replace("file://", "")
+    assert back.count() == 10 and os.path.isdir(folder)
+    assert clear_stores(spark) == 1 and not os.path.isdir(folder) and clear_stores(spark) == 0
