@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chunkgraph.functions.text import pinned  # noqa: F401
-from chunkgraph.session import ensure_checkpoint_dir
+from chunkgraph.session import ensure_checkpoint_dir, remember
 
 #: The six ASCII white-space characters that separate words, and runs of them.
 WS_CHARS = " \t\n\x0b\x0c\r"
@@ -38,7 +38,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: lineage ends at the files."""
     spark = df.sparkSession
-    path = scratch_path(spark, name)
+    path = remember(spark, scratch_path(spark, name))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

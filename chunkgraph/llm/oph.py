@@ -9,7 +9,10 @@ low-order bits are kept and packed; likeness is the share of equal bins, correct
 
 Defined results: null, empty and blank texts have an empty fingerprint; two empty ones are
 alike (1.0), an empty one and another are not (0.0). Fewer words than a shingle make one
-shingle. Equal texts have equal fingerprints, wherever they are computed.
+shingle. Equal texts have equal fingerprints, wherever they are computed; repeated rows each
+come back, in the successive form they are neighbours. A very long text is hashed whole. An empty
+table gives an empty table. Only the id and text columns are read, so no other column name
+matters.
 """
 
 from __future__ import annotations
@@ -82,7 +85,7 @@ def sketches(texts: list, bins: int = BINS, bits: int = BITS, k: int = SHINGLE_W
         np.minimum.at(table, at, h & ((np.uint64(1) << shift) - np.uint64(1)))
         table = densify(table.reshape(hi - lo, bins))
         full[lo:hi] = counts > 0
-        # The bin number and a mixer make the kept bits independent of the size of the minimum.
+        # A mixer makes the kept bits independent of the size of the minimum.
         out[lo:hi] = (wordhash._mix(table) & np.uint64((1 << bits) - 1)).astype(np.uint8)
     out[~full] = 0
     return out, full
