@@ -6,7 +6,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 
-from chunkgraph.llm import license_scan, quality_rules, url_filter
+from chunkgraph.llm import importance, license_scan, quality_rules, substring, url_filter
 
 _WS = "[\\x20\\x09-\\x0D]+"
 _WS_SET = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -188,9 +188,145 @@ SELECT page_id, host, path, {case(lambda h, p, v: h + p)} AS rule,
 FROM pg JOIN tree USING (host, shape) JOIN pu USING (host, template)"""
 
 
+_WORD = "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'"
+
+
+def _importance() -> str:
+    """CRC-32 by its table, made bit by bit; every feature's bytes are folded through it once."""
+    i = importance
+    words = f"regexp_extract_all(translate(COALESCE(text, ''), {_AZ}), {_WORD})"
+    return f"""
+WITH RECURSIVE crc_bits AS (
+  SELECT i AS b, CAST(i AS BIGINT) AS c, 0 AS k FROM range(256) r(i)
+  UNION ALL SELECT b, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END, k + 1
+            FROM crc_bits WHERE k < 8),
+crc_table AS (SELECT list(c ORDER BY b) AS t FROM crc_bits WHERE k = 8),
+words AS (SELECT 'd' AS src, doc_id, {words} AS w FROM documents
+          UNION ALL SELECT 'b', NULL, {words} FROM benchmark),
+feature AS (SELECT src, doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f
+            FROM words),
+per AS (SELECT src, doc_id, f, count(*) AS n FROM feature GROUP BY ALL),
+bytes AS (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM per) x),
+bucket AS (SELECT f, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(0, len(h) // 2),
+                    lambda i: CAST(('0x' || substr(h, 2 * i + 1, 2)) AS BIGINT))),
+                  lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295::BIGINT) % {i.BUCKETS} AS b
+           FROM bytes, crc_table),
+tally AS (SELECT b, COALESCE(sum(n) FILTER (src = 'd'), 0) AS s, COALESCE(sum(n) FILTER (src = 'b'), 0) AS t
+          FROM per JOIN bucket USING (f) GROUP BY b),
+gain AS (SELECT b, CAST(floor(1000 * ln(CAST((t + 1) * ((SELECT sum(s) FROM tally) + {i.BUCKETS}) AS DOUBLE)
+                   / CAST((s + 1) * ((SELECT sum(t) FROM tally) + {i.BUCKETS}) AS DOUBLE))) AS BIGINT) AS g FROM tally),
+weight AS (SELECT doc_id, CAST(floor(CAST(sum(n * g) AS DOUBLE) / sum(n)) AS BIGINT) AS weight
+           FROM per JOIN bucket USING (f) JOIN gain USING (b) WHERE src = 'd' GROUP BY doc_id),
+scored AS (
+  SELECT x.doc_id, len(w) AS n_words, CASE WHEN len(w) = 0 THEN 0 ELSE 2 * len(w) - 1 END AS n_features,
+         COALESCE(weight, 0) AS weight,
+         COALESCE(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST(('0x' || substr(sha256('{i.SEED}:' || x.doc_id), 1, 8)) AS BIGINT)
+                                                          + 0.5) / 4294967296.0))) AS BIGINT) AS score
+  FROM words x LEFT JOIN weight USING (doc_id) WHERE src = 'd'),
+ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n
+           FROM scored WHERE n_words >= {i.MIN_WORDS})
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight, CAST(score AS BIGINT) AS score,
+       CAST(CASE WHEN r <= {i.PERCENT} * n // 100 THEN r END AS BIGINT) AS rank
+FROM scored LEFT JOIN ranked USING (doc_id)"""
+
+
+def _repair() -> str:
+    """Row by row over all conversations at once: the least (cost, letters) for each role state
+    (0 start, 1 system, 2 user, 3 assistant), with the repaired rows beside it."""
+    after = "CASE {q} WHEN 2 THEN 3 ELSE 2 END"
+    one = after.replace("{q}", "q")
+    two = after.replace("{q}", f"({one})")
+    name = "CASE {q} WHEN 3 THEN 'assistant' ELSE 'user' END"
+    return f"""
+WITH RECURSIVE raw AS (
+  SELECT conv_id, turn, COALESCE(role, ' ') AS role, COALESCE(text, ' ') AS text,
+         COALESCE(CAST(conv_id AS VARCHAR), ' ') || ':' || COALESCE(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+crc_bits AS (
+  SELECT i AS b, CAST(i AS BIGINT) AS c, 0 AS n FROM range(256) r(i)
+  UNION ALL SELECT b, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END, n + 1
+            FROM crc_bits WHERE n < 8),
+crc_table AS (SELECT list(c ORDER BY b) AS t FROM crc_bits WHERE n = 8),
+kind AS (SELECT raw.*, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(0, len(hex(encode(k))) // 2),
+                    lambda i: CAST(('0x' || substr(hex(encode(k)), 2 * i + 1, 2)) AS BIGINT))),
+                  lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295::BIGINT) % 20 AS kind FROM raw, crc_table),
+hurt AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+                CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy
+         FROM kind WHERE kind <> 0),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+                    rtrim(text, {_WS_SET}) AS bare, substr(role, 1, 1) AS ini FROM hurt),
+faults AS (SELECT *, CASE WHEN bare = '' THEN 'blank'
+                          WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+                          WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault,
+                  lag(ini) OVER (PARTITION BY conv_id ORDER BY i) || ini AS pair FROM numbered),
+facts AS (SELECT conv_id, COALESCE(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+                 count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+                 count(*) FILTER (fault = 'truncated') AS truncated,
+                 count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM faults GROUP BY conv_id),
+walk AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS i, 0 AS q, CAST(0 AS BIGINT) AS cost, '' AS audit, CAST([] AS VARCHAR[]) AS fixed FROM facts
+  UNION ALL
+  SELECT conv_id, i, q, cost, audit, fixed FROM (
+    SELECT conv_id, i + 1 AS i, nq AS q, cost, audit, fixed,
+           row_number() OVER (PARTITION BY conv_id, nq ORDER BY cost, audit) AS best
+    FROM (
+      SELECT p.conv_id, p.i, e.edit, CASE e.edit WHEN 'D' THEN p.q WHEN 'R' THEN {after.replace('{q}', 'p.q')}
+                 ELSE CASE f.ini WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END END AS nq,
+             p.cost + CASE e.edit WHEN 'D' THEN 4 WHEN 'R' THEN 3 ELSE 0 END
+               + CASE WHEN e.edit <> 'D' AND f.fault = 'truncated' THEN 3 ELSE 0 END AS cost,
+             p.audit || e.edit AS audit,
+             CASE e.edit WHEN 'D' THEN p.fixed
+               WHEN 'K' THEN list_append(p.fixed, f.role || ':' || f.text)
+               ELSE list_append(p.fixed, {name.replace('{q}', after.replace('{q}', 'p.q'))} || ':' || f.text) END AS fixed
+      FROM (SELECT conv_id, i, q, cost, audit, fixed FROM walk
+            UNION ALL SELECT conv_id, i, {one}, cost + 3, audit || 'I',
+                             list_append(fixed, {name.replace('{q}', one)} || ':') FROM walk
+            UNION ALL SELECT conv_id, i, {two}, cost + 6, audit || 'II',
+                             list_concat(fixed, [{name.replace('{q}', one)} || ':', {name.replace('{q}', two)} || ':'])
+                      FROM walk) p
+      JOIN faults f ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND f.i = p.i + 1
+      JOIN (VALUES ('D'), ('K'), ('R')) e(edit)
+        ON e.edit = 'D' OR (COALESCE(f.fault, '') NOT IN ('blank', 'duplicate') AND (e.edit = 'R'
+           OR (f.ini = 's' AND p.q = 0) OR (f.ini = 'u' AND p.q <> 2) OR (f.ini = 'a' AND p.q = 2)))) c) d
+  WHERE best = 1),
+ends AS (SELECT w.* FROM walk w JOIN facts f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.n = w.i),
+closed AS (
+  SELECT conv_id, q, cost, audit, fixed FROM ends
+  UNION ALL SELECT conv_id, {one}, cost + 3, audit || 'I', list_append(fixed, {name.replace('{q}', one)} || ':') FROM ends
+  UNION ALL SELECT conv_id, {two}, cost + 6, audit || 'II',
+                   list_concat(fixed, [{name.replace('{q}', one)} || ':', {name.replace('{q}', two)} || ':']) FROM ends),
+chosen AS (SELECT * FROM closed WHERE q IN (0, 3)
+           QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY cost, audit) = 1)
+SELECT o.conv_id, CAST(COALESCE(gaps, 0) AS BIGINT) AS gaps, CAST(COALESCE(blank, 0) AS BIGINT) AS blank,
+       CAST(COALESCE(duplicate, 0) AS BIGINT) AS duplicate, CAST(COALESCE(truncated, 0) AS BIGINT) AS truncated,
+       CAST(COALESCE(illegal, 0) AS BIGINT) AS illegal, CAST(COALESCE(cost, 0) AS BIGINT) AS cost,
+       COALESCE(audit, '') AS audit, sha256(COALESCE(array_to_string(fixed, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN facts ON facts.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN chosen ON chosen.conv_id IS NOT DISTINCT FROM o.conv_id"""
+
+
+SUBSTRING_DEDUP = f"""
+WITH d AS (
+  SELECT doc_id, list_filter(string_split_regex(COALESCE(text, ''), '{_WS}'), lambda x: x <> '') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + {substring.WINDOW - 1}], ' ') AS s
+        FROM (SELECT doc_id, w, unnest(range(1, len(w) - {substring.WINDOW - 2})) AS i FROM d WHERE len(w) >= {substring.WINDOW}) x),
+late AS (SELECT doc_id, i FROM win QUALIFY min(doc_id) OVER (PARTITION BY s) < doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + {substring.WINDOW})) AS j FROM late),
+word AS (SELECT doc_id, generate_subscripts(w, 1) AS j, unnest(w) AS x FROM d),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY j) AS t FROM word ANTI JOIN gone USING (doc_id, j) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(COALESCE(n, 0) AS BIGINT) AS n_removed,
+       sha256(COALESCE(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)"""
+
+
 ORACLES = {
     "op3_url_filter": _url_filter(),
     "op5_license_scan": _license_scan(),
     "op7_line_dedup": LINE_DEDUP,
     "op10_quality_rules": QUALITY_RULES,
+    "op11_importance_resampling": _importance(),
+    "op12_conversation_repair": _repair(),
+    "op13_substring_dedup": SUBSTRING_DEDUP,
 }
