@@ -238,13 +238,15 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR_WOR
     found = docs.where(F.col("doc_id").isNotNull()).mapInArrow(
         partial(_emit_anchors, window=window, k=k), ANCHORS)
     anchors = store(found, "window-anchors")
-    shared = (anchors.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-                     .where("lo < hi").select("anchor"))
+    # One row per anchor, stored: a join whose sides are plain shuffles can be split where one
+    # anchor has very many rows.
+    shared = store(anchors.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+                          .where("lo < hi").select("anchor"), "anchors-in-common")
     anchors = store(anchors.join(shared, "anchor", "left_semi"), "shared-anchors")
-    passages = anchors.groupBy("anchor", "passage").agg(
-        F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "at", "size")).alias("from"))
-    counts = passages.groupBy("anchor").agg(F.count(F.lit(1)).alias("n_passages"))
-    passages = store(passages.join(counts, "anchor"), "passages")
+    passages = store(anchors.groupBy("anchor", "passage").agg(
+        F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "at", "size")).alias("from")), "passages")
+    counts = store(passages.groupBy("anchor").agg(F.count(F.lit(1)).alias("n_passages")), "passage-counts")
+    passages = store(passages.join(counts, "anchor"), "passages-counted")
     alone = passages.where("n_passages = 1").select("anchor", "passage", F.array(F.struct(
         F.lit(0).alias("lo"), F.col("from.size").alias("hi"), F.col("least").alias("first_doc"))).alias("cuts"))
     wanted = passages.where("n_passages > 1").groupBy(F.col("from.doc_id").alias("doc_id")).agg(
@@ -252,7 +254,7 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR_WOR
                                 F.col("from.size").alias("size"))).alias("wanted"))
     cut = _moving(docs).join(wanted, "doc_id").mapInArrow(_cut_passages, PASSAGES)
     cut = store(cut, "passage-texts")
-    busy = passages.where(F.col("n_passages") > ANCHOR_PASSAGES).select("anchor").distinct()
+    busy = counts.where(F.col("n_passages") > ANCHOR_PASSAGES).select("anchor")
     hot = cut.join(busy, "anchor", "left_semi")
     reported = alone.unionByName(_search(cut.join(busy, "anchor", "left_anti"), window)) \
                     .unionByName(_search_hot(hot, window))
