@@ -15,7 +15,7 @@ def _bag(cols, rows):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_matches_its_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "labels"):
+    for t in ("documents", "pages", "labels", "benchmark", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF_SMALL}/{t}.parquet')")
     cur = con.execute(queries.ORACLES[name])
     cols = [d[0] for d in cur.description]
@@ -25,4 +25,4 @@ def test_query_matches_its_sql(spark, name):
 
 
 def test_names():
-    assert [int(n[2:].split("_")[0]) for n in queries.QUERIES if n != "pipeline"] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in queries.QUERIES if n != "pipeline"] == list(range(1, 14))
