@@ -13,6 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chunkgraph.fixed import TOP_N
 from chunkgraph.functions import text as tx
 from chunkgraph.operators import evalset
 from chunkgraph.session import ensure_checkpoint_dir
@@ -46,7 +47,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     answers = (conv.where(F.col("role") == "assistant")
                    .groupBy("conv_id")
                    .agg(F.min_by("text", "turn").alias("raw")))
-    ctx = evalset.top_contexts(conv, "conv_id", "turn", "text")
+    ctx = evalset.top_contexts(conv, "conv_id", "turn", "text", TOP_N)
     return (answers.join(ctx, "conv_id", "full")
                    .select(F.col("conv_id").alias("item_id"),
                            tx.clean_response("raw").alias("answer"), "contexts"))
