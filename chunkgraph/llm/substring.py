@@ -110,7 +110,7 @@ def find_anchors(texts: list[bytes], window: int, k: int):
 def _emit_anchors(batches, window: int, k: int):
     for batch in batches:
         ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for lo, hi in slices(texts):
+        for lo, hi in slices(texts, 1 << 18):
             part = [t or b"" for t in texts[lo:hi]]
             got = find_anchors(part, window, k)
             if got is None:
