@@ -2,6 +2,7 @@
 
 import pytest
 
+from chunkgraph import session
 from chunkgraph.session import ensure_checkpoint_dir
 
 
@@ -69,3 +70,33 @@ def test_stores_are_deleted_on_request(spark):
     folder = back.inputFiles()[0].rsplit("/", 1)[0].replace("file://", "")
     assert back.count() == 10 and os.path.isdir(folder)
     assert clear_stores(spark) == 1 and not os.path.isdir(folder) and clear_stores(spark) == 0
+
+
+def test_shuffles_begin_with_more_partitions_on_larger_inputs(spark, tmpdir_path, monkeypatch):
+    path = f"{tmpdir_path}/numbers"
+    spark.range(20_000).write.parquet(path)
+    before = session.initial_partitions(spark)
+    assert session.grow_shuffles(spark, path) == before  # a small input changes nothing
+    assert spark.conf.get(session._INITIAL, None) is None
+    monkeypatch.setattr(session, "BYTES_PER_PARTITION", 1000)
+    try:
+        grown = session.grow_shuffles(spark, path)
+        assert grown > before == int(spark.conf.get("spark.sql.shuffle.partitions"))
+        assert spark.range(9).repartition("id").rdd.getNumPartitions() <= grown
+        monkeypatch.setattr(session, "BYTES_PER_PARTITION", 1 << 30)
+        assert session.grow_shuffles(spark, path) == grown  # never lowered
+    finally:
+        spark.conf.unset(session._INITIAL)
+        spark.conf.unset(session._ADVISORY)
+
+
+def test_the_code_graph_grows_its_shuffles(spark, monkeypatch):
+    from chunkgraph.plans import views
+    from tests.conftest import SF_SMALL
+    monkeypatch.setattr(session, "BYTES_PER_PARTITION", 2000)
+    try:
+        views.cg_edges(spark, SF_SMALL)
+        assert session.initial_partitions(spark) > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    finally:
+        spark.conf.unset(session._INITIAL)
+        spark.conf.unset(session._ADVISORY)
