@@ -155,13 +155,19 @@ class TreeWriter(DataSourceWriter):
         os.makedirs(self.staging)
 
     def write(self, iterator) -> WriterCommitMessage:
-        for row in iterator:
+        # The temporary file stands beside its target: renames between folders wait for one
+        # another on the whole filesystem, and one folder for all of them is a queue as well.
+        made, mine = set(), uuid.uuid4().hex
+        for no, row in enumerate(iterator):
             rel = os.path.normpath(row["path"])
             if rel.startswith("..") or os.path.isabs(rel):
                 raise ValueError(f"path leaves the tree: {row['path']!r}")
             target = os.path.join(self.staging, rel)
-            os.makedirs(os.path.dirname(target), exist_ok=True)
-            tmp = os.path.join(self.staging, f".{uuid.uuid4().hex}")
+            folder = os.path.dirname(target)
+            if folder not in made:
+                os.makedirs(folder, exist_ok=True)
+                made.add(folder)
+            tmp = os.path.join(folder, f".{mine}-{no}")
             with open(tmp, "w", encoding="utf-8", newline="") as fh:
                 fh.write(row["content"] or "")
             os.replace(tmp, target)
