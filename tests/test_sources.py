@@ -110,6 +110,23 @@ def test_write_directory_roundtrip(spark, tmpdir_path):
         corpus.write_directory(bad, out)
 
 
+def test_files_of_a_tree_are_renamed_inside_their_folder(tmpdir_path, monkeypatch):
+    """A rename between folders waits for all others of the filesystem."""
+    from chunkgraph.sources import tree
+    moves, made = [], []
+    replace, makedirs = os.replace, os.makedirs
+    monkeypatch.setattr(os, "replace", lambda a, b: (moves.append((a, b)), replace(a, b)))
+    writer = tree.TreeWriter({"path": os.path.join(tmpdir_path, "out")}, overwrite=False)
+    monkeypatch.setattr(os, "makedirs", lambda p, **kw: (made.append(p), makedirs(p, **kw)))
+    names = ["a.py", "pkg/b.py", "pkg/c.py", "pkg/deep/d.py", "pkg/b.py"]
+    writer.write(iter([{"path": p, "content": p} for p in names]))
+    writer.commit([])
+    assert len(moves) == 5 and all(os.path.dirname(a) == os.path.dirname(b) for a, b in moves)
+    assert len(made) == len(set(made)) <= 5  # makedirs calls itself for missing parents
+    found = sorted(os.path.relpath(os.path.join(d, f), writer.root) for d, _, fs in os.walk(writer.root) for f in fs)
+    assert found == sorted(set(names))
+
+
 def test_directory_scan_walks_subtrees_on_executors(spark, tmpdir_path):
     root = tmpdir_path
     expected = set()
