@@ -10,11 +10,14 @@ are learnt online, one mini-batch after another, on counts without the occurrenc
 mixed probability is refined by an adaptive table over (gate, mixed probability) and averaged
 with it. A text's score is the sum of the log probabilities of all its bits.
 
+Every training document is learnt from. Learners, at most one for each shuffle partition and each
+of at least ``LEARN_BYTES``, go through their documents by a hash of id and text; their weights
+are averaged by the bits each of them saw at a gate, their refinement counts add up.
+
 The count tables grow with the training bytes, ``BYTES_PER_BLOCK`` for each block of a context,
 up to ``MAX_BITS`` (2^18 blocks of 16 a context, 28 MB of one-byte predictions in all): that is
-what every worker holds. Beyond it, contexts share blocks. Only the mixer (64 sets of weights and
-the refinement) is fitted on a bounded sample, the ``MIX_DOCS`` training documents that come first
-by a hash of id and text; counts, words and scores cover all documents and whole texts.
+what every worker holds, and twice that while the mixer is learnt. Beyond it, contexts share blocks.
+Counts, weights, refinement, words and scores cover all documents and whole texts.
 
 The same passes give the *base* score: word unigrams with additive smoothing 0.1. Words with
 at least 1/HEAD_SHARE of all occurrences (so at most that many) are resolved inside the
@@ -57,9 +60,13 @@ _PART = 1 << 18
 PRIOR = 0.4
 GATES = (CONTEXTS + 1) * 8
 BUCKETS = 33
-MIX_DOCS = 512
-BATCH_BYTES = 1024
+#: Training bytes of a learner, at least, and bytes of its mini-batches: a sixteenth of what it has
+#: seen, between these bounds.
+LEARN_BYTES = 2 << 20
+BATCH_BYTES, BATCH_MAX = 1024, 1 << 14
 RATE = 0.3
+#: Bytes whose bits are predicted together, so that their blocks stay in the processor's cache.
+_SPAN = 1 << 13
 #: Bytes that are scored together; a longer text is scored in pieces.
 PIECE = 1 << 17
 #: Codes of stretched predictions: 0 is unseen, else (code - 128) / STEPS.
@@ -146,10 +153,6 @@ class Model(NamedTuple):
     refine: np.ndarray   # (GATES, BUCKETS) probabilities
 
 
-_LEVEL = ((np.arange(256) - 128) / STEPS).astype(np.float32)
-_LEVEL[0] = 0
-
-
 def encode(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     a, b = zeros.astype(np.float32), ones.astype(np.float32)
     z = np.log((b + np.float32(PRIOR)) / (a + np.float32(PRIOR)))
@@ -164,18 +167,19 @@ def encode_table(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return out
 
 
-def _longest(seen: np.ndarray) -> np.ndarray:
-    """How many contexts, in their order, up to the last one seen."""
-    out = np.zeros(seen.shape[1], np.int64)
-    for i in range(len(seen)):
-        out[seen[i]] = i + 1
-    return out
-
-
-def _mixed(weights: np.ndarray, gate: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """The weighted sum of the inputs and the bias (the last weight), cut to +-12."""
-    w = weights[gate]
-    return np.clip(w[:, -1] + np.einsum("ij,ji->i", w[:, :-1], x), -12, 12)
+def _mixed(codes: np.ndarray, weights: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(longest, x, z)`` of a bit whose gates are ``first``, ``first + 8``, ...: how many contexts,
+    in their order, up to the last one seen; the inputs; their weighted sum with the bias (the last
+    weight), cut to +-12."""
+    seen = codes > 0
+    longest = (seen * np.arange(1, CONTEXTS + 1, dtype=np.uint8)[:, None]).max(0).astype(np.intp)
+    x = codes.astype(np.float32)
+    x -= 128
+    x /= np.float32(STEPS)
+    x *= seen
+    w = np.ascontiguousarray(weights[first::8].take(longest, axis=0).T)
+    w[:-1] *= x
+    return longest, x, np.clip(w.sum(0), -12, 12)
 
 
 def _squash(z):
@@ -190,14 +194,19 @@ def byte_scores(symbol: np.ndarray, hashes: np.ndarray, model: Model) -> np.ndar
     """log10 probability of each byte."""
     out = np.zeros(len(symbol))
     weights = model.weights.astype(np.float32)
-    for part, (half, block) in enumerate(blocks(symbol, hashes, model.bits)):
-        base = block << 4
-        for j, (bit, node) in enumerate(nodes(half)):
-            code = model.codes[base + node]
-            gate = _longest(code > 0) * 8 + 4 * part + j
-            z = _mixed(weights, gate, _LEVEL[code])
-            p = (_squash(z) + model.refine[gate, _bucket(z)]) / 2
-            out += np.log10(np.clip(np.where(bit, p, 1 - p), 1e-6, None))
+    refine = model.refine.astype(np.float32)
+    for lo in range(0, len(symbol), _SPAN):
+        span = out[lo:lo + _SPAN]
+        for part, (half, block) in enumerate(blocks(symbol[lo:lo + _SPAN], hashes[:, lo:lo + _SPAN], model.bits)):
+            base, p4 = block << 4, np.ones(len(half), np.float32)
+            for j, (bit, node) in enumerate(nodes(half)):
+                first = 4 * part + j
+                longest, _, z = _mixed(model.codes.take(base + node), weights, first)
+                p = _squash(z)
+                p += refine[first::8].take(longest * BUCKETS + _bucket(z))
+                p *= np.float32(0.5)
+                p4 *= np.maximum(np.where(bit, p, 1 - p), np.float32(1e-6))
+            span += np.log10(p4)
     return out
 
 
@@ -230,6 +239,13 @@ def _runs(texts: list[bytes]):
         yield held
 
 
+def _fresh(run: list[tuple[int, bytes, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """``(symbol, hashes)`` of a run's bytes, without those that an earlier piece has."""
+    symbol, _, hashes = contexts([p for _, p, _ in run])
+    fresh = np.concatenate([np.arange(len(p)) >= skip for _, p, skip in run])
+    return (symbol, hashes) if fresh.all() else (symbol[fresh], hashes[:, fresh])
+
+
 def text_scores(texts: list[bytes], model: Model) -> list[float]:
     """log10 probability of each text."""
     out = [0.0] * len(texts)
@@ -255,10 +271,7 @@ def _gather_counts(batches, bits: int):
     flat, one = n.reshape(-1), np.uint32(1)
     for batch in batches:
         for run in _runs([(t or b"").lower() for t in batch.column(0).to_pylist()]):
-            symbol, _, hashes = contexts([p for _, p, _ in run])
-            fresh = np.concatenate([np.arange(len(p)) >= skip for _, p, skip in run])
-            if not fresh.all():
-                symbol, hashes = symbol[fresh], hashes[:, fresh]
+            symbol, hashes = _fresh(run)
             for half, block in blocks(symbol, hashes, bits):
                 for row in block:
                     np.add.at(flat, (row << 4) + half, one)
@@ -296,43 +309,95 @@ def _sum_counts(batches):
         yield emit()
 
 
-def fit_mixer(texts: list[bytes], zeros: np.ndarray, ones: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """``(weights, refine)`` learnt online over texts that the counts include."""
-    w = np.full((GATES, CONTEXTS + 1), 0.3)
-    w[:, -1] = 0
-    power = np.full_like(w, 1e-3)
-    seen = np.zeros((2, GATES * BUCKETS))
-    for text in texts:
-        symbol, _, hashes = contexts([text])
-        for lo in range(0, len(symbol), BATCH_BYTES):
-            part = blocks(symbol[lo:lo + BATCH_BYTES], hashes[:, lo:lo + BATCH_BYTES], bits)
-            for h, (half, block) in enumerate(part):
-                base = block << 4
+def without(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """Codes of whole tables less one zero (even entries) and less one one (odd entries)."""
+    out = np.empty((len(zeros), 2), np.uint8)
+    for lo in range(0, len(out), _PART):
+        a, b = zeros[lo:lo + _PART].astype(np.float32), ones[lo:lo + _PART].astype(np.float32)
+        out[lo:lo + _PART, 0] = encode(np.maximum(a - 1, 0), b)
+        out[lo:lo + _PART, 1] = encode(a, np.maximum(b - 1, 0))
+    return out.reshape(-1)
+
+
+class Learner:
+    """Weights and refinement counts, learnt online over texts that the counts include."""
+
+    def __init__(self):
+        self.w = np.full((GATES, CONTEXTS + 1), 0.3)
+        self.w[:, -1] = 0
+        self.power = np.full_like(self.w, 1e-3)
+        self.mass = np.zeros(GATES)
+        self.seen = np.zeros((GATES, BUCKETS, 2))
+        self.done = 0
+
+    def learn(self, symbol: np.ndarray, hashes: np.ndarray, codes: np.ndarray, bits: int) -> None:
+        lo = 0
+        while lo < len(symbol):
+            hi = lo + min(BATCH_MAX, max(BATCH_BYTES, self.done // 16))
+            for part, (half, block) in enumerate(blocks(symbol[lo:hi], hashes[:, lo:hi], bits)):
+                base = block << 5
                 for j, (bit, node) in enumerate(nodes(half)):
-                    slots = base + node
-                    a = np.maximum(zeros[slots].astype(np.float32) - ~bit, 0)
-                    b = np.maximum(ones[slots].astype(np.float32) - bit, 0)
-                    code = encode(a, b)
-                    x = _LEVEL[code]
-                    gate = _longest(code > 0) * 8 + 4 * h + j
-                    z = _mixed(w, gate, x)
-                    error = bit - _squash(z)
-                    at = gate * BUCKETS + _bucket(z)
-                    seen[0] += np.bincount(at[~bit], minlength=seen.shape[1])
-                    seen[1] += np.bincount(at[bit], minlength=seen.shape[1])
-                    mass = np.maximum(np.bincount(gate, minlength=GATES), 1)
-                    for i in range(CONTEXTS + 1):
-                        g = np.bincount(gate, error * x[i] if i < CONTEXTS else error, minlength=GATES) / mass
-                        power[:, i] += g * g
-                        w[:, i] += RATE * g / np.sqrt(power[:, i])
+                    self._bit(4 * part + j, bit, codes.take(base + ((node << 1) + bit)))
+            self.done += len(symbol[lo:hi])
+            lo = hi
+
+    def _bit(self, first: int, bit: np.ndarray, codes: np.ndarray) -> None:
+        longest, x, z = _mixed(codes, self.w.astype(np.float32), first)
+        n = CONTEXTS + 1
+        self.seen[first::8] += np.bincount((longest * BUCKETS + _bucket(z)) * 2 + bit, minlength=n * BUCKETS * 2
+                                           ).reshape(n, BUCKETS, 2)
+        mass = np.bincount(longest, minlength=n)
+        self.mass[first::8] += mass
+        error = bit - _squash(z)
+        x *= error
+        g = np.stack([np.bincount(longest, r, minlength=n) for r in (*x, error)], 1) / np.maximum(mass, 1)[:, None]
+        self.power[first::8] += g * g
+        self.w[first::8] += RATE * g / np.sqrt(self.power[first::8])
+
+    def sums(self) -> np.ndarray:
+        """Weights times the bits seen, the bits seen, and the refinement counts, in one row."""
+        return np.concatenate([(self.w * self.mass[:, None]).reshape(-1), self.mass, self.seen.reshape(-1)])
+
+
+def mixer(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(weights, refine)`` of all learners, from the sum of their :meth:`Learner.sums`."""
+    held, mass, seen = np.split(sums, np.cumsum([GATES * (CONTEXTS + 1), GATES]))
+    mass = mass[:, None]
+    w = np.where(mass > 0, held.reshape(GATES, -1) / np.maximum(mass, 1), Learner().w)
     # A bucket starts as one observation of its own middle.
-    middle = np.tile(_squash(np.arange(BUCKETS) / 2 - 8), GATES)
-    return w, ((seen[1] + middle) / (seen.sum(0) + 1)).reshape(GATES, BUCKETS)
+    seen, middle = seen.reshape(GATES, BUCKETS, 2), _squash(np.arange(BUCKETS) / 2 - 8)
+    return w, (seen[:, :, 1] + middle) / (seen.sum(2) + 1)
+
+
+def _learn(batches, codes, bits: int):
+    """(sums) of each learner: the texts of a learner come together, in its order."""
+    current, learner = None, None
+    for batch in batches:
+        texts, of = batch.column(0).to_pylist(), np.array(batch.column(1).to_pylist(), np.int64)
+        cuts = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
+        for lo, hi in zip(cuts, cuts[1:]):
+            if lo == hi:
+                continue
+            if of[lo] != current:
+                if learner is not None:
+                    yield _sums_row(learner)
+                current, learner = of[lo], Learner()
+            for run in _runs([(t or b"").lower() for t in texts[lo:hi]]):
+                symbol, hashes = _fresh(run)
+                learner.learn(symbol, hashes, codes.value, bits)
+    if learner is not None:
+        yield _sums_row(learner)
+    release()
+
+
+def _sums_row(learner: Learner) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([learner.sums()], pa.list_(pa.float64()))], names=["sums"])
 
 
 def train(texts: DataFrame, n_bytes: int) -> Model:
-    """Learn from ``texts(doc_id, text)`` of about ``n_bytes``. The driver gets one table of
-    bounded size and ``MIX_DOCS`` texts."""
+    """Learn from ``texts(doc_id, text)`` of about ``n_bytes``. The driver gets tables of bounded
+    size. If there is a column ``part``, its numbers are the learners of a large table, whose
+    texts lie together and in order."""
     spark = texts.sparkSession
     bits = table_bits(n_bytes)
     summed = (texts.select("text").mapInArrow(partial(_gather_counts, bits=bits), "chunk int, counts binary")
@@ -344,9 +409,19 @@ def train(texts: DataFrame, n_bytes: int) -> Model:
         counts[chunk * CHUNK_BLOCKS:chunk * CHUNK_BLOCKS + len(part)] = part
     zeros, ones = (x.reshape(-1) for x in node_counts(counts))
     del counts, summed
-    sample = texts.orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(MIX_DOCS).select("text").collect()
-    weights, refine = fit_mixer([(r.text or b"").lower() for r in sample], zeros, ones, bits)
-    return Model(bits, encode_table(zeros, ones), weights, refine)
+    n = max(1, min(shuffle_partitions(spark), n_bytes // LEARN_BYTES))
+    if n < shuffle_partitions(spark) or "part" not in texts.columns:
+        order = F.xxhash64("doc_id", "text")
+        texts = (texts.select("text", "doc_id", order.alias("o"), F.pmod(order, F.lit(n)).alias("part"))
+                      .repartition(n, "part").sortWithinPartitions("part", "o", "doc_id"))
+    left = spark.sparkContext.broadcast(without(zeros, ones))
+    sums = (texts.select("text", F.col("part").cast("long").alias("part"))
+                 .mapInArrow(partial(_learn, codes=left, bits=bits), "sums array<double>")
+                 .select(F.posexplode("sums").alias("at", "v")).groupBy("at").agg(F.sum("v").alias("v"))).toArrow()
+    left.destroy()
+    total = np.zeros(len(Learner().sums()))
+    total[sums["at"].to_numpy()] = sums["v"].to_numpy()
+    return Model(bits, encode_table(zeros, ones), *mixer(total))
 
 
 # ----------------------------------------------------------------- words (the base score)
@@ -454,7 +529,9 @@ def score_documents(docs: DataFrame, trains: Column, id_col: str = "doc_id",
                        F.coalesce(trains, F.lit(False)).alias("trains"))
     # The bit passes are heavy on each byte: texts move once, to as many parts as the cluster works
     # on, whatever the row groups of the source.
-    lean = store(lean.repartition(shuffle_partitions(spark), F.xxhash64("doc_id", "text")), "lm-texts")
+    order = F.xxhash64("doc_id", "text")
+    lean = store(lean.repartition(shuffle_partitions(spark), order).withColumn("part", F.spark_partition_id())
+                     .sortWithinPartitions(order, "doc_id"), "lm-texts")
     vocabulary = store(lean.select("text", "trains").mapInArrow(_count_words, "unit binary, c long, bytes long")
                            .groupBy("unit").agg(F.sum("c").alias("c"), F.sum("bytes").alias("bytes")), "lm-words")
     facts = vocabulary.agg(F.sum("c").alias("words"), F.count_if(F.col("unit").isNotNull() & (F.col("c") > 0)).alias("types"),
@@ -462,7 +539,7 @@ def score_documents(docs: DataFrame, trains: Column, id_col: str = "doc_id",
     ends = lean.where("trains").count()
     tokens = (facts.words or 0) + ends
     types = (facts.types or 0) + (1 if ends else 0)
-    model = spark.sparkContext.broadcast(train(lean.where("trains").select("doc_id", "text"), facts.bytes or 0))
+    model = spark.sparkContext.broadcast(train(lean.where("trains").select("doc_id", "text", "part"), facts.bytes or 0))
     floor = max(1, -(-(facts.words or 0) // HEAD_SHARE))
     hashed = store(vocabulary.where("unit IS NOT NULL").select("unit", "c").mapInArrow(
         partial(_hash_words, head_floor=floor), "h long, c long, head binary"), "lm-hashed")

@@ -159,6 +159,37 @@ def test_scores_equal_a_model_by_hand(spark):
     assert got == pytest.approx(want, rel=2e-3, abs=1e-3)
 
 
+def test_the_mixer_learns_from_every_document(spark, monkeypatch):
+    """Weights and refinement come from all training bits, however rows lie and learners divide them."""
+    rnd = random.Random(6)
+    texts = [" ".join(rnd.choice(["the", "cat", "sat,", "on", "a\n", "mat"]) for _ in range(9)).encode()
+             for _ in range(700)] + [None, b"", b"z " * 90000]
+    n_bytes, seen, mixer = sum(len(t or b"") for t in texts), [], lm.mixer
+    monkeypatch.setattr(lm, "mixer", lambda sums: seen.append(sums) or mixer(sums))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text binary")
+    models = []
+    for learn_bytes, parts in ((1 << 30, 5), (20000, 1), (20000, 7)):
+        monkeypatch.setattr(lm, "LEARN_BYTES", learn_bytes)
+        models.append(lm.train(df.repartition(parts), n_bytes))
+        _, mass, refined = np.split(seen[-1], np.cumsum([lm.GATES * (lm.CONTEXTS + 1), lm.GATES]))
+        assert mass.sum() == refined.sum() == 8 * n_bytes
+    assert models[1].weights == pytest.approx(models[2].weights, rel=1e-6, abs=1e-6)
+    assert models[1].refine == pytest.approx(models[2].refine, rel=1e-6, abs=1e-6)
+
+
+def test_learners_of_a_stored_table_are_its_parts(spark):
+    texts = [(i, b"one two three four " * 20, i % 2) for i in range(20)]
+    df = spark.createDataFrame(texts, "doc_id long, text binary, part int").coalesce(1).sortWithinPartitions("part")
+    model = lm.train(df, 1 << 22)
+    code = lm.without(np.array([0, 3, 0], np.float16), np.array([2, 1, 0], np.float16)).reshape(-1, 2)
+    assert (code == [[*lm.encode(np.array([0, 0]), np.array([2, 1]))], [*lm.encode(np.array([2, 3]), np.array([1, 0]))],
+                     [0, 0]]).all()
+    batch = df.select("text", "part").toArrow().to_batches()
+    zeros = type("Held", (), {"value": np.zeros(lm.CONTEXTS << model.bits << 5, np.uint8)})
+    rows = [r for b in lm._learn(batch, zeros, model.bits) for r in b.column(0).to_pylist()]
+    assert len(rows) == 2 and sum(map(sum, rows)) > 0
+
+
 def test_pieces_of_a_long_text_score_as_the_whole(spark, monkeypatch):
     rnd = random.Random(4)
     text = " ".join(rnd.choice(["alpha", "beta", "of", "gamma\n", "x"]) for _ in range(3000)).encode()
