@@ -172,3 +172,18 @@ def test_refresh_equals_a_full_ranking(spark):
 def test_missing_index(spark):
     with pytest.raises(FileNotFoundError):
         fresh_store(spark).chunks()
+
+
+def test_edges_meet_their_callers_in_the_buckets(spark, idx):
+    """The stored edges and ids are not moved to be joined: only the write deals them anew."""
+    m = idx.build_once(files(spark, a=module(("one", "two"), ("two", "one"), ("three", "two"))))
+    joined = idx._with_callers(m.parts[0])
+    assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+    want = {(1, "two", "one", "a.py", "function"), (2, "one", "two", "a.py", "function"),
+            (3, "two", "three", "a.py", "function")}
+    columns = [f.name for f in index_store.CALLERS]
+    by_id = {r.name: r.id for r in idx.chunks().collect()}
+    got = {tuple(r) for r in joined.select("caller_id", "callee", *columns[2:]).collect()}
+    assert got == {(by_id[n], c, n, p, t) for _, c, n, p, t in want}
+    assert {tuple(r) for r in idx._read("by_callee", index_store.CALLERS, m.parts).select(*joined.columns).collect()} == {
+        tuple(r) for r in joined.collect()}
