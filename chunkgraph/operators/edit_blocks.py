@@ -63,7 +63,8 @@ def block_bounds_blocked(blocks: DataFrame, requests: DataFrame, keys: Sequence[
     count = F.floor((F.length("_l") - F.length(F.replace(F.col("_l"), F.col("_q"), F.lit("")))) / 3)
     same = F.coalesce((count >= 2) & F.col("_q").isNotNull(), F.lit(False))
     # Closing lines, once for every indent they satisfy (the prefixes of their own white space).
-    closing = blocks.select(*keys, "block_no", F.posexplode(tx.split_lines("text")).alias("_i", "_l"))
+    closing = blocks.where(tx.has_quotes("text")).select(
+        *keys, "block_no", F.posexplode(tx.split_lines("text")).alias("_i", "_l")).where(tx.has_quotes("_l"))
     closing = closing.withColumn("_q", _quotes_at(tx.py_strip(F.col("_l")), True)).where("_q IS NOT NULL")
     margin = tx.indentation("_l")
     closing = closing.select(
@@ -99,7 +100,7 @@ def apply_edits_blocked(blocks: DataFrame, edits: DataFrame, keys: Sequence[str]
     reach = F.least(F.greatest(_block_of(F.col("next") - 1, size), home), F.col("_last"))
     e = e.withColumn("_home", home).withColumn("block_no", F.explode(F.sequence(F.col("_home"), reach)))
     text = F.when(F.col("block_no") == F.col("_home"), F.col("block"))
-    held = e.groupBy(*keys, "block_no").agg(F.array_sort(F.collect_list(F.struct(
+    held = e.groupBy(*keys, "block_no").agg(F.sort_array(F.collect_list(F.struct(
         "lo", "o", text.alias("block"), "next"))).alias("_eds"))
     d = blocks.join(held, [*keys, "block_no"], "left")
     first = F.col("block_no") * size + 1

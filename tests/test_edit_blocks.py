@@ -69,3 +69,16 @@ def test_no_task_holds_a_file(spark):
     text = "\n".join(r.text for r in out if r.text is not None).split("\n")
     want = [x for i in range(6000) for x in (f"new {i}", *[f"line {10 * i + j}" for j in range(4, 10)])]
     assert text == want
+
+
+def test_only_lines_with_quotes_are_looked_at(spark):
+    """Blocks and lines without triple quotes go before lines are stripped, and the bounds stay."""
+    text = "def f():\n    \'\'\'a\n    b\n     \'\'\' \n" + "    x()\n" * 40 + 'def g():\n    """c\n    d"""\n'
+    f = spark.createDataFrame([("a.py", text)], "path string, content string")
+    r = spark.createDataFrame([("a.py", 2, ""), ("a.py", 46, ""), ("a.py", 10, "")],
+                              "path string, body_start_line int, func_indent string")
+    blocks = eb.cut_blocks(f, ["path"], "content", 4)
+    found = eb.block_bounds_blocked(blocks, r, ["path"], 4)
+    assert rows(found) == rows(edits.block_bounds(f, r, ["path"], "content"))
+    assert {x.body_start_line: x.doc_end for x in found.collect()} == {2: 4, 46: 47, 10: None}
+    assert "Contains(text" in found._jdf.queryExecution().optimizedPlan().toString()
