@@ -247,3 +247,26 @@ def test_calls_are_those_of_the_plain_walk(module):
     with open(importlib.import_module(module).__file__) as fh:
         tree = ast.parse(fh.read())
     assert extract._calls(tree) == [n for n in ast.walk(tree) if isinstance(n, ast.Call)]
+
+
+def test_calls_are_those_of_a_walk_in_its_order():
+    odd = """
+f(1)(g(x=h()), *a(), **b(c()))
+1.5()
+b"x"()
+...()
+x.y[z()](lambda q=d(): e())
+async def k():
+    return await [m(i) async for i in n()]
+(yield_ := o(p)) if r() else s.t.u()
+"""
+    tree = ast.parse(odd)
+    assert extract._calls(tree) == [n for n in ast.walk(tree) if isinstance(n, ast.Call)]
+    seen = []
+    fields = extract._BELOW
+    extract._BELOW = type("Seen", (dict,), {"get": lambda self, k: seen.append(k) or dict.get(self, k)})(fields)
+    try:
+        extract._calls(ast.parse("f()\n" * 50))
+    finally:
+        extract._BELOW = fields
+    assert len(seen) <= 1  # plain call statements are entered without a look at every field
