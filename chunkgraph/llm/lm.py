@@ -16,7 +16,8 @@ are averaged by the bits each of them saw at a gate, their refinement counts add
 
 The count tables grow with the training bytes, ``BYTES_PER_BLOCK`` for each block of a context,
 up to ``MAX_BITS`` (2^18 blocks of 16 a context, 28 MB of one-byte predictions in all): that is
-what every worker holds, and twice that while the mixer is learnt. Beyond it, contexts share blocks.
+broadcast, and twice that while the mixer is learnt; each worker holds it as the codes on the way of
+each half byte (117 MB), so that a lookup finds four bits. Beyond it, contexts share blocks.
 Counts, weights, refinement, words and scores cover all documents and whole texts.
 
 The same passes give the *base* score: word unigrams with additive smoothing 0.1. Words with
@@ -32,6 +33,7 @@ empty tables. Other columns, whatever their names, are ignored.
 from __future__ import annotations
 
 import math
+import weakref
 import zlib
 from collections import Counter
 from functools import partial
@@ -46,7 +48,7 @@ from pyspark.sql import types as T
 
 from chunkgraph.llm.common import read, release, shuffle_partitions, store
 from chunkgraph.llm.langid import crc_of
-from chunkgraph.llm.wordhash import _IS_SPACE, _mix
+from chunkgraph.llm.wordhash import _BYTE, _IS_SPACE
 from chunkgraph.session import ship_package
 
 #: Bytes of the running text that a context holds; after them the two word contexts.
@@ -66,7 +68,9 @@ LEARN_BYTES = 2 << 20
 BATCH_BYTES, BATCH_MAX = 1024, 1 << 14
 RATE = 0.3
 #: Bytes whose bits are predicted together, so that their blocks stay in the processor's cache.
-_SPAN = 1 << 13
+_SPAN = 1 << 14
+#: Bits that are multiplied by weights together: small products take a quick way.
+_COLUMNS = 1 << 14
 #: Bytes that are scored together; a longer text is scored in pieces.
 PIECE = 1 << 17
 #: Codes of stretched predictions: 0 is unseen, else (code - 128) / STEPS.
@@ -76,61 +80,104 @@ HEAD_SHARE = 1 << 19
 HOLD_UNITS = 400_000
 SMOOTHING = 0.1
 _LOOKBACK = max(ORDERS)
+_BASE = 0x9E3779B1
+_ODD = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F], np.uint32)
+_BYTE32 = (_BYTE >> np.uint64(32)).astype(np.uint32)
+_HELD_POWERS = [np.ones(0, np.uint32)] * 2
+_HELD_PATHS: list = []
 
 
 # ----------------------------------------------------------------- contexts
 
+def _scatter(x: np.ndarray) -> np.ndarray:
+    """Hash of 32-bit values, in place; tables take its upper bits."""
+    x *= _ODD[0]
+    x ^= x >> np.uint32(15)
+    x *= _ODD[1]
+    return x
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of an odd base and of its inverse, modulo 2^32."""
+    if len(_HELD_POWERS[0]) < n:
+        _HELD_POWERS[:] = [np.multiply.accumulate(np.concatenate([[1], np.full(n - 1, b)]), dtype=np.uint32)
+                           for b in (_BASE, pow(_BASE, -1, 1 << 32))]
+    return _HELD_POWERS[0][:n], _HELD_POWERS[1][:n]
+
+
 def contexts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(symbol, owner, hashes)`` of every byte of the texts: the byte, the index of its text
-    and a hash per context. Texts are lower-cased already; contexts end at a text's start."""
+    """``(symbol, first, hashes)`` of every byte of the texts: the byte, where each text starts
+    and a 32-bit hash per context. Texts are lower-cased already; contexts end at a text's start."""
     size = np.array([len(t) for t in texts], np.int64)
-    raw = np.frombuffer(b"".join(texts), np.uint8)
-    owner = np.repeat(np.arange(len(texts)), size)
-    first = (np.cumsum(size) - size)[owner]
-    at = np.arange(len(raw), dtype=np.int64)
-    wide = raw.astype(np.uint64) + np.uint64(1)
-    hashes, context = [], np.zeros(len(raw), np.uint64)
-    for back in range(1, _LOOKBACK + 1):
-        before = np.zeros(len(raw), np.uint64)
-        before[back:] = wide[:-back]
-        before[at - back < first] = 0
-        context = context * np.uint64(257) + before
-        if back in ORDERS:
-            hashes.append(_mix(context * np.uint64(16) + np.uint64(back)))
+    joined = b"".join([bytes(_LOOKBACK + 2), *texts])
+    raw = np.frombuffer(joined, np.uint8)[_LOOKBACK + 2:]
+    n, first = len(raw), np.cumsum(size) - size
+    hashes = np.empty((CONTEXTS, n), np.uint32)
+    if not n:
+        return raw, first, hashes
+    # The four bytes before each, the last one uppermost, and the two before these.
+    last = np.ndarray((n,), "<u4", joined, _LOOKBACK - 2, (1,)).astype(np.uint32)
+    early = np.ndarray((n,), "<u2", joined, _LOOKBACK - 4, (1,)).astype(np.uint32)
+    early *= _ODD[2]
+    for row, order in zip(hashes, ORDERS):
+        if order <= 4:
+            np.right_shift(last, np.uint32(32 - 8 * order), out=row)
+        else:
+            np.bitwise_xor(last, early, out=row)
+        _scatter(row)
+    for held in range(_LOOKBACK):  # near a text's start there are only so many bytes before
+        at = first[size > held] + held
+        short = np.zeros((2, len(at)), np.uint32)
+        for back in range(1, held + 1):
+            short[int(back > 4)] |= raw[at - back].astype(np.uint32) << np.uint32(8 * (4 - back if back <= 4 else 6 - back))
+        short[0] ^= short[1] * _ODD[2]
+        shift = np.uint32(8 * (4 - held) if 0 < held < 4 else 0)
+        for row, order in zip(hashes, ORDERS):
+            if order > held:
+                row[at] = _scatter(short[0] >> shift) ^ np.uint32((held + 1) * int(_ODD[3]) & 0xFFFFFFFF)
     gap = _IS_SPACE[raw]
-    inner = np.zeros(len(raw), bool)  # the byte before is of the same text and no white space
-    inner[1:] = ~gap[:-1]
-    inner &= at > first
+    lead = np.empty(n, bool)  # the byte before is of another text or white space
+    lead[1:] = gap[:-1]
+    lead[first[size > 0]] = True
+    start = np.flatnonzero(lead)
+    run = np.diff(start, append=n)
     # A word's hash so far: a polynomial in an odd base, taken from prefix sums.
-    base = 0x9E3779B97F4A7C15 | 1
-    power, inverse = (np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(len(raw), b, np.uint64)]))
-                      for b in (base, pow(base, -1, 1 << 64)))
-    total = np.concatenate([[np.uint64(0)], np.cumsum(_mix(wide * np.uint64(7)) * power[:len(raw)], dtype=np.uint64)])
-    start = np.maximum.accumulate(np.where(inner, 0, at)) if len(raw) else at
-    prefix = (total[at] - total[start]) * inverse[start] + (at - start).astype(np.uint64)
+    power, inverse = _powers(n + 1)
+    value = _BYTE32[raw]
+    value *= power[:n]
+    total = np.zeros(n + 1, np.uint32)
+    np.cumsum(value, out=total[1:], dtype=np.uint32)
+    prefix = total[:n] - np.repeat(total[start], run)
+    prefix *= np.repeat(inverse[start], run)
     # The word before: its last byte is the nearest non-space byte before this word's start.
-    solid = np.maximum.accumulate(np.where(gap, -1, at)) if len(raw) else at
+    solid = np.maximum.accumulate(np.where(gap, np.int32(-1), np.arange(n, dtype=np.int32)))
     end = np.where(start > 0, solid[np.maximum(start - 1, 0)], -1)
-    held = end >= first
-    safe = np.maximum(end, 0)
-    word = np.where(held, (total[safe + 1] - total[start[safe]]) * inverse[start[safe]], np.uint64(0))
-    hashes.append(_mix(prefix * np.uint64(16) + np.uint64(13)))
-    hashes.append(_mix(prefix * np.uint64(16) + _mix(word + np.uint64(1)) + np.uint64(14)))
-    return raw, owner, np.stack(hashes) if len(raw) else np.zeros((CONTEXTS, 0), np.uint64)
+    held = end >= first[np.searchsorted(first, start, "right") - 1]
+    end = np.maximum(end, 0)
+    begin = start[np.searchsorted(start, end, "right") - 1]
+    word = np.where(held, _scatter((total[end + 1] - total[begin]) * inverse[begin]) | np.uint32(1), np.uint32(0))
+    np.add(prefix, np.repeat(word * _ODD[2], run), out=hashes[-1])
+    hashes[-2] = prefix
+    _scatter(hashes[-2:])
+    return raw, first, hashes
 
 
 def blocks(symbol: np.ndarray, hashes: np.ndarray, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each half of the bytes: its value, and its block in the table of each context."""
     high, low = symbol >> 4, symbol & 15
-    mask, offset = np.uint64((1 << bits) - 1), (np.arange(CONTEXTS, dtype=np.int64) << bits)[:, None]
-    after = _mix(hashes + (high.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD1342543DE82EF95))
-    return [(half.astype(np.int64), (h & mask).astype(np.int64) + offset) for half, h in ((high, hashes), (low, after))]
+    shift, offset = np.uint32(32 - bits), (np.arange(CONTEXTS, dtype=np.uint32) << np.uint32(bits))[:, None]
+    before = hashes >> shift
+    before += offset
+    after = hashes ^ ((high.astype(np.uint32) + np.uint32(1)) * _ODD[2])
+    after *= _ODD[3]
+    after >>= shift
+    after += offset
+    return [(high, before), (low, after)]
 
 
-def nodes(half: np.ndarray):
-    """The four bits of half bytes, first to last: the bit and the node that predicts it."""
-    for j in range(4):
-        yield (half >> (3 - j) & 1).astype(bool), (1 << j) | (half >> (4 - j))
+#: The nodes that a half byte's four bits pass, first to last, and the bits.
+_PATH = np.array([[(1 << j) | v >> (4 - j) for j in range(4)] for v in range(16)])
+_BIT = np.array([[v >> (3 - j) & 1 for j in range(4)] for v in range(16)], np.uint8)
 
 
 def node_counts(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -167,46 +214,140 @@ def encode_table(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return out
 
 
-def _mixed(codes: np.ndarray, weights: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(longest, x, z)`` of a bit whose gates are ``first``, ``first + 8``, ...: how many contexts,
-    in their order, up to the last one seen; the inputs; their weighted sum with the bias (the last
-    weight), cut to +-12."""
-    seen = codes > 0
-    longest = (seen * np.arange(1, CONTEXTS + 1, dtype=np.uint8)[:, None]).max(0).astype(np.intp)
-    x = codes.astype(np.float32)
-    x -= 128
-    x /= np.float32(STEPS)
-    x *= seen
-    w = np.ascontiguousarray(weights[first::8].take(longest, axis=0).T)
-    w[:-1] *= x
-    return longest, x, np.clip(w.sum(0), -12, 12)
+def paths(table: np.ndarray, entries: np.ndarray) -> np.ndarray:
+    """For each block and half byte the four codes on its way, ``entries[half]`` in the block's
+    part of the table, less 128: four signed bytes in one number, -128 if unseen."""
+    of = table.reshape(len(table) // (16 * (entries.max() // 16 + 1)), -1)
+    out = np.empty((len(of), 16), np.uint32)
+    for lo in range(0, len(of), CHUNK_BLOCKS):
+        part = np.ascontiguousarray(of[lo:lo + CHUNK_BLOCKS].T).astype(np.uint32)
+        to = np.empty((16, part.shape[1]), np.uint32)
+        for v, nodes in enumerate(entries):
+            to[v] = part[nodes[0]] | part[nodes[1]] << 8 | part[nodes[2]] << 16 | part[nodes[3]] << 24
+        out[lo:lo + CHUNK_BLOCKS] = to.T
+    out ^= np.uint32(0x80808080)
+    return out.reshape(-1)
+
+
+def _held_paths(table: np.ndarray, entries: np.ndarray) -> np.ndarray:
+    """:func:`paths` of the table that this worker's tasks share; only the latest is held."""
+    if not _HELD_PATHS or _HELD_PATHS[0]() is not table:
+        _HELD_PATHS.clear()
+        _HELD_PATHS[:] = [weakref.ref(table), paths(table, entries)]
+    return _HELD_PATHS[1]
+
+
+def _gate_weights(weights: np.ndarray) -> np.ndarray:
+    """(half, bit, longest, input) weights of codes, the bias last."""
+    w = weights.reshape(CONTEXTS + 1, 2, 4, CONTEXTS + 1).transpose(1, 2, 0, 3).copy()
+    w[..., :-1] /= STEPS
+    return w.astype(np.float32)
+
+
+class _Mix:
+    """Buffers for ``n`` half bytes, the four bits of each beside each other. ``x`` (input, 4 n): the
+    codes on their ways, 0 if unseen, and 1 for the bias; ``z`` (4 n): the weighted sum of the gate
+    of the longest context seen, cut to +-12; ``rest`` and ``gate``: the bits whose longest context,
+    in their order, is not the last one, and which."""
+
+    def __init__(self, n: int):
+        self.n = n
+        self.x = np.ones((CONTEXTS + 1, 4 * n), np.float32)
+        self.z = np.empty(4 * n, np.float32)
+        self.own = np.zeros((4, min(4 * n, _COLUMNS)), np.float32)
+        self.last = np.tile(np.float32(BUCKETS) * (np.arange(1, 5, dtype=np.float32) * (CONTEXTS + 1) - 1), n)
+
+    def mix(self, half: np.ndarray, block: np.ndarray, table: np.ndarray, weights: np.ndarray) -> None:
+        block <<= np.uint32(4)
+        block |= half
+        code = table.take(block.astype(np.intp), mode="wrap").view(np.int8)
+        seen = (code != -128).view(np.int8)
+        np.negative(seen, out=seen)
+        code &= seen
+        self.x[:-1] = code
+        longest = seen[0] & np.int8(1)
+        for c in range(1, CONTEXTS):
+            seen[c] &= np.int8(c + 1)
+            np.maximum(longest, seen[c], out=longest)
+        # Nearly all bits have the last gate; the others are summed again.
+        last = np.ascontiguousarray(weights[:, -1])
+        for lo in range(0, 4 * self.n, _COLUMNS):
+            full = last @ self.x[:, lo:lo + _COLUMNS]
+            for j in range(4):
+                self.z[lo + j:lo + _COLUMNS:4] = full[j, j::4]
+        self.rest = np.flatnonzero(longest != CONTEXTS)
+        self.gate = longest[self.rest].astype(np.intp)
+        for lo in range(0, len(self.rest), self.n):
+            rest = self.rest[lo:lo + self.n]
+            self.z[rest] = np.einsum("ri,ir->r", weights[rest & 3, self.gate[lo:lo + self.n]], self.x[:, rest])
+        np.clip(self.z, -12, 12, out=self.z)
+
+    def cells(self) -> np.ndarray:
+        """The refinement cell of each bit, numbered by (bit, longest, bucket), as float."""
+        cell = self.z * np.float32(2)
+        cell += np.float32(16)
+        np.rint(cell, out=cell)
+        np.clip(cell, 0, BUCKETS - 1, out=cell)
+        cell += self.last
+        if len(self.rest):
+            cell[self.rest] += BUCKETS * (self.gate - CONTEXTS)
+        return cell
+
+    def slopes(self, error: np.ndarray) -> np.ndarray:
+        """The sums of error times input by (bit, longest, input); ``error`` is used up."""
+        n = CONTEXTS + 1
+        out = np.zeros((4 * n, n))
+        if len(self.rest):
+            gates, own = (self.rest & 3) * n + self.gate, error[self.rest]
+            for c, x in enumerate(self.x):
+                out[:, c] = np.bincount(gates, own * x[self.rest], minlength=4 * n)
+            error[self.rest] = 0
+        out = out.reshape(4, n, n)
+        for lo in range(0, 4 * self.n, _COLUMNS):
+            part = self.own[:, :len(error[lo:lo + _COLUMNS])]
+            for j in range(4):
+                part[j, j::4] = error[lo + j:lo + _COLUMNS:4]
+            out[:, -1] += part @ self.x[:, lo:lo + _COLUMNS].T
+        return out
 
 
 def _squash(z):
     return 1 / (1 + np.exp(-z))
 
 
-def _bucket(z):
-    return np.clip(np.rint((z + 8) * 2), 0, BUCKETS - 1).astype(np.int64)
+def _bits(symbol: np.ndarray) -> list[np.ndarray]:
+    """The bits of the two halves of the bytes."""
+    bit = np.unpackbits(symbol).reshape(-1, 8)
+    return [bit[:, :4].astype(np.float32).reshape(-1), bit[:, 4:].astype(np.float32).reshape(-1)]
 
 
 def byte_scores(symbol: np.ndarray, hashes: np.ndarray, model: Model) -> np.ndarray:
     """log10 probability of each byte."""
     out = np.zeros(len(symbol))
-    weights = model.weights.astype(np.float32)
-    refine = model.refine.astype(np.float32)
+    table, weights = _held_paths(model.codes, _PATH), _gate_weights(model.weights)
+    refine = model.refine.reshape(CONTEXTS + 1, 2, 4, BUCKETS).transpose(1, 2, 0, 3).reshape(2, -1)
+    refine = np.concatenate([1 - refine, refine], 1).astype(np.float32)  # a zero's, a one's
+    mix = _Mix(0)
     for lo in range(0, len(symbol), _SPAN):
         span = out[lo:lo + _SPAN]
+        mix = mix if mix.n == len(span) else _Mix(len(span))
+        bits = _bits(symbol[lo:lo + _SPAN])
         for part, (half, block) in enumerate(blocks(symbol[lo:lo + _SPAN], hashes[:, lo:lo + _SPAN], model.bits)):
-            base, p4 = block << 4, np.ones(len(half), np.float32)
-            for j, (bit, node) in enumerate(nodes(half)):
-                first = 4 * part + j
-                longest, _, z = _mixed(model.codes.take(base + node), weights, first)
-                p = _squash(z)
-                p += refine[first::8].take(longest * BUCKETS + _bucket(z))
-                p *= np.float32(0.5)
-                p4 *= np.maximum(np.where(bit, p, 1 - p), np.float32(1e-6))
-            span += np.log10(p4)
+            mix.mix(half, block, table, weights[part])
+            bit, cell = bits[part], mix.cells()
+            cell += bit * np.float32(refine.shape[1] // 2)
+            z = mix.z
+            bit *= np.float32(-2)
+            bit += np.float32(1)
+            z *= bit
+            p = np.exp(z, out=z)  # of the bit that came
+            p += np.float32(1)
+            np.divide(np.float32(1), p, out=p)
+            p += refine[part].take(cell.astype(np.intp), mode="wrap")
+            p *= np.float32(0.5)
+            np.maximum(p, np.float32(1e-6), out=p)
+            span += np.log(p[::4] * p[1::4] * p[2::4] * p[3::4])
+    out /= math.log(10)
     return out
 
 
@@ -242,8 +383,10 @@ def _runs(texts: list[bytes]):
 def _fresh(run: list[tuple[int, bytes, int]]) -> tuple[np.ndarray, np.ndarray]:
     """``(symbol, hashes)`` of a run's bytes, without those that an earlier piece has."""
     symbol, _, hashes = contexts([p for _, p, _ in run])
+    if not any(skip for _, _, skip in run):
+        return symbol, hashes
     fresh = np.concatenate([np.arange(len(p)) >= skip for _, p, skip in run])
-    return (symbol, hashes) if fresh.all() else (symbol[fresh], hashes[:, fresh])
+    return symbol[fresh], hashes[:, fresh]
 
 
 def text_scores(texts: list[bytes], model: Model) -> list[float]:
@@ -266,7 +409,8 @@ def table_bits(n_bytes: int) -> int:
 
 
 def _gather_counts(batches, bits: int):
-    """(chunk, counts): the half-byte counts of the task's texts, in compressed chunks of blocks."""
+    """(chunk, counts): the half-byte counts of the task's texts, in compressed chunks of blocks,
+    each in the narrowest numbers that hold it, whose width comes first."""
     n = np.zeros((CONTEXTS << bits, 16), np.uint32)
     flat, one = n.reshape(-1), np.uint32(1)
     for batch in batches:
@@ -274,12 +418,15 @@ def _gather_counts(batches, bits: int):
             symbol, hashes = _fresh(run)
             for half, block in blocks(symbol, hashes, bits):
                 for row in block:
-                    np.add.at(flat, (row << 4) + half, one)
+                    np.add.at(flat, ((row << np.uint32(4)) | half).astype(np.intp), one)
     for i in range(0, len(n), CHUNK_BLOCKS):
         part = n[i:i + CHUNK_BLOCKS]
-        if part.any():
+        most = part.max()
+        if most:
+            part = part.astype(np.min_scalar_type(most))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([i // CHUNK_BLOCKS], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())],
+                [pa.array([i // CHUNK_BLOCKS], pa.int32()),
+                 pa.array([bytes([part.itemsize]) + zlib.compress(part.tobytes(), 1)], pa.binary())],
                 names=["chunk", "counts"])
     del n, flat
     release()
@@ -298,7 +445,7 @@ def _sum_counts(batches):
 
     for batch in batches:
         for chunk, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            part = np.frombuffer(zlib.decompress(counts), np.uint32).reshape(-1, 16)
+            part = np.frombuffer(zlib.decompress(counts[1:]), f"u{counts[0]}").reshape(-1, 16)
             if chunk != current:
                 if current is not None:
                     yield emit()
@@ -330,30 +477,40 @@ class Learner:
         self.seen = np.zeros((GATES, BUCKETS, 2))
         self.done = 0
 
-    def learn(self, symbol: np.ndarray, hashes: np.ndarray, codes: np.ndarray, bits: int) -> None:
-        lo = 0
+    def learn(self, symbol: np.ndarray, hashes: np.ndarray, table: np.ndarray, bits: int) -> None:
+        """``table``: the :func:`paths` of codes :func:`without` the occurrence itself."""
+        lo, mix, n = 0, _Mix(0), CONTEXTS + 1
         while lo < len(symbol):
-            hi = lo + min(BATCH_MAX, max(BATCH_BYTES, self.done // 16))
-            for part, (half, block) in enumerate(blocks(symbol[lo:hi], hashes[:, lo:hi], bits)):
-                base = block << 5
-                for j, (bit, node) in enumerate(nodes(half)):
-                    self._bit(4 * part + j, bit, codes.take(base + ((node << 1) + bit)))
-            self.done += len(symbol[lo:hi])
+            hi = min(len(symbol), lo + min(BATCH_MAX, max(BATCH_BYTES, self.done // 16)))
+            weights = _gate_weights(self.w)
+            g, seen = np.zeros((2, 4, n, n)), np.zeros((2, 4, n, BUCKETS, 2))
+            for at in range(lo, hi, _SPAN):
+                to = min(hi, at + _SPAN)
+                mix = mix if mix.n == to - at else _Mix(to - at)
+                both = _bits(symbol[at:to])
+                for part, (half, block) in enumerate(blocks(symbol[at:to], hashes[:, at:to], bits)):
+                    mix.mix(half, block, table, weights[part])
+                    bit, cell = both[part], mix.cells()
+                    cell *= np.float32(2)
+                    cell += bit
+                    seen[part] += np.bincount(cell.astype(np.intp), minlength=seen[part].size).reshape(seen[part].shape)
+                    error = np.negative(mix.z, out=mix.z)
+                    np.exp(error, out=error)
+                    error += np.float32(1)
+                    np.divide(np.float32(-1), error, out=error)
+                    error += bit
+                    g[part] += mix.slopes(error)
+            g[..., :-1] /= STEPS
+            mass = seen.sum((3, 4))
+            g /= np.maximum(mass, 1)[..., None]
+            g = g.transpose(2, 0, 1, 3).reshape(GATES, n)
+            self.seen += seen.transpose(2, 0, 1, 3, 4).reshape(GATES, BUCKETS, 2)
+            self.mass += mass.transpose(2, 0, 1).reshape(GATES)
+            self.power += g * g
+            self.w += RATE * g / np.sqrt(self.power)
+            self.done += hi - lo
             lo = hi
 
-    def _bit(self, first: int, bit: np.ndarray, codes: np.ndarray) -> None:
-        longest, x, z = _mixed(codes, self.w.astype(np.float32), first)
-        n = CONTEXTS + 1
-        self.seen[first::8] += np.bincount((longest * BUCKETS + _bucket(z)) * 2 + bit, minlength=n * BUCKETS * 2
-                                           ).reshape(n, BUCKETS, 2)
-        mass = np.bincount(longest, minlength=n)
-        self.mass[first::8] += mass
-        error = bit - _squash(z)
-        x *= error
-        g = np.stack([np.bincount(longest, r, minlength=n) for r in (*x, error)], 1) / np.maximum(mass, 1)[:, None]
-        self.power[first::8] += g * g
-        self.w[first::8] += RATE * g / np.sqrt(self.power[first::8])
-
     def sums(self) -> np.ndarray:
         """Weights times the bits seen, the bits seen, and the refinement counts, in one row."""
         return np.concatenate([(self.w * self.mass[:, None]).reshape(-1), self.mass, self.seen.reshape(-1)])
@@ -384,7 +541,7 @@ def _learn(batches, codes, bits: int):
                 current, learner = of[lo], Learner()
             for run in _runs([(t or b"").lower() for t in texts[lo:hi]]):
                 symbol, hashes = _fresh(run)
-                learner.learn(symbol, hashes, codes.value, bits)
+                learner.learn(symbol, hashes, _held_paths(codes.value, 2 * _PATH + _BIT), bits)
     if learner is not None:
         yield _sums_row(learner)
     release()

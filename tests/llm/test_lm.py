@@ -190,6 +190,58 @@ def test_learners_of_a_stored_table_are_its_parts(spark):
     assert len(rows) == 2 and sum(map(sum, rows)) > 0
 
 
+def test_hashes_tell_contexts_apart():
+    texts = [b"the cat\x00 sat", b"", b"\x00\x00", b"\xff\x00 zz the  cat", b"  the cat", b"a", b"cat the cat"]
+    keys = [key for t in texts for i in range(len(t)) for key in enumerate(context_keys(t, i))]
+    symbol, first, hashes = lm.contexts(texts)
+    assert symbol.tobytes() == b"".join(texts) and first.tolist() == np.cumsum([0, *map(len, texts[:-1])]).tolist()
+    seen = list(zip(range(len(keys)), keys, hashes.T.reshape(-1).tolist()))
+    assert len({key for _, key, _ in seen}) == len({(key[0], h) for _, key, h in seen}) == len({(key, h) for _, key, h in seen})
+
+
+def test_a_lookup_finds_the_codes_of_four_bits():
+    codes = np.random.default_rng(1).integers(0, 256, 5 * 16 * 2).astype(np.uint8)
+    for table, entries, at in ((codes[:80], lm._PATH, lambda b, node, bit: b * 16 + node),
+                               (codes, 2 * lm._PATH + lm._BIT, lambda b, node, bit: (b * 16 + node) * 2 + bit)):
+        got = lm.paths(table, entries).view(np.int8).reshape(5, 16, 4)
+        for b in range(5):
+            for half in range(16):
+                for _, j, node, bit in list(bit_path(half))[4:]:
+                    assert got[b, half, j] == int(table[at(b, node, bit)]) - 128
+
+
+@pytest.mark.parametrize("unseen", [0, 0.01, 0.6, 1])
+def test_learner_equals_one_bit_at_a_time(unseen):
+    """Weights and refinement of two mini-batches, whatever share of the codes is unseen."""
+    rng = np.random.default_rng(9)
+    n, bits = 2 * lm.BATCH_BYTES - 100, lm.MIN_BITS
+    symbol = rng.integers(0, 256, n).astype(np.uint8)
+    hashes = rng.integers(0, 1 << 32, (lm.CONTEXTS, n), dtype=np.uint32)
+    left = rng.integers(1, 256, lm.CONTEXTS << bits << 5).astype(np.uint8)
+    left[rng.random(len(left)) < unseen] = 0
+    learner = lm.Learner()
+    learner.w += rng.normal(0, 0.05, learner.w.shape)  # else many bits lie on the edge of two buckets
+    w, power, seen = learner.w.copy(), learner.power.copy(), np.zeros((lm.GATES, lm.BUCKETS, 2))
+    learner.learn(symbol, hashes, lm.paths(left, 2 * lm._PATH + lm._BIT), bits)
+    halves = [(half.tolist(), block.tolist()) for half, block in lm.blocks(symbol, hashes, bits)]
+    for lo in range(0, n, lm.BATCH_BYTES):
+        slope, mass = np.zeros_like(w), np.zeros((lm.GATES, 1))
+        for i in range(lo, min(n, lo + lm.BATCH_BYTES)):
+            for part, j, node, bit in bit_path(int(symbol[i])):
+                code = [int(left[((row[i] << 4) + node) * 2 + bit]) for row in halves[part][1]]
+                gate = max((c + 1 for c in range(lm.CONTEXTS) if code[c]), default=0) * 8 + 4 * part + j
+                x = np.array([(v - 128) / lm.STEPS if v else 0 for v in code] + [1])
+                z = min(12, max(-12, float(w[gate] @ x)))
+                slope[gate] += (bit - 1 / (1 + math.exp(-z))) * x
+                mass[gate] += 1
+                seen[gate, min(lm.BUCKETS - 1, max(0, round((z + 8) * 2))), bit] += 1
+        slope /= np.maximum(mass, 1)
+        power += slope * slope
+        w += lm.RATE * slope / np.sqrt(power)
+    assert learner.w == pytest.approx(w, rel=1e-4, abs=1e-4)
+    assert learner.seen.sum() == 8 * n and np.abs(learner.seen - seen).sum() <= 8
+
+
 def test_pieces_of_a_long_text_score_as_the_whole(spark, monkeypatch):
     rnd = random.Random(4)
     text = " ".join(rnd.choice(["alpha", "beta", "of", "gamma\n", "x"]) for _ in range(3000)).encode()
